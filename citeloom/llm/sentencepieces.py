@@ -54,7 +54,7 @@ class ChunkTable:
         # The dummy prefix that the library puts before a text stands for the chunk's first marker.
         new = [c for c in chunks if c not in self.known]
         for c, ids in zip(new, self.processor.encode([c[1:] for c in new], num_threads=1) if new else []):
-            ids = ids or [self.lone]
+            ids = tuple(ids) or (self.lone,)  # tuples of numbers cost the garbage collector nothing
             self.known[c] = ids, ",".join(map(str, ids))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
