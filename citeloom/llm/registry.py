@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import common, langid, sentencepieces
+from citeloom.llm import chat, common, langid, licenses, quality, sentencepieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +36,27 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = common.held_out(F.col("doc_id"), 3, 1)
     model = langid.fit(docs.select("doc_id", "text", "lang"), ~test)
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", test.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).drop("found")
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn int, role string, text string")
+    own = own.select(*[F.col(c).cast(t) for c, t in rows.dtypes])
+    made = chat.format_conversations(rows.unionByName(own))
+    said = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
+    all_turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return made.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(all_turns, 256).alias("turns_sha256"), F.length(said).cast("bigint").alias("loss_chars"), F.sha2(said, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
