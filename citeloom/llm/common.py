@@ -112,8 +112,12 @@ def _pieces(raw: np.ndarray, off: np.ndarray, delimiter: np.ndarray) -> list[tup
 def tokens(column: pa.Array, delimiter: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, pointers): the 64-bit hash of each lower-cased token (runs of bytes that aren't
     delimiters) of all texts, and where each text's tokens begin."""
-    raw, off = text_bytes(column)
-    hashes, starts = [], []
+    return spans(*text_bytes(column), delimiter)[:2]
+
+
+def spans(raw: np.ndarray, off: np.ndarray, delimiter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As tokens, of bytes and offsets, with the first byte of each token and the byte after its last."""
+    hashes, starts, ends = [], [], []
     for a, b in _pieces(raw, off, delimiter):
         part = raw[a:b]
         word = ~delimiter[part]
@@ -129,9 +133,11 @@ def tokens(column: pa.Array, delimiter: np.ndarray = SPACES) -> tuple[np.ndarray
         total = np.concatenate([[np.uint64(0)], np.cumsum(_RANDOM[part] * power[: b - a], dtype=np.uint64)])
         hashes.append(_mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)))
         starts.append(s + a)
+        ends.append(e + a)
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     s = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    return h, np.searchsorted(s, off, "left")
+    e = np.concatenate(ends) if ends else s
+    return h, np.searchsorted(s, off, "left"), s, e
 
 
 def windows(h: np.ndarray, ptr: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

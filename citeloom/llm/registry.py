@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import archives, chat, common, langid, licenses, quality, sentencepieces, toxicity
+from citeloom.llm import archives, chat, common, decontaminate, langid, licenses, quality, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,3 +74,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = common.held_out(F.col("doc_id"), 5, 0)
     index, keys = toxicity.fit(docs, labels, ~test)
     return toxicity.score(docs.select("doc_id", test.alias("held_out"), "text"), index, keys)
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "benchmark")
+    return decontaminate.leaks(docs, items).select("doc_id", "item_id", "meetings", "item_windows", "altered")
