@@ -193,3 +193,37 @@ def small_batches(batches, column: str = "text", limit: int = 4 << 20):
             b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
             yield batch.slice(a, min(b, n) - a)
             a = min(b, n)
+
+
+# --- a filter of fixed size ----------------------------------------------------------------------
+
+FILTER_BITS = 1 << 26
+
+
+def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = _mix(h)
+    return h & np.uint64(FILTER_BITS - 1), h >> np.uint64(32) & np.uint64(FILTER_BITS - 1)
+
+
+def make_filter(df: DataFrame, column: str) -> np.ndarray:
+    """A bitmap that holds all of a long column's values, and some others; its size is fixed."""
+
+    def mark(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            for b in _bits(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):
+                bits[b] = True
+        packed = np.packbits(bits, bitorder="little")
+        on = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_pydict({"byte": pa.array(on, pa.int32()), "bits": pa.array(packed[on].astype(np.int32))})
+
+    source = df.select(F.col(column).cast("bigint").alias("x")).where("x is not null")
+    rows = source.mapInArrow(mark, "byte int, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most FILTER_BITS / 8 rows
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    bitmap[rows["byte"].to_numpy()] = rows["bits"].to_numpy()
+    return bitmap
+
+
+def in_filter(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    a, b = _bits(h)
+    return ((bitmap[a >> np.uint64(3)] >> (a & np.uint64(7))) & (bitmap[b >> np.uint64(3)] >> (b & np.uint64(7))) & 1).astype(bool)

@@ -25,8 +25,6 @@ from citeloom.llm import common
 
 #: Template tokens of a window, tokens in it that aren't placeholders, windows that must meet, the shortest item.
 WINDOW, LITERALS, MEETINGS, SHORTEST = 8, 5, 3, 4
-#: Bits of the filter that goes before the join; its size doesn't depend on the data.
-FILTER_BITS = 1 << 26
 #: Benchmark windows up to which the benchmark's side is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -92,10 +90,6 @@ def _windows(t: np.ndarray, v: np.ndarray, ptr: np.ndarray, n: int, literals: in
     return w, np.flatnonzero((np.arange(m) + n <= end) & (lit[n : n + m] - lit[:m] >= literals))
 
 
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(6)) % np.uint64(FILTER_BITS), (common._mix(h) >> np.uint64(5)) % np.uint64(FILTER_BITS)
-
-
 def _emit(column: pa.Array, sizes: list[int], first: int, bitmap: np.ndarray | None):
     """Rows (text, size, position, hash, slots, windows of the text) of windows that pass the filter."""
     t, v, ptr = templates(column)
@@ -105,8 +99,7 @@ def _emit(column: pa.Array, sizes: list[int], first: int, bitmap: np.ndarray | N
             length = np.repeat(np.diff(ptr), np.diff(ptr))
             at = at[(length[at] >= WINDOW) if n == WINDOW else (length[at] == n)]
         if bitmap is not None and len(at):
-            a, b = _bits(w[at])
-            at = at[(bitmap[a >> np.uint64(3)] >> (a & np.uint64(7)) & 1).astype(bool) & (bitmap[b >> np.uint64(3)] >> (b & np.uint64(7)) & 1).astype(bool)]
+            at = at[common.in_filter(bitmap, w[at])]
         if len(at):
             text = np.searchsorted(ptr, at, "right") - 1
             yield n, text, at - ptr[text], w[at], [v[k : k + n] for k in at]
@@ -137,19 +130,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: st
     total = items.groupBy("item").agg(F.count("*").alias("item_windows"))
     items = items.withColumnsRenamed({"at": "item_at", "slots": "item_slots"}).join(total, "item")
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            h = batch.column("w").to_numpy().view(np.uint64)
-            for b in _bits(h):
-                bits[b] = True
-        packed = np.packbits(bits, bitorder="little")
-        on = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_pydict({"byte": pa.array(on, pa.int32()), "bits": pa.array(packed[on].astype(np.int32))})
-
-    marked = items.select("w").mapInArrow(mark, "byte int, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most FILTER_BITS / 8 rows
-    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
-    bitmap[marked["byte"].to_numpy()] = marked["bits"].to_numpy()
+    bitmap = common.make_filter(items, "w")
     source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.col(text).alias("__text"))
     found = source.mapInArrow(_mapper(sizes_used, False, ["key", "print"], spark.sparkContext.broadcast(bitmap)), f"key {kinds[key]}, print bigint, at bigint, w bigint, slots array<bigint>")
     other = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import archives, chat, common, decontaminate, langid, licenses, quality, sentencepieces, toxicity
+from citeloom.llm import archives, chat, common, decontaminate, jaccard, langid, licenses, quality, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,3 +80,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "benchmark")
     return decontaminate.leaks(docs, items).select("doc_id", "item_id", "meetings", "item_windows", "altered")
+
+
+@query
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(common.table(spark, sf_dir, "documents"), n=3, percent=90)
