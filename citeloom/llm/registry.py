@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import archives, chat, common, decontaminate, jaccard, langid, licenses, quality, sentencepieces, toxicity
+from citeloom.llm import archives, chat, common, decontaminate, jaccard, langid, licenses, maxent, quality, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,3 +85,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(common.table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@query
+def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    test = common.held_out(F.col("doc_id"), 7, 2)
+    model, words = maxent.fit(docs, ~test)
+    return maxent.score(docs.select("doc_id", test.alias("held_out"), "text"), model, words)
