@@ -208,20 +208,30 @@ def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def make_filter(df: DataFrame, column: str) -> np.ndarray:
     """A bitmap that holds all of a long column's values, and some others; its size is fixed."""
 
+    piece = 1 << 13  # bytes of the bitmap in a row
+
     def mark(batches):
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
             for b in _bits(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):
                 bits[b] = True
-        packed = np.packbits(bits, bitorder="little")
-        on = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_pydict({"byte": pa.array(on, pa.int32()), "bits": pa.array(packed[on].astype(np.int32))})
+        packed = np.packbits(bits, bitorder="little").reshape(-1, piece)
+        on = np.flatnonzero(packed.any(1))
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(on, pa.int32()), "bits": pa.array([packed[i].tobytes() for i in on], pa.binary())})
+
+    def unite(parts):
+        out, at = np.zeros(piece, np.uint8), None
+        for part in parts:
+            for x in part.column("bits"):
+                out |= np.frombuffer(x.as_py(), np.uint8)
+            at = part.column("piece")[0].as_py()
+        yield pa.RecordBatch.from_pydict({"piece": pa.array([at], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
 
     source = df.select(F.col(column).cast("bigint").alias("x")).where("x is not null")
-    rows = source.mapInArrow(mark, "byte int, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most FILTER_BITS / 8 rows
-    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
-    bitmap[rows["byte"].to_numpy()] = rows["bits"].to_numpy()
-    return bitmap
+    bitmap = np.zeros((FILTER_BITS // 8 // piece, piece), np.uint8)
+    for r in source.mapInArrow(mark, "piece int, bits binary").groupBy("piece").applyInArrow(unite, "piece int, bits binary").collect():  # a fixed number of rows
+        bitmap[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
+    return bitmap.ravel()
 
 
 def in_filter(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:

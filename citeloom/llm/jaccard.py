@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from citeloom.llm import common
 from citeloom.llm.common import materialise
 
 #: Counters of the table that orders n-grams, and counters in a chunk of it.
-COUNTERS, CHUNK = 1 << 22, 1 << 14
+COUNTERS, CHUNK = 1 << 21, 1 << 14
 
 
 def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +42,11 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(40)) & np.uint64(COUNTERS - 1)
 
 
+def _digest(h: np.ndarray, size: int) -> int:
+    """A 64-bit hash of a set of hashes and a number."""
+    return int(common._mix(common._mix(h).sum(dtype=np.uint64, keepdims=True) + np.uint64(size)).view(np.int64)[0])
+
+
 def counters(docs: DataFrame, text: str, n: int) -> np.ndarray:
     """How many sets have an n-gram that falls to each counter, over all texts."""
 
@@ -69,30 +75,29 @@ def counters(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, order, *, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """key, n (set size), node (a hash of the set; null for empty sets), prefix and central (the count
-    of the prefix's rarest n-gram)."""
+    """key, n (set size), node (a hash of the set; null for empty sets), grp (a hash of size and prefix),
+    prefix and central (the count of the prefix's rarest n-gram)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
         for batch in common.small_batches(batches):
             s, ptr = _sets(batch.column("text"), n)
             c = counts[_bucket(s)]
-            prefix, node, central = [], [], []
+            prefix, node, grp, central = [], [], [], []
             for a, b in zip(ptr, ptr[1:]):
                 size = b - a
                 if not size:
-                    prefix.append(None), node.append(None), central.append(None)
+                    prefix.append(None), node.append(None), grp.append(None), central.append(None)
                     continue
                 keep = size - -(-percent * size // 100) + 1
                 first = np.lexsort((s[a:b], c[a:b]))[:keep]
                 prefix.append(s[a:b][first].view(np.int64))
                 central.append(int(c[a:b][first[0]]))
-                with np.errstate(over="ignore"):
-                    node.append(int(common._mix(np.array([common._mix(s[a:b]).sum(dtype=np.uint64) + np.uint64(size)], np.uint64)).view(np.int64)[0]))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.diff(ptr), pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(central, pa.int32())], names=["key", "n", "node", "prefix", "central"])
+                node.append(_digest(s[a:b], size)), grp.append(_digest(s[a:b][first], size))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.diff(ptr), pa.int64()), pa.array(node, pa.int64()), pa.array(grp, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(central, pa.int32())], names=["key", "n", "node", "grp", "prefix", "central"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n bigint, node bigint, prefix array<bigint>, central int")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n bigint, node bigint, grp bigint, prefix array<bigint>, central int")
 
 
 def _whole_sets(docs: DataFrame, bitmap, *, key: str, text: str, n: int) -> DataFrame:
@@ -105,8 +110,7 @@ def _whole_sets(docs: DataFrame, bitmap, *, key: str, text: str, n: int) -> Data
             if not batch.num_rows:
                 continue
             s, ptr = _sets(batch.column("text"), n)
-            with np.errstate(over="ignore"):
-                node = [int(common._mix(np.array([common._mix(s[a:b]).sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64)).view(np.int64)[0]) if b > a else None for a, b in zip(ptr, ptr[1:])]
+            node = [_digest(s[a:b], b - a) if b > a else None for a, b in zip(ptr, ptr[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([s[a:b].view(np.int64) for a, b in zip(ptr, ptr[1:])], pa.list_(pa.int64()))], names=["node", "set"])
 
     return docs.select(F.xxhash64(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, "node bigint, set array<bigint>")
@@ -135,11 +139,30 @@ def _fits(n: str, pos: str, m: str, at: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * most >= percent * (a + b))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are alike."""
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, **names) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are alike. Only the sets of these pairs are made."""
+    wanted = materialise(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.xxhash64("key").alias("k")), "wanted")
+    bitmap = docs.sparkSession.sparkContext.broadcast(common.make_filter(wanted, "k"))
+    sets = _whole_sets(docs, bitmap, **names).where("node is not null")
+    sets = materialise(sets.join(wanted.select("node"), "node", "left_semi"), "sets")
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where((100 + percent) * both >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where((100 + percent) * both >= percent * (F.size("sa") + F.size("sb"))).select("a", "b").distinct()
+
+
+def _shared_only(rows: DataFrame, bitmap) -> DataFrame:
+    """rows (distinct nodes aside) with those n-grams of the prefix that are in the bitmap, and where they stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            lists = batch.column("prefix")
+            flat, off = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)))]).astype(np.int64)
+            on = np.flatnonzero(common.in_filter(bits, flat.view(np.uint64)))
+            row = np.searchsorted(off, on, "right") - 1
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(row)) for c in ("node", "grp", "n", "central")], pa.array(on - off[row], pa.int32()), pa.array(flat[on])], names=["node", "grp", "n", "central", "pos", "token"])
+
+    return rows.select("node", "grp", "n", "central", "prefix").mapInArrow(run, "node bigint, grp bigint, n bigint, central int, pos int, token bigint")
 
 
 def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -149,12 +172,13 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 3
     order = spark.sparkContext.broadcast(counters(docs, text, n))
     rows = materialise(signatures(docs, order, key=key, text=text, n=n, percent=percent), "signatures")
     full = rows.where("node is not null")
-    nodes = full.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("central").alias("central"))
-    nodes = materialise(nodes.withColumn("grp", F.xxhash64("n", "prefix")), "nodes")
-    groups = nodes.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("central").alias("central"), F.min("node").alias("head"), F.count("*").alias("members"))
-    postings = groups.select("grp", "n", "central", "head", "members", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("c"), F.max("members").alias("m")).where("c > 1 or m > 1").select("token")
-    postings = materialise(postings.join(shared, "token"), "postings")
+    nodes = materialise(full.groupBy("node").agg(F.min("key").alias("key"), F.min("grp").alias("grp")), "nodes")
+    groups = nodes.groupBy("grp").agg(F.min("node").alias("head"), F.count("*").alias("members"))
+    # N-grams in the prefixes of two nodes at least.
+    shared = full.select("node", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    bitmap = spark.sparkContext.broadcast(common.make_filter(materialise(shared.select("token"), "shared"), "token"))
+    places = _shared_only(full, bitmap).select("token", "grp", "n", "pos", "central").distinct()
+    postings = materialise(places.join(groups, "grp"), "postings")
 
     # Pivots of a bucket: the group with the commonest rarest n-gram, the largest, the smallest, and one at random.
     who = F.struct("grp", "n", "pos", "head")
@@ -164,16 +188,12 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 3
     crowd = nodes.join(groups.where("members > 1").select("grp", "head"), "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     first = materialise(near.union(crowd).distinct(), "pairs")
 
-    active = postings.select("grp").distinct()
-    chosen = materialise(nodes.join(active, "grp").select("node", "grp", F.xxhash64("key").alias("k")), "active")
-    bitmap = spark.sparkContext.broadcast(common.make_filter(chosen, "k"))
-    sets = _whole_sets(docs, bitmap, key=key, text=text, n=n).where("node is not null")
-    sets = materialise(sets.join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-    links = materialise(_verify(first, sets, percent), "links")
+    names = {"key": key, "text": text, "n": n}
+    links = materialise(_verify(first, nodes, docs, percent, **names), "links")
     comp = components(links)
     # What is left: nodes that meet in a bucket and are in different components. A class is what a group has in one component.
-    classes = materialise(chosen.join(comp, "node", "left").select("node", "grp", F.coalesce("comp", "node").alias("comp")), "classes")
+    met_once = nodes.join(postings.select("grp").distinct(), "grp", "left_semi")
+    classes = materialise(met_once.join(comp, "node", "left").select("node", "grp", F.coalesce("comp", "node").alias("comp")), "classes")
     places = postings.select("token", "grp", "n", "pos").join(classes.select("grp", "comp").distinct(), "grp")
     mixed = places.groupBy("token", "comp").count().groupBy("token").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("main")).where("comps > 1").select("token", "main")
     places = materialise(places.join(mixed, "token"), "places")
@@ -181,7 +201,7 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 3
     met = places.join(rest, "token").where((F.col("comp") != F.col("comp2")) & ((F.col("comp") == F.col("main")) | (F.col("comp") < F.col("comp2"))) & _fits("n", "pos", "m", "at", percent)).select("grp", "comp", "grp2", "comp2").distinct()
     one, two = classes.select("grp", "comp", F.col("node").alias("a")), classes.select(F.col("grp").alias("grp2"), F.col("comp").alias("comp2"), F.col("node").alias("b"))
     second = materialise(met.join(one, ["grp", "comp"]).join(two, ["grp2", "comp2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    more = _verify(second, sets, percent)
+    more = _verify(second, nodes, docs, percent, **names)
     of = classes.select("node", "comp")
     joined = materialise(more.join(of.withColumnsRenamed({"node": "a", "comp": "ca"}), "a").join(of.withColumnsRenamed({"node": "b", "comp": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "bridges")
     top = components(joined).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
