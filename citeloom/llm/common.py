@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -219,7 +220,7 @@ def make_filter(df: DataFrame, column: str) -> np.ndarray:
         on = np.flatnonzero(packed.any(1))
         yield pa.RecordBatch.from_pydict({"piece": pa.array(on, pa.int32()), "bits": pa.array([packed[i].tobytes() for i in on], pa.binary())})
 
-    def unite(parts):
+    def unite(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at = np.zeros(piece, np.uint8), None
         for part in parts:
             for x in part.column("bits"):
