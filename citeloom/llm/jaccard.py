@@ -75,7 +75,7 @@ def counters(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, order, *, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """key, n (set size), node (a hash of the set; null for empty sets), grp (a hash of size and prefix),
+    """key, print, n (set size), node (a hash of the set; null for empty sets), grp (a hash of size and prefix),
     prefix and central (the count of the prefix's rarest n-gram)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,10 +94,10 @@ def signatures(docs: DataFrame, order, *, key: str, text: str, n: int, percent:
                 prefix.append(s[a:b][first].view(np.int64))
                 central.append(int(c[a:b][first[0]]))
                 node.append(_digest(s[a:b], size)), grp.append(_digest(s[a:b][first], size))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.diff(ptr), pa.int64()), pa.array(node, pa.int64()), pa.array(grp, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(central, pa.int32())], names=["key", "n", "node", "grp", "prefix", "central"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("print"), pa.array(np.diff(ptr), pa.int64()), pa.array(node, pa.int64()), pa.array(grp, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(central, pa.int32())], names=["key", "print", "n", "node", "grp", "prefix", "central"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n bigint, node bigint, grp bigint, prefix array<bigint>, central int")
+    return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, print bigint, n bigint, node bigint, grp bigint, prefix array<bigint>, central int")
 
 
 def _whole_sets(docs: DataFrame, bitmap, *, key: str, text: str, n: int) -> DataFrame:
@@ -165,14 +165,16 @@ def _shared_only(rows: DataFrame, bitmap) -> DataFrame:
     return rows.select("node", "grp", "n", "central", "prefix").mapInArrow(run, "node bigint, grp bigint, n bigint, central int, pos int, token bigint")
 
 
-def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """key, n_shingles and component_id (the smallest key of the component) of each row of docs."""
+def _linked(docs: DataFrame, *, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """key, print (a hash of the text), n and first: the key and print of the component's first row (null for empty sets)."""
     spark = docs.sparkSession
     docs = docs.select(key, text)
     order = spark.sparkContext.broadcast(counters(docs, text, n))
     rows = materialise(signatures(docs, order, key=key, text=text, n=n, percent=percent), "signatures")
     full = rows.where("node is not null")
-    nodes = materialise(full.groupBy("node").agg(F.min("key").alias("key"), F.min("grp").alias("grp")), "nodes")
+    # The row with the smallest key, if any has one, stands for its node.
+    own = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "print"))
+    nodes = materialise(full.groupBy("node").agg(own.alias("first"), F.min("grp").alias("grp")).select("node", "grp", "first", F.col("first.key").alias("key")), "nodes")
     groups = nodes.groupBy("grp").agg(F.min("node").alias("head"), F.count("*").alias("members"))
     # N-grams in the prefixes of two nodes at least.
     shared = full.select("node", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
@@ -206,14 +208,27 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 3
     joined = materialise(more.join(of.withColumnsRenamed({"node": "a", "comp": "ca"}), "a").join(of.withColumnsRenamed({"node": "b", "comp": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "bridges")
     top = components(joined).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
     final = classes.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
-    whole = nodes.select("node", "key").join(final, "node", "left").select("node", "key", F.coalesce("comp", "node").alias("comp"))
-    least = whole.groupBy("comp").agg(F.min("key").alias("component_id"))
-    named = whole.join(least, "comp").select("node", "component_id")
-    return rows.select("key", "n", "node").join(named, "node", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    whole = nodes.select("node", "first").join(final, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp"))
+    least = whole.groupBy("comp").agg(F.min("first").alias("first"))
+    named = whole.select("node", "comp").join(least, "comp").select("node", "first")
+    return rows.select("key", "print", "n", "node").join(named, "node", "left").select("key", "print", "n", "first")
+
+
+def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+    """key, n_shingles and component_id (the smallest key of the component) of each row of docs."""
+    found = _linked(docs, key=key, text=text, n=n, percent=percent)
+    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("first").isNull(), F.col("key")).otherwise(F.col("first.key")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: that with the smallest key."""
-    found = link(docs, key=key, text=text, n=n, percent=percent)
-    gone = found.where(F.col("component_id") != F.col(key)).select(F.col(key).alias("__key")).distinct()
-    return docs.join(gone, F.col(key) == F.col("__key"), "left_anti")
+    """docs with one row of each component: that with the smallest key (then the smallest hash of its
+    text). Rows without words are components of their own and stay."""
+    found = materialise(_linked(docs, key=key, text=text, n=n, percent=percent), "found")
+    stays = F.col("first").isNull() | (F.col("key").eqNullSafe(F.col("first.key")) & F.col("print").eqNullSafe(F.col("first.print")))
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__print"))
+    named = found.select(F.col("key").alias("__key"), F.col("print").alias("__print"), stays.alias("stays"), F.col("first").isNotNull().alias("words"))
+    kept = docs.join(named.where("not stays").select("__key", "__print").distinct(), same, "left_anti")
+    twice = named.where("stays and words").groupBy("__key", "__print").count().where("count > 1").select("__key", "__print")
+    if not twice.limit(1).count():
+        return kept
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([key, text]))

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import archives, chat, common, decontaminate, jaccard, langid, licenses, maxent, quality, sentencepieces, toxicity
+from citeloom.llm import archives, chat, common, decontaminate, jaccard, langid, licenses, maxent, oracles, quality, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracles.SQL)
 
 
 def query(f):
