@@ -38,6 +38,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def matching(docs: DataFrame, found: DataFrame, how: str, *, key: str, text: str) -> DataFrame:
+    """docs' rows (left_semi) with a row in found, or without (left_anti): the same first column (the
+    key) and second (a hash of the text). Columns of docs may have any names."""
+    k, p = (f"__{uuid.uuid4().hex}" for _ in range(2))
+    return docs.join(found.toDF(k, p).distinct(), F.col(f"`{key}`").eqNullSafe(F.col(k)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(p)), how)
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 

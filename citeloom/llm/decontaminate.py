@@ -151,5 +151,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
 def remove(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     """docs without those that hold a benchmark item."""
     key, text = names.get("key", "doc_id"), names.get("text", "text")
-    found = leaks(docs, benchmark, **names).select(F.col(key).alias("__key"), F.col("print").alias("__print")).distinct()
-    return docs.join(found, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__print")), "left_anti")
+    return common.matching(docs, leaks(docs, benchmark, **names).select(key, "print"), "left_anti", key=key, text=text)

@@ -225,10 +225,8 @@ def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: i
     text). Rows without words are components of their own and stay."""
     found = materialise(_linked(docs, key=key, text=text, n=n, percent=percent), "found")
     stays = F.col("first").isNull() | (F.col("key").eqNullSafe(F.col("first.key")) & F.col("print").eqNullSafe(F.col("first.print")))
-    same = F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__print"))
-    named = found.select(F.col("key").alias("__key"), F.col("print").alias("__print"), stays.alias("stays"), F.col("first").isNotNull().alias("words"))
-    kept = docs.join(named.where("not stays").select("__key", "__print").distinct(), same, "left_anti")
-    twice = named.where("stays and words").groupBy("__key", "__print").count().where("count > 1").select("__key", "__print")
+    kept = common.matching(docs, found.where(~stays).select("key", "print"), "left_anti", key=key, text=text)
+    twice = found.where(stays & F.col("first").isNotNull()).groupBy("key", "print").count().where("count > 1").select("key", "print")
     if not twice.limit(1).count():
         return kept
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([key, text]))
+    return common.matching(kept, twice, "left_anti", key=key, text=text).unionByName(common.matching(kept, twice, "left_semi", key=key, text=text).dropDuplicates([key, text]))

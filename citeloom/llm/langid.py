@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeloom.llm import common
 
@@ -122,7 +123,9 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.idf, model.langs, np.ascontiguousarray(model.centroids.T), model.floor))
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    fields = [docs.schema[c] for c in names]
+    source = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names) if c != text], F.col(f"`{text}`").alias("__text"), F.coalesce(F.col(f"`{text}`").rlike("\\p{L}"), F.lit(False)).alias("__letter"))
+    sent = ["__text" if c == text else f"__{i}" for i, c in enumerate(names)]
+    schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in names], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, langs, matrix, floor = shared.value
@@ -136,7 +139,6 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
                 near = v @ matrix[at]
                 j = int(np.argmax(near))
                 pred.append(langs[j]), score.append(float(min(1.0, max(0.0, near[j])))), rejected.append(bool(near[j] < REJECT_SHARE * floor[j]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(f"__{i}") for i in range(len(names))], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in sent], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
 
-    source = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("__text"), F.coalesce(F.col(f"`{text}`").rlike("\\p{L}"), F.lit(False)).alias("__letter"))
-    return source.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double", "rejected boolean"]))
+    return source.mapInArrow(run, schema)
