@@ -14,14 +14,14 @@ from citeloom.llm import common, decontaminate, jaccard, langid, quality, regist
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, F.lit(True))
-    found = langid.identify(docs, model)
-    return found.where(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("others")
+    found = langid.identify(docs.select(others, "text"), model)
+    return found.where(~F.col("rejected")).select(*[F.col("text") if c == "text" else F.col(f"others.`{c}`").alias(c) for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.judge(docs.select(F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source")).withColumn("__print", F.xxhash64("text")))
-    kept = judged.where("kept").select(F.col("doc_id").alias("__id"), F.col("__print").alias("__p")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__p")), "left_semi")
+    judged = quality.judge(docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("print")))
+    return common.matching(docs, judged.where("kept").select("doc_id", "print"), "left_semi", key="doc_id", text="text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
