@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import ids
-from citeloom.operators import catalog, features, graph, ingest, temporal, text
+from citeloom.operators import catalog, editing, features, graph, ingest, temporal, text
 from citeloom.operators import predicates as P
 from citeloom.operators.corpus import Corpus
+from citeloom.sources import works
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -223,3 +224,41 @@ query("T17")(lambda c: text.linucb(c.table("embeddings"), c.table("embeddings").
 query("T18", """SELECT "paperId", len(list_filter(string_split_regex(title, '[,; ]'), lambda x: trim(x) <> '')) AS parts FROM papers""")(lambda c: c.papers.select("paperId", F.size(ids.split_authors(F.translate("title", " ", ","))).cast("bigint").alias("parts")))
 query("T19", """SELECT "paperId", nullif(regexp_extract(concat('see ', doi, ' for'), '10\\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+'), '') AS found FROM papers""")(lambda c: c.papers.select("paperId", ids.find_doi(F.concat(F.lit("see "), F.col("doi"), F.lit(" for"))).alias("found")))
 query("S15", """SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages""")(lambda c: c.table("pages").select("page_id", text.html_title(None).alias("title")))
+
+# --- sources and editing -------------------------------------------------------------------------
+
+_number = lambda: F.col("paperId").substr(F.lit(2), F.lit(20)).cast("long")
+_every = lambda c, n: c.papers.where(_number() % n == 0)
+
+query("S4", 'SELECT * FROM marks')(lambda c: works.marks(c.marks.select(F.to_json(F.create_map("paperId", "mark")).alias("value"))))
+query("S5", 'SELECT a AS "RetractionDOI", b AS "OriginalPaperDOI", reason AS "Reason" FROM retr')(lambda c: works.clean_retractions(c.retractions.unionByName(c.spark.createDataFrame([(None, " ", "none")], c.retractions.schema))))
+query("S9", f"""SELECT {P_} FROM papers WHERE "paperId" IN (SELECT "referencePaperId" FROM refs WHERE "paperId" IN (SELECT "paperId" FROM papers WHERE "isSeed"))""")(lambda c: works.references_of(c.papers, c.references, c.papers.where("isSeed")).select(*PAPER))
+query("S10", f"""SELECT {P_} FROM papers WHERE "paperId" IN (SELECT "paperId" FROM edges WHERE "referencePaperId" IN (SELECT "paperId" FROM papers WHERE "isSeed"))""")(lambda c: works.citing_works(c.papers, c.edges, c.papers.where("isSeed")).select(*PAPER))
+query("S11", f"""SELECT {P_} FROM papers WHERE "paperId" IN (SELECT "paperId" FROM pa WHERE "authorId" = 'A1') ORDER BY year DESC NULLS LAST, "paperId" LIMIT 10 OFFSET 10""")(lambda c: works.works_page(c.papers, c.paper_author.where("authorId = 'A1'"), 2, 10).select(*PAPER))
+query("S12", """SELECT "authorId", "authorName", n AS works_count FROM authors JOIN (SELECT "authorId", count(*) AS n FROM pa GROUP BY 1) USING ("authorId") WHERE contains(lower("authorName"), 'supplier#') ORDER BY n DESC, "authorId" LIMIT 1""")(
+    lambda c: works.best_match(c.authors.join(c.paper_author.groupBy("authorId").agg(F.count("*").alias("works_count")), "authorId"), "Supplier#", "works_count"))
+query("S17", """SELECT "paperId", trim(title) AS title, concat(venue, '|', topic) AS authors, year FROM papers WHERE venue <> ''""")(
+    lambda c: c.papers.where("venue <> ''").select("paperId", F.format_string("\\title{%s}\n\\author{%s \\and %s}\n\\date{May %d}", "title", "venue", "topic", "year").alias("text")).select("paperId", works.latex().alias("m")).select("paperId", "m.title", F.array_join("m.authors", "|").alias("authors"), "m.year"))
+
+
+def _index(c: Corpus, gaps: bool) -> DataFrame:
+    placed = c.table("documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
+    placed = placed.where("w <> ''") if gaps else placed
+    return placed.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+
+
+query("I10", "SELECT doc_id, sha256(trim(text)) AS digest FROM documents WHERE trim(text) <> ''")(lambda c: _index(c, False).select("doc_id", F.sha2(ids.from_inverted_index(F.col("index")), 256).alias("digest")).where("digest IS NOT NULL"))
+query("I11", "SELECT doc_id, sha256(rtrim(text)) AS digest FROM documents WHERE trim(text) <> ''")(lambda c: _index(c, True).select("doc_id", F.sha2(works.gapped_text(F.col("index")), 256).alias("digest")))
+query("I13", """SELECT "paperId", CASE WHEN venue <> '' THEN venue WHEN k % 3 = 0 THEN topic WHEN k % 3 = 1 THEN 'open' ELSE '' END AS venue FROM papers""")(
+    lambda c: c.papers.select("paperId", F.struct(F.col("venue").alias("primary"), F.array(F.lit(None).cast("string"), F.lit(""), F.when(_number() % 3 == 0, F.col("topic"))).alias("locations"), F.when(_number() % 3 == 1, "open").alias("best_oa")).alias("work")).select("paperId", editing.venue_of().alias("venue")))
+query("I14", """SELECT "paperId", "isSeed" OR k % 17 = 0 AS "isSeed" FROM papers""")(lambda c: editing.set_flag(c.papers, _every(c, 17), "isSeed").select("paperId", "isSeed"))
+query("I15", """SELECT "paperId", processed AND k % 17 <> 0 AS processed FROM papers""")(lambda c: editing.mark_failed(c.papers, _every(c, 17)).select("paperId", "processed"))
+query("I21", """SELECT count(*) FILTER (WHERE NOT processed) AS missing, count(*) FILTER (WHERE NOT processed) = 0 AS consistent FROM papers WHERE selected""")(lambda c: editing.unflagged(c.papers, c.papers.where("selected"), "processed"))
+query("I24", """SELECT k AS staging_id, CASE WHEN k % 106 = 0 THEN 'new' ELSE doi END AS doi, CASE WHEN k % 106 <> 0 THEN k % 53 = 0 END AS is_retracted, CASE WHEN k % 106 <> 0 AND k % 53 = 0 THEN 'fraud' END AS retraction_reason FROM papers""")(
+    lambda c: editing.edit_staging(c.papers.select(_number().alias("staging_id"), "doi", (_number() % 53 == 0).alias("is_retracted"), F.when(_number() % 53 == 0, "fraud").alias("retraction_reason")), _every(c, 106).select(_number().alias("staging_id"), F.lit("new").alias("doi"))))
+query("I26", """SELECT "paperId", CASE WHEN venue = '' THEN topic ELSE venue END AS venue FROM papers""")(lambda c: editing.fill(c.papers.select("paperId", "venue"), c.papers.select("paperId", F.col("topic").alias("venue")), "paperId", ["venue"]))
+query("I27", """SELECT count(*) FILTER (WHERE k % 89 = 0 AND NOT "isSeed") AS added, count(*) FILTER (WHERE k % 89 = 0) + 1 - count(*) FILTER (WHERE k % 89 = 0 AND NOT "isSeed") AS duplicate, count(*) FILTER (WHERE k % 89 = 0 OR "isSeed") AS total FROM papers""")(
+    lambda c: editing.add_seeds(c.papers.where("isSeed"), _every(c, 89).select("paperId").union(_every(c, 89).select("paperId").orderBy("paperId").limit(1))))
+query("I29", """SELECT "paperId", selected OR "paperId" IN (SELECT "paperId" FROM pa WHERE "authorId" = 'A1') AS selected FROM papers""")(lambda c: editing.set_flag(c.papers, c.paper_author.where("authorId = 'A1'"), "selected").select("paperId", "selected"))
+query("I38", """SELECT "paperId", k AS pos FROM papers WHERE k % 3 = 0""")(
+    lambda c: editing.frontier(_every(c, 3).select(F.explode(F.array(_number(), _number() + 7)).alias("pos"), F.concat(F.lit(" "), "paperId").alias("paperId")).union(_every(c, 5).select(_number(), F.lit("X1"))), c.papers))

@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("NULL" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in df.itertuples(index=False))
+    return sorted(tuple("NULL" if v is None or v is pd.NA or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in df.itertuples(index=False))
 
 
 @pytest.fixture(scope="module")
@@ -131,3 +132,16 @@ def test_venues(spark):
 def test_latex(spark):
     df = spark.createDataFrame([("\\title{T}\\author{A}\\date{May 2020}\\begin{abstract}x\ny\\end{abstract}",)], "t string")
     assert tuple(df.select(text.latex_fields(F.col("t")).alias("f")).select("f.*").first()) == ("T", "A", "x\ny", "2020")
+
+
+def test_files(spark, tmp_path):
+    from citeloom.sources import works
+
+    (tmp_path / "seeds.txt").write_text("W1\n W2 \n\nW1\n")
+    assert sorted(r[0] for r in works.seed_file(spark, str(tmp_path / "seeds.txt")).collect()) == ["W1", "W2"]
+    (tmp_path / "r.csv").write_text("RetractionDOI,OriginalPaperDOI,Reason\nhttps://doi.org/10.1/A,10.2/B,x\n,,y\n,10.3/c,z\n")
+    assert sorted(map(str, works.retraction_csv(spark, str(tmp_path / "r.csv")).collect())) == sorted(["Row(RetractionDOI='10.1/a', OriginalPaperDOI='10.2/b', Reason='x')", "Row(RetractionDOI=None, OriginalPaperDOI='10.3/c', Reason='z')"])
+    seeds = spark.createDataFrame([("W1",)], "paperId string")
+    seeds.write.parquet(str(tmp_path / "p.parquet"))
+    assert works.frame(spark, str(tmp_path / "p.parquet"), seeds.schema).count() == 1
+    assert works.frame(spark, str(tmp_path / "none.parquet"), seeds.schema).count() == 0
