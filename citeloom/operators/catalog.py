@@ -97,3 +97,17 @@ def in_order(papers: DataFrame, ids: list[str]) -> DataFrame:
     """The rows of ids in the order given, each once."""
     wanted = papers.sparkSession.createDataFrame([(k, i) for i, k in enumerate(dict.fromkeys(ids))], "paperId string, position int")
     return papers.join(F.broadcast(wanted), "paperId").orderBy("position")  # ids are an argument of the call
+
+
+def clamped_page(df: DataFrame, number: int, size: int, *order) -> DataFrame:
+    """A page of at most 50 rows; a number past the last page means the last."""
+    size = min(max(size, 1), 50)
+    last = max(1, -(-df.count() // size))
+    return df.orderBy(*order).offset((min(max(number, 1), last) - 1) * size).limit(size)
+
+
+def export_new(rows: DataFrame, present: DataFrame) -> DataFrame:
+    """rows whose key (the DOI, else the URL) is not in the target; rows without a key are all new."""
+    key = F.coalesce(F.nullif(F.lower(F.trim("doi")), F.lit("")), F.nullif(F.lower(F.trim("url")), F.lit("")))
+    there = present.select(key.alias("key")).where("key IS NOT NULL").distinct()
+    return rows.withColumn("key", key).join(there, "key", "left_anti").drop("key")

@@ -262,3 +262,14 @@ query("I27", """SELECT count(*) FILTER (WHERE k % 89 = 0 AND NOT "isSeed") AS ad
 query("I29", """SELECT "paperId", selected OR "paperId" IN (SELECT "paperId" FROM pa WHERE "authorId" = 'A1') AS selected FROM papers""")(lambda c: editing.set_flag(c.papers, c.paper_author.where("authorId = 'A1'"), "selected").select("paperId", "selected"))
 query("I38", """SELECT "paperId", k AS pos FROM papers WHERE k % 3 = 0""")(
     lambda c: editing.frontier(_every(c, 3).select(F.explode(F.array(_number(), _number() + 7)).alias("pos"), F.concat(F.lit(" "), "paperId").alias("paperId")).union(_every(c, 5).select(_number(), F.lit("X1"))), c.papers))
+query("J7", """SELECT b AS doi, reason FROM retr""")(
+    lambda c: ingest.first_by(works.clean_retractions(c.retractions).select(F.col("OriginalPaperDOI").alias("doi"), F.col("Reason").alias("reason"), F.lit(0).alias("pos")).unionByName(works.clean_retractions(c.retractions).select(F.col("OriginalPaperDOI").alias("doi"), F.lit("later").alias("reason"), F.lit(1).alias("pos"))), "doi", "pos").select("doi", "reason"))
+query("J16", """SELECT "paperId" FROM papers WHERE NOT (CASE WHEN doi <> '' THEN k % 3 = 0 ELSE k % 2 = 0 END)""")(
+    lambda c: catalog.export_new(c.papers.withColumn("url", F.concat(F.lit("u/"), "paperId")), c.papers.where((_number() % 3 == 0) & (F.col("doi") != "")).select(F.upper("doi").alias("doi"), F.lit("").alias("url")).union(_every(c, 2).where("doi = ''").select(F.lit(" "), F.concat(F.lit("U/"), "paperId")))).select("paperId"))
+query("A20", """SELECT (SELECT count(*) FROM papers) AS papers, (SELECT count(*) FROM papers WHERE "isSeed") AS seeds, (SELECT count(*) FROM cites) AS citations, (SELECT count(*) FROM refs) AS references_""")(
+    lambda c: c.papers.agg(F.count("*").alias("papers"), F.count_if("isSeed").alias("seeds")).crossJoin(c.citations_in.agg(F.count("*").alias("citations"))).crossJoin(c.references.agg(F.count("*").alias("references_"))))  # one row each
+query("G2", """SELECT "paperId" AS id, 'paper' AS ntype FROM papers UNION ALL SELECT "authorId", 'author' FROM authors UNION ALL SELECT DISTINCT venue, 'venue' FROM papers WHERE venue <> ''""")(
+    lambda c: c.papers.select(F.col("paperId").alias("id"), F.lit("paper").alias("ntype")).unionByName(c.authors.select(F.col("authorId").alias("id"), F.lit("author").alias("ntype"))).unionByName(c.papers.where("venue <> ''").select(F.col("venue").alias("id"), F.lit("venue").alias("ntype")).distinct()))
+query("O5", f"""SELECT {P_} FROM papers WHERE selected ORDER BY "paperId" LIMIT 20 OFFSET (SELECT greatest(0, (count(*) - 1) // 20) * 20 FROM papers WHERE selected)""")(lambda c: catalog.clamped_page(c.papers.where("selected"), 10_000_000, 20, "paperId").select(*PAPER))
+query("O9", """SELECT "paperId", coalesce(n, 0) AS citations FROM papers LEFT JOIN cc USING ("paperId") WHERE NOT selected ORDER BY citations DESC, "paperId" LIMIT 10""")(
+    lambda c: c.papers.where("not selected").join(c.edges.groupBy("paperId").agg(F.count("*").alias("n")), "paperId", "left").select("paperId", F.coalesce("n", F.lit(0)).alias("citations")).orderBy(F.desc("citations"), "paperId").limit(10))
