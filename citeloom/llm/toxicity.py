@@ -115,10 +115,13 @@ def _hashes(column: pa.Array) -> list[np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[Index, list]:
     """The index over about sample examples per label, among labelled texts that train holds for, and their keys."""
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("__y"))
-    rows = docs.where(train).select(key, F.col(text).alias("__text")).join(marks, key)
-    counts = {r["__y"]: r["count"] for r in docs.where(train).select(key).join(marks, key).groupBy("__y").count().collect()}
+    known = docs.where(train).select(key).distinct().join(marks, key)
+    counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
     share = F.coalesce(*[F.when(F.col("__y") == y, F.lit(min(1.0, sample / n))) for y, n in counts.items()], F.lit(0.0))
-    got = sorted(rows.where(common.rate_filter(F.col(key), share)).collect(), key=lambda r: r[key])
+    # About sample keys per label: few enough to broadcast, so that no other text is moved. One text stands for a key that repeats.
+    chosen = F.broadcast(known.where(common.rate_filter(F.col(key), share)))
+    rows = docs.where(train).select(key, F.coalesce(text, F.lit("")).alias("__text")).join(chosen, key).groupBy(key).agg(F.min("__text").alias("__text"), F.first("__y").alias("__y"))
+    got = sorted(rows.collect(), key=lambda r: r[key])
     y = np.array([r["__y"] > 0 for r in got], float)
     sets = [np.unique(h) for h in _hashes(pa.array([r["__text"] for r in got], pa.string()))]
     words, where = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
