@@ -2,8 +2,8 @@
 
 Each text has counts of words, symbols, repeated lines and repeated word windows. Texts that pass
 the fixed rules give a vector of transformed statistics. For each language and source a
-minimum-covariance-determinant estimate is fitted by concentration steps over all of its vectors;
-a vector beyond a Mahalanobis distance from it is rejected. Small groups share their language's
+minimum-covariance-determinant estimate is fitted by concentration steps over all of its vectors,
+from the medians until nothing changes; a vector beyond a Mahalanobis distance from it is rejected. Small groups share their language's
 estimate, and small languages that of all texts.
 
 Vectors are whole numbers (thousandths), so that sums do not depend on how rows are dealt, and
@@ -27,12 +27,13 @@ SPACE = " \t\n\x0b\x0c\r"
 WINDOW = 5
 #: A group with fewer vectors shares the next larger group's estimate.
 LEAST = 200
-#: Share of a group's vectors that the estimate is made from, its consistency factor for five dimensions, and the steps.
-HALF, CONSISTENT, STEPS = 0.75, 1.41, 3
-#: Squared distance beyond which a vector is rejected.
-CUT = 100.0
-#: The vector's entries and the least standard deviation that an entry is given, in thousandths.
-ENTRIES = {"v0": 300, "v1": 20, "v2": 50, "v3": 50, "v4": 50}
+#: Share of a group's vectors that the estimate is made from, its consistency factor for five dimensions, and the most steps.
+HALF, CONSISTENT, STEPS = 0.75, 1.41, 20
+#: Squared distance beyond which a vector is rejected: the chi-square quantile of five dimensions that one in a million exceeds.
+CUT = 35.89
+#: The vector's entries and the least standard deviation that an entry is given, in thousandths: the grain of
+#: rounding. Most texts repeat nothing, so v3 and v4 have the grain of their counts (a window or line in some 260 words).
+ENTRIES = {"v0": 1, "v1": 1, "v2": 1, "v3": 20, "v4": 4}
 
 
 def measure(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -91,19 +92,23 @@ def estimate(rows: DataFrame, group: str) -> DataFrame:
     """group, m0.. (location) and l00.. (Cholesky factor of the scatter) of each group's vectors."""
     names, p = list(ENTRIES), len(ENTRIES)
     floor = list(ENTRIES.values())
+    rows = materialise(rows, "vectors")
     mid = rows.groupBy(group).agg(*[F.percentile(v, 0.5).alias(f"m{i}") for i, v in enumerate(names)])
-    model = mid.withColumns({f"l{i}{j}": F.lit(float(floor[i]) if i == j else 0.0) for i in range(p) for j in range(i + 1)})
+    model = materialise(mid.withColumns({f"l{i}{j}": F.lit(float(floor[i]) if i == j else 0.0) for i in range(p) for j in range(i + 1)}), "scatter")
     for step in range(STEPS):
         # Distances fall into steps of half a hundredth, so that a group has few distinct values.
         far = rows.join(model, group).withColumn("bin", F.round(200 * F.log1p(_distance(p))).cast("bigint")).select(group, *names, "bin")
         edge = far.groupBy(group).agg(F.percentile("bin", HALF).alias("edge"))
         inner = far.join(edge, group).where(F.col("bin") <= F.col("edge"))
         sums = inner.groupBy(group).agg(F.count("*").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)])
-        model = sums.select(group, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(p)], *[(CONSISTENT * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n"))).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
+        after = sums.select(group, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(p)], *[(CONSISTENT * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n"))).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
         cov = {(i, j): F.greatest(F.col(f"c{i}{j}"), F.lit(float(floor[i] ** 2))) if i == j else F.col(f"c{i}{j}") for i in range(p) for j in range(i + 1)}
         for name, value in _cholesky(cov, p).items():
-            model = model.withColumn(name, value)
-        model = materialise(model.select(group, *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)]), "scatter")
+            after = after.withColumn(name, value)
+        before, model = model, materialise(after.select(group, *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)]), "scatter")
+        # Sums are of whole numbers, so a half set that stays gives equal values.
+        if model.exceptAll(before).isEmpty():
+            break
     return model
 
 

@@ -431,6 +431,14 @@ def test_quality_counts_and_estimates(spark):
         assert math.isclose(got[k].distance, d, rel_tol=1e-6, abs_tol=1e-6) and got[k].kept == (got[k].distance <= quality.CUT)
 
 
+def test_quality_rejects_labelled_texts(spark):
+    """The estimate decides, not the least deviations: labelled bad texts that pass the rules are beyond the edge."""
+    sf = "/root/testdata/sf0.1"
+    got = registry.op9_quality(spark, sf).where("not base_failed").join(common.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id").collect()
+    bad, good = [r.kept for r in got if r.quality == 0], [r.kept for r in got if r.quality == 1]
+    assert np.mean(bad) < 0.05 and np.mean(good) > 0.95
+
+
 def test_quality_odd(odd, none):
     rows = quality.judge(odd).collect()
     assert len(rows) == len(ODD)
