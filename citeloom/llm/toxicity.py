@@ -5,16 +5,19 @@ chi-squared over the sample) are the vocabulary; document frequencies for IDF ar
 texts. The examples lie in an inverted index in blocks; a block whose largest possible cosine is
 under the k-th best so far is not opened, so the k nearest are exact. Votes weighted by cosine are
 calibrated by isotonic regression over the examples themselves, each left out of its own vote.
+A text without a word of the vocabulary (each one, if the sample is too small to tell words apart)
+is compared on all words of the examples, as exactly, with a calibration of its own.
 
-Defined results: a null or empty text, or one without a word of the vocabulary, gets the calibrated
+Defined results: a null or empty text, or one without a word of any example, gets the calibrated
 share of toxic examples without such words; ties between examples go to the smaller position; with
 no labelled example all scores are 0. Repeated rows are scored each; other columns are never read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,7 @@ class Index:
     postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     top: np.ndarray | None = None  # [word, block]: the largest entry
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
+    whole: Whole | None = None  # the same examples on all of their words
 
     def build(self) -> Index:
         blocks = -(-len(self.rows) // BLOCK)
@@ -85,11 +89,12 @@ class Index:
             yes += c * self.weight[i] * self.label[i]
         return yes / total
 
-    def calibrate(self) -> Index:
-        raw = np.array([self.vote([x for x in self.nearest(at, v, NEAREST + 1) if x[1] != i][:NEAREST]) if len(at) else -1.0 for i, (at, v) in enumerate(self.rows)])
+    def calibrate(self, over: np.ndarray | None = None) -> Index:
+        over = np.arange(len(self.rows)) if over is None or not len(over) else over
+        raw = np.array([self.vote([x for x in self.nearest(at, v, NEAREST + 1) if x[1] != i][:NEAREST]) if len(at) else -1.0 for i in over.tolist() for at, v in [self.rows[i]]])
         values, where = np.unique(raw, return_inverse=True)
-        n = np.bincount(where, self.weight)
-        yes = np.bincount(where, self.weight * self.label)
+        n = np.bincount(where, self.weight[over])
+        yes = np.bincount(where, self.weight[over] * self.label[over])
         blocks: list[list[float]] = []  # pool adjacent violators: [first value, yes, n]
         for x, y, m in zip(values, yes, n):
             blocks.append([x, y, m])
@@ -107,6 +112,32 @@ class Index:
         return float(self.steps[1][k]), [i for _, i in near[:3]], [round(c, 6) for c, _ in near[:3]]
 
 
+@dataclass
+class Whole(Index):
+    """All words: most blocks share some with a text, so a word's list is of all examples and none is passed over."""
+
+    lists: tuple[np.ndarray, ...] = ()  # pointers by word, examples, entries
+
+    def build(self) -> Whole:
+        size = [len(at) for at, _ in self.rows]
+        word = np.concatenate([*[at for at, _ in self.rows], np.zeros(0, np.int64)])
+        order = np.argsort(word, kind="stable")
+        entry = np.concatenate([*[v for _, v in self.rows], np.zeros(0, np.float32)])[order]
+        self.lists = np.searchsorted(word[order], np.arange(len(self.words) + 1)), np.repeat(np.arange(len(size), dtype=np.int32), size)[order], entry
+        return self
+
+    def nearest(self, at: np.ndarray, v: np.ndarray, k: int) -> list[tuple[float, int]]:
+        ptr, who, entry = self.lists
+        n = ptr[at + 1] - ptr[at]
+        on = np.arange(n.sum()) + np.repeat(ptr[at] - np.cumsum(n) + n, n)
+        cos = np.bincount(who[on], entry[on] * np.repeat(v, n), minlength=len(self.label))
+        i = np.flatnonzero(cos)
+        if len(i) > k:
+            i = i[cos[i] >= np.partition(cos[i], len(i) - k)[len(i) - k]]
+        i = i[np.lexsort((i, -cos[i]))[:k]]
+        return list(zip(cos[i].tolist(), i.tolist()))
+
+
 def _hashes(column: pa.Array) -> list[np.ndarray]:
     h, ptr = common.tokens(column, common.NOT_ALNUM)
     return [h[a:b] for a, b in zip(ptr, ptr[1:])]
@@ -131,32 +162,43 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, key: str = "doc_id
     with np.errstate(all="ignore"):
         chi = np.nan_to_num(total * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)))
     chosen = np.sort(np.lexsort((words, -chi))[:WORDS])
-    words = words[chosen[chi[chosen] >= CHI]]
+    every, words = words, words[chosen[chi[chosen] >= CHI]]
 
     def df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, texts = np.zeros(len(words), np.int64), 0
+        count, texts = np.zeros(len(every), np.int64), 0
         for batch in common.small_batches(batches):
             for h in _hashes(batch.column(0)):
                 texts += 1
-                if len(words):
-                    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                    count[np.unique(at[words[at] == h])] += 1
-        yield pa.RecordBatch.from_pydict({"w": pa.array(np.arange(-1, len(words)), pa.int32()), "n": pa.array([texts, *count.tolist()], pa.int64())})
-
-    found = {r["w"]: r["n"] for r in docs.select(F.col(text).alias("text")).mapInArrow(df, "w int, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([np.log((1 + found[-1]) / (1 + found.get(i, 0))) + 1 for i in range(len(words))])
+                if len(every):
+                    at = np.minimum(np.searchsorted(every, h), len(every) - 1)
+                    count[np.unique(at[every[at] == h])] += 1
+        on = np.flatnonzero(count)
+        yield pa.RecordBatch.from_pydict({"w": pa.array(np.concatenate([[-1], on]), pa.int32()), "n": pa.array(np.concatenate([[texts], count[on]]), pa.int64())})
+
+    found = docs.select(F.col(text).alias("text")).mapInArrow(df, "w int, n bigint").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    at, n = found["w"].to_numpy(), found["n"].to_numpy()
+    seen = np.zeros(len(every), np.int64)
+    seen[at[at >= 0]] = n[at >= 0]
+    every_idf = np.log((1 + n[at < 0].sum()) / (1 + seen)) + 1
+    idf = every_idf[np.searchsorted(every, words)]
     weight = np.array([max(1.0, counts[r["__y"]] / sample) for r in got])
     index = Index(words, idf, y, weight, [], float((weight * y).sum() / weight.sum()) if len(y) else 0.0)
     index.rows = [index.vector(h) for h in _hashes(pa.array([r["__text"] for r in got], pa.string()))]
     index.build()
-    return (index.calibrate() if len(y) else index), [r[key] for r in got]
+    index.whole = Whole(every, every_idf, y, weight, [], index.prior)
+    index.whole.rows = [index.whole.vector(h) for h in _hashes(pa.array([r["__text"] for r in got], pa.string()))]
+    index.whole.build()
+    if len(y):
+        index.calibrate()
+        index.whole.calibrate(np.flatnonzero([not len(at) for at, _ in index.rows]))
+    return index, [r[key] for r in got]
 
 
 def score(docs: DataFrame, index: Index, keys: list, *, text: str = "text") -> DataFrame:
     """docs with score, predicted and evidence (the nearest examples' keys and cosines)."""
     names = [c for c in docs.columns if c not in (text, "score", "predicted", "evidence")]
     fields = [docs.schema[c] for c in names]
-    shared = docs.sparkSession.sparkContext.broadcast((index, keys))
+    shared = docs.sparkSession.sparkContext.broadcast((replace(index, rows=[], whole=index.whole and replace(index.whole, rows=[])), keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ids = shared.value
@@ -164,12 +206,16 @@ def score(docs: DataFrame, index: Index, keys: list, *, text: str = "text") -> D
         for batch in common.small_batches(batches, "__text"):
             scores, who, cos = [], [], []
             for h in _hashes(batch.column("__text")):
-                at, v = own.vector(h)
-                mark = at.tobytes() + v.tobytes()
+                by = own
+                at, v = by.vector(h)
+                if not len(at) and own.whole is not None:
+                    by = own.whole
+                    at, v = by.vector(h)
+                mark = hashlib.blake2b(at.tobytes() + v.tobytes(), digest_size=16, key=type(by).__name__.encode()).digest()
                 if (got := seen.get(mark)) is None:
                     if len(seen) > 100_000:
                         seen.clear()
-                    got = seen[mark] = own.score(at, v)
+                    got = seen[mark] = by.score(at, v)
                 scores.append(got[0]), who.append([int(ids[i]) for i in got[1]]), cos.append(got[2])
             yield pa.RecordBatch.from_arrays([*[batch.column(f"__{i}") for i in range(len(names))], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(who, pa.list_(pa.int64())), pa.array(cos, pa.list_(pa.float64()))], names=[*names, "score", "predicted", "evidence", "cosines"])
 

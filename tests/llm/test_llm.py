@@ -366,6 +366,23 @@ def test_toxicity_nearest_are_exact(docs):
             assert np.allclose(got, want, atol=1e-5)
 
 
+def test_toxicity_without_vocabulary(spark):
+    """Texts without a word of the vocabulary have exact neighbours on all words."""
+    sf = "/root/testdata/sf0.001"  # no word's chi-squared is large enough here
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    index, keys = toxicity.fit(docs, labels, F.lit(True))
+    assert not len(index.words) and len(index.whole.words)
+    rows = toxicity.score(docs.select("doc_id", "text"), index, keys).collect()
+    assert len({r.score for r in rows}) > 1 and np.mean([len(r.evidence) > 0 for r in rows]) > 0.9
+    dense = np.zeros((len(keys), len(index.whole.words)))
+    for i, (at, v) in enumerate(index.whole.rows):
+        dense[i, at] = v
+    for at, v in index.whole.rows:
+        cos = dense[:, at] @ v
+        want = np.sort(cos[cos > 0])[::-1][: toxicity.NEAREST]
+        assert np.allclose([c for c, _ in index.whole.nearest(at, v, toxicity.NEAREST)], want, atol=1e-5)
+
+
 def test_toxicity_odd(spark, docs, odd, none):
     labels = common.table(spark, SF, "labels")
     index, keys = toxicity.fit(docs, labels, F.lit(True))
