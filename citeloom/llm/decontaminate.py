@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts and benchmark items become templates: numbers, names (capitalised words inside a sentence) and
-units (after a number) turn into typed placeholders. Windows of template tokens are joined by hash.
+units (after a number) turn into typed placeholders; a run of names, or of number words, is
+also tried as one. Windows of template tokens are joined by hash, and so are windows of the plain lower-cased tokens.
 What meets along one diagonal of a text and an item is a placement; it counts if enough windows
 meet and its slots are consistent: one value of the item always stands for one value of the text. So
 a question asked again with other numbers and names is caught, and chance meetings are not.
@@ -45,7 +46,13 @@ def _in(h: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[np.minimum(np.searchsorted(sorted_set, h), len(sorted_set) - 1)] == h
 
 
-def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def literals(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As templates, without placeholders; the hashes meet no template's."""
+    h, ptr = common.tokens(column, common.NOT_ALNUM)
+    return common._mix(h + np.uint64(19)), np.zeros(len(h), np.uint64), ptr
+
+
+def templates(column: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template hashes, slot values, pointers): a token's own hash, or its placeholder's; a slot's
     value is the token's hash, and 0 where there is no slot."""
     raw, off = common.text_bytes(column)
@@ -67,6 +74,10 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     unit = ~number & ~name & after & _in(h, _set(UNITS))
     # "1.5" and "1,000" are one number.
     joint = digit & np.concatenate([[False], digit[:-1]]) & ~head & (s - gap == 1) & np.isin(raw[np.maximum(s - 1, 0)], [44, 46])
+    # So are "twenty five" and "twenty-five", and "John Smith" is one name.
+    word = number & ~digit
+    close = ~head & (s - gap == 1) & np.isin(raw[np.maximum(s - 1, 0)], [32, 45])
+    joint |= fold & close & (word & np.concatenate([[False], word[:-1]]) | name & np.concatenate([[False], name[:-1]]))
     value = np.where(number | name | unit, h, np.uint64(0))
     for k in np.flatnonzero(joint):  # a part's value joins the value before it
         value[k] = common._mix(value[k - 1 : k] * np.uint64(31) + h[k : k + 1])[0]
@@ -77,6 +88,12 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t[keep], value[keep], kept[ptr]
 
 
+def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As templates, with a run of names or number words as one slot; the hashes meet no other's."""
+    t, value, ptr = templates(column, True)
+    return common._mix(t + np.uint64(23)), value, ptr
+
+
 def _windows(t: np.ndarray, v: np.ndarray, ptr: np.ndarray, n: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
     """(window hash at each token, positions of windows that lie in one text and have enough literals)."""
     m = len(t) - n + 1
@@ -92,60 +109,65 @@ def _windows(t: np.ndarray, v: np.ndarray, ptr: np.ndarray, n: int, literals: in
 
 def _emit(column: pa.Array, sizes: list[int], first: int, bitmap: np.ndarray | None):
     """Rows (text, size, position, hash, slots, windows of the text) of windows that pass the filter."""
-    t, v, ptr = templates(column)
-    for n in sizes:
-        w, at = _windows(t, v, ptr, n, min(LITERALS, n - 1))
-        if first:  # items: each has windows of one size
-            length = np.repeat(np.diff(ptr), np.diff(ptr))
-            at = at[(length[at] >= WINDOW) if n == WINDOW else (length[at] == n)]
-        if bitmap is not None and len(at):
-            at = at[common.in_filter(bitmap, w[at])]
-        if len(at):
-            text = np.searchsorted(ptr, at, "right") - 1
-            yield n, text, at - ptr[text], w[at], [v[k : k + n] for k in at]
+    for kind, (make, least) in enumerate(((templates, LITERALS), (folded, LITERALS), (literals, 0))):
+        t, v, ptr = make(column)
+        for n in sizes:
+            w, at = _windows(t, v, ptr, n, min(least, n - 1))
+            if first:  # items: each has windows of one size
+                length = np.repeat(np.diff(ptr), np.diff(ptr))
+                at = at[(length[at] >= WINDOW) if n == WINDOW else (length[at] == n)]
+            if bitmap is not None and len(at):
+                at = at[common.in_filter(bitmap, w[at])]
+            if len(at):
+                text = np.searchsorted(ptr, at, "right") - 1
+                yield n, text, at - ptr[text], w[at], [v[k : k + n] for k in at], kind
 
 
 def _mapper(sizes: list[int], items: bool, names: list[str], bitmap=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else bitmap.value
         for batch in common.small_batches(batches, "__text"):
-            for n, text, at, w, slots in _emit(batch.column("__text"), sizes, items, bits):
+            for n, text, at, w, slots, kind in _emit(batch.column("__text"), sizes, items, bits):
                 rows = [batch.column(c).take(pa.array(text)) for c in names]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(at) + 1, n), pa.int32()), pa.array(np.concatenate(slots).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(at, pa.int64()), pa.array(w.view(np.int64)), flat], names=[*names, "at", "w", "slots"])
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(at, pa.int64()), pa.array(w.view(np.int64)), flat, pa.array(np.full(len(at), kind, np.int32))], names=[*names, "at", "w", "slots", "kind"])
 
     return run
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Placements that count: key, print (a hash of the text), item, at (first token), meetings, item_windows, altered (other
+    """Placements that count: key, print (a hash of the text), item, kind (0 templates, 1 with runs as one slot, 2 lower-cased tokens), at (first token), meetings, item_windows, altered (other
     values in its slots)."""
     spark = docs.sparkSession
     kinds = dict(docs.dtypes) | {f"item {c}": t for c, t in benchmark.dtypes}
     sizes = [WINDOW, *range(SHORTEST, WINDOW)]
     items = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("__text"))
-    items = items.mapInArrow(_mapper(sizes, True, ["item"]), f"item {kinds[f'item {item}']}, at bigint, w bigint, slots array<bigint>")
+    items = items.mapInArrow(_mapper(sizes, True, ["item"]), f"item {kinds[f'item {item}']}, at bigint, w bigint, slots array<bigint>, kind int")
     items = common.materialise(items, "windows")
     sizes_used = [r[0] for r in items.select(F.size("slots")).distinct().collect()]  # five values at most
-    total = items.groupBy("item").agg(F.count("*").alias("item_windows"))
-    items = items.withColumnsRenamed({"at": "item_at", "slots": "item_slots"}).join(total, "item")
+    total = items.groupBy("item", "kind").agg(F.count("*").alias("item_windows"))
+    items = items.withColumnsRenamed({"at": "item_at", "slots": "item_slots"}).join(total.withColumnsRenamed({"item": "of", "kind": "of_kind"}), F.col("item").eqNullSafe(F.col("of")) & (F.col("kind") == F.col("of_kind"))).drop("of", "of_kind")
 
     bitmap = common.make_filter(items, "w")
     source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.col(text).alias("__text"))
-    found = source.mapInArrow(_mapper(sizes_used, False, ["key", "print"], spark.sparkContext.broadcast(bitmap)), f"key {kinds[key]}, print bigint, at bigint, w bigint, slots array<bigint>")
+    found = source.mapInArrow(_mapper(sizes_used, False, ["key", "print"], spark.sparkContext.broadcast(bitmap)), f"key {kinds[key]}, print bigint, at bigint, w bigint, slots array<bigint>, kind int")
     other = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
-    met = found.join(other, "w").where(F.size("slots") == F.size("item_slots"))
+    met = found.join(other, ["w", "kind"]).where(F.size("slots") == F.size("item_slots"))
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"] != 0)
-    placed = met.groupBy("key", "print", "item", (F.col("at") - F.col("item_at")).alias("at")).agg(F.countDistinct("item_at").alias("meetings"), F.first("item_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    placed = met.groupBy("key", "print", "item", "kind", (F.col("at") - F.col("item_at")).alias("at")).agg(F.countDistinct("item_at").alias("meetings"), F.first("item_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
     good = placed.where((F.col("meetings") >= F.least(F.lit(MEETINGS), "item_windows")) & consistent)
-    return good.select(F.col("key").alias(key), "print", F.col("item").alias(item), "at", "meetings", "item_windows", F.exists("pairs", lambda x: x["i"] != x["d"]).alias("altered"))
+    return good.select(F.col("key").alias(key), "print", F.col("item").alias(item), "kind", "at", "meetings", "item_windows", F.exists("pairs", lambda x: x["i"] != x["d"]).alias("altered"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
-    """One row per text (key and print) and item: meetings (the most of a placement), item_windows and altered (in all placements)."""
+    """One row per text (key and print) and item: meetings (the most of a placement) and its item_windows, and altered (in all
+    placements; a part word for word shows no slots, so it has no say beside a template's placement)."""
     key, item = names.get("key", "doc_id"), names.get("item", "item_id")
-    return find(docs, benchmark, **names).groupBy(key, "print", item).agg(F.max("meetings").alias("meetings"), F.max("item_windows").alias("item_windows"), F.min("altered").alias("altered"))
+    most = F.max(F.struct("meetings", "item_windows"))
+    sees = F.when((F.col("kind") < 2) | (F.col("meetings") == F.col("item_windows")), F.col("altered"))
+    made = find(docs, benchmark, **names).groupBy(key, "print", item).agg(most.alias("__most"), F.coalesce(F.min(sees), F.lit(False)).alias("altered"))
+    return made.select(key, "print", item, "__most.meetings", "__most.item_windows", "altered")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:

@@ -219,6 +219,17 @@ def test_altered_questions_are_found(spark):
     assert decontaminate.leaks(docs, items.where("false")).count() == decontaminate.leaks(docs.where("false"), items).count() == 0
 
 
+def test_runs_and_literal_items_are_found(spark):
+    """A run of names or number words is one slot; items that are mostly slots are found word for word."""
+    asked = "In the old town John Smith sold twenty five red lamps to a man who came from far away"
+    slots = "compare 12 and 30 with 45 or 60"
+    items = spark.createDataFrame([(1, asked), (2, slots), (3, "Alice likes green tea")], "item_id long, text string")
+    other = asked.replace("John Smith", "Maria").replace("twenty five", "25")
+    docs = spark.createDataFrame([(1, other), (2, f"we were told to {slots} again"), (3, "they say Alice likes green tea now")], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.altered for r in decontaminate.leaks(docs, items).collect()}
+    assert found == {(1, 1): True, (2, 2): False, (3, 3): False}
+
+
 def test_verbatim_items_are_found(spark, docs, texts):
     """Every benchmark item that stands in a text is found, and clean texts aren't."""
     items = [(r.item_id, r.text) for r in common.table(spark, SF, "benchmark").collect()]
