@@ -8,7 +8,7 @@ an index of CDXJ lines for each, and a manifest. ``members`` reads a package's c
 Of records with equal payloads the one with the largest id is the response and the others revisit
 it; payloads below ``least`` bytes are all responses.
 
-Defined results: a null payload counts as empty; a null id loses against any other; rows that repeat
+Defined results: a null payload counts as empty; a null id loses against any other, and an empty one is an id; rows that repeat
 an id and payload are alike, and responses if the id is the largest; an empty table gives no package;
 other columns are not read.
 """
@@ -23,12 +23,17 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm import common
 from citeloom.llm.common import materialise, shared_dir, small_batches
 
 #: Bytes of WARC in a package, about, and of records that a reading task fetches at once.
@@ -45,11 +50,20 @@ def _filesystem(uri: str):
 # --- writing -------------------------------------------------------------------------------------
 
 
-def _record(page: str, url: str, payload: bytes, digest: str, refers: str | None) -> bytes:
+def _urn(page: str | None) -> str:
+    """An id in a header: percent-encoded, so that any string comes back; null has a name of its own."""
+    return "<urn:nopage>" if page is None else f"<urn:page:{quote(page, safe='')}>"
+
+
+def _page(urn: str) -> str | None:
+    return None if urn == "<urn:nopage>" else unquote(urn[len("<urn:page:") : -1])
+
+
+def _record(page: str | None, url: str, payload: bytes, size: int, digest: str, refers: str | None) -> bytes:
     kind = "response" if refers is None else "revisit"
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
     if refers is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {_urn(refers)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if refers is None else b"")
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -90,19 +104,65 @@ class Package:
         self._put(struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), min(size, self.LIMIT), self.LIMIT if start >= self.limit else start, 0))
 
 
-def assign(pages: DataFrame, *, key: str, payload: str, least: int = 0) -> DataFrame:
-    """pages with digest (hex SHA-1) and refers (the response's id, null for responses)."""
-    hashed = pages.withColumn("digest", F.sha1(F.encode(F.coalesce(payload, F.lit("")), "utf-8")))
-    last = hashed.groupBy("digest").agg(F.max(key).alias("last"), F.count("*").alias("n")).where(F.col("n") > 1).select("digest", "last")
-    small = F.octet_length(F.coalesce(payload, F.lit(""))) < least
-    return hashed.join(last, "digest", "left").withColumn("refers", F.when(~small & F.col("last").isNotNull() & ~F.col(key).eqNullSafe(F.col("last")), F.col("last"))).drop("last")
+def digests(pages: DataFrame, *, key: str, payload: str) -> DataFrame:
+    """digest (hex SHA-1) and last (the largest id) of payloads that stand in two rows or more."""
+    hashed = pages.select(F.col(key).alias("key"), _digest(payload).alias("digest"))
+    return hashed.groupBy("digest").agg(F.max("key").alias("last"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("last").isNotNull())
+
+
+def _digest(payload: str) -> Column:
+    return F.sha1(F.encode(F.coalesce(payload, F.lit("")), "utf-8"))
+
+
+def _narrow(bits) -> Callable:
+    """Of rows that may repeat a payload (their digest is in the first bitmap), the html of those that may be its response
+    (digest and id are in the second); the others' html is not needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [common.in_filter(b, batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64)) for b, c in zip(bits.value, ("d", "dk"))]
+            batch = batch.filter(pa.array(hit[0]))
+            k = batch.schema.get_field_index("html")
+            html = pc.if_else(pa.array(hit[1][hit[0]]), batch.column(k), pa.scalar(None, batch.column(k).type))
+            yield batch.set_column(k, batch.schema.field(k), html).drop_columns(["d", "dk"])
+
+    return run
+
+
+def assign(pages: DataFrame, *, key: str, payload: str, url: str, least: int = 0) -> tuple[DataFrame, DataFrame, Broadcast]:
+    """(all rows, rows that may repeat a payload with refers, the digests' bitmap). Rows not in the bitmap are responses.
+
+    Only ids and digests are shuffled: html goes along for a repeated payload's one response alone. Digests that hold more
+    than a thousandth of the rows (a thousand at most) are broadcast, so that none makes one task large.
+    """
+    spark = pages.sparkSession
+    text = F.coalesce(payload, F.lit(""))
+    rows = pages.select(F.col(key).alias("key"), F.coalesce(url, F.lit("")).alias("url"), text.alias("html"), F.octet_length(text).alias("bytes"), _digest(payload).alias("digest"))
+    last = materialise(digests(pages, key=key, payload=payload).select("digest", "last", "n", F.xxhash64("digest").alias("d"), F.xxhash64("digest", "last").alias("dk")), "digests")
+    bits = spark.sparkContext.broadcast((common.make_filter(last, "d"), common.make_filter(last, "dk")))
+    rows = rows.withColumns({"d": F.xxhash64("digest"), "dk": F.xxhash64("digest", "key")})
+    kind = dict(pages.dtypes)[key]
+    again = rows.mapInArrow(_narrow(bits), f"key {kind}, url string, html string, bytes int, digest string")
+    total = pages.count()
+    hot = F.broadcast(last.where(F.col("n") * 1000 > total).select("digest", F.col("last").alias("hot")))
+    mild = last.where(F.col("n") * 1000 <= total).select("digest", F.col("last").alias("mild"))
+    again = again.join(hot, "digest", "left")
+    # Rows of hot digests have their id already; the salt keeps them from meeting in the second join.
+    salted = again.withColumn("at", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("key", "url").cast("string"))))
+    found = salted.join(mild.withColumnRenamed("digest", "at"), "at", "left").withColumn("last", F.coalesce("hot", "mild"))
+    refers = F.when((F.col("bytes") >= least) & ~F.col("key").eqNullSafe(F.col("last")), F.col("last"))
+    return rows, found.select("key", "url", "html", "bytes", "digest", refers.alias("refers")), bits
 
 
 def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, package: int = PACKAGE) -> DataFrame:
     """One row per package written: path and records. Packages get names of their own, so those of a
     task that is run again don't clash; only those in the result count."""
-    rows = assign(pages.select(key, F.col(url).alias("url"), F.col(payload).alias("html")), key=key, payload="html", least=least)
-    rows = rows.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("page"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), "digest", F.col("refers").cast("string").alias("refers"))
+    rows, again, bits = assign(pages, key=key, payload=payload, url=url, least=least)
+    if least:  # short payloads are responses whatever repeats them, so they keep their html
+        short = F.col("bytes") < least
+        again = again.where(~short)
+        rows = rows.withColumn("d", F.when(short, None).otherwise(F.col("d")))
+    page = F.col("key").cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
@@ -124,17 +184,23 @@ def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "ur
             return pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([n], pa.int64())})
 
         for batch in small_batches(batches, "html"):
+            if "d" in batch.schema.names:  # all rows: those that may repeat a payload come by themselves
+                d = batch.column("d")
+                alone = ~common.in_filter(bits.value[0], d.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) | d.is_null().to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(alone))
             for r in batch.to_pylist():
                 digest = base64.b32encode(bytes.fromhex(r["digest"])).decode()
-                data, at = _record(r["page"], r["url"].replace("\r", "%0D").replace("\n", "%0A"), r["html"].encode(), digest, r["refers"]), warc.tell()
+                data, at = _record(r["page"], r["url"].replace("\r", "%0D").replace("\n", "%0A"), (r["html"] or "").encode(), r["bytes"], digest, r["refers"]), warc.tell()
                 warc.write(data)
-                lines.append(f"{r['page']} {DATE} {json.dumps({'url': r['url'], 'digest': 'sha1:' + digest, 'offset': at, 'length': len(data), 'filename': 'data.warc'})}\n")
+                lines.append(f"{_urn(r['page'])} {DATE} {json.dumps({'url': r['url'], 'digest': 'sha1:' + digest, 'offset': at, 'length': len(data), 'filename': 'data.warc'})}\n")
                 if warc.tell() >= package:
                     yield flush()
         if lines:
             yield flush()
 
-    return rows.mapInArrow(run, "path string, records bigint")
+    alone = rows.select(page.alias("page"), "url", "html", "bytes", "digest", F.lit(None).cast("string").alias("refers"), "d")
+    again = again.select(page.alias("page"), "url", "html", "bytes", "digest", F.col("refers").cast("string").alias("refers"))
+    return alone.mapInArrow(run, "path string, records bigint").unionByName(again.mapInArrow(run, "path string, records bigint"))
 
 
 # --- reading -------------------------------------------------------------------------------------
@@ -224,8 +290,8 @@ def read(ranges: DataFrame, folder: str) -> DataFrame:
                         whole, digest = x["WARC-Type"] == "response", x["WARC-Payload-Digest"].removeprefix("sha1:")
                         if whole and base64.b32encode(hashlib.sha1(x["payload"]).digest()).decode() != digest:
                             raise ValueError(f"{r['path']}: a payload differs from its digest")
-                        name = lambda k: x[k][len("<urn:page:") : -1] if k in x else None
-                        rows.append((name("WARC-Record-ID"), x["WARC-Target-URI"], x["WARC-Type"], name("WARC-Refers-To"), x["payload"] if whole else None, len(x["payload"]) if whole else int(x["X-Payload-Length"]), digest))
+                        refers = _page(x["WARC-Refers-To"]) if "WARC-Refers-To" in x else None
+                        rows.append((_page(x["WARC-Record-ID"]), x["WARC-Target-URI"], x["WARC-Type"], refers, x["payload"] if whole else None, len(x["payload"]) if whole else int(x["X-Payload-Length"]), digest))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 4 + [pa.binary(), pa.int64(), pa.string()])], names=["page", "url", "record_type", "refers", "payload", "payload_bytes", "payload_digest"])
 
@@ -239,6 +305,5 @@ def round_trip(pages: DataFrame, *, key: str = "page_id", url: str = "url", payl
     packages = materialise(write(pages, folder, key=key, url=url, payload=payload, least=least), "packages")
     ranges = materialise(index(packages.repartition(spark.sparkContext.defaultParallelism), folder), "ranges")
     kind = dict(pages.dtypes)[key]
-    number = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)
     got = read(ranges.repartition(2 * spark.sparkContext.defaultParallelism), folder)
-    return got.select(number("page").alias(key), "url", "payload", "payload_bytes", "payload_digest", "record_type", number("refers").alias("refers_to"))
+    return got.select(F.col("page").cast(kind).alias(key), "url", "payload", "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(kind).alias("refers_to"))

@@ -182,6 +182,16 @@ def test_warc_small_payloads_and_empty(odd_pages):
     assert archives.round_trip(odd_pages.where("false")).count() == 0
 
 
+def test_warc_string_ids_and_hot_payloads(spark):
+    """Any string is an id, the empty one too; one payload holds a third of all rows, others repeat a few times."""
+    rows = [("", "u", "a"), (" <x>\r\n", "u", "a"), (None, "u", "b"), (None, "u", "b")] + [(f"{i:03}", "u", "hot") for i in range(40)] + [(f"k{i:03}", "u", f"p{i // 2}") for i in range(60)]
+    got = archives.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    last = {}
+    for k, _, h in rows:
+        last[h] = max(x for x in (last.get(h), k) if x is not None) if k is not None or last.get(h) is not None else None
+    assert sorted(str((r.page_id, r.record_type, r.refers_to)) for r in got) == sorted(str((k, "response", None) if last[h] in (k, None) else (k, "revisit", last[h])) for k, _, h in rows)
+
+
 @pytest.mark.parametrize("limit", [archives.Package.LIMIT, 40])
 def test_directory(tmp_path, limit):
     """Python's own reader agrees; a small limit makes ZIP64 records of all fields that are too large for it."""
