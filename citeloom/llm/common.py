@@ -38,6 +38,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table of materialise that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def matching(docs: DataFrame, found: DataFrame, how: str, *, key: str, text: str) -> DataFrame:
     """docs' rows (left_semi) with a row in found, or without (left_anti): the same first column (the
     key) and second (a hash of the text). Columns of docs may have any names."""

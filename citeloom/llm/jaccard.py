@@ -4,7 +4,8 @@ A text's set holds its distinct word n-grams. All sets are ordered by one global
 n-gram was counted (in a table of counters of fixed size), then its hash. Sets that are alike to
 ``percent`` share an n-gram among their first few (the prefix). Equal sets are one node; nodes with
 the same prefix and size are one group; groups meet in the buckets of their prefix n-grams, where
-length and position filters hold. Members of groups that pass are verified on their whole sets.
+length and position filters hold. Pairs that pass are held against sketches of fixed size, which rule out most
+that aren't alike and none that are; what is left is verified on whole sets.
 
 Only components are asked for, so pairs need no listing: first every group of a bucket is verified
 against a few pivots of that bucket and members of a group against its first, then only nodes that
@@ -31,6 +32,8 @@ from citeloom.llm.common import materialise
 
 #: Counters of the table that orders n-grams, and counters in a chunk of it.
 COUNTERS, CHUNK = 1 << 21, 1 << 14
+#: Bytes of a set's sketch: how many of its n-grams fall to each, up to 255.
+SKETCH = 128
 
 
 def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +50,10 @@ def _digest(h: np.ndarray, size: int) -> int:
     return int(common._mix(common._mix(h).sum(dtype=np.uint64, keepdims=True) + np.uint64(size)).view(np.int64)[0])
 
 
+def _sketch(h: np.ndarray) -> bytes:
+    return np.minimum(np.bincount(((h >> np.uint64(13)) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def counters(docs: DataFrame, text: str, n: int) -> np.ndarray:
     """How many sets have an n-gram that falls to each counter, over all texts."""
 
@@ -76,28 +83,29 @@ def counters(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, order, *, key: str, text: str, n: int, percent: int) -> DataFrame:
     """key, print, n (set size), node (a hash of the set; null for empty sets), grp (a hash of size and prefix),
-    prefix and central (the count of the prefix's rarest n-gram)."""
+    prefix, central (the count of the prefix's rarest n-gram) and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
         for batch in common.small_batches(batches):
             s, ptr = _sets(batch.column("text"), n)
             c = counts[_bucket(s)]
-            prefix, node, grp, central = [], [], [], []
+            prefix, node, grp, central, sketch = [], [], [], [], []
             for a, b in zip(ptr, ptr[1:]):
                 size = b - a
                 if not size:
-                    prefix.append(None), node.append(None), grp.append(None), central.append(None)
+                    prefix.append(None), node.append(None), grp.append(None), central.append(None), sketch.append(None)
                     continue
                 keep = size - -(-percent * size // 100) + 1
                 first = np.lexsort((s[a:b], c[a:b]))[:keep]
                 prefix.append(s[a:b][first].view(np.int64))
                 central.append(int(c[a:b][first[0]]))
+                sketch.append(_sketch(s[a:b]))
                 node.append(_digest(s[a:b], size)), grp.append(_digest(s[a:b][first], size))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("print"), pa.array(np.diff(ptr), pa.int64()), pa.array(node, pa.int64()), pa.array(grp, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(central, pa.int32())], names=["key", "print", "n", "node", "grp", "prefix", "central"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("print"), pa.array(np.diff(ptr), pa.int64()), pa.array(node, pa.int64()), pa.array(grp, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(central, pa.int32()), pa.array(sketch, pa.binary())], names=["key", "print", "n", "node", "grp", "prefix", "central", "sketch"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, print bigint, n bigint, node bigint, grp bigint, prefix array<bigint>, central int")
+    return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, print bigint, n bigint, node bigint, grp bigint, prefix array<bigint>, central int, sketch binary")
 
 
 def _whole_sets(docs: DataFrame, bitmap, *, key: str, text: str, n: int) -> DataFrame:
@@ -139,15 +147,36 @@ def _fits(n: str, pos: str, m: str, at: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * most >= percent * (a + b))
 
 
+def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out: sets that are alike differ in few n-grams, and the sketches'
+    counts differ by no more than the sets do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("s", "t"))
+            n = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+            apart = np.abs(one - two).sum(1, dtype=np.int64)
+            yield batch.filter(pa.array((100 + percent) * apart <= (100 - percent) * n)).select(["a", "b"])
+
+    own = nodes.select("node", "n", "sketch")
+    both = pairs.join(own.toDF("a", "n", "s"), "a").join(own.toDF("b", "m", "t"), "b").select("a", "b", "n", "m", "s", "t")
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, **names) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are alike. Only the sets of these pairs are made."""
+    """The pairs (a, b) of nodes whose sets are alike, as a table. Only the sets of pairs that may be are made."""
+    pairs = materialise(_pruned(pairs, nodes, percent), "near")
     wanted = materialise(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.xxhash64("key").alias("k")), "wanted")
     bitmap = docs.sparkSession.sparkContext.broadcast(common.make_filter(wanted, "k"))
-    sets = _whole_sets(docs, bitmap, **names).where("node is not null")
-    sets = materialise(sets.join(wanted.select("node"), "node", "left_semi"), "sets")
+    sets = _whole_sets(docs, bitmap, **names).where("node is not null").join(wanted.select("node"), "node", "left_semi")
+    sets = materialise(sets.dropDuplicates(["node"]), "sets")
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where((100 + percent) * both >= percent * (F.size("sa") + F.size("sb"))).select("a", "b").distinct()
+    found = pairs.join(left, "a").join(right, "b").where((100 + percent) * both >= percent * (F.size("sa") + F.size("sb"))).select("a", "b").distinct()
+    found = materialise(found, "links")
+    for done in (pairs, wanted, sets):
+        common.discard(done)
+    return found
 
 
 def _shared_only(rows: DataFrame, bitmap) -> DataFrame:
@@ -174,7 +203,7 @@ def _linked(docs: DataFrame, *, key: str, text: str, n: int, percent: int) -> Da
     full = rows.where("node is not null")
     # The row with the smallest key, if any has one, stands for its node.
     own = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "print"))
-    nodes = materialise(full.groupBy("node").agg(own.alias("first"), F.min("grp").alias("grp")).select("node", "grp", "first", F.col("first.key").alias("key")), "nodes")
+    nodes = materialise(full.groupBy("node").agg(own.alias("first"), F.min("grp").alias("grp"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("node", "grp", "n", "sketch", "first", F.col("first.key").alias("key")), "nodes")
     groups = nodes.groupBy("grp").agg(F.min("node").alias("head"), F.count("*").alias("members"))
     # N-grams in the prefixes of two nodes at least.
     shared = full.select("node", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
@@ -191,7 +220,7 @@ def _linked(docs: DataFrame, *, key: str, text: str, n: int, percent: int) -> Da
     first = materialise(near.union(crowd).distinct(), "pairs")
 
     names = {"key": key, "text": text, "n": n}
-    links = materialise(_verify(first, nodes, docs, percent, **names), "links")
+    links = _verify(first, nodes, docs, percent, **names)
     comp = components(links)
     # What is left: nodes that meet in a bucket and are in different components. A class is what a group has in one component.
     met_once = nodes.join(postings.select("grp").distinct(), "grp", "left_semi")
