@@ -1,21 +1,21 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Examples are a bounded sample of labelled texts. Words whose presence depends on the label (by
-chi-squared over the sample) are the vocabulary; document frequencies for IDF are counted over all
-texts. The examples lie in an inverted index in blocks; a block whose largest possible cosine is
-under the k-th best so far is not opened, so the k nearest are exact. Votes weighted by cosine are
-calibrated by isotonic regression over the examples themselves, each left out of its own vote.
-A text without a word of the vocabulary (each one, if the sample is too small to tell words apart)
-is compared on all words of the examples, as exactly, with a calibration of its own.
+Examples are a bounded sample of labelled texts, each with all of its words; document frequencies for
+IDF are counted over all texts. A word's entry is (1 + ln tf) * idf * (1 + sqrt(chi)), chi being the
+corrected chi-squared of its presence and the label over the sample: no word is left out, and those
+that say more about the label weigh more. The examples lie in an inverted index in blocks; a block whose
+largest possible cosine is under the k-th best so far is not opened, so the k nearest are exact. Votes
+weighted by cosine are calibrated by isotonic regression over the examples themselves, each left
+out of its own vote; this runs as a Spark job.
 
 Defined results: a null or empty text, or one without a word of any example, gets the calibrated
 share of toxic examples without such words; ties between examples go to the smaller position; with
-no labelled example all scores are 0. Repeated rows are scored each; other columns are never read.
+no labelled example all scores are 0. A label or key that is null is no example; of rows that repeat
+a key the smallest text is its example. Repeated rows are scored each; other columns are never read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -23,64 +23,86 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from citeloom.llm import common
 
-#: Examples of each label, about; words of the vocabulary; least chi-squared; nearest examples; texts in a block of the index.
-SAMPLE, WORDS, CHI, NEAREST, BLOCK = 3000, 1024, 40.0, 25, 64
+#: Examples of each label, about; nearest examples; texts in a block of the index; blocks opened first.
+SAMPLE, NEAREST, BLOCK, FIRST = 3000, 25, 64, 4
 #: Weight of the prior in a vote.
 PRIOR = 0.5
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... (n of them) of each range, one after the other."""
+    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+
+
 @dataclass
 class Index:
     words: np.ndarray  # sorted hashes
-    idf: np.ndarray
+    scale: np.ndarray  # of each word
     label: np.ndarray
     weight: np.ndarray  # of a label's example: rows it stands for
     rows: list[tuple[np.ndarray, np.ndarray]]
     prior: float = 0.0
-    postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    top: np.ndarray | None = None  # [word, block]: the largest entry
+    #: Examples and entries by word; (word, block) runs of them: first run of a word, block, largest entry, first entry.
+    example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    entry: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    most: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
-    whole: Whole | None = None  # the same examples on all of their words
 
     def build(self) -> Index:
-        blocks = -(-len(self.rows) // BLOCK)
-        self.top = np.zeros((len(self.words), blocks), np.float32)
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, (at, v) in enumerate(self.rows):
-            for w, x in zip(at.tolist(), v.tolist()):
-                lists.setdefault((i // BLOCK, w), []).append((i % BLOCK, x))
-                self.top[w, i // BLOCK] = max(self.top[w, i // BLOCK], x)
-        self.postings = {k: (np.array([a for a, _ in x]), np.array([b for _, b in x], np.float32)) for k, x in lists.items()}
+        size = [len(at) for at, _ in self.rows]
+        word = np.concatenate([*[at for at, _ in self.rows], np.zeros(0, np.int64)])
+        order = np.argsort(word, kind="stable")
+        word, self.example = word[order], np.repeat(np.arange(len(size)), size)[order]
+        self.entry = np.concatenate([*[v for _, v in self.rows], np.zeros(0)])[order]
+        block = self.example // BLOCK
+        fresh = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (block[1:] != block[:-1])])) if len(word) else np.zeros(0, np.int64)
+        self.start = np.append(fresh, len(word))
+        self.block, self.most = block[fresh], np.maximum.reduceat(self.entry, fresh) if len(fresh) else np.zeros(0)
+        self.first = np.searchsorted(word[fresh], np.arange(len(self.words) + 1))
         return self
 
-    def vector(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and normalised TF-IDF weights of the vocabulary's words among hashes h."""
+    def vector(self, h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and normalised entries of the examples' words among hashes h (n: how often each)."""
         if not len(self.words):
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
+            return np.zeros(0, np.int64), np.zeros(0)
+        if n is None:
+            h, n = np.unique(h, return_counts=True)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        at, n = np.unique(at[self.words[at] == h], return_counts=True)
-        v = ((1 + np.log(n)) * self.idf[at]).astype(np.float32)
-        return at, v / np.sqrt((v * v).sum()) if len(v) else v
+        on = self.words[at] == h
+        at = at[on]
+        v = (1 + np.log(n[on])) * self.scale[at]
+        norm = np.sqrt((v * v).sum())
+        return at, v / norm if norm else v
 
     def nearest(self, at: np.ndarray, v: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k examples with the largest cosines over 0, exactly: (cosine, example)."""
-        bound = v @ self.top[at]
-        best_c, best_i = np.zeros(0, np.float32), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best_c) >= k and bound[b] < best_c[k - 1] - 1e-6:
-                break
-            acc = np.zeros(BLOCK, np.float32)
-            for w, x in zip(at.tolist(), v.tolist()):
-                if (p := self.postings.get((b, w))) is not None:
-                    acc[p[0]] += x * p[1]
-            on = np.flatnonzero(acc)
-            c, i = np.concatenate([best_c, acc[on]]), np.concatenate([best_i, on + b * BLOCK])
-            order = np.lexsort((i, -c))[:k]
-            best_c, best_i = c[order], i[order]
-        return list(zip(best_c.tolist(), best_i.tolist()))
+        n = self.first[at + 1] - self.first[at]
+        runs, w = _ranges(self.first[at], n), np.repeat(v, n)
+        block = self.block[runs]
+        bound = np.bincount(block, self.most[runs] * w, -(-len(self.label) // BLOCK))
+        order, cos, done, step, kth = np.argsort(-bound, kind="stable"), np.zeros(len(self.label)), 0, FIRST, 0.0
+        while done < len(order) and bound[order[done]] > max(kth - 1e-9, 0.0):
+            chosen = np.zeros(len(bound), bool)
+            part = order[done : done + step]
+            chosen[part[bound[part] > max(kth - 1e-9, 0.0)]] = True
+            on = chosen[block]
+            a = self.start[runs[on]]
+            m = self.start[runs[on] + 1] - a
+            e = _ranges(a, m)
+            cos += np.bincount(self.example[e], self.entry[e] * np.repeat(w[on], m), len(cos))
+            kth = float(np.partition(cos, len(cos) - k)[len(cos) - k]) if len(cos) > k else 0.0
+            done, step = done + step, 2 * step
+        i = np.flatnonzero((cos > 0) & (cos >= kth))
+        i = i[np.lexsort((i, -cos[i]))[:k]]
+        return list(zip(cos[i].tolist(), i.tolist()))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total, yes = PRIOR, PRIOR * self.prior
@@ -89,13 +111,16 @@ class Index:
             yes += c * self.weight[i] * self.label[i]
         return yes / total
 
-    def calibrate(self, over: np.ndarray | None = None) -> Index:
-        over = np.arange(len(self.rows)) if over is None or not len(over) else over
-        raw = np.array([self.vote([x for x in self.nearest(at, v, NEAREST + 1) if x[1] != i][:NEAREST]) if len(at) else -1.0 for i in over.tolist() for at, v in [self.rows[i]]])
+    def own_vote(self, i: int) -> float:
+        """The vote on an example by the others; -1 where it has no word."""
+        at, v = self.rows[i]
+        return self.vote([x for x in self.nearest(at, v, NEAREST + 1) if x[1] != i][:NEAREST]) if len(at) else -1.0
+
+    def calibrate(self, raw: np.ndarray) -> Index:
+        """Isotonic steps (pooled adjacent violators) from the examples' own votes to their labels."""
         values, where = np.unique(raw, return_inverse=True)
-        n = np.bincount(where, self.weight[over])
-        yes = np.bincount(where, self.weight[over] * self.label[over])
-        blocks: list[list[float]] = []  # pool adjacent violators: [first value, yes, n]
+        n, yes = np.bincount(where, self.weight), np.bincount(where, self.weight * self.label)
+        blocks: list[list[float]] = []  # [first value, yes, n]
         for x, y, m in zip(values, yes, n):
             blocks.append([x, y, m])
             while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
@@ -112,30 +137,15 @@ class Index:
         return float(self.steps[1][k]), [i for _, i in near[:3]], [round(c, 6) for c, _ in near[:3]]
 
 
-@dataclass
-class Whole(Index):
-    """All words: most blocks share some with a text, so a word's list is of all examples and none is passed over."""
-
-    lists: tuple[np.ndarray, ...] = ()  # pointers by word, examples, entries
-
-    def build(self) -> Whole:
-        size = [len(at) for at, _ in self.rows]
-        word = np.concatenate([*[at for at, _ in self.rows], np.zeros(0, np.int64)])
-        order = np.argsort(word, kind="stable")
-        entry = np.concatenate([*[v for _, v in self.rows], np.zeros(0, np.float32)])[order]
-        self.lists = np.searchsorted(word[order], np.arange(len(self.words) + 1)), np.repeat(np.arange(len(size), dtype=np.int32), size)[order], entry
-        return self
-
-    def nearest(self, at: np.ndarray, v: np.ndarray, k: int) -> list[tuple[float, int]]:
-        ptr, who, entry = self.lists
-        n = ptr[at + 1] - ptr[at]
-        on = np.arange(n.sum()) + np.repeat(ptr[at] - np.cumsum(n) + n, n)
-        cos = np.bincount(who[on], entry[on] * np.repeat(v, n), minlength=len(self.label))
-        i = np.flatnonzero(cos)
-        if len(i) > k:
-            i = i[cos[i] >= np.partition(cos[i], len(i) - k)[len(i) - k]]
-        i = i[np.lexsort((i, -cos[i]))[:k]]
-        return list(zip(cos[i].tolist(), i.tolist()))
+def relevance(presence: list[np.ndarray], y: np.ndarray, words: int) -> np.ndarray:
+    """1 + sqrt(chi-squared with Yates' correction) of each word's presence and the label."""
+    flat = np.concatenate([*presence, np.zeros(0, np.int64)])
+    a, n = np.bincount(flat, np.repeat(y, [len(x) for x in presence]), words), np.bincount(flat, minlength=words)
+    pos, total = y.sum(), len(y)
+    b, c, d = n - a, pos - a, total - pos - (n - a)
+    with np.errstate(all="ignore"):
+        chi = total * np.maximum(np.abs(a * d - b * c) - total / 2, 0) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
+    return 1 + np.sqrt(np.nan_to_num(chi))
 
 
 def _hashes(column: pa.Array) -> list[np.ndarray]:
@@ -143,28 +153,33 @@ def _hashes(column: pa.Array) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(ptr, ptr[1:])]
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in common.small_batches(batches, "__text"):
+        found = [np.unique(h, return_counts=True) for h in _hashes(batch.column("__text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.list_(pa.int64()))], names=["key", "y", "h", "n"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[Index, list]:
     """The index over about sample examples per label, among labelled texts that train holds for, and their keys."""
+    spark = docs.sparkSession
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("__y"))
     known = docs.where(train).select(key).distinct().join(marks, key)
     counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
     share = F.coalesce(*[F.when(F.col("__y") == y, F.lit(min(1.0, sample / n))) for y, n in counts.items()], F.lit(0.0))
     # About sample keys per label: few enough to broadcast, so that no other text is moved. One text stands for a key that repeats.
     chosen = F.broadcast(known.where(common.rate_filter(F.col(key), share)))
-    rows = docs.where(train).select(key, F.coalesce(text, F.lit("")).alias("__text")).join(chosen, key).groupBy(key).agg(F.min("__text").alias("__text"), F.first("__y").alias("__y"))
-    got = sorted(rows.collect(), key=lambda r: r[key])
-    y = np.array([r["__y"] > 0 for r in got], float)
-    sets = [np.unique(h) for h in _hashes(pa.array([r["__text"] for r in got], pa.string()))]
-    words, where = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
-    lab = np.repeat(y, [len(s) for s in sets])
-    a, n, pos, total = np.bincount(where, lab, len(words)), np.bincount(where, minlength=len(words)), y.sum(), len(y)
-    b, c, d = n - a, pos - a, (total - pos) - (n - a)
-    with np.errstate(all="ignore"):
-        chi = np.nan_to_num(total * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)))
-    chosen = np.sort(np.lexsort((words, -chi))[:WORDS])
-    every, words = words, words[chosen[chi[chosen] >= CHI]]
+    rows = docs.where(train).select(key, F.coalesce(text, F.lit("")).alias("__text")).join(chosen, key).groupBy(F.col(key).alias("key")).agg(F.min("__text").alias("__text"), F.first("__y").alias("y"))
+    kind = dict(docs.dtypes)[key]
+    got = rows.mapInArrow(_counted, f"key {kind}, y {dict(marks.dtypes)['__y']}, h array<bigint>, n array<bigint>").collect()  # about 2 * sample rows of word hashes
+    sets = {r["key"]: (np.array(r["h"], np.int64).view(np.uint64), np.array(r["n"])) for r in got}
+    y_of = {r["key"]: float(r["y"] > 0) for r in got}
+    words = np.unique(np.concatenate([*[h for h, _ in sets.values()], np.zeros(0, np.uint64)]))
+    weight = np.array([max(1.0, counts[r["y"]] / sample) for r in got])
+
+    shared_words = spark.sparkContext.broadcast(words)
 
     def df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = shared_words.value
         count, texts = np.zeros(len(every), np.int64), 0
         for batch in common.small_batches(batches):
             for h in _hashes(batch.column(0)):
@@ -177,47 +192,51 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, key: str = "doc_id
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(df, "w int, n bigint").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
     at, n = found["w"].to_numpy(), found["n"].to_numpy()
-    seen = np.zeros(len(every), np.int64)
+    seen = np.zeros(len(words), np.int64)
     seen[at[at >= 0]] = n[at >= 0]
-    every_idf = np.log((1 + n[at < 0].sum()) / (1 + seen)) + 1
-    idf = every_idf[np.searchsorted(every, words)]
-    weight = np.array([max(1.0, counts[r["__y"]] / sample) for r in got])
-    index = Index(words, idf, y, weight, [], float((weight * y).sum() / weight.sum()) if len(y) else 0.0)
-    index.rows = [index.vector(h) for h in _hashes(pa.array([r["__text"] for r in got], pa.string()))]
+    idf = np.log((1 + n[at < 0].sum()) / (1 + seen))
+    keys = sorted(sets)
+    places = {k: np.searchsorted(words, sets[k][0]) for k in keys}
+    scale = idf * relevance([places[k] for k in keys], np.array([y_of[k] for k in keys]), len(words))
+    # Examples with the same heaviest word lie side by side, which makes a block's bounds tight.
+    heaviest = {k: int(places[k][np.argmax((1 + np.log(sets[k][1])) * scale[places[k]])]) if len(places[k]) else -1 for k in keys}
+    weight_of = {r["key"]: w for r, w in zip(got, weight)}
+    keys.sort(key=lambda k: (heaviest[k], k))
+    y, weight = np.array([y_of[k] for k in keys]), np.array([weight_of[k] for k in keys])
+    index = Index(words, scale, y, weight, [], float((weight * y).sum() / weight.sum()) if len(y) else 0.0)
+    index.rows = [index.vector(*sets[k]) for k in keys]
     index.build()
-    index.whole = Whole(every, every_idf, y, weight, [], index.prior)
-    index.whole.rows = [index.whole.vector(h) for h in _hashes(pa.array([r["__text"] for r in got], pa.string()))]
-    index.whole.build()
-    if len(y):
-        index.calibrate()
-        index.whole.calibrate(np.flatnonzero([not len(at) for at, _ in index.rows]))
-    return index, [r[key] for r in got]
+    if keys:
+        shared = spark.sparkContext.broadcast(index)
+
+        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.own_vote(i) for i in batch.column(0).to_pylist()], pa.float64())], names=["id", "vote"])
+
+        raw = np.zeros(len(keys))
+        for r in spark.range(len(keys)).mapInArrow(votes, "id bigint, vote double").collect():
+            raw[r["id"]] = r["vote"]
+        index.calibrate(raw)
+    return index, keys
 
 
-def score(docs: DataFrame, index: Index, keys: list, *, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, index: Index, keys: list, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with score, predicted and evidence (the nearest examples' keys and cosines)."""
-    names = [c for c in docs.columns if c not in (text, "score", "predicted", "evidence")]
-    fields = [docs.schema[c] for c in names]
-    shared = docs.sparkSession.sparkContext.broadcast((replace(index, rows=[], whole=index.whole and replace(index.whole, rows=[])), keys))
+    made = ("score", "predicted", "evidence", "cosines")
+    names = [c for c in docs.columns if c != text and c not in made]
+    kind = docs.schema[key].dataType if key in docs.columns else T.LongType()
+    schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in names], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(kind)), T.StructField("cosines", T.ArrayType(T.DoubleType()))])
+    arrow = to_arrow_type(kind)
+    shared = docs.sparkSession.sparkContext.broadcast((replace(index, rows=[]), keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ids = shared.value
-        seen: dict[bytes, tuple] = {}
         for batch in common.small_batches(batches, "__text"):
             scores, who, cos = [], [], []
             for h in _hashes(batch.column("__text")):
-                by = own
-                at, v = by.vector(h)
-                if not len(at) and own.whole is not None:
-                    by = own.whole
-                    at, v = by.vector(h)
-                mark = hashlib.blake2b(at.tobytes() + v.tobytes(), digest_size=16, key=type(by).__name__.encode()).digest()
-                if (got := seen.get(mark)) is None:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    got = seen[mark] = by.score(at, v)
-                scores.append(got[0]), who.append([int(ids[i]) for i in got[1]]), cos.append(got[2])
-            yield pa.RecordBatch.from_arrays([*[batch.column(f"__{i}") for i in range(len(names))], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(who, pa.list_(pa.int64())), pa.array(cos, pa.list_(pa.float64()))], names=[*names, "score", "predicted", "evidence", "cosines"])
+                got = own.score(*own.vector(h))
+                scores.append(got[0]), who.append([ids[i] for i in got[1]]), cos.append(got[2])
+            yield pa.RecordBatch.from_arrays([*[batch.column(f"__{i}") for i in range(len(names))], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(who, pa.list_(arrow)), pa.array(cos, pa.list_(pa.float64()))], names=[*names, *made])
 
     source = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("__text"))
-    return source.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double", "predicted int", "evidence array<bigint>", "cosines array<double>"]))
+    return source.mapInArrow(run, schema)
