@@ -4,13 +4,14 @@ Texts and benchmark items become templates: numbers, names (capitalised words in
 units (after a number) turn into typed placeholders; a run of names, or of number words, is
 also tried as one. Windows of template tokens are joined by hash, and so are windows of the plain lower-cased tokens.
 What meets along one diagonal of a text and an item is a placement; it counts if enough windows
-meet and its slots are consistent: one value of the item always stands for one value of the text. So
+meet and its slots are consistent: one value of the item always stands for one value of the text, and the other way round. So
 a question asked again with other numbers and names is caught, and chance meetings are not.
 
-Defined results: null and empty texts and items meet nothing; items with fewer than ``SHORTEST``
-tokens are too short to tell and are passed over; items shorter than a window are one window of
-their own length; repeated rows are found each, repeated items under each id; null ids are kept as
-they are. Other columns are not read.
+Items with fewer than ``SHORTEST`` tokens have no windows: they are found where a whole line of a text has just their tokens.
+
+Defined results: null and empty texts and items meet nothing, nor do items without a token; items
+shorter than a window are one window of their own length; rows that repeat key and text are found once,
+repeated items under each id; null ids are kept as they are. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ WINDOW, LITERALS, MEETINGS, SHORTEST = 8, 5, 3, 4
 #: Benchmark windows up to which the benchmark's side is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 # Fixed values.
 UNITS = "mm cm m km mg g kg lb lbs oz ml l s sec seconds min minutes h hour hours day days week weeks month months year years mph kmh usd eur dollars euros cents percent degrees meters metres miles feet inches grams kilograms litres liters".split()
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
@@ -136,7 +139,7 @@ def _mapper(sizes: list[int], items: bool, names: list[str], bitmap=None):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Placements that count: key, print (a hash of the text), item, kind (0 templates, 1 with runs as one slot, 2 lower-cased tokens), at (first token), meetings, item_windows, altered (other
+    """Placements that count: key, print (a hash of the text), item, kind (0 templates, 1 with runs as one slot, 2 lower-cased tokens, 3 a line), at (first token), meetings, item_windows, altered (other
     values in its slots)."""
     spark = docs.sparkSession
     kinds = dict(docs.dtypes) | {f"item {c}": t for c, t in benchmark.dtypes}
@@ -155,9 +158,24 @@ def find(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: st
     met = found.join(other, ["w", "kind"]).where(F.size("slots") == F.size("item_slots"))
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"] != 0)
     placed = met.groupBy("key", "print", "item", "kind", (F.col("at") - F.col("item_at")).alias("at")).agg(F.countDistinct("item_at").alias("meetings"), F.first("item_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
+    one_way = lambda k: F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x[k])))
+    consistent = one_way("i") & one_way("d")
     good = placed.where((F.col("meetings") >= F.least(F.lit(MEETINGS), "item_windows")) & consistent)
-    return good.select(F.col("key").alias(key), "print", F.col("item").alias(item), "kind", "at", "meetings", "item_windows", F.exists("pairs", lambda x: x["i"] != x["d"]).alias("altered"))
+    good = good.select(F.col("key").alias(key), "print", F.col("item").alias(item), "kind", "at", "meetings", "item_windows", F.exists("pairs", lambda x: x["i"] != x["d"]).alias("altered"))
+    return good.unionByName(_short_lines(docs, benchmark, key=key, text=text, item=item, item_text=item_text))
+
+
+def _short_lines(docs: DataFrame, benchmark: DataFrame, *, key: str, text: str, item: str, item_text: str) -> DataFrame:
+    """Placements (kind 3) of items that are too short for windows: a line with the same tokens and no others."""
+    apart = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+    flat = lambda c: F.trim(F.regexp_replace(F.translate(c, UPPER, UPPER.lower()), apart, " "))
+    few = lambda c: (F.col(c) != "") & (F.regexp_count(c, F.lit(" ")) < SHORTEST - 1)
+    items = benchmark.select(F.col(item).alias("item"), flat(F.col(item_text)).alias("line")).where(few("line"))
+    lines = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.posexplode(F.split(text, "\n")).alias("at", "raw"))
+    lines = lines.select("key", "print", "at", flat(F.col("raw")).alias("line")).where(few("line"))
+    other = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
+    one = F.lit(1).cast("bigint")
+    return lines.join(other, "line").select(F.col("key").alias(key), "print", F.col("item").alias(item), F.lit(3).alias("kind"), F.col("at").cast("bigint").alias("at"), one.alias("meetings"), one.alias("item_windows"), F.lit(False).alias("altered"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
