@@ -2,9 +2,11 @@
 
 Each text has counts of words, symbols, repeated lines and repeated word windows. Texts that pass
 the fixed rules give a vector of transformed statistics. For each language and source a
-minimum-covariance-determinant estimate is fitted by concentration steps over all of its vectors,
-from the medians until nothing changes; a vector beyond a Mahalanobis distance from it is rejected. Small groups share their language's
-estimate, and small languages that of all texts.
+minimum-covariance-determinant estimate is fitted by concentration steps over all of its vectors from two starts
+(the medians with the least deviations, and the moments of all vectors), each until nothing changes; that with the smaller
+determinant stays, and a vector beyond a Mahalanobis distance from it is rejected. Small groups share their language's
+estimate, and small languages that of all texts. Equal vectors are one weighted row, and rows of a large group are
+dealt over salts, so that no group meets in one task.
 
 Vectors are whole numbers (thousandths), so that sums do not depend on how rows are dealt, and
 quantiles are exact over a bounded number of values.
@@ -28,7 +30,9 @@ WINDOW = 5
 #: A group with fewer vectors shares the next larger group's estimate.
 LEAST = 200
 #: Share of a group's vectors that the estimate is made from, its consistency factor for five dimensions, and the most steps.
-HALF, CONSISTENT, STEPS = 0.75, 1.41, 20
+HALF, CONSISTENT, STEPS = 0.75, 1.41, 60
+#: Tasks that a group's rows are dealt over.
+SALTS = 16
 #: Squared distance beyond which a vector is rejected: the chi-square quantile of five dimensions that one in a million exceeds.
 CUT = 35.89
 #: The vector's entries and the least standard deviation that an entry is given, in thousandths: the grain of
@@ -88,28 +92,56 @@ def _distance(p: int) -> Column:
     return reduce(lambda a, b: a + b, [x * x for x in z])
 
 
+def _scatter(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, m0.. and l00.. of counts n, sums s0.. and products q00.. of vectors."""
+    p, floor = len(ENTRIES), list(ENTRIES.values())
+    mean = [F.col(f"s{i}") / F.col("n") for i in range(p)]
+    after = sums.select(*keys, *[mean[i].alias(f"m{i}") for i in range(p)], *[(CONSISTENT * (F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j])).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
+    cov = {(i, j): F.greatest(F.col(f"c{i}{j}"), F.lit(float(floor[i] ** 2))) if i == j else F.col(f"c{i}{j}") for i in range(p) for j in range(i + 1)}
+    for name, value in _cholesky(cov, p).items():
+        after = after.withColumn(name, value)
+    return after.select(*keys, *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+
+
+def _sums() -> list[Column]:
+    names, n = list(ENTRIES), F.col("weight")
+    return [F.sum(n).alias("n"), *[F.sum(n * F.col(v)).alias(f"s{i}") for i, v in enumerate(names)], *[F.sum(n * F.col(names[i]) * F.col(names[j])).alias(f"q{i}{j}") for i in range(len(names)) for j in range(i + 1)]]
+
+
+def _salted(model: DataFrame) -> DataFrame:
+    return model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def estimate(rows: DataFrame, group: str) -> DataFrame:
     """group, m0.. (location) and l00.. (Cholesky factor of the scatter) of each group's vectors."""
     names, p = list(ENTRIES), len(ENTRIES)
     floor = list(ENTRIES.values())
-    rows = materialise(rows, "vectors")
-    mid = rows.groupBy(group).agg(*[F.percentile(v, 0.5).alias(f"m{i}") for i, v in enumerate(names)])
-    model = materialise(mid.withColumns({f"l{i}{j}": F.lit(float(floor[i]) if i == j else 0.0) for i in range(p) for j in range(i + 1)}), "scatter")
+    rows = rows.groupBy(group, *names).agg(F.count("*").alias("weight"))
+    rows = materialise(rows.withColumn("salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int")), "vectors")
+    every = rows.groupBy(group).agg(*[F.percentile(v, 0.5, F.col("weight")).alias(f"m{i}") for i, v in enumerate(names)], *_sums())
+    every = materialise(every, "moments")
+    cells = [f"m{i}" for i in range(p)] + [f"l{i}{j}" for i in range(p) for j in range(i + 1)]
+    middle = every.select(group, F.lit(0).alias("start"), *[f"m{i}" for i in range(p)], *[F.lit(float(floor[i]) if i == j else 0.0).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)])
+    model = materialise(middle.unionByName(_scatter(every, [group]).withColumn("start", F.lit(1))), "scatter")
+    done = model.where("false")
     for step in range(STEPS):
         # Distances fall into steps of half a hundredth, so that a group has few distinct values.
-        far = rows.join(model, group).withColumn("bin", F.round(200 * F.log1p(_distance(p))).cast("bigint")).select(group, *names, "bin")
-        edge = far.groupBy(group).agg(F.percentile("bin", HALF).alias("edge"))
-        inner = far.join(edge, group).where(F.col("bin") <= F.col("edge"))
-        sums = inner.groupBy(group).agg(F.count("*").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)])
-        after = sums.select(group, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(p)], *[(CONSISTENT * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n"))).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
-        cov = {(i, j): F.greatest(F.col(f"c{i}{j}"), F.lit(float(floor[i] ** 2))) if i == j else F.col(f"c{i}{j}") for i in range(p) for j in range(i + 1)}
-        for name, value in _cholesky(cov, p).items():
-            after = after.withColumn(name, value)
-        before, model = model, materialise(after.select(group, *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)]), "scatter")
+        far = rows.join(_salted(model), [group, "salt"]).withColumn("bin", F.round(200 * F.log1p(_distance(p))).cast("bigint")).select(group, "start", "salt", "weight", *names, "bin")
+        edge = far.groupBy(group, "start").agg(F.percentile("bin", HALF, F.col("weight")).alias("edge"))
+        inner = far.join(_salted(edge), [group, "start", "salt"]).where(F.col("bin") <= F.col("edge"))
+        after = _scatter(inner.groupBy(group, "start").agg(*_sums()), [group, "start"])
         # Sums are of whole numbers, so a half set that stays gives equal values.
-        if model.exceptAll(before).isEmpty():
+        was = model.select(group, "start", F.struct(*cells).alias("was"))
+        both = materialise(after.join(was, [group, "start"]).withColumn("moved", F.struct(*cells) != F.col("was")).drop("was"), "scatter")
+        model = both.where("moved").drop("moved")
+        done = done.unionByName(both.where("not moved").drop("moved"))
+        if model.isEmpty():
             break
-    return model
+    size = F.lit(0.0)
+    for i in range(p):
+        size = size + F.log(F.col(f"l{i}{i}"))
+    ends = done.unionByName(model).withColumn("size", F.round(size, 9))
+    return materialise(ends.groupBy(group).agg(F.min_by(F.struct(*cells), F.struct("size", "start")).alias("best")).select(group, "best.*"), "scatter")
 
 
 def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -119,7 +151,7 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), none)
     own = [c for c in own if c != text]
     # In a struct, columns of any names can't clash with those made here.
-    packed = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in own]).alias("__own"), name(lang).alias("__l"), F.concat_ws("\x01", name(lang), name(source)).alias("__ls"), F.col(f"`{text}`").alias("__text"))
+    packed = docs.select(F.struct(F.lit(0).alias("__zero"), *[F.col(f"`{c}`") for c in own]).alias("__own"), name(lang).alias("__l"), F.concat_ws("\x01", name(lang), name(source)).alias("__ls"), F.col(f"`{text}`").alias("__text"))
     rows = measure(packed, text="__text", keep=["__own", "__l", "__ls"]).withColumns({"base_failed": base_failed(), **_vector()})
     rows = materialise(rows, "quality")
     good = rows.where(~F.col("base_failed"))
@@ -131,7 +163,7 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     direct = vectors.join(groups, "__ls")
     # A shared estimate is made from all vectors of the language, or of all texts.
     shared = vectors.join(groups.where(F.col("__g").startswith("\x02")).select("__g").distinct(), F.concat(F.lit("\x02"), "__l") == F.col("__g"))
-    all_rows = vectors.join(groups.where(F.col("__g") == "\x03").select("__g").distinct())  # one row or none beside each
+    all_rows = vectors.crossJoin(groups.where(F.col("__g") == "\x03").select("__g").distinct())  # one row or none beside each
     vectors = direct.where(~F.col("__g").rlike("^[\\x02\\x03]")).select("__g", *ENTRIES).unionByName(shared.select("__g", *ENTRIES)).unionByName(all_rows.select("__g", *ENTRIES))
     model = estimate(vectors, "__g")
     placed = rows.join(groups.join(model, "__g"), "__ls", "left")
