@@ -77,7 +77,10 @@ def format_conversations(rows: DataFrame, *, key: str = "conv_id", turn: str = "
         same = F.coalesce(F.col("turns") == F.col("source"), F.lit(False))
         df = df.withColumn("g", F.when(same, F.col("f")).otherwise(_render(F.col("source"), level))).withColumn("level", F.when(same, F.col("level")).otherwise(level))
         df = df.select(key, "source", F.col("g").alias("f"), "level", F.when(F.col("level") < level, F.col("turns")).otherwise(parse(F.col("g"))).alias("turns"))
-    return df.select(key, F.col("f").alias("formatted"), "level", "turns", F.coalesce(F.col("turns") == F.col("source"), F.lit(False)).alias("round_trip"))
+    same = F.coalesce(F.col("turns") == F.col("source"), F.lit(False))
+    # The last level is unambiguous; were it not, no conversation is given that reads back otherwise.
+    turns = F.when(same, F.col("turns")).otherwise(F.raise_error(F.lit("a conversation does not read back")).cast(df.schema["turns"].dataType))
+    return df.select(key, F.col("f").alias("formatted"), "level", turns.alias("turns"), same.alias("round_trip"))
 
 
 def loss_spans(formatted: DataFrame, *, key: str = "conv_id") -> DataFrame:

@@ -82,7 +82,7 @@ def _cluster(idf: np.ndarray, k: int):
     """Spherical k-means over the bounded sample of one language."""
 
     def run(batch: pa.Table) -> pa.Table:
-        rows = batch.sort_by("key")
+        rows = batch.sort_by([("key", "ascending"), ("text", "ascending")])
         raw, off = common.text_bytes(rows.column("text"))
         x = np.zeros((rows.num_rows, DIMS), np.float32)
         for i, (a, b) in enumerate(zip(off, off[1:])):
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, train: Column, *, text: str = "text", lang: str = "lang
         df[r["dim"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1
     counts = rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(sample) / F.col("count")).alias("share"))
-    chosen = rows.join(F.broadcast(counts), "lang").where(common.rate_filter(F.col("key"), F.col("share"))).drop("share")
+    chosen = rows.join(F.broadcast(counts), "lang").where(common.rate_filter(F.struct("key", "text"), F.col("share"))).drop("share")
     got = chosen.groupBy("lang").applyInArrow(_cluster(idf, clusters), "lang string, vector array<float>, floor double").collect()
     got.sort(key=lambda r: r["lang"])
     return Model(idf, [r["lang"] for r in got], np.array([r["vector"] for r in got], np.float32).reshape(len(got), DIMS), np.array([r["floor"] for r in got]))

@@ -73,7 +73,7 @@ def encode(docs: DataFrame, model: str, *, text: str = "text", keep: list[str] |
     added = {"ids": ("array<int>", ids), "n_tokens": ("bigint", True), "ids_sha256": ("string", digests), "decoded_sha256": ("string", digests)}
     fields = [docs.schema[c] for c in keep if c not in added]
     spec = {k: t for k, (t, wanted) in added.items() if wanted}
-    source = docs.select(*[F.col(f"`{f.name}`") for f in fields], F.col(f"`{text}`").alias("__text"))
+    source = docs.select(*[F.col(f"`{f.name}`").alias(f"__{i}") for i, f in enumerate(fields)], F.col(f"`{text}`").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{k} {t}" for k, t in spec.items()])
     return source.mapInArrow(_encoder(model, [f.name for f in fields], spec), schema)
 
@@ -94,7 +94,7 @@ def _encoder(model: str, keep: list[str], spec: dict[str, str]) -> Callable:
                 if "ids_sha256" in out:
                     out["ids_sha256"].append(digest(joined))
                     out["decoded_sha256"].append(digest(table.processor.decode(ids) if ids else ""))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(v, kinds[spec[k]]) for k, v in out.items()], names=[*keep, *spec])
+            yield pa.RecordBatch.from_arrays([batch.column(f"__{i}") for i in range(len(keep))] + [pa.array(v, kinds[spec[k]]) for k, v in out.items()], names=[*keep, *spec])
 
     return run
 
