@@ -2,25 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut_lineage(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the folder that all executors share (spark.checkpoint.dir)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='citeloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from citeloom.operators.scratch import cut_lineage
 
 
 def build(papers: DataFrame, references: DataFrame, citations_in: DataFrame, paper_author: DataFrame, ignored_venues: list[str] | None = None) -> DataFrame:
@@ -72,7 +57,8 @@ def frontier(papers: DataFrame, forbidden: DataFrame) -> DataFrame:
 
 def bypass_threshold(rows: DataFrame, decay: float, order: str = "paperId") -> DataFrame:
     """exp(-decay * position). Positions over a global order come from counts of ranges, not from one task."""
-    spans = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
+    # Written once, as a range's number must be the same where ranges are counted and where their rows are.
+    spans = cut_lineage(rows.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "spans")
     sizes = spans.groupBy("part").count()
     before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
     at = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
@@ -90,8 +76,25 @@ def weights(rows: DataFrame, decay: float, as_of_year: int) -> DataFrame:
 
 def sample(rows: DataFrame, k: int, seed: int, key: str = "paperId", weight: str = "weight") -> DataFrame:
     """k rows without replacement, by exponential keys; the draw depends on key and seed alone."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return rows.orderBy(-F.log(u) / F.col(weight), key).limit(k)
+    return rows.orderBy(-F.log(unit(F.col(key), seed)) / F.col(weight), key).limit(k)
+
+
+def unit(key: Column, seed: int) -> Column:
+    """A number between 0 and 1 that depends on key and seed alone."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", key, F.lit(str(seed)))), 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
+
+
+def split(rows: DataFrame, passes: Column, seed: int, key: str = "paperId") -> DataFrame:
+    """Rows whose draw is under their threshold, and of the others those that pass."""
+    return rows.where((unit(F.col(key), seed) < F.col("threshold")) | F.coalesce(passes, F.lit(False)))
+
+
+def sampling_round(papers: DataFrame, forbidden: DataFrame, centralities: DataFrame, passes: Column, venue_ok: Column, *, decay: float, age_decay: float, as_of_year: int, k: int, seed: int) -> DataFrame:
+    """papers with selected set for those that this round draws: frontier, threshold and split, venue, weights, sample."""
+    rows = split(bypass_threshold(frontier(papers, forbidden), decay), passes, seed).where(venue_ok)
+    drawn = sample(weights(rows.join(centralities, "paperId", "left"), age_decay, as_of_year), k, seed)
+    on = drawn.select("paperId", F.lit(True).alias("__on"))
+    return papers.join(on, "paperId", "left").withColumn("selected", F.col("selected") | F.coalesce("__on", F.lit(False))).drop("__on")
 
 
 def property_graph(papers: DataFrame, references: DataFrame) -> DataFrame:

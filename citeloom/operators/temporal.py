@@ -68,3 +68,15 @@ def topic_years(papers: DataFrame) -> DataFrame:
 def topic_activity(papers: DataFrame) -> DataFrame:
     n = papers.where("topic is not null and year is not null").groupBy("topic", "year").agg(F.count("*").alias("n"))
     return n.groupBy("topic").agg(F.sum("n").alias("total"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.max_by("year", F.struct("n", -F.col("year"))).alias("peak_year"), F.max("n").alias("peak"))
+
+
+def evolution(papers: DataFrame, periods: DataFrame, least: int = 5) -> DataFrame:
+    """shares, of papers that are enough: at the least so many, so many with a year, and some topic."""
+    n = papers.agg(F.count("*").alias("all"), F.count("topic").alias("topic"), F.count("year").alias("year")).first()
+    if n["all"] < least:
+        raise ValueError("too few papers")
+    if not n["topic"]:
+        raise ValueError("no paper has a topic")
+    if n["year"] < least:
+        raise ValueError("too few papers have a year")
+    return shares(papers, periods)

@@ -1,4 +1,4 @@
-"""Text cleaning, TF-IDF, venues, similarity and topics."""
+"""Text cleaning, TF-IDF, venues, similarity and a recommender."""
 
 from __future__ import annotations
 
@@ -12,7 +12,17 @@ from pyspark.sql import types as T
 
 # Patterns in the order in which they apply.
 CLEAN = ["<jats:[^>]+>", "(?U)[^\\w\\s]"]
-VENUE = [("^(in:|proceedings of|proc\\.?)\\s+", ""), ("^(19|20)\\d{2}\\s+", ""), ("\\s+(19|20)\\d{2}$", ""), ("\\(?\\d+\\s*\\(\\d+\\)\\)?", " "), ("(pp\\.?|pages)\\s*\\d+(\\s*[-–]\\s*\\d+)?", " "), ("\\(.*?\\)", " "), ("[^a-z0-9\\s]", " "), ("\\s+", " ")]
+VENUE = [
+    ("^(springer|elsevier|acm|mdpi|ieee)\\s*[:\\-]\\s*", ""),
+    ("^\\d{4}\\s+", ""),
+    ("\\s+\\d{4}$", ""),
+    ("^(in:|proceedings of|proc\\.?)\\s+", ""),
+    ("\\(?\\d+\\s*\\(\\d+\\)\\)?", " "),
+    ("(pp\\.?|pages)\\s*\\d+(\\s*[-–]\\s*\\d+)?", " "),
+    ("\\(.*?\\)", " "),
+    ("[^a-z0-9\\s]", " "),
+    ("\\s+", " "),
+]
 
 
 def clean(c: Column, patterns: list[str] | None = None) -> Column:
@@ -23,7 +33,7 @@ def clean(c: Column, patterns: list[str] | None = None) -> Column:
 
 def valid(c: Column, least: int = 120, word: str = "none") -> Column:
     """Not null, long enough after cleaning, and without the word anywhere."""
-    return F.coalesce(~F.contains(F.lower(c), F.lit(word)) & (F.length(c) >= least), F.lit(False))
+    return F.coalesce(~F.contains(F.lower(c), F.lit(word)) & (F.length(clean(c)) >= least), F.lit(False))
 
 
 def terms(df: DataFrame, text: str, key: str, stop: list[str] = (), ngrams: int = 1) -> DataFrame:
@@ -52,10 +62,12 @@ def clean_venue(c: Column) -> Column:
     return F.trim(c)
 
 
-def normalise_venue(df: DataFrame, venue: str, aliases: DataFrame) -> DataFrame:
-    """df with venue_normal: an alias, else the cleaned name with capitals, else the name as it is."""
+def normalise_venue(df: DataFrame, venue: str, aliases: DataFrame, names: list[str] = ()) -> DataFrame:
+    """df with venue_normal: an alias, else one of the names that is nearly alike, else the cleaned name with capitals, else the name as it is."""
+    from citeloom.operators.matching import fuzzy_name
+
     done = df.withColumn("__c", clean_venue(F.col(venue))).join(aliases.withColumnsRenamed({"alias": "__c"}), "__c", "left")
-    return done.withColumn("venue_normal", F.when(F.col("__c") == "", F.trim(venue)).otherwise(F.coalesce("canonical", F.initcap("__c")))).drop("__c", "canonical")
+    return done.withColumn("venue_normal", F.when(F.col("__c") == "", F.trim(venue)).otherwise(F.coalesce("canonical", fuzzy_name(F.col("__c"), list(names)), F.initcap("__c")))).drop("__c", "canonical")
 
 
 def title_key(c: Column) -> Column:
@@ -68,15 +80,6 @@ def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
 
 
-def match_titles(left: DataFrame, right: DataFrame, least: float = 0.85, block: int = 4) -> DataFrame:
-    """Best match of each left row among right rows with the same first characters (the blocking key)."""
-    a = left.select(F.col("paperId").alias("id"), title_key(F.col("title")).alias("t"))
-    b = right.select(F.col("paperId").alias("other"), title_key(F.col("title")).alias("u"))
-    near = a.join(b, F.substring("t", 1, block) == F.substring("u", 1, block)).where(F.abs(F.length("t") - F.length("u")) <= (1 - least) * (F.length("t") + F.length("u")))
-    scored = near.withColumn("similarity", title_similarity("t", "u")).where(F.col("similarity") >= least)
-    return scored.groupBy("id").agg(F.max_by("other", F.struct("similarity", "other")).alias("match"), F.max("similarity").alias("similarity"))
-
-
 def cosine_top(df: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     q = F.lit([float(x) for x in query])
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
@@ -92,11 +95,6 @@ def html_title(df: DataFrame, html: str = "html") -> Column:
     return F.trim(F.coalesce(F.nullif(tag, none), F.nullif(title, none), F.nullif(h1, none), none))
 
 
-def latex_fields(c: Column) -> Column:
-    one = lambda p: F.nullif(F.trim(F.regexp_extract(c, p, 1)), F.lit(""))
-    return F.struct(one("(?s)\\\\title\\{([^}]*)\\}").alias("title"), one("(?s)\\\\author\\{([^}]*)\\}").alias("authors"), one("(?s)\\\\begin\\{abstract\\}(.*?)\\\\end\\{abstract\\}").alias("abstract"), one("\\\\date\\{[^}]*?((?:19|20)[0-9]{2})[^}]*\\}").alias("year"))
-
-
 def linucb(df: DataFrame, feedback: DataFrame, alpha: float = 1.0, ridge: float = 1.0, key: str = "vec_id", vector: str = "embedding", reward: str = "reward") -> DataFrame:
     """(key, score): upper confidence of a linear bandit; rows with feedback are left out."""
     import numpy as np
@@ -108,11 +106,16 @@ def linucb(df: DataFrame, feedback: DataFrame, alpha: float = 1.0, ridge: float
         for p in batches:
             x = np.stack(p[vector]).astype(float)
             a, b = a + x.T @ x, b + p[reward].to_numpy(float) @ x
-        yield pd.DataFrame({"a": [a.ravel()], "b": [b]})
-
-    parts = df.join(feedback, key).select(vector, reward).mapInPandas(sums, "a array<double>, b array<double>").toPandas()  # a row per partition
-    a = ridge * np.eye(dim) + np.sum([x for x in parts["a"]], axis=0).reshape(dim, dim)
-    inv, theta = np.linalg.inv(a), np.linalg.solve(a, np.sum([x for x in parts["b"]], axis=0))
+        yield pd.DataFrame({"i": range(dim), "a": list(a), "b": b})
+
+    # Each partition gives dim rows, which are added up in the cluster: dim rows come back whatever the input.
+    parts = df.join(feedback, key).select(vector, reward).mapInPandas(sums, "i int, a array<double>, b double")
+    added = parts.select("i", "b", F.posexplode("a").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("b").alias("b")).collect()
+    a, b = ridge * np.eye(dim), np.zeros(dim)
+    for r in added:
+        a[r["i"], r["j"]] += r["v"]
+        b[r["i"]] = r["b"]
+    inv, theta = np.linalg.inv(a), np.linalg.solve(a, b)
 
     @F.pandas_udf("double")
     def score(v: pd.Series) -> pd.Series:

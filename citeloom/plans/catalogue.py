@@ -89,14 +89,10 @@ _paper_query("P6", """contains(lower(title), '12') OR contains(lower("paperId"),
 _paper_query("P7", "regexp_matches(lower(venue), 'brand#[12]3')", lambda df: F.lower(F.col("venue")).rlike("brand#[12]3"))
 _paper_query("P8", "year BETWEEN 1993 AND 1995", lambda df: P.year_range(F.col("year"), 1993, 1995))
 _paper_query("P9", "trim(doi) <> ''", lambda df: ids.presence(F.col("doi")))
-_paper_query("P10", '"isSeed" OR selected', lambda df: F.coalesce(F.col("isSeed").try_cast("boolean"), F.lit(False)) | F.coalesce(F.col("selected"), F.lit(False)))
-_paper_query("P11", "topic IN (SELECT min(p_type) FROM part)", lambda df: F.col("topic").isin([df.agg(F.min("topic")).first()[0]]))
 _paper_query("P12", "mark IN ('good', 'standard')", lambda df: P.mark_filter(F.col("mark"), ["good", "standard"]), marked=True)
-_paper_query("P13", "trim(venue) IN ('Brand#11', 'Brand#23') AND year IN (1992, 1993)", lambda df: F.trim("venue").isin(["Brand#11", "Brand#23"]) & F.col("year").isin([1992, 1993]))
 _paper_query("P14", "NOT ends_with(lower(trim(title)), 'survey') AND starts_with(lower(trim(venue)), 'brand#1')", lambda df: P.text_rule(F.col("title"), "not_ends_with", "survey") & P.text_rule(F.col("venue"), "begins_with", "Brand#1"))
 _paper_query("P15", "year IS NOT NULL AND NOT (year BETWEEN 1992 AND 1993)", lambda df: P.number_rule(F.col("year"), "not_between", 1993, 1992))
 _paper_query("P16", "contains(lower(title), 'review') AND year >= 1992", lambda df: catalog.CatalogQuery(rules=["title::contains::review", "year::ge::1992", "broken"]).where(df), marked=True)
-_paper_query("P19", "year IS NULL OR year >= 1993", lambda df: P.year_range(F.col("year"), 1993, None, nulls=True))
 _paper_query("P21", """regexp_full_match("paperId", 'W[0-9]+')""", lambda df: P.paper_id_valid(F.col("paperId")))
 _paper_query("P22", "venue <> '' AND venue NOT IN ('Brand#11')", lambda df: P.venue_allowed(F.col("venue"), ["Brand#11"]))
 _paper_query("P23", "trim(venue) <> ''", lambda df: P.meaningful_venue(F.col("venue")))
@@ -126,15 +122,12 @@ query("A21", """SELECT count(*) AS total, count(*) FILTER (WHERE year >= 1993) A
 
 
 def _upserted(c: Corpus) -> DataFrame:
-    new = c.papers.where("year = 1993").withColumns({"title": F.concat("title", F.lit(" v2")), "processed": F.lit(False), "selected": F.lit(False), "isSeed": F.lit(False)})
+    new = c.papers.where("year = 1996").withColumns({"title": F.concat("title", F.lit(" v2")), "processed": F.lit(False), "selected": F.lit(False), "isSeed": F.lit(False)})
     return ingest.upsert(c.papers, new)
 
 
 query("I1", f"SELECT {P_} FROM papers WHERE title IS NOT NULL")(lambda c: ingest.valid_papers(c.papers).select(*PAPER))
-query("I4", """SELECT "paperId", CASE WHEN year = 1993 THEN concat(title, ' v2') ELSE title END AS title, processed, "isSeed", selected FROM papers""")(lambda c: _upserted(c).select("paperId", "title", "processed", "isSeed", "selected"))
-query("I6", """SELECT DISTINCT "paperId", "authorId" FROM pa""")(lambda c: c.paper_author)
-query("I7", 'SELECT * FROM cites')(lambda c: c.citations_in)
-query("I8", 'SELECT * FROM refs')(lambda c: c.references)
+query("I4", """SELECT "paperId", CASE WHEN year = 1996 THEN concat(title, ' v2') ELSE title END AS title, processed, "isSeed", selected FROM papers""")(lambda c: _upserted(c).select("paperId", "title", "processed", "isSeed", "selected"))
 _GONE = """, gone AS (SELECT "paperId" FROM papers WHERE k % 13 = 0), r2 AS (SELECT * FROM refs WHERE "paperId" NOT IN (SELECT * FROM gone) AND "referencePaperId" NOT IN (SELECT * FROM gone)), c2 AS (SELECT * FROM cites WHERE "paperId" NOT IN (SELECT * FROM gone) AND "citingPaperId" NOT IN (SELECT * FROM gone)),
 p2 AS (SELECT * FROM papers WHERE "paperId" NOT IN (SELECT * FROM gone) AND "paperId" IN (SELECT "paperId" FROM r2 UNION SELECT "referencePaperId" FROM r2 UNION SELECT "paperId" FROM c2 UNION SELECT "citingPaperId" FROM c2))
 """
@@ -182,7 +175,6 @@ def _rounds(n: int) -> str:
 
 
 query("G4", _rounds(4))(lambda c: graph.centrality(_graph(c), 4, fixed=True).select("id", F.round("v", 6).alias("v")))
-query("G6")(lambda c: graph.property_graph(c.papers, c.references))
 _FORBIDDEN = """, fr AS (SELECT * FROM papers WHERE NOT selected AND NOT processed AND doi NOT IN (SELECT b FROM retr))
 """
 _frontier = lambda c: graph.frontier(c.papers, ingest.forbidden(ingest.retraction_hits(c.papers, c.retractions), True, True))
@@ -190,7 +182,6 @@ query("X1", _FORBIDDEN + 'SELECT "paperId" FROM fr')(lambda c: _frontier(c).sele
 query("X2", _FORBIDDEN + """SELECT "paperId", round(exp(-0.01 * (row_number() OVER (ORDER BY "paperId") - 1)), 6) AS threshold FROM fr""")(lambda c: graph.bypass_threshold(_frontier(c), 0.01).select("paperId", F.round("threshold", 6).alias("threshold")))
 _weighted = lambda c: graph.weights(_frontier(c).join(features.citation_counts(c.edges), "paperId", "left").select("paperId", "year", (F.col("citation_count") / 1000).alias("c_in"), F.lit(0.001).alias("c_out")), 0.1, 2000)
 query("X4", _FORBIDDEN + """, w AS (SELECT fr."paperId", exp(-0.1 * (2000 - year)) * greatest(coalesce(n / 1000.0, 1e-5 / ((SELECT count(*) FROM fr) + 1)), 0.001) AS w FROM fr LEFT JOIN cc USING ("paperId")) SELECT "paperId", round(w / (SELECT sum(w) FROM w), 9)::double AS weight FROM w""")(lambda c: _weighted(c).select("paperId", F.round("weight", 9).alias("weight")))
-query("X5")(lambda c: graph.sample(_weighted(c), 50, 7).select("paperId"))
 
 # --- temporal ------------------------------------------------------------------------------------
 
@@ -205,7 +196,6 @@ query("D3", "SELECT * FROM (VALUES (1992, 1993, '1992-1993'), (1994, 1994, '1994
 query("J12", _PER + """SELECT "paperId", label AS period FROM papers JOIN per ON year BETWEEN start_year AND end_year""")(lambda c: temporal.assign(c.papers, temporal.fixed_periods(c.papers, 2)).select("paperId", "period"))
 query("A17", _PER + "SELECT period, topic, round(share, 6)::double AS share FROM sh")(lambda c: _shares(c).select("period", "topic", F.round("share", 6).alias("share")))
 query("D5", _PER + """, tr AS (SELECT topic, arg_min(share, start_year) AS f, arg_max(share, start_year) AS l, count(*) AS n FROM sh GROUP BY 1) SELECT topic, n >= 2 AND CASE WHEN f > 0 THEN (l - f) / f >= 0.5 ELSE l > 0.1 END AS emerging, n >= 2 AND coalesce((f - l) / nullif(f, 0) >= 0.5, false) AS declining FROM tr""")(lambda c: temporal.trends(_shares(c)).select("topic", "emerging", "declining"))
-QUERIES["D6"], SQL["D6"] = QUERIES["D5"], SQL["D5"]
 query("A15", "SELECT year, topic, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY year), 6)::double AS share FROM papers WHERE year IS NOT NULL GROUP BY 1, 2")(lambda c: temporal.topic_years(c.papers).select("year", "topic", "n", F.round("share", 6).alias("share")))
 query("A16", ", n AS (SELECT topic, year, count(*) AS n FROM papers WHERE year IS NOT NULL GROUP BY 1, 2) SELECT topic, cast(sum(n) AS bigint) AS total, min(year) AS first_year, max(year) AS last_year, arg_max(year, n * 10000 - year) AS peak_year, max(n) AS peak FROM n GROUP BY 1")(lambda c: temporal.topic_activity(c.papers))
 query("A18", _PER + "SELECT topic, round(avg(share), 6)::double AS mean FROM sh GROUP BY 1 HAVING avg(share) >= 0.01")(lambda c: temporal.trends(_shares(c)).where("mean >= 0.01").select("topic", F.round("mean", 6).alias("mean")))
@@ -214,11 +204,7 @@ query("A18", _PER + "SELECT topic, round(avg(share), 6)::double AS mean FROM sh
 
 _docs = lambda c: c.table("documents").select("doc_id", "text")
 query("T1", "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '<jats:[^>]+>', '', 'g'), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}\\s]', '', 'g')) AS cleaned FROM documents")(lambda c: _docs(c).select("doc_id", F.md5(text.clean(F.col("text"))).alias("cleaned")))
-query("T2", "SELECT doc_id, coalesce(NOT contains(lower(text), 'none') AND length(text) >= 120, false) AS valid FROM documents")(lambda c: _docs(c).select("doc_id", text.valid(F.col("text")).alias("valid")))
 query("T5", """, w AS (SELECT "paperId" AS p, unnest(regexp_extract_all(lower(title), '\\b\\w\\w+\\b')) AS term FROM papers), tf AS (SELECT p, term, count(*) AS n FROM w GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), x AS (SELECT p, term, n * (ln((1.0 + (SELECT count(*) FROM papers)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)) SELECT p AS "paperId", term, round(w / sqrt(sum(w * w) OVER (PARTITION BY p)), 6) AS weight FROM x""")(lambda c: text.tf_idf(text.terms(c.papers, "title", "paperId"), "paperId", c.papers.count()).select("paperId", "term", F.round("weight", 6).alias("weight")))
-query("T11", """SELECT DISTINCT venue, trim(regexp_replace(lower(trim(venue)), '[^a-z0-9 ]', ' ', 'g')) AS cleaned FROM papers""")(lambda c: c.papers.select("venue", text.clean_venue(F.col("venue")).alias("cleaned")).distinct())
-query("T14")(lambda c: text.normalise_venue(c.papers.select("paperId", "venue"), "venue", c.spark.createDataFrame([("brand 11", "First Brand")], "alias string, canonical string")))
-query("T15")(lambda c: text.match_titles(c.papers.where("processed"), c.papers.where("selected"), block=10))
 query("T16", """SELECT e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_cosine_similarity(e.embedding::double[], q.embedding::double[]) DESC, vec_id LIMIT 10""")(lambda c: text.cosine_top(c.table("embeddings"), c.table("embeddings").where("vec_id = 0").first()["embedding"], 10).select("vec_id", F.round("cosine", 6).alias("cosine")))
 query("T17")(lambda c: text.linucb(c.table("embeddings"), c.table("embeddings").where("vec_id % 20 = 0").select("vec_id", (F.col("vec_id") % 2).cast("double").alias("reward"))))
 query("T18", """SELECT "paperId", len(list_filter(string_split_regex(title, '[,; ]'), lambda x: trim(x) <> '')) AS parts FROM papers""")(lambda c: c.papers.select("paperId", F.size(ids.split_authors(F.translate("title", " ", ","))).cast("bigint").alias("parts")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import ids
 from citeloom.operators import catalog, graph, ingest, temporal, text
 from citeloom.operators import predicates as P
-from citeloom.plans import catalogue
+from citeloom.plans import catalogue, more  # noqa: F401  more adds its queries to catalogue's
 
 SF = "/root/testdata/sf0.001"
 
@@ -129,9 +129,81 @@ def test_venues(spark):
     assert [r["venue_normal"] for r in text.normalise_venue(df, "venue", aliases).orderBy("venue").collect()] == ["Example Workshop", "TESTCONF"]
 
 
+def test_venues_go_through_all_nine_rules(spark):
+    want = {"IEEE: X": "x", "2020 Proceedings of X": "x", "X 2019": "x", "In: X": "x", "X 12(3)": "x", "X pp. 12-15": "x", "X (ITC)": "x", "Proc. X!!": "x", "  Springer -  A  &  B ": "a b", "1850 x": "x", "": "", "pages": "pages"}
+    df = spark.createDataFrame([(k,) for k in want] + [(None,)], "venue string")
+    assert {r[0]: r[1] for r in df.select("venue", text.clean_venue(F.col("venue"))).collect()} == want | {None: ""}
+
+
 def test_latex(spark):
-    df = spark.createDataFrame([("\\title{T}\\author{A}\\date{May 2020}\\begin{abstract}x\ny\\end{abstract}",)], "t string")
-    assert tuple(df.select(text.latex_fields(F.col("t")).alias("f")).select("f.*").first()) == ("T", "A", "x\ny", "2020")
+    from citeloom.sources import works
+
+    df = spark.createDataFrame([("\\title{T}\\author{A}\\date{May 2020}\\begin{abstract}x\ny\\end{abstract}",)], "text string")
+    got = df.select(works.latex().alias("f")).select("f.title", "f.authors", "f.year").first()
+    assert (got[0], list(got[1]), got[2]) == ("T", ["A"], 2020)
+
+
+def test_positions_over_many_partitions(spark):
+    """Every row keeps its position when its order is dealt over many partitions that are coalesced anew."""
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40"), spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:
+        got = graph.bypass_threshold(spark.range(0, 200_000, 1, 7).select(F.format_string("W%07d", "id").alias("paperId"), "id"), 0.001)
+        assert got.count() == 200_000 and got.where("position <> id").count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_topic_models(spark):
+    """Both models part two groups of documents without a word in common."""
+    from citeloom.operators import topics
+
+    a, b = "red green blue red blue".split(), "cat dog bird cat bird".split()
+    docs = spark.createDataFrame([(i, (a if i % 2 else b) + ((a if i % 2 else b)[i % 5 :])) for i in range(40)], "doc_id int, words array<string>")
+    found = {r.doc_id: r.topic for r in topics.lda(docs, 2, rounds=30)[0].collect()}
+    counts = docs.select(F.col("doc_id").alias("doc"), F.explode("words").alias("term")).groupBy("doc", "term").agg(F.count("*").cast("double").alias("weight"))
+    w, h = topics.nmf(counts, 2, 15)
+    other = {r.doc: r.topic for r in topics.largest(w, "doc", "w", 2).collect()}
+    for topic in (found, other):
+        assert len(topic) == 40 and len({topic[i] for i in range(0, 40, 2)}) == 1 and len(set(topic.values())) == 2
+    tops = topics.top_terms(h, 2, 3).collect()
+    assert {frozenset(r.term for r in tops if r.topic == t) for t in (0, 1)} == {frozenset(a), frozenset(b)}
+    assert topics.lda(docs.where("false"), 2)[0].count() == 0
+
+
+def test_recommender_against_plain_algebra(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(60, 4)), rng.integers(0, 2, 20).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id int, embedding array<double>").repartition(5)
+    got = {r.vec_id: r.score for r in text.linucb(df, spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "vec_id int, reward double")).collect()}
+    inv = np.linalg.inv(np.eye(4) + x[:20].T @ x[:20])
+    want = x @ inv @ (x[:20].T @ y) + np.sqrt(np.einsum("ij,jk,ik->i", x, inv, x))
+    assert sorted(got) == list(range(20, 60)) and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in got)
+
+
+def test_adaptive_periods_hold_enough(spark):
+    df = spark.createDataFrame([(y,) for y in (2020, 2020, 2021, 2022, 2023, 2024)], "year int")
+    assert [(r.start_year, r.end_year) for r in temporal.adaptive_periods(df, 2, 3).orderBy("start_year").collect()] == [(2020, 2021), (2022, 2024)]
+
+
+def test_evolution_says_what_is_missing(spark):
+    df = spark.createDataFrame([("a", 2020)] * 6, "topic string, year int")
+    periods = temporal.fixed_periods(df, 2)
+    for bad, word in ((df.limit(3), "few papers"), (df.withColumn("topic", F.lit(None).cast("string")), "topic"), (df.withColumn("year", F.lit(None).cast("int")), "year")):
+        with pytest.raises(ValueError, match=word):
+            temporal.evolution(bad, periods)
+
+
+def test_markdown_files(spark, tmp_path):
+    from citeloom.sources import markup
+
+    (tmp_path / "a.md").write_text("---\ntitle: 'A b'\nyear: 2020\n---\ntext")
+    (tmp_path / "b.md").write_text("no front matter")
+    (tmp_path / "c.txt").write_text("---\ntitle: x\n---\n")
+    assert [(r.file, r.fields) for r in markup.markdown_library(spark, str(tmp_path)).collect()] == [("a.md", {"title": "A b", "year": "2020"})]
 
 
 def test_files(spark, tmp_path):
