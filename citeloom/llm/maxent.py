@@ -6,17 +6,22 @@ P(class | history) and P(leaf | class, history), each a softmax over hashed feat
 history: the last leaf, the last two, and the leaves two and three back (skips). Within a leaf a
 word has its smoothed share of the counts; words never seen have as much as those seen once.
 
+Within a leaf that words share, features of whole words follow: each pair of a preceding word and a word that
+stands in the training texts twice or more has a weight of its own, in a softmax over the leaf's known pairs and
+one branch for the rest, where a word has its share. Their number grows with the corpus; they are
+kept and updated in the tasks that their hashes are dealt to, and never meet in one place.
+
 Training: each task runs minibatch gradient updates (AdaGrad) over all of its texts, and the
-tasks' weights are averaged, each feature by how often a task has seen it. Counts cover all training
-texts. The commonest words' counts travel with the model (a fixed number); the others' are joined.
+tasks' weights are averaged, each feature by how often a task has seen it; the next round starts from the
+average. Counts cover all training texts. The commonest words' counts travel with the model (a fixed number);
+the others' are joined.
 
 Defined results: a null text counts as empty: it has the end token alone; with nothing to train on,
-all words are unknown. Repeated rows are scored each; texts of any length are scored whole.
+all words are unknown. A word of a known pair is counted by the pair's branch alone, so that probabilities add up to one at the most. Repeated rows are scored each; texts of any length are scored whole.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +40,11 @@ EACH = LEAVES // CLASSES
 START = LEAVES
 #: Tokens of a minibatch, step size, rows of weights in a chunk.
 BATCH, STEP, CHUNK = 1 << 15, 0.5, 256
+#: Rounds of averaging.
+ROUNDS = 2
+#: Times that a pair must stand in the training texts, training tokens to a part of the pairs, tokens that a task gathers before it
+#: hands them out, updates of the pairs' weights and the precision of their prior.
+PAIRS, PART, GATHER, UPDATES, PRIOR = 2, 1 << 21, 1 << 20, 4, 0.1
 END = common._mix(np.array([0x5EED], np.uint64))[0]
 
 
@@ -107,10 +117,11 @@ def _softmax(w: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndar
     return z
 
 
-def _train(model: Model):
+def _train(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        w, acc, seen = np.zeros((2 * ROWS, CLASSES), np.float32), np.full((2 * ROWS, CLASSES), 1e-2, np.float32), np.zeros(2 * ROWS, np.float32)
+        w = np.zeros((2 * ROWS, CLASSES), np.float32) if m.weights is None else m.weights.copy()
+        acc, seen = np.full((2 * ROWS, CLASSES), 1e-2, np.float32), np.zeros(2 * ROWS, np.float32)
         b1, b2 = m.bias
         held: list[list[np.ndarray]] = []
 
@@ -200,7 +211,15 @@ def fit(docs: DataFrame, train: Column, *, text: str = "text") -> tuple[Model, D
 
     words = materialise(rows.mapInArrow(count, "h bigint, c bigint, e int").groupBy("h").agg(F.sum("c").alias("c"), F.min("e").alias("e")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("c"), "h").limit(KNOWN).toPandas()
+    # A histogram of counts in fixed steps tells which words are few enough to travel; no task sorts or sends more.
+    step = F.floor(32 * F.log2("c")).cast("int")
+    bins = sorted(((r["bin"], r["count"]) for r in words.groupBy(step.alias("bin")).count().collect()), reverse=True)  # 32 for each doubling
+    held, cut = 0, None
+    for at, n in bins:
+        if held + n > KNOWN:
+            break
+        held, cut = held + n, at
+    top = words.where(step >= (1 << 30 if cut is None else cut)).toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)  # KNOWN rows at the most
     single = np.full(len(top), -1)
     single[: SINGLES - 1] = np.arange(min(len(top), SINGLES - 1))
     h = top["h"].to_numpy(np.int64).view(np.uint64)
@@ -232,16 +251,125 @@ def fit(docs: DataFrame, train: Column, *, text: str = "text") -> tuple[Model, D
     by_class = np.zeros((CLASSES, EACH))
     by_class[model.place // EACH, model.place % EACH] = leaf_n
     model.bias = np.log(by_class.sum(1) / by_class.sum()).astype(np.float32), np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32)
-    run, add = _train(spark.sparkContext.broadcast(model))
-    got = rows.mapInArrow(run, "chunk int, w binary, n binary").groupBy("chunk").applyInArrow(add, "chunk int, w binary").collect()  # 2 * ROWS / CHUNK rows
-    model.weights = np.zeros((2 * ROWS, CLASSES), np.float32)
-    for r in got:
-        model.weights[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["w"], np.float32).reshape(CHUNK, CLASSES)
+    for _ in range(ROUNDS):
+        run, add = _train(spark.sparkContext.broadcast(model))
+        got = rows.mapInArrow(run, "chunk int, w binary, n binary").groupBy("chunk").applyInArrow(add, "chunk int, w binary").collect()  # 2 * ROWS / CHUNK rows
+        weights = np.zeros((2 * ROWS, CLASSES), np.float32)
+        for r in got:
+            weights[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["w"], np.float32).reshape(CHUNK, CLASSES)
+        model.weights = weights
     return model, words.select("h", "c")
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame, *, text: str = "text") -> DataFrame:
-    """docs without the text, with n_tokens, n_known, train_tokens, base_score and score (log10)."""
+# --- features of pairs of words ------------------------------------------------------------------
+
+_PAIR_FIELDS = "part int, d1 array<bigint>, d2 array<bigint>, train array<boolean>, doc binary, prev binary, w binary, e binary"
+
+
+def _hand_out(model, parts: int):
+    """Rows of tokens of shared leaves, dealt by the preceding word and the leaf: each part has the texts' ids and, packed, each
+    token's text, preceding word, own hash and leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        texts: list[list[np.ndarray]] = []
+        tokens = docs = 0
+
+        def flush() -> pa.RecordBatch:
+            doc, prev, w, e = (np.concatenate([x[i] for x in held]) for i in range(4))
+            d1, d2, train = (np.concatenate([x[i] for x in texts]) for i in range(3))
+            part = (common._mix(prev.astype(np.uint64) * np.uint64(ENDINGS) + e) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            doc, prev, w, e, part = doc[order], prev[order], w[order], e[order], part[order]
+            cut = np.concatenate([np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), [len(part)]])
+            rows = []
+            for a, b in zip(cut, cut[1:]):
+                own, at = np.unique(doc[a:b], return_inverse=True)
+                rows.append((int(part[a]), d1[own], d2[own], train[own], at.astype(np.uint32).tobytes(), prev[a:b].tobytes(), w[a:b].tobytes(), e[a:b].tobytes()))
+            kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["part", "d1", "d2", "train", "doc", "prev", "w", "e"])
+
+        for batch in common.small_batches(batches, "__text"):
+            h, ending, ptr = _stream(batch.column("__text"))
+            _, leaf = model.value.look(h, ending)
+            before = np.concatenate([[END], h[:-1]])[: len(h)]
+            before[ptr[:-1]] = END  # a text begins after an end
+            on = np.flatnonzero(leaf >= SINGLES)
+            text = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+            held.append([(text[on] + docs).astype(np.uint32), (before[on] >> np.uint64(32)).astype(np.uint32), h[on], (leaf[on] - SINGLES).astype(np.uint8)])
+            texts.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("d1", "d2", "train")])
+            tokens, docs = tokens + len(on), docs + batch.num_rows
+            if tokens >= GATHER:
+                yield flush()
+                held, texts, tokens, docs = [], [], 0, 0
+        if tokens:
+            yield flush()
+
+    return run
+
+
+def pair_weights(group: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weight of each pair, normaliser of each group) of pairs' groups and counts and the groups' tokens: gradient updates
+    (by their own curvature) of a softmax over a group's pairs and the rest, which counts as one more than what is left and
+    half a token for each pair."""
+    groups = len(total)
+    rest = total - np.bincount(group, n, groups) + 0.5 * np.bincount(group, minlength=groups) + 1
+    whole = rest + np.bincount(group, n, groups)
+    theta = np.log(n / rest[group])
+    for _ in range(UPDATES):
+        p = np.exp(theta) / (1 + np.bincount(group, np.exp(theta), groups))[group]
+        theta = theta + (n - whole[group] * p - PRIOR * theta) / (whole[group] * p * (1 - p) + PRIOR)
+    return theta, 1 + np.bincount(group, np.exp(theta), groups)
+
+
+def _weigh(model):
+    """Learns a part's pair weights from its training tokens and gives, for each text, what they add to its score; h: the words
+    whose shares they replace, as far as their counts don't travel with the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        ids, cols, docs = [], [], 0
+        for batch in batches:
+            for r in range(batch.num_rows):
+                d1, d2, train = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("d1", "d2", "train"))
+                doc, prev, w, e = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("doc", np.uint32), ("prev", np.uint32), ("w", np.uint64), ("e", np.uint8)))
+                ids.append((d1, d2))
+                cols.append((doc.astype(np.int64) + docs, prev.astype(np.int64) * ENDINGS + e, w, train[doc]))
+                docs += len(d1)
+        doc, key, w, train = (np.concatenate(x) for x in zip(*cols))
+        order = np.lexsort((w, key))
+        doc, key, w, train = doc[order], key[order], w[order], train[order]
+        new_group = np.concatenate([[True], key[1:] != key[:-1]])
+        new_pair = new_group | np.concatenate([[True], w[1:] != w[:-1]])
+        group, pair = np.cumsum(new_group) - 1, np.cumsum(new_pair) - 1
+        first = np.flatnonzero(new_pair)
+        n, total = np.bincount(pair, train), np.bincount(group, train)
+        known = np.flatnonzero(n >= PAIRS)
+        theta, z = pair_weights(group[first[known]], n[known], total)
+        at = np.full(len(first), -1)
+        at[known] = np.arange(len(known))
+        at = at[pair]
+        add = -np.log10(z)[group]
+        has = np.flatnonzero(at >= 0)
+        leaf = (key[has] % ENDINGS).astype(np.int64)
+        add[has] += theta[at[has]] / np.log(10) + np.log10(m.mass)[leaf]
+        place = np.minimum(np.searchsorted(m.known, w[has]), max(len(m.known) - 1, 0))
+        travels = m.known[place] == w[has] if len(m.known) else np.zeros(len(has), bool)
+        add[has[travels]] -= np.log10(m.count[place[travels]] + 1.0)
+        other = has[~travels]
+        sums = np.bincount(doc, add, docs)
+        other = other[np.argsort(doc[other], kind="stable")]
+        cut = np.searchsorted(doc[other], np.arange(docs + 1))
+        lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(w[other].view(np.int64)))
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in ids])), pa.array(np.concatenate([x[1] for x in ids])), pa.array(sums), lists], names=["d1", "d2", "add", "h"])
+        yield out.filter(pa.array((sums != 0) | (np.diff(cut) > 0)))
+
+    return run
+
+
+def score(docs: DataFrame, model: Model, words: DataFrame, *, train: Column | None = None, text: str = "text") -> DataFrame:
+    """docs without the text, with n_tokens, n_known, train_tokens, base_score and score (log10). train: the rows that pairs of
+    words are learned from (those that the model was fitted on); none without it."""
     names = [c for c in docs.columns if c not in (text, "n_tokens", "n_known", "train_tokens", "base_score", "score")]
     fields = [docs.schema[c] for c in names]
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -269,15 +397,30 @@ def score(docs: DataFrame, model: Model, words: DataFrame, *, text: str = "text"
             other = np.flatnonzero(at < 0)  # words whose counts are joined
             cut = np.searchsorted(other, ptr)
             lists = lambda x, t: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, t))
-            yield pa.RecordBatch.from_arrays([*[batch.column(f"__{i}") for i in range(len(names))], pa.array([uuid.uuid4().int >> 65 for _ in range(batch.num_rows)], pa.int64()), pa.array(np.diff(ptr), pa.int64()), pa.array(add((at >= 0).astype(np.int64)), pa.int64()), pa.array(add(base)), pa.array(add(own)), lists(h[other].view(np.int64), pa.int64()), lists(leaf[other] - SINGLES, pa.int16())], names=[*[f"c{i}" for i in range(len(names))], "row", "n_tokens", "n_known", "base", "own", "h", "e"])
-
-    source = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)] + ["row bigint, n_tokens bigint, n_known bigint, base double, own double, h array<bigint>, e array<smallint>"])
-    rows = materialise(source.mapInArrow(run, schema), "scored")
-    rare = rows.select("row", F.explode(F.arrays_zip("h", "e")).alias("x")).select("row", "x.h", "x.e")
-    unseen = F.lit([float(x) for x in np.log10(model.unseen)])
-    joined = rare.join(words, "h", "left").groupBy("row").agg(F.count("c").alias("n"), F.sum(F.coalesce(F.log10(F.col("c") + 1.0), F.lit(0.0))).alias("base_more"), F.sum(F.coalesce(F.log10(F.col("c") + 1.0), F.get(unseen, F.col("e").cast("int")))).alias("own_more"))
-    out = rows.drop("h", "e").join(joined, "row", "left")
+            yield pa.RecordBatch.from_arrays([*[batch.column(f"__{i}") for i in range(len(names))], batch.column("d1"), batch.column("d2"), pa.array(np.diff(ptr), pa.int64()), pa.array(add((at >= 0).astype(np.int64)), pa.int64()), pa.array(add(base)), pa.array(add(own)), lists(h[other].view(np.int64), pa.int64()), lists(leaf[other] - SINGLES, pa.int16())], names=[*[f"c{i}" for i in range(len(names))], "d1", "d2", "n_tokens", "n_known", "base", "own", "h", "e"])
+
+    # Rows that repeat all of their columns have one pair of ids; what is added to it is shared out again.
+    every = [F.col(f"`{c}`") for c in [*names, text]]
+    learned = F.coalesce(train, F.lit(False)) if train is not None else F.lit(False)
+    source = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("__text"), F.xxhash64(F.lit(1), *every).alias("d1"), F.xxhash64(F.lit(2), *every).alias("d2"), learned.alias("train"))
+    schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)] + ["d1 bigint, d2 bigint, n_tokens bigint, n_known bigint, base double, own double, h array<bigint>, e array<smallint>"])
+    rows = materialise(source.drop("train").mapInArrow(run, schema), "scored")
     zero = F.lit(0.0)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "n_tokens", (F.col("n_known") + F.coalesce("n", F.lit(0))).alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"),
-                      (F.col("base") + F.coalesce("base_more", zero) - F.col("n_tokens") * F.lit(float(np.log10(model.total + model.distinct + 1.0)))).alias("base_score"), (F.col("own") + F.coalesce("own_more", zero)).alias("score"))
+    rare = rows.select("d1", "d2", F.explode(F.arrays_zip("h", "e")).alias("x")).select("d1", "d2", "x.h", "x.e", F.lit(1).alias("sign"))
+    if train is not None:
+        parts = max(8, -(-model.total // PART))
+        pairs = source.select("__text", "d1", "d2", "train").mapInArrow(_hand_out(shared, parts), _PAIR_FIELDS)
+        pairs = materialise(pairs.groupBy("part").applyInArrow(_weigh(shared), "d1 bigint, d2 bigint, add double, h array<bigint>"), "pairs")
+        rare = rare.unionByName(pairs.select("d1", "d2", F.explode("h").alias("h"), F.lit(0).cast("smallint").alias("e"), F.lit(-1).alias("sign")))
+    unseen = F.lit([float(x) for x in np.log10(model.unseen)])
+    own = F.col("sign") > 0
+    more = rare.join(words, "h", "left").select("d1", "d2", F.when(own & F.col("c").isNotNull(), 1).otherwise(0).alias("n"), F.when(own, F.coalesce(F.log10(F.col("c") + 1.0), zero)).otherwise(zero).alias("base_more"),
+                                               (F.col("sign") * F.coalesce(F.log10(F.col("c") + 1.0), F.get(unseen, F.col("e").cast("int")))).alias("own_more"), F.lit(0).alias("copies"))
+    more = more.unionByName(rows.select("d1", "d2", F.lit(0).alias("n"), zero.alias("base_more"), zero.alias("own_more"), F.lit(1).alias("copies")))
+    if train is not None:
+        more = more.unionByName(pairs.select("d1", "d2", F.lit(0).alias("n"), zero.alias("base_more"), F.col("add").alias("own_more"), F.lit(0).alias("copies")))
+    joined = more.groupBy("d1", "d2").agg(F.sum("n").alias("n"), F.sum("base_more").alias("base_more"), F.sum("own_more").alias("own_more"), F.sum("copies").alias("copies"))
+    out = rows.drop("h", "e").join(joined, ["d1", "d2"])
+    share = lambda c: F.col(c) / F.col("copies")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "n_tokens", (F.col("n_known") + share("n").cast("bigint")).alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"),
+                      (F.col("base") + share("base_more") - F.col("n_tokens") * F.lit(float(np.log10(model.total + model.distinct + 1.0)))).alias("base_score"), (F.col("own") + share("own_more")).alias("score"))

@@ -54,7 +54,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn int, role string, text string")
+    own = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(-1).alias("conv_id"), F.lit(i).alias("turn"), F.lit(role).alias("role"), F.lit(odd).alias("text")) for i, role in enumerate(("user", "assistant"))])))
     own = own.select(*[F.col(c).cast(t) for c, t in rows.dtypes])
     made = chat.format_conversations(rows.unionByName(own))
     said = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
@@ -92,4 +92,4 @@ def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     test = common.held_out(F.col("doc_id"), 7, 2)
     model, words = maxent.fit(docs, ~test)
-    return maxent.score(docs.select("doc_id", test.alias("held_out"), "text"), model, words)
+    return maxent.score(docs.select("doc_id", test.alias("held_out"), "text"), model, words, train=~test)

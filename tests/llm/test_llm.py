@@ -112,6 +112,57 @@ def test_maxent_against_plain_counts(spark, texts):
     assert better > 0  # the histories help on texts not learned from
 
 
+def test_maxent_against_a_plain_model(spark, docs):
+    """Scores from the fitted weights, token by token: leaf by class and history, then pair, rest and share of the leaf."""
+    test = common.held_out(F.col("doc_id"), 7, 2)
+    few = docs.where("length(text) < 3000").unionAll(docs.where("doc_id % 20 = 0 and length(text) < 3000").withColumn("doc_id", F.col("doc_id") + 100_000)).select("doc_id", "text")
+    model, counts = maxent.fit(few, ~test)
+    got = {r.doc_id: r for r in maxent.score(few, model, counts, train=~test).collect()}
+    plain = {r.doc_id: r for r in maxent.score(few, model, counts).collect()}
+    count = {np.uint64(r.h & (2**64 - 1)): r.c for r in counts.collect()}
+    texts, pairs, groups = {r.doc_id: r.text for r in few.collect()}, Counter(), Counter()
+    leaf_of = {}
+    for k, t in texts.items():
+        h, ending, _ = maxent._stream(pa.array([t]))
+        leaf = model.look(h, ending)[1]
+        leaf_of[k] = h, leaf
+        for p, w, x in zip([maxent.END, *h[:-1]], h, leaf):
+            if x >= maxent.SINGLES and not held(k, 7, 2):
+                pairs[p, x, w] += 1
+                groups[p, x] += 1
+    known = {}
+    for (p, x, w), n in pairs.items():
+        if n >= maxent.PAIRS:
+            known.setdefault((p, x), {})[w] = n
+    fitted = {}
+    for g, ns in known.items():
+        theta, z = maxent.pair_weights(np.zeros(len(ns), int), np.array(list(ns.values()), float), np.array([groups[g]], float))
+        fitted[g] = dict(zip(ns, theta)), z[0]
+        p = np.exp(theta) / z[0]
+        assert p.sum() < 1 and np.allclose(p, np.array(list(ns.values())) / (groups[g] + 0.5 * len(ns) + 1), rtol=0.25)
+    for k, (h, leaf) in list(leaf_of.items())[:60] + [(k, v) for k, v in leaf_of.items() if k >= 100_000]:
+        total, back = 0.0, [maxent.START] * 3
+        for i, (w, x) in enumerate(zip(h, leaf)):
+            place = model.place[x]
+            cls, member = np.array([place // maxent.EACH]), place % maxent.EACH
+            f = maxent._features(*[np.array([b], np.int64) for b in back])
+            total += math.log10(maxent._softmax(model.weights, f, model.bias[0])[0, cls[0]]) + math.log10(maxent._softmax(model.weights, maxent._member_rows(f, cls), model.bias[1][cls])[0, member])
+            if x >= maxent.SINGLES:
+                own, z = fitted.get((h[i - 1] if i else maxent.END, x), ({}, 1.0))
+                share = math.log10((count[w] + 1 if w in count else model.unseen[x - maxent.SINGLES]) / model.mass[x - maxent.SINGLES])
+                total += (own[w] / math.log(10) if w in own else share) - math.log10(z)
+            back = [x, *back[:2]]
+        assert math.isclose(got[k].score, total, rel_tol=1e-4, abs_tol=1e-3)
+    # Texts that the training texts hold twice are told from others by the pairs.
+    twice = [k for k in texts if k < 100_000 and k + 100_000 in texts and not held(k, 7, 2) and not held(k + 100_000, 7, 2) and got[k].n_tokens > 20]
+    once = [k for k in texts if k < 100_000 and k + 100_000 not in texts and got[k].n_tokens > 20]
+    gain = lambda ks: np.array([(got[k].score - plain[k].score) / got[k].n_tokens for k in ks])
+    assert len(twice) >= 3 and np.median(gain(twice)) > np.quantile(gain(once), 0.8)
+    # On held-out texts the model beats the base on known words too.
+    part = [k for k in texts if held(k, 7, 2) and got[k].n_tokens == got[k].n_known]
+    assert sum(got[k].score - got[k].base_score for k in part) > 0
+
+
 def test_maxent_is_a_distribution(docs):
     """The probabilities of all known words and of the unseen ones sum to one after any history."""
     model, counts = maxent.fit(docs.limit(60), F.lit(True))
