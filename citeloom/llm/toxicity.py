@@ -4,7 +4,8 @@ Examples are a bounded sample of labelled texts, each with all of its words; doc
 IDF are counted over all texts. A word's entry is (1 + ln tf) * idf * (1 + sqrt(chi)), chi being the
 corrected chi-squared of its presence and the label over the sample: no word is left out, and those
 that say more about the label weigh more. The examples lie in an inverted index in blocks; a block whose
-largest possible cosine is under the k-th best so far is not opened, so the k nearest are exact. Votes
+largest possible cosine is under the k-th best so far is not opened, so the k nearest are exact. Words that many
+examples hold are multiplied as one dense matrix for a batch of texts before the blocks' bounds are taken. Votes
 weighted by cosine are calibrated by isotonic regression over the examples themselves, each left
 out of its own vote; this runs as a Spark job.
 
@@ -29,7 +30,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from citeloom.llm import common
 
 #: Examples of each label, about; nearest examples; texts in a block of the index; blocks opened first.
-SAMPLE, NEAREST, BLOCK, FIRST = 3000, 25, 64, 4
+SAMPLE, NEAREST, BLOCK, FIRST = 3000, 25, 128, 2
+#: A word is common if this share of the examples holds it; texts whose common words are multiplied at once.
+COMMON, TOGETHER = 1 / 32, 128
 #: Weight of the prior in a vote.
 PRIOR = 0.5
 
@@ -60,15 +63,40 @@ class Index:
         size = [len(at) for at, _ in self.rows]
         word = np.concatenate([*[at for at, _ in self.rows], np.zeros(0, np.int64)])
         order = np.argsort(word, kind="stable")
-        word, self.example = word[order], np.repeat(np.arange(len(size)), size)[order]
+        word, self.example = word[order], np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
         self.entry = np.concatenate([*[v for _, v in self.rows], np.zeros(0)])[order]
         block = self.example // BLOCK
         fresh = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (block[1:] != block[:-1])])) if len(word) else np.zeros(0, np.int64)
-        self.start = np.append(fresh, len(word))
-        self.block, self.most = block[fresh], np.maximum.reduceat(self.entry, fresh) if len(fresh) else np.zeros(0)
-        self.first = np.searchsorted(word[fresh], np.arange(len(self.words) + 1))
+        self.start = np.append(fresh, len(word)).astype(np.int32)
+        self.block, self.most = block[fresh].astype(np.int16), np.maximum.reduceat(self.entry, fresh) if len(fresh) else np.zeros(0)
+        self.first = np.searchsorted(word[fresh], np.arange(len(self.words) + 1)).astype(np.int32)
         return self
 
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each common word or -1, their entries by example); made once in each worker."""
+        if (made := self.__dict__.get("_dense")) is None:
+            n = self.start[self.first[1:]] - self.start[self.first[:-1]]
+            common_words = np.flatnonzero(n > COMMON * len(self.label))
+            row = np.full(len(self.words), -1)
+            row[common_words] = np.arange(len(common_words))
+            d = np.zeros((len(common_words), len(self.label)))
+            e = _ranges(self.start[self.first[common_words]].astype(np.int64), n[common_words])
+            d[np.repeat(np.arange(len(common_words)), n[common_words]), self.example[e]] = self.entry[e]
+            made = self.__dict__["_dense"] = row, d
+        return made
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_dense"}
+
+    def partly(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common words give to the cosine of each text and example."""
+        row, d = self.dense()
+        q = np.zeros((len(vectors), len(d)))
+        for i, (at, v) in enumerate(vectors):
+            r = row[at]
+            q[i, r[r >= 0]] = v[r >= 0]
+        return q @ d
+
     def vector(self, h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and normalised entries of the examples' words among hashes h (n: how often each)."""
         if not len(self.words):
@@ -82,24 +110,27 @@ class Index:
         norm = np.sqrt((v * v).sum())
         return at, v / norm if norm else v
 
-    def nearest(self, at: np.ndarray, v: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k examples with the largest cosines over 0, exactly: (cosine, example)."""
+    def nearest(self, at: np.ndarray, v: np.ndarray, k: int, part: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The k examples with the largest cosines over 0, exactly: (cosine, example). part: what partly gives for the text."""
+        cos = (self.partly([(at, v)])[0] if part is None else part).copy()
+        rare = self.dense()[0][at] < 0
+        at, v = at[rare], v[rare]
         n = self.first[at + 1] - self.first[at]
         runs, w = _ranges(self.first[at], n), np.repeat(v, n)
         block = self.block[runs]
-        bound = np.bincount(block, self.most[runs] * w, -(-len(self.label) // BLOCK))
-        order, cos, done, step, kth = np.argsort(-bound, kind="stable"), np.zeros(len(self.label)), 0, FIRST, 0.0
-        while done < len(order) and bound[order[done]] > max(kth - 1e-9, 0.0):
+        bound = np.bincount(block, self.most[runs] * w, -(-len(self.label) // BLOCK)) + np.maximum.reduceat(cos, np.arange(0, len(cos), BLOCK))
+        order, kth = np.argsort(-bound, kind="stable"), 0.0
+        for part in (order[:FIRST], order[FIRST:]):  # then all others that the k-th best so far does not rule out
             chosen = np.zeros(len(bound), bool)
-            part = order[done : done + step]
-            chosen[part[bound[part] > max(kth - 1e-9, 0.0)]] = True
+            chosen[part] = bound[part] > max(kth - 1e-9, 0.0)
+            if not chosen.any():
+                break
             on = chosen[block]
             a = self.start[runs[on]]
             m = self.start[runs[on] + 1] - a
             e = _ranges(a, m)
             cos += np.bincount(self.example[e], self.entry[e] * np.repeat(w[on], m), len(cos))
             kth = float(np.partition(cos, len(cos) - k)[len(cos) - k]) if len(cos) > k else 0.0
-            done, step = done + step, 2 * step
         i = np.flatnonzero((cos > 0) & (cos >= kth))
         i = i[np.lexsort((i, -cos[i]))[:k]]
         return list(zip(cos[i].tolist(), i.tolist()))
@@ -111,10 +142,9 @@ class Index:
             yes += c * self.weight[i] * self.label[i]
         return yes / total
 
-    def own_vote(self, i: int) -> float:
-        """The vote on an example by the others; -1 where it has no word."""
-        at, v = self.rows[i]
-        return self.vote([x for x in self.nearest(at, v, NEAREST + 1) if x[1] != i][:NEAREST]) if len(at) else -1.0
+    def own_vote(self, i: int, at: np.ndarray, v: np.ndarray, part: np.ndarray | None = None) -> float:
+        """The vote on example i by the others; -1 where it has no word."""
+        return self.vote([x for x in self.nearest(at, v, NEAREST + 1, part) if x[1] != i][:NEAREST]) if len(at) else -1.0
 
     def calibrate(self, raw: np.ndarray) -> Index:
         """Isotonic steps (pooled adjacent violators) from the examples' own votes to their labels."""
@@ -130,8 +160,8 @@ class Index:
         self.steps = np.array([b[0] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
         return self
 
-    def score(self, at: np.ndarray, v: np.ndarray) -> tuple[float, list[int], list[float]]:
-        near = self.nearest(at, v, NEAREST) if len(at) else []
+    def score(self, at: np.ndarray, v: np.ndarray, part: np.ndarray | None = None) -> tuple[float, list[int], list[float]]:
+        near = self.nearest(at, v, NEAREST, part) if len(at) else []
         raw = self.vote(near) if len(at) else -1.0
         k = max(0, int(np.searchsorted(self.steps[0], raw, "right")) - 1)
         return float(self.steps[1][k]), [i for _, i in near[:3]], [round(c, 6) for c, _ in near[:3]]
@@ -170,11 +200,16 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, key: str = "doc_id
     chosen = F.broadcast(known.where(common.rate_filter(F.col(key), share)))
     rows = docs.where(train).select(key, F.coalesce(text, F.lit("")).alias("__text")).join(chosen, key).groupBy(F.col(key).alias("key")).agg(F.min("__text").alias("__text"), F.first("__y").alias("y"))
     kind = dict(docs.dtypes)[key]
-    got = rows.mapInArrow(_counted, f"key {kind}, y {dict(marks.dtypes)['__y']}, h array<bigint>, n array<bigint>").collect()  # about 2 * sample rows of word hashes
-    sets = {r["key"]: (np.array(r["h"], np.int64).view(np.uint64), np.array(r["n"])) for r in got}
-    y_of = {r["key"]: float(r["y"] > 0) for r in got}
-    words = np.unique(np.concatenate([*[h for h, _ in sets.values()], np.zeros(0, np.uint64)]))
-    weight = np.array([max(1.0, counts[r["y"]] / sample) for r in got])
+    examples = common.materialise(rows.mapInArrow(_counted, f"key {kind}, y {dict(marks.dtypes)['__y']}, h array<bigint>, n array<bigint>"), "examples")
+    got = examples.toArrow()  # about 2 * sample rows of word hashes
+    flat = {c: got[c].combine_chunks() for c in ("h", "n")}
+    off = flat["h"].offsets.to_numpy() if got.num_rows else np.zeros(1, np.int32)
+    hashes, times = (flat[c].values.to_numpy() if got.num_rows else np.zeros(0, np.int64) for c in ("h", "n"))
+    sets = {k: (hashes[a:b].view(np.uint64), times[a:b]) for k, a, b in zip(got["key"].to_pylist(), off, off[1:])}
+    marked = got["y"].to_pylist()
+    y_of = dict(zip(sets, (float(y > 0) for y in marked)))
+    words = np.unique(hashes.view(np.uint64))
+    weight_of = dict(zip(sets, (max(1.0, counts[y] / sample) for y in marked)))
 
     shared_words = spark.sparkContext.broadcast(words)
 
@@ -200,23 +235,27 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, key: str = "doc_id
     scale = idf * relevance([places[k] for k in keys], np.array([y_of[k] for k in keys]), len(words))
     # Examples with the same heaviest word lie side by side, which makes a block's bounds tight.
     heaviest = {k: int(places[k][np.argmax((1 + np.log(sets[k][1])) * scale[places[k]])]) if len(places[k]) else -1 for k in keys}
-    weight_of = {r["key"]: w for r, w in zip(got, weight)}
     keys.sort(key=lambda k: (heaviest[k], k))
     y, weight = np.array([y_of[k] for k in keys]), np.array([weight_of[k] for k in keys])
     index = Index(words, scale, y, weight, [], float((weight * y).sum() / weight.sum()) if len(y) else 0.0)
     index.rows = [index.vector(*sets[k]) for k in keys]
     index.build()
     if keys:
-        shared = spark.sparkContext.broadcast(index)
+        shared = spark.sparkContext.broadcast((replace(index, rows=[]), {k: i for i, k in enumerate(keys)}))
 
         def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, place = shared.value
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.own_vote(i) for i in batch.column(0).to_pylist()], pa.float64())], names=["id", "vote"])
+                at = [place[k] for k in batch.column("key").to_pylist()]
+                vectors = (own.vector(h.values.to_numpy().view(np.uint64), n.values.to_numpy()) for h, n in zip(batch.column("h"), batch.column("n")))
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([own.own_vote(i, *v) for i, v in zip(at, vectors)], pa.float64())], names=["id", "vote"])
 
         raw = np.zeros(len(keys))
-        for r in spark.range(len(keys)).mapInArrow(votes, "id bigint, vote double").collect():
+        for r in examples.repartition(spark.sparkContext.defaultParallelism).mapInArrow(votes, "id bigint, vote double").collect():
             raw[r["id"]] = r["vote"]
+        shared.destroy()
         index.calibrate(raw)
+        index.rows = []
     return index, keys
 
 
@@ -233,8 +272,10 @@ def score(docs: DataFrame, index: Index, keys: list, *, text: str = "text", key:
         own, ids = shared.value
         for batch in common.small_batches(batches, "__text"):
             scores, who, cos = [], [], []
-            for h in _hashes(batch.column("__text")):
-                got = own.score(*own.vector(h))
+            vectors = [own.vector(h) for h in _hashes(batch.column("__text"))]
+            cuts = [vectors[a : a + TOGETHER] for a in range(0, len(vectors), TOGETHER)]
+            for at, v, part in ((*x, p) for some in cuts for x, p in zip(some, own.partly(some))):
+                got = own.score(at, v, part)
                 scores.append(got[0]), who.append([ids[i] for i in got[1]]), cos.append(got[2])
             yield pa.RecordBatch.from_arrays([*[batch.column(f"__{i}") for i in range(len(names))], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(who, pa.list_(arrow)), pa.array(cos, pa.list_(pa.float64()))], names=[*names, *made])
 
