@@ -6,7 +6,7 @@ P(class | history) and P(leaf | class, history), each a softmax over hashed feat
 history: the last leaf, the last two, and the leaves two and three back (skips). Within a leaf a
 word has its smoothed share of the counts; words never seen have as much as those seen once.
 
-Within a leaf that words share, features of whole words follow: each pair of a preceding word and a word that
+Within a leaf that words share, features of whole words follow: each pair of neighbouring words of shared leaves that
 stands in the training texts twice or more has a weight of its own, in a softmax over the leaf's known pairs and
 one branch for the rest, where a word has its share. Their number grows with the corpus; they are
 kept and updated in the tasks that their hashes are dealt to, and never meet in one place.
@@ -44,7 +44,7 @@ BATCH, STEP, CHUNK = 1 << 15, 0.5, 256
 ROUNDS = 2
 #: Times that a pair must stand in the training texts, training tokens to a part of the pairs, tokens that a task gathers before it
 #: hands them out, updates of the pairs' weights and the precision of their prior.
-PAIRS, PART, GATHER, UPDATES, PRIOR = 2, 1 << 21, 1 << 20, 4, 0.1
+PAIRS, PART, GATHER, UPDATES, PRIOR = 2, 1 << 23, 1 << 20, 4, 0.1
 END = common._mix(np.array([0x5EED], np.uint64))[0]
 
 
@@ -267,7 +267,8 @@ _PAIR_FIELDS = "part int, d1 array<bigint>, d2 array<bigint>, train array<boolea
 
 
 def _hand_out(model, parts: int):
-    """Rows of tokens of shared leaves, dealt by the preceding word and the leaf: each part has the texts' ids and, packed, each
+    """Rows of tokens of shared leaves that follow another such, dealt by the preceding word and the leaf (so that no
+    part is large, as none of these words is common): each part has the texts' ids and, packed, each
     token's text, preceding word, own hash and leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +286,7 @@ def _hand_out(model, parts: int):
             rows = []
             for a, b in zip(cut, cut[1:]):
                 own, at = np.unique(doc[a:b], return_inverse=True)
-                rows.append((int(part[a]), d1[own], d2[own], train[own], at.astype(np.uint32).tobytes(), prev[a:b].tobytes(), w[a:b].tobytes(), e[a:b].tobytes()))
+                rows.append((int(part[a]), d1[own], d2[own], train[own], at.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes(), prev[a:b].tobytes(), w[a:b].tobytes(), e[a:b].tobytes()))
             kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["part", "d1", "d2", "train", "doc", "prev", "w", "e"])
 
@@ -293,13 +294,15 @@ def _hand_out(model, parts: int):
             h, ending, ptr = _stream(batch.column("__text"))
             _, leaf = model.value.look(h, ending)
             before = np.concatenate([[END], h[:-1]])[: len(h)]
-            before[ptr[:-1]] = END  # a text begins after an end
-            on = np.flatnonzero(leaf >= SINGLES)
+            shared = leaf >= SINGLES
+            follows = np.concatenate([[False], shared[:-1]])[: len(h)]
+            follows[ptr[:-1]] = False
+            on = np.flatnonzero(shared & follows)
             text = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
             held.append([(text[on] + docs).astype(np.uint32), (before[on] >> np.uint64(32)).astype(np.uint32), h[on], (leaf[on] - SINGLES).astype(np.uint8)])
             texts.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("d1", "d2", "train")])
             tokens, docs = tokens + len(on), docs + batch.num_rows
-            if tokens >= GATHER:
+            if tokens >= GATHER or docs >= 50_000:
                 yield flush()
                 held, texts, tokens, docs = [], [], 0, 0
         if tokens:
@@ -332,7 +335,8 @@ def _weigh(model):
         for batch in batches:
             for r in range(batch.num_rows):
                 d1, d2, train = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("d1", "d2", "train"))
-                doc, prev, w, e = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("doc", np.uint32), ("prev", np.uint32), ("w", np.uint64), ("e", np.uint8)))
+                kind = np.uint16 if len(d1) <= 1 << 16 else np.uint32
+                doc, prev, w, e = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("doc", kind), ("prev", np.uint32), ("w", np.uint64), ("e", np.uint8)))
                 ids.append((d1, d2))
                 cols.append((doc.astype(np.int64) + docs, prev.astype(np.int64) * ENDINGS + e, w, train[doc]))
                 docs += len(d1)

@@ -126,8 +126,8 @@ def test_maxent_against_a_plain_model(spark, docs):
         h, ending, _ = maxent._stream(pa.array([t]))
         leaf = model.look(h, ending)[1]
         leaf_of[k] = h, leaf
-        for p, w, x in zip([maxent.END, *h[:-1]], h, leaf):
-            if x >= maxent.SINGLES and not held(k, 7, 2):
+        for p, y, w, x in zip(h, leaf, h[1:], leaf[1:]):
+            if min(x, y) >= maxent.SINGLES and not held(k, 7, 2):
                 pairs[p, x, w] += 1
                 groups[p, x] += 1
     known = {}
@@ -148,7 +148,7 @@ def test_maxent_against_a_plain_model(spark, docs):
             f = maxent._features(*[np.array([b], np.int64) for b in back])
             total += math.log10(maxent._softmax(model.weights, f, model.bias[0])[0, cls[0]]) + math.log10(maxent._softmax(model.weights, maxent._member_rows(f, cls), model.bias[1][cls])[0, member])
             if x >= maxent.SINGLES:
-                own, z = fitted.get((h[i - 1] if i else maxent.END, x), ({}, 1.0))
+                own, z = fitted.get((h[i - 1], x), ({}, 1.0)) if i and leaf[i - 1] >= maxent.SINGLES else ({}, 1.0)
                 share = math.log10((count[w] + 1 if w in count else model.unseen[x - maxent.SINGLES]) / model.mass[x - maxent.SINGLES])
                 total += (own[w] / math.log(10) if w in own else share) - math.log10(z)
             back = [x, *back[:2]]
