@@ -3,7 +3,7 @@
 Each text has counts of words, symbols, repeated lines and repeated word windows. Texts that pass
 the fixed rules give a vector of transformed statistics. For each language and source a
 minimum-covariance-determinant estimate is fitted by concentration steps over all of its vectors from two starts
-(the medians with the least deviations, and the moments of all vectors), each until nothing changes; that with the smaller
+(the medians with the least deviations, and the moments of all vectors), each until its estimate is settled; that with the smaller
 determinant stays, and a vector beyond a Mahalanobis distance from it is rejected. Small groups share their language's
 estimate, and small languages that of all texts. Equal vectors are one weighted row, and rows of a large group are
 dealt over salts, so that no group meets in one task.
@@ -30,7 +30,9 @@ WINDOW = 5
 #: A group with fewer vectors shares the next larger group's estimate.
 LEAST = 200
 #: Share of a group's vectors that the estimate is made from, its consistency factor for five dimensions, and the most steps.
-HALF, CONSISTENT, STEPS = 0.75, 1.41, 60
+HALF, CONSISTENT, STEPS = 0.75, 1.41, 20
+#: An estimate is settled when no entry moves by more than this; vectors are whole numbers.
+SETTLED = 0.05
 #: Tasks that a group's rows are dealt over.
 SALTS = 16
 #: Squared distance beyond which a vector is rejected: the chi-square quantile of five dimensions that one in a million exceeds.
@@ -130,9 +132,9 @@ def estimate(rows: DataFrame, group: str) -> DataFrame:
         edge = far.groupBy(group, "start").agg(F.percentile("bin", HALF, F.col("weight")).alias("edge"))
         inner = far.join(_salted(edge), [group, "start", "salt"]).where(F.col("bin") <= F.col("edge"))
         after = _scatter(inner.groupBy(group, "start").agg(*_sums()), [group, "start"])
-        # Sums are of whole numbers, so a half set that stays gives equal values.
         was = model.select(group, "start", F.struct(*cells).alias("was"))
-        both = materialise(after.join(was, [group, "start"]).withColumn("moved", F.struct(*cells) != F.col("was")).drop("was"), "scatter")
+        move = F.greatest(*[F.abs(F.col(c) - F.col(f"was.{c}")) for c in cells])
+        both = materialise(after.join(was, [group, "start"]).withColumn("moved", move > SETTLED).drop("was"), "scatter")
         model = both.where("moved").drop("moved")
         done = done.unionByName(both.where("not moved").drop("moved"))
         if model.isEmpty():

@@ -552,7 +552,7 @@ def plain_counts(t):
 
 
 def plain_mcd(v):
-    """Location and scatter by concentration steps from both starts until nothing changes, as the operator's docstring says."""
+    """Location and scatter by concentration steps from both starts until they are settled, as the operator's docstring says."""
     floor, p = np.array(list(quality.ENTRIES.values()), float), v.shape[1]
 
     def factor(c):
@@ -573,7 +573,7 @@ def plain_mcd(v):
             bins = np.floor(200 * np.log1p((z * z).sum(0)) + 0.5)
             part = v[bins <= np.quantile(bins, quality.HALF)]
             last, m, l = (m, l), part.mean(0), factor(moments(part))
-            if np.allclose(m, last[0], atol=1e-12) and np.allclose(l, last[1], atol=1e-9):
+            if max(np.abs(m - last[0]).max(), np.abs(l - last[1]).max()) <= quality.SETTLED:
                 break
         found.append((np.log(np.diag(l)).sum(), m, l))
     return found[int(found[1][0] < found[0][0] - 1e-9)][1:]
