@@ -43,8 +43,8 @@ BATCH, STEP, CHUNK = 1 << 15, 0.5, 256
 #: Rounds of averaging.
 ROUNDS = 2
 #: Times that a pair must stand in the training texts, training tokens to a part of the pairs, tokens that a task gathers before it
-#: hands them out, updates of the pairs' weights and the precision of their prior.
-PAIRS, PART, GATHER, UPDATES, PRIOR = 2, 1 << 23, 1 << 20, 4, 0.1
+#: hands them out, and works through at a time, updates of the pairs' weights and the precision of their prior.
+PAIRS, PART, GATHER, SLICE, UPDATES, PRIOR = 2, 1 << 23, 1 << 20, 1 << 18, 4, 0.1
 END = common._mix(np.array([0x5EED], np.uint64))[0]
 
 
@@ -329,20 +329,11 @@ def _weigh(model):
     """Learns a part's pair weights from its training tokens and gives, for each text, what they add to its score; h: the words
     whose shares they replace, as far as their counts don't travel with the model."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(key: np.ndarray, w: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what each token adds to its text's score, the tokens whose words' shares are replaced by joined counts)"""
         m = model.value
-        ids, cols, docs = [], [], 0
-        for batch in batches:
-            for r in range(batch.num_rows):
-                d1, d2, train = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("d1", "d2", "train"))
-                kind = np.uint16 if len(d1) <= 1 << 16 else np.uint32
-                doc, prev, w, e = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("doc", kind), ("prev", np.uint32), ("w", np.uint64), ("e", np.uint8)))
-                ids.append((d1, d2))
-                cols.append((doc.astype(np.int64) + docs, prev.astype(np.int64) * ENDINGS + e, w, train[doc]))
-                docs += len(d1)
-        doc, key, w, train = (np.concatenate(x) for x in zip(*cols))
         order = np.lexsort((w, key))
-        doc, key, w, train = doc[order], key[order], w[order], train[order]
+        key, w, train = key[order], w[order], train[order]
         new_group = np.concatenate([[True], key[1:] != key[:-1]])
         new_pair = new_group | np.concatenate([[True], w[1:] != w[:-1]])
         group, pair = np.cumsum(new_group) - 1, np.cumsum(new_pair) - 1
@@ -355,18 +346,50 @@ def _weigh(model):
         at = at[pair]
         add = -np.log10(z)[group]
         has = np.flatnonzero(at >= 0)
-        leaf = (key[has] % ENDINGS).astype(np.int64)
+        leaf = key[has] % ENDINGS
         add[has] += theta[at[has]] / np.log(10) + np.log10(m.mass)[leaf]
         place = np.minimum(np.searchsorted(m.known, w[has]), max(len(m.known) - 1, 0))
         travels = m.known[place] == w[has] if len(m.known) else np.zeros(len(has), bool)
         add[has[travels]] -= np.log10(m.count[place[travels]] + 1.0)
-        other = has[~travels]
-        sums = np.bincount(doc, add, docs)
-        other = other[np.argsort(doc[other], kind="stable")]
-        cut = np.searchsorted(doc[other], np.arange(docs + 1))
-        lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(w[other].view(np.int64)))
-        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in ids])), pa.array(np.concatenate([x[1] for x in ids])), pa.array(sums), lists], names=["d1", "d2", "add", "h"])
-        yield out.filter(pa.array((sums != 0) | (np.diff(cut) > 0)))
+        out = np.empty(len(add))
+        out[order] = add
+        return out, order[has[~travels]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, cols, docs = [], [], 0
+        for batch in batches:
+            for r in range(batch.num_rows):
+                d1, d2, train = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("d1", "d2", "train"))
+                kind = np.uint16 if len(d1) <= 1 << 16 else np.uint32
+                doc, prev, w, e = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("doc", kind), ("prev", np.uint32), ("w", np.uint64), ("e", np.uint8)))
+                ids.append((d1, d2))
+                cols.append((doc.astype(np.uint32) + np.uint32(docs), prev, w, e, train[doc]))
+                docs += len(d1)
+        doc, prev, w, e, train = (np.concatenate(x) for x in zip(*cols))
+        cols.clear()
+        sums, other_doc, other = np.zeros(docs), [], []
+        # Groups don't depend on each other, so a part is worked through in slices of them that need little memory.
+        slices = -(-len(w) // SLICE)
+        turn = (common._mix(prev.astype(np.uint64) * np.uint64(ENDINGS) + e + np.uint64(1)) % np.uint64(slices)).astype(np.uint16)
+        for k in range(slices):
+            on = np.flatnonzero(turn == k)
+            if len(on):
+                add, words = learn(prev[on].astype(np.int64) * ENDINGS + e[on], w[on], train[on])
+                sums += np.bincount(doc[on], add, docs)
+                other_doc.append(doc[on[words]])
+                other.append(w[on[words]])
+        other_doc, other = np.concatenate(other_doc), np.concatenate(other)
+        other = other[np.argsort(other_doc, kind="stable")]
+        cut = np.concatenate([[0], np.cumsum(np.bincount(other_doc, minlength=docs))])
+        lo, hi, some = 0, 0, []
+        for x in [*ids, None]:  # rows go out in batches, as a part may hold millions of texts
+            if x is not None:
+                hi, some = hi + len(x[0]), [*some, x]
+            if some and (x is None or hi - lo >= 50_000):
+                lists = pa.ListArray.from_arrays(pa.array(cut[lo : hi + 1] - cut[lo], pa.int32()), pa.array(other[cut[lo] : cut[hi]].view(np.int64)))
+                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([y[0] for y in some])), pa.array(np.concatenate([y[1] for y in some])), pa.array(sums[lo:hi]), lists], names=["d1", "d2", "add", "h"])
+                yield out.filter(pa.array((sums[lo:hi] != 0) | (np.diff(cut[lo : hi + 1]) > 0)))
+                lo, some = hi, []
 
     return run
 
