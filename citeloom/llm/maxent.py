@@ -134,12 +134,13 @@ def _train(model):
                 g = _softmax(w, rows, bias)
                 g[np.arange(len(g)), target] -= 1
                 lo = int(rows[0].min()) // ROWS * ROWS
-                total = np.zeros((ROWS, CLASSES), np.float32)
+                by_class, sums = np.ascontiguousarray(g.T, np.float64), np.zeros((CLASSES, ROWS))
                 for r in rows:
                     r = r - lo
                     seen[lo : lo + ROWS] += np.bincount(r, minlength=ROWS)
                     for k in range(CLASSES):
-                        total[:, k] += np.bincount(r, g[:, k], ROWS)
+                        sums[k] += np.bincount(r, by_class[k], ROWS)
+                total = np.ascontiguousarray(sums.T, np.float32)
                 acc[lo : lo + ROWS] += total * total
                 w[lo : lo + ROWS] -= STEP * total / np.sqrt(acc[lo : lo + ROWS])
 
