@@ -55,6 +55,9 @@ _RANDOM[65:91] = _RANDOM[97:123]
 
 SPACES = np.zeros(256, bool)
 SPACES[[32, *range(9, 14)]] = True
+#: Each byte with A-Z lower-cased.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: What is neither a digit, a letter nor beyond ASCII.
 NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
@@ -132,6 +135,16 @@ def spans(raw: np.ndarray, off: np.ndarray, delimiter: np.ndarray) -> tuple[np.n
     return h, np.searchsorted(s, off, "left"), s, e
 
 
+def cut_out(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeStringArray:
+    """The strings raw[start:end], whose ranges are in order and don't overlap."""
+    edge = np.zeros(len(raw) + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    data = raw[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+    off = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(off), pa.py_buffer(data))
+
+
 def windows(h: np.ndarray, ptr: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, texts) of each n tokens in a row of each text, in order. A text with fewer tokens,
     but some, gives one window of all of them."""

@@ -96,4 +96,22 @@ SELECT conv_id, CAST(len(turns) AS bigint) AS n_turns, sha256(array_to_string(li
 FROM read"""
 
 
-SQL = {"op2_licenses": license_sql(), "op3_warc": WARC, "op7_jaccard": jaccard_sql(3, 90), "op10_chat": chat_sql()}
+#: CRC-32 by its table: 256 entries of eight divisions each, then a byte at a time for each distinct word.
+RESAMPLING = f"""WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+texts AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+aim AS (SELECT unnest(list_filter(regexp_split_to_array({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS word FROM benchmark),
+met AS (SELECT r, unnest(w) AS word FROM texts),
+spelt AS (SELECT word, list_transform(range(octet_length(encode(word))), lambda k: CAST(concat('0x', substr(hex(encode(word)), 2 * k + 1, 2)) AS bigint)) AS bytes FROM (SELECT word FROM met UNION SELECT word FROM aim)),
+hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM spelt, crc),
+counted AS (SELECT bucket, count(*) AS s FROM met JOIN hashed USING (word) GROUP BY 1),
+aimed AS (SELECT bucket, count(*) AS t FROM aim JOIN hashed USING (word) GROUP BY 1),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::double * ((SELECT count(*) FROM met) + 10000)::double / ((coalesce(s, 0) + 1)::double * ((SELECT count(*) FROM aim) + 10000)::double))) AS bigint) AS gain
+  FROM (SELECT DISTINCT bucket FROM hashed) LEFT JOIN counted USING (bucket) LEFT JOIN aimed USING (bucket)),
+summed AS (SELECT r, CAST(floor(sum(gain) / count(*)::double) AS bigint) AS weight FROM met JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY 1),
+scored AS (SELECT doc_id, CAST(len(w) AS bigint) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256(concat('2024:', doc_id)), 1, 8)) AS bigint) + 0.5::double) / 4294967296::double))) AS bigint) AS score FROM texts LEFT JOIN summed USING (r)),
+placed AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank FROM placed"""
+
+
+SQL = {"op13_resampling": RESAMPLING, "op2_licenses": license_sql(), "op3_warc": WARC, "op7_jaccard": jaccard_sql(3, 90), "op10_chat": chat_sql()}
