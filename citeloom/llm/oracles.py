@@ -114,4 +114,21 @@ placed AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITIO
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank FROM placed"""
 
 
-SQL = {"op13_resampling": RESAMPLING, "op2_licenses": license_sql(), "op3_warc": WARC, "op7_jaccard": jaccard_sql(3, 90), "op10_chat": chat_sql()}
+def collocation_sql(most: int, least: int, share: int, top: int) -> str:
+    """All n-grams counted, joined with their parts, and those inside longer ones looked up."""
+    grams = " UNION ALL ".join(f"SELECT lang, {n} AS size, {' || chr(32) || '.join(f'w[i + {k}]' if k else 'w[i]' for k in range(n))} AS phrase, count(*) AS f FROM (SELECT lang, w, unnest(range(1, len(w) - {n - 2})) AS i FROM pieces WHERE len(w) >= {n}) GROUP BY 1, 3" for n in range(1, most + 1))
+    return f"""WITH texts AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+pieces AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM texts),
+words AS (SELECT lang, sum(len(w))::bigint AS n FROM pieces GROUP BY 1),
+grams AS ({grams}),
+found AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE size > 1 AND f >= {least}),
+cuts AS (SELECT *, array_to_string(w[1:k], ' ') AS one, array_to_string(w[k + 1:], ' ') AS two FROM (SELECT *, unnest(range(1, size)) AS k FROM found)),
+scored AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, (1000000::hugeint * a * a) // (x.f::hugeint * y.f) AS score FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = one JOIN grams y ON y.lang = c.lang AND y.phrase = two),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, a AS longer, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, size - n + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS n FROM found))),
+kept AS (SELECT * FROM weakest w WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = w.lang AND i.phrase = w.phrase AND 100 * i.longer >= {share} * w.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::bigint AS score FROM kept JOIN words USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= {top}"""
+
+
+SQL = {"op11_collocations": collocation_sql(3, 10, 50, 2000), "op13_resampling": RESAMPLING, "op2_licenses": license_sql(), "op3_warc": WARC, "op7_jaccard": jaccard_sql(3, 90), "op10_chat": chat_sql()}

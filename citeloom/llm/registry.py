@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import archives, chat, common, decontaminate, jaccard, langid, licenses, maxent, oracles, quality, resampling, sentencepieces, toxicity
+from citeloom.llm import archives, chat, collocations, common, decontaminate, jaccard, langid, licenses, maxent, oracles, quality, resampling, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = dict(oracles.SQL)
@@ -99,3 +99,8 @@ def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "benchmark").select("text")
     return resampling.resample(docs, target).drop("n_words")
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(common.table(spark, sf_dir, "documents").select("lang", "text"))
