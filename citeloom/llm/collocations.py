@@ -35,7 +35,7 @@ ENDS = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 GAPS = ENDS | np.isin(np.arange(256), list(b" \t"))
 #: Exact counts that a task holds before it hands them over.
 HELD = 1 << 20
-#: Parts with a larger share of all words than this are joined by broadcast: there are at most 50,000 of each size.
+#: Parts that hold more than one in so many of all words are joined by broadcast: there are at most that many of each size.
 HOT = 50_000
 #: Salts of the second of three rounds that find each language's first phrases.
 SALTS = 16
@@ -188,14 +188,6 @@ def _part(phrase: Column, first: Column, count: Column) -> Column:
     return F.array_join(F.slice(F.split(phrase, " "), first, count), " ")
 
 
-def _counted(parts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """parts (lang, part, ...) with n: the part's count. Counts of parts with a large share of all words are few, and are broadcast."""
-    known = counts.select("lang", F.col("phrase").alias("part"), F.col("f").alias("n"))
-    large = known.where(F.col("n") * HOT >= total)
-    met = parts.join(F.broadcast(large), ["lang", "part"], "left")
-    return met.where("n is not null").unionByName(met.where("n is null").drop("n").join(known, ["lang", "part"]))
-
-
 def _first(rows: DataFrame, top: int) -> DataFrame:
     """Each language's first top rows with their rank: first of each task, then of each salt, then of all."""
     names = ["lang", "score", "a", "phrase"]
@@ -236,7 +228,7 @@ def mine(docs: DataFrame, *, text: str = "text", lang: str = "lang", most: int =
     k = F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("cut")
     cuts = phrases.select("lang", "phrase", "size", F.col("f").alias("a"), k)
     sides = cuts.select("lang", "phrase", "a", "cut", F.posexplode(F.array(_part(F.col("phrase"), F.lit(1), F.col("cut")), _part(F.col("phrase"), F.col("cut") + 1, F.col("size") - F.col("cut")))).alias("side", "part"))
-    both = _counted(sides, grams.select("lang", "phrase", "f"), total).groupBy("lang", "phrase", "a", "cut").agg(F.max(F.expr("if(side = 0, n, null)")).alias("l"), F.max(F.expr("if(side = 1, n, null)")).alias("r"))
+    both = common.join_by_share(sides, grams.select("lang", F.col("phrase").alias("part"), F.col("f").alias("n")), ["lang", "part"], "n", total, HOT).groupBy("lang", "phrase", "a", "cut").agg(F.max(F.expr("if(side = 0, n, null)")).alias("l"), F.max(F.expr("if(side = 1, n, null)")).alias("r"))
     wide = "cast(a AS decimal(19, 0))"
     scored = both.withColumn("score", F.expr(f"(cast(1000000 AS decimal(7, 0)) * ({wide} * {wide})) div (cast(l AS decimal(19, 0)) * cast(r AS decimal(19, 0)))"))
     weakest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("w")).select("lang", "phrase", "a", "w.score", "w.l", "w.r")

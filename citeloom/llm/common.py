@@ -29,6 +29,28 @@ def matching(docs: DataFrame, found: DataFrame, how: str, *, key: str, text: str
     return docs.join(found.toDF(k, p).distinct(), F.col(f"`{key}`").eqNullSafe(F.col(k)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(p)), how)
 
 
+def numbered(df: DataFrame, place: str, name: str) -> DataFrame:
+    """A written df with gapless numbers from 0 in the order of place, a number that monotonically_increasing_id made
+    (or one that numbers from 0 within each partition in its lower 33 bits)."""
+    of = F.shiftright(place, 33)
+    first, at = [], 0
+    for p, n in sorted((r.p, r["count"]) for r in df.groupBy(of.alias("p")).count().collect()):  # a row for each partition
+        first.append((p, at))
+        at += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(first, "__p bigint, __first bigint"))
+    return df.join(starts, of == F.col("__p")).withColumn(name, F.col("__first") + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__first")
+
+
+def join_by_share(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, share: int) -> DataFrame:
+    """Inner join with distinct keys of right. Its rows whose weight is more than 1/share of the total, at most share of them,
+    are broadcast, so that no key with very many rows of left meets in one task."""
+    hot = F.col(weight) * share > total
+    few = right.where(hot)
+    met = left.join(F.broadcast(few.withColumn("__hot", F.lit(True))), on, "left")
+    cold = met.where("__hot is null").select(*left.columns).join(right.where(~hot), on)
+    return met.where("__hot").drop("__hot").unionByName(cold)
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 

@@ -131,4 +131,13 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= {top}"""
 
 
-SQL = {"op11_collocations": collocation_sql(3, 10, 50, 2000), "op13_resampling": RESAMPLING, "op2_licenses": license_sql(), "op3_warc": WARC, "op7_jaccard": jaccard_sql(3, 90), "op10_chat": chat_sql()}
+#: All pairs of vectors of one label, and what they reach.
+NEARDUP = """WITH RECURSIVE usable AS (SELECT vec_id, label, CAST(embedding AS double[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN least USING (vec_id)"""
+
+
+SQL = {"op12_neardup": NEARDUP, "op11_collocations": collocation_sql(3, 10, 50, 2000), "op13_resampling": RESAMPLING, "op2_licenses": license_sql(), "op3_warc": WARC, "op7_jaccard": jaccard_sql(3, 90), "op10_chat": chat_sql()}

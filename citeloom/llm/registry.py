@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import archives, chat, collocations, common, decontaminate, jaccard, langid, licenses, maxent, oracles, quality, resampling, sentencepieces, toxicity
+from citeloom.llm import archives, chat, collocations, common, decontaminate, jaccard, langid, licenses, maxent, neardup, oracles, quality, resampling, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = dict(oracles.SQL)
@@ -104,3 +104,8 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(common.table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@query
+def op12_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(common.table(spark, sf_dir, "embeddings"), cosine=0.93)

@@ -162,13 +162,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
     sizes give each its first rank."""
     order = [F.desc("score"), F.asc_nulls_last("key")]
     place = common.materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "sorted")
-    size = {r.p: r["count"] for r in place.groupBy(F.shiftright("place", 33).alias("p")).count().collect()}  # a row for each partition
-    first, at = [], 0
-    for p in sorted(size):
-        first.append((p, at))
-        at += size[p]
-    starts = F.broadcast(rows.sparkSession.createDataFrame(first, "p bigint, first bigint"))
-    return place.join(starts, F.shiftright("place", 33) == F.col("p")).withColumn("rank", F.col("first") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("place", "p", "first")
+    return common.numbered(place, "place", "rank").withColumn("rank", F.col("rank") + 1).drop("place")
 
 
 def resample(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str = "text", target_text: str = "text", n: int = 1, buckets: int = 10_000, percent: int = 10, least: int = 20, seed: int = 2024) -> DataFrame:
