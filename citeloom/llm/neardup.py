@@ -232,7 +232,7 @@ def _whole(pairs: DataFrame, leaves: DataFrame, levels: list[DataFrame]) -> tupl
     same = F.col("a") == F.col("b")
     gives = F.when(same, F.array(F.struct(F.col("a").alias("at"), F.col("ma").alias("add"), F.lit(1).alias("own"), F.col("ra").alias("rep")))).otherwise(F.array(F.struct(F.col("a").alias("at"), F.col("mb").alias("add"), F.lit(0).alias("own"), F.col("ra").alias("rep")), F.struct(F.col("b").alias("at"), F.col("ma").alias("add"), F.lit(0).alias("own"), F.col("rb").alias("rep"))))
     sums = met.select("level", "space", F.inline(gives)).groupBy("level", "space", "at").agg(F.sum("add").alias("add"), F.sum("own").alias("own"), F.min("rep").alias("top"))
-    above = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("leaf") / FAN**k).alias("at")) for k in range(len(levels))])).alias("up")
+    above = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("at") / FAN**k).alias("at")) for k in range(len(levels))])).alias("up")
     below = leaves.select("space", F.col("at").alias("leaf"), above).select("space", "leaf", "up.level", "up.at").join(sums, ["level", "space", "at"])
     of_leaf = below.groupBy("space", "leaf").agg(F.sum("add").alias("add"), F.sum("own").alias("own"), F.collect_set("top").alias("tops"))
     hit = leaves.select("space", F.col("at").alias("leaf"), "nodes", "ms", "rep").join(of_leaf, ["space", "leaf"])
