@@ -34,7 +34,9 @@ ROWS, WIDTH, CHUNK = 2, 1 << 25, 1 << 17
 ENDS = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 GAPS = ENDS | np.isin(np.arange(256), list(b" \t"))
 #: Exact counts that a task holds before it hands them over.
-HELD = 1 << 20
+HELD = 1 << 18
+#: Partitions of the input that a task takes on, where there are enough: n-grams repeat, so larger parts hand over less.
+MERGED = 4
 #: Parts that hold more than one in so many of all words are joined by broadcast: there are at most that many of each size.
 HOT = 50_000
 #: Salts of the second of three rounds that find each language's first phrases.
@@ -140,22 +142,22 @@ def sketch(texts: DataFrame, most: int, least: int) -> np.ndarray:
 
 
 def frequent(texts: DataFrame, most: int, least: int) -> DataFrame:
-    """lang, size, phrase and f of the n-grams with f >= least, exactly; size 0 has each language's number of words."""
+    """lang, phrase, f and size of the n-grams with f >= least, exactly; size 0 has each language's number of words."""
     sent = texts.sparkSession.sparkContext.broadcast(sketch(texts, most, least))
-    names = ["lang", "size", "phrase", "f"]
+    names = ["lang", "phrase", "f"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
         def hand_over() -> Iterator[pa.RecordBatch]:
-            whole = pa.concat_tables(held).group_by(names[:3]).aggregate([("f", "sum")]).rename_columns(names)
+            whole = pa.concat_tables(held).group_by(names[:2]).aggregate([("f", "sum")]).rename_columns(names)
             held.clear()
             yield from whole.to_batches(max_chunksize=1 << 16)
 
         for lang, langs, words, at, sizes in _grams(batches, most):
             counts = np.bincount(lang, minlength=len(langs))
             on = np.flatnonzero(counts)
-            held.append(pa.table([langs.take(pa.array(on)).cast(pa.large_string()), pa.array(np.zeros(len(on), np.int32)), pa.array([""] * len(on), pa.large_string()), pa.array(counts[on])], names=names))
+            held.append(pa.table([langs.take(pa.array(on)).cast(pa.large_string()), pa.array([""] * len(on), pa.large_string()), pa.array(counts[on])], names=names))
             passed = np.ones(len(at) + 1, bool)
             for k, (begins, g) in enumerate(sizes):
                 keep = passed[begins] & (passed[begins + 1] if k else True)  # both of its parts of one word less
@@ -174,14 +176,14 @@ def frequent(texts: DataFrame, most: int, least: int) -> DataFrame:
                 one = begins[one]
                 spelt = [words.take(pa.array(at[one + j])) for j in range(k + 1)]
                 phrase = pc.binary_join_element_wise(*spelt, pa.scalar(" ", pa.large_string())) if k else spelt[0]
-                held.append(pa.table([langs.take(pa.array(lang[one])).cast(pa.large_string()), pa.array(np.full(len(one), k + 1, np.int32)), phrase.cast(pa.large_string()), pa.array(n)], names=names))
+                held.append(pa.table([langs.take(pa.array(lang[one])).cast(pa.large_string()), phrase.cast(pa.large_string()), pa.array(n)], names=names))
             if sum(map(len, held)) > HELD:
                 yield from hand_over()
         if held:
             yield from hand_over()
 
-    rows = texts.mapInArrow(run, "lang string, size int, phrase string, f bigint")
-    return rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("size") == 0))
+    rows = texts.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return rows.where((F.col("f") >= least) | (F.col("phrase") == "")).withColumn("size", F.when(F.col("phrase") != "", F.size(F.split("phrase", " "))).otherwise(0))
 
 
 def _part(phrase: Column, first: Column, count: Column) -> Column:
@@ -219,6 +221,7 @@ def _first(rows: DataFrame, top: int) -> DataFrame:
 def mine(docs: DataFrame, *, text: str = "text", lang: str = "lang", most: int = 3, least: int = 10, share: int = 50, top: int = 2000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's first phrases of 2 to most words."""
     texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    texts = texts.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // MERGED))
     counts = common.materialise(frequent(texts, most, least), "frequent")
     words = counts.where("size = 0").select("lang", F.col("f").alias("n"))
     total = words.agg(F.sum("n")).first()[0] or 0
