@@ -66,7 +66,9 @@ query("I35", """SELECT CASE WHEN k % 2 = 0 THEN "paperId" ELSE concat('i', k) EN
 query("I37", """SELECT "paperId", title, concat(topic, ', ', venue) AS authors, venue, year, doi, 'lib' AS source, 'library' AS source_type, true AS is_selected FROM papers""")(lambda c: records.staged(c.papers.withColumn("authors", F.array("topic", "venue")), "lib"))
 query("I32", """SELECT count(*) FILTER (WHERE k % 6 = 1) AS added, count(*) FILTER (WHERE k % 6 = 0) AS skipped, count(*) FILTER (WHERE k % 12 IN (0, 1)) AS removed, count(*) FILTER (WHERE k % 12 = 5) AS missing FROM papers""")(
     lambda c: records.library_edit(c.papers.where(_number() % 2 == 0).select("paperId"), c.papers.where(_number() % 6 <= 1).select("paperId"), c.papers.where((_number() % 12).isin(0, 1, 5)).select("paperId"))[1])
-query("I23", """SELECT "paperId" FROM papers WHERE k % 4 = 1 AND (doi <> '' OR k % 3 = 0) UNION ALL SELECT min("paperId") FROM papers WHERE k % 4 = 1 AND doi = '' AND k % 3 <> 0 GROUP BY lower(title), year""")(
+query("I23", """SELECT "paperId" FROM papers WHERE k % 4 = 1 AND (doi <> '' OR k % 3 = 0) UNION ALL SELECT min("paperId") FROM papers p WHERE k % 4 = 1 AND doi = '' AND k % 3 <> 0
+ AND NOT EXISTS (SELECT 1 FROM papers e WHERE e.k % 4 = 0 AND e.doi = '' AND e.k % 3 <> 0 AND lower(e.title) = lower(p.title) AND CASE WHEN e.k % 9 <> 0 THEN e.year END IS NOT DISTINCT FROM CASE WHEN p.k % 9 <> 0 THEN p.year END)
+ GROUP BY lower(title), CASE WHEN k % 9 <> 0 THEN year END""")(
     lambda c: ingest.insert_staging(_staging(c).where("k % 4 = 0"), _staging(c).where("k % 4 = 1"), "paperId").select("paperId"))
 query("I25", """SELECT k AS staging_id, k % 3 = 0 AS is_selected FROM papers WHERE k % 7 <> 0""")(lambda c: records.staging_selection(c.papers.select(_number().alias("staging_id"), F.lit(True).alias("is_selected")), c.papers.where(_number() % 3 == 0).select(_number().alias("staging_id")), c.papers.where(_number() % 7 == 0).select(_number().alias("staging_id"))))
 query("I31", """SELECT "paperId", doi, 'Retracted' AS reason, true AS sampler, true AS "textProcessing" FROM papers WHERE k % 53 = 0 AND doi <> ''""")(lambda c: ingest.forbidden(c.papers.withColumn("retracted", (_number() % 53 == 0) & (F.col("doi") != "")), True, True))
@@ -101,7 +103,7 @@ _staged("P20", """NOT contains(lower(trim(concat_ws(' ', doi, url))), '7') AND c
 _staged("P18", """lower(trim(doi)) = '10.5555/x' OR lower(trim(url)) IN ('https://u.example/w7', 'https://u.example/w8')""", records.StagingFilter(identifiers=["doi::10.5555/X", "url::https://u.example/W7", "url:: https://u.example/w8 ", "broken", "isbn::1"]))
 query("O4", _STAGING + """SELECT "paperId" FROM st ORDER BY "paperId" LIMIT 200 OFFSET 200""")(lambda c: catalog.staging_page(_staging(c), "paperId", False, 2, 10_000, "paperId").select("paperId"))
 _paper_query("P10", '"isSeed" OR selected', lambda df: records.flagged(df, ["isSeed", "seed", "is_seed", "selected"]))
-query("P11", f"""SELECT {P_} FROM papers WHERE k % 4 = 1 OR k % 3 = 2""")(lambda c: (df := c.papers.withColumns({"nmf_topic": _number() % 4, "lda_topic": _number() % 3 + 0 * _number()})).where(records.topic_filter(df, ["1"], ["nmf", "gone"]) | records.topic_filter(df, ["2"], ["nmf", "lda"], "lda")).select(*PAPER))
+query("P11", f"""SELECT {P_} FROM papers WHERE k % 4 = 1 OR k % 3 = 2""")(lambda c: (df := c.papers.withColumns({"nmf_topic": _number() % 4, "lda_topic": _number() % 3})).where(records.topic_filter(df, ["1"], ["nmf", "gone"]) | records.topic_filter(df, ["2"], ["nmf", "lda"], "lda")).select(*PAPER))
 query("P13", f"""SELECT {P_} FROM papers WHERE trim(venue) IN ('Brand#11', 'Brand#23', 'Brand#32', 'Brand#45') AND year IN (SELECT DISTINCT year FROM papers WHERE year < 1996) AND "paperId" IN (SELECT "paperId" FROM pa JOIN authors USING ("authorId") WHERE "authorName" IN (SELECT s_name FROM supplier WHERE s_suppkey < 60)) AND (doi <> '' OR venue <> '')""")(
     lambda c: (df := features.author_names(c.papers, c.paper_author, c.authors)).where(records.column_values(df, venues=["Brand#11", "Brand#23", "Brand#32", "Brand#45"], years=list(range(1985, 1996)), authors=[f"Supplier#{i:09}" for i in range(60)])).select(*PAPER))
 query("P5", "SELECT * FROM (VALUES ('a AND b', true), ('(a OR b', false), ('  ', false), ('NOT (a)', true), ('a))', false)) t(expression, valid)")(

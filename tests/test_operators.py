@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ SF = "/root/testdata/sf0.001"
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("NULL" if v is None or v is pd.NA or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in df.itertuples(index=False))
+    cell = lambda v: "NULL" if v is None or v is pd.NA or v != v else f"{v:.6f}" if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
+    return sorted(tuple(map(cell, r)) for r in df.itertuples(index=False))
 
 
 @pytest.fixture(scope="module")
