@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import ids
+from citeloom.operators.keys import with_key
 
 
 def valid_papers(papers: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def retraction_hits(papers: DataFrame, retractions: DataFrame) -> DataFrame:
     """papers with retracted and the reason of the first matching row, over both DOIs of each row."""
     pairs = retractions.select(F.explode(F.array(ids.match_doi(F.col("RetractionDOI")), ids.match_doi(F.col("OriginalPaperDOI")))).alias("k"), "Reason").where("k is not null")
     first = pairs.groupBy("k").agg(F.min("Reason").alias("reason"))
-    return papers.withColumn("k", ids.match_doi(F.col("doi"))).join(first, "k", "left").withColumn("retracted", F.col("reason").isNotNull()).drop("k")
+    return with_key(papers.withColumn("k", ids.match_doi(F.col("doi"))), first, "k", "reason").withColumn("retracted", F.col("reason").isNotNull()).drop("k")
 
 
 def forbidden(marked: DataFrame, sampler: bool, text: bool) -> DataFrame:

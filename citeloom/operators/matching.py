@@ -10,20 +10,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import ids
+from citeloom.operators.keys import with_key
 from citeloom.operators.text import title_key, title_similarity
 
 
-def scored(items: DataFrame, candidates: DataFrame, key: str = "item") -> DataFrame:
-    """candidates (item, place, candidate, title, doi) with confidence: 1 where the DOIs are equal, else the titles' ratio."""
+def scored(items: DataFrame, candidates: DataFrame, least: float, key: str = "item") -> DataFrame:
+    """candidates (item, place, candidate, title, doi) with confidence: 1 where the DOIs or titles are equal, else the titles' ratio.
+    Those whose lengths alone keep the ratio below least are left out; the ratio is computed for what is left."""
     own = items.select(key, title_key(F.coalesce("title", F.lit(""))).alias("__t"), ids.match_doi(F.col("doi")).alias("__d"))
     both = candidates.join(own, key).withColumn("__u", title_key(F.coalesce("title", F.lit(""))))
-    same = F.coalesce(ids.match_doi(F.col("doi")) == F.col("__d"), F.lit(False))
-    return both.withColumn("by_doi", same).withColumn("confidence", F.when(same, 1.0).otherwise(title_similarity("__t", "__u"))).drop("__t", "__u", "__d")
+    both = both.withColumn("by_doi", F.coalesce(ids.match_doi(F.col("doi")) == F.col("__d"), F.lit(False)))
+    a, b = F.length("__t"), F.length("__u")
+    sure = F.col("by_doi") | ((F.col("__t") == F.col("__u")) & (a > 0))
+    open_ = both.where(~sure & (2 * F.least(a, b) >= least * (a + b) - 1e-9) & (a > 0) & (b > 0))
+    out = both.where(sure).withColumn("confidence", F.lit(1.0)).unionByName(open_.withColumn("confidence", title_similarity("__t", "__u")))
+    return out.drop("__t", "__u", "__d")
 
 
 def first_match(items: DataFrame, candidates: DataFrame, sure: float = 0.85, maybe: float = 0.60, key: str = "item") -> DataFrame:
     """Per item: the match with an equal DOI, else the first candidate as sure; without either, how many may be it."""
-    rows = scored(items, candidates, key)
+    rows = scored(items, candidates, min(sure, maybe), key)
     auto = F.when(F.col("by_doi") | (F.col("confidence") >= sure), F.struct((~F.col("by_doi")).alias("later"), F.col("place"), F.col("candidate"), F.col("confidence")))
     found = rows.groupBy(key).agg(F.min(auto).alias("m"), F.count_if(F.col("confidence") >= maybe).alias("n"))
     found = found.select(key, F.col("m.candidate").alias("match"), F.col("m.confidence").alias("confidence"), F.when(F.col("m").isNull(), F.col("n")).otherwise(0).alias("candidates"))
@@ -32,7 +38,7 @@ def first_match(items: DataFrame, candidates: DataFrame, sure: float = 0.85, may
 
 def best_match(items: DataFrame, candidates: DataFrame, least: float = 0.85, first: int = 5, key: str = "item") -> DataFrame:
     """Per item with one: the most alike of its first candidates, if alike enough."""
-    rows = scored(items, candidates.where(F.col("place") < first), key).where(F.col("confidence") >= least)
+    rows = scored(items, candidates.where(F.col("place") < first), least, key).where(F.col("confidence") >= least)
     return rows.groupBy(key).agg(F.max(F.struct("confidence", -F.col("place"), "candidate")).alias("m")).select(key, F.col("m.candidate").alias("match"), F.col("m.confidence").alias("confidence"))
 
 
@@ -45,7 +51,9 @@ def staging_cascade(rows: DataFrame, papers: DataFrame, key: str = "staging_id")
     by_id = papers.select(F.col("paperId").alias("w"), F.col("paperId").alias("m1")).distinct()
     by_doi = papers.where("doi <> ''").groupBy(ids.match_doi(F.col("doi")).alias("d")).agg(F.min("paperId").alias("m2"))
     by_title = papers.groupBy(title_key(F.col("title")).alias("t")).agg(F.min("paperId").alias("m3"))
-    out = own.join(by_id, "w", "left").join(by_doi, "d", "left").join(by_title, "t", "left")
+    out = own
+    for by, found, name in (("w", by_id, "m1"), ("d", by_doi, "m2"), ("t", by_title, "m3")):
+        out = with_key(out, found, by, name)
     how = F.when(F.col("m1").isNotNull(), "id").when(F.col("m2").isNotNull(), "doi").when(F.col("m3").isNotNull(), "title").when(F.coalesce("w", "d", "t").isNull(), "nothing to match by").otherwise("no match")
     return out.select(key, F.coalesce("m1", "m2", "m3").alias("match"), how.alias("how"))
 

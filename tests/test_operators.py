@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import ids
 from citeloom.operators import catalog, graph, ingest, temporal, text
 from citeloom.operators import predicates as P
-from citeloom.plans import catalogue, more  # noqa: F401  more adds its queries to catalogue's
+from citeloom.plans import catalogue, more, tables  # noqa: F401  the others add their queries to catalogue's
 
 SF = "/root/testdata/sf0.001"
 
