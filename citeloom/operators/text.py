@@ -87,14 +87,6 @@ def cosine_top(df: DataFrame, query: list[float], k: int, key: str = "vec_id", v
     return df.select(key, score.alias("cosine")).orderBy(F.desc("cosine"), key).limit(k)
 
 
-def html_title(df: DataFrame, html: str = "html") -> Column:
-    """The title of a page: its citation_title tag, else <title>, else <h1>."""
-    tag = F.regexp_extract(html, "(?is)<meta[^>]+name=[\"']citation_title[\"'][^>]+content=[\"']([^\"']*)", 1)
-    title, h1 = (F.regexp_extract(html, f"(?is)<{t}[^>]*>(.*?)</{t}>", 1) for t in ("title", "h1"))
-    none = F.lit("")
-    return F.trim(F.coalesce(F.nullif(tag, none), F.nullif(title, none), F.nullif(h1, none), none))
-
-
 def linucb(df: DataFrame, feedback: DataFrame, alpha: float = 1.0, ridge: float = 1.0, key: str = "vec_id", vector: str = "embedding", reward: str = "reward") -> DataFrame:
     """(key, score): upper confidence of a linear bandit; rows with feedback are left out."""
     import numpy as np

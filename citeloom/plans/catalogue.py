@@ -209,7 +209,6 @@ query("T16", """SELECT e.vec_id, round(list_cosine_similarity(e.embedding::doubl
 query("T17")(lambda c: text.linucb(c.table("embeddings"), c.table("embeddings").where("vec_id % 20 = 0").select("vec_id", (F.col("vec_id") % 2).cast("double").alias("reward"))))
 query("T18", """SELECT "paperId", len(list_filter(string_split_regex(title, '[,; ]'), lambda x: trim(x) <> '')) AS parts FROM papers""")(lambda c: c.papers.select("paperId", F.size(ids.split_authors(F.translate("title", " ", ","))).cast("bigint").alias("parts")))
 query("T19", """SELECT "paperId", nullif(regexp_extract(concat('see ', doi, ' for'), '10\\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+'), '') AS found FROM papers""")(lambda c: c.papers.select("paperId", ids.find_doi(F.concat(F.lit("see "), F.col("doi"), F.lit(" for"))).alias("found")))
-query("S15", """SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages""")(lambda c: c.table("pages").select("page_id", text.html_title(None).alias("title")))
 
 # --- sources and editing -------------------------------------------------------------------------
 

@@ -12,10 +12,6 @@ from citeloom.operators.corpus import Corpus
 from citeloom.plans.catalogue import _FORBIDDEN, _GRAPH, _PER, P_, PAPER, _frontier, _graph, _number, _paper_query, _weighted, query
 from citeloom.sources import markup, works
 
-
-
-
-
 # --- nested records ------------------------------------------------------------------------------
 
 
@@ -269,14 +265,8 @@ query("D6", _COUNTED + "SELECT tp AS topic FROM ends WHERE f > 0 AND (f - l) / f
 # --- files and sinks -----------------------------------------------------------------------------
 
 query("S3", """SELECT 'missing' AS frame, 0::bigint AS n""")(lambda c: works.frame(c.spark, scratch.new_path(c.spark, "none"), c.papers.schema).agg(F.lit("missing").alias("frame"), F.count("*").alias("n")))
-query("S6", """SELECT "paperId", title, year::varchar AS year FROM papers""")(
-    lambda c: c.papers.select(F.concat(F.lit("---\nid: "), "paperId", F.lit("\ntitle: \""), "title", F.lit("\"\nyear: "), F.col("year").cast("string"), F.lit("\nempty:\n---\n# body\nyear: 1\n")).alias("t")).select(markup.front_matter(F.col("t")).alias("f")).select(F.col("f.id").alias("paperId"), "f.title", "f.year"))
 query("S14", """SELECT "paperId", title, 'Ann Lee|Group' AS authors, year, doi, topic AS tags FROM papers""")(
     lambda c: c.papers.select("paperId", F.to_json(F.struct("title", F.col("doi").alias("DOI"), F.concat(F.lit("May 3, "), F.col("year").cast("string")).alias("date"), F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("creatorType", "firstName", "lastName", "name"), r)]) for r in (("author", "Ann", "Lee", ""), ("editor", "Ed", "Itor", ""), ("author", "", "", "Group"))]).alias("creators"), F.array(F.struct(F.col("topic").alias("tag"))).alias("tags"))).alias("j")).select("paperId", markup.library_item(F.col("j")).alias("m")).select("paperId", "m.title", F.array_join("m.authors", "|").alias("authors"), "m.year", "m.doi", F.array_join("m.tags", "|").alias("tags")))
-query("S16", """SELECT "paperId", title, 'Ann Lee|Bo Li' AS authors, year, nullif(doi, '') AS doi, nullif(venue, '') AS venue FROM papers""")(
-    lambda c: c.papers.select("paperId", F.concat(F.lit("<article><journal-meta><journal-title>"), "venue", F.lit("</journal-title></journal-meta><article-id pub-id-type=\"pmid\">1</article-id><article-id pub-id-type=\"doi\">"), "doi", F.lit("</article-id><article-title>"), "title", F.lit(" <i/></article-title><contrib contrib-type=\"author\"><name><surname>Lee</surname><given-names>Ann</given-names></name></contrib><contrib><name><surname>Li</surname><given-names>Bo</given-names></name></contrib><pub-date><month>1</month>\n<year>"), F.col("year").cast("string"), F.lit("</year></pub-date></article>")).alias("x")).select("paperId", markup.article(F.col("x")).alias("m")).select("paperId", "m.title", F.array_join("m.authors", "|").alias("authors"), "m.year", "m.doi", "m.venue"))
-query("S20", """SELECT "paperId", title, 'Ann Lee' AS authors, year, nullif(doi, '') AS doi, CASE WHEN k % 3 = 0 THEN 'Journal' WHEN k % 3 = 1 THEN 'Volume' ELSE 'House' END AS venue FROM papers""")(
-    lambda c: c.papers.select("paperId", F.concat(F.lit("<TEI><titleStmt><title level=\"a\" type=\"main\">"), "title", F.lit("</title></titleStmt><publisher>House</publisher><persName><forename type=\"first\">Ann</forename><surname>Lee</surname></persName><idno type=\"MD5\">0</idno><idno type=\"DOI\">"), "doi", F.lit("</idno><monogr>"), F.when(_number() % 3 == 0, "<title level=\"m\">Volume</title><title level=\"j\">Journal</title>").when(_number() % 3 == 1, "<title level=\"m\">Volume</title>").otherwise(""), F.lit("<date type=\"published\" when=\""), F.col("year").cast("string"), F.lit("-05\"/></monogr></TEI>")).alias("x")).select("paperId", markup.tei(F.col("x")).alias("m")).select("paperId", "m.title", F.array_join("m.authors", "|").alias("authors"), "m.year", "m.doi", "m.venue"))
 query("S21", """SELECT "paperId", CASE k % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THEN 'xml' WHEN 3 THEN 'latex' WHEN 4 THEN 'docx' ELSE 'unknown' END AS kind FROM papers""")(lambda c: c.papers.select("paperId", markup.kind_of(F.concat(F.lit("/a.b/"), "title", F.element_at(F.array(*[F.lit(x) for x in (".PDF", ".htm", ".nxml", ".tex", ".docx", ".zip")]), (_number() % 6 + 1).cast("int")))).alias("kind")))
 query("S23", """SELECT "paperId" FROM papers WHERE k % 3 = 0""")(lambda c: (p := scratch.new_path(c.spark, "seeds"), c.papers.where(_number() % 3 == 0).select(F.explode(F.array("paperId", F.concat(F.lit("  "), "paperId"), F.lit(" "))).alias("value")).write.text(p), works.seed_file(c.spark, p))[2])
 query("K2", """SELECT 'papers' AS frame, count(*) AS rows FROM papers UNION ALL SELECT 'references', count(*) FROM refs""")(lambda c: markup.write_checkpoint({"papers": c.papers, "references": c.references}, scratch.new_path(c.spark, "checkpoint")))

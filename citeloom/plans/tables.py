@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.operators import titles
+from citeloom.operators import features, scratch, titles
 from citeloom.operators.corpus import Corpus
-from citeloom.operators.text import html_title, title_key
-from citeloom.plans.catalogue import query
+from citeloom.operators.text import title_key
+from citeloom.plans.catalogue import _number, query
+from citeloom.sources import folder, papers
 
 # --- titles of one table against all of another --------------------------------------------------
 
 
 def _page_titles(c: Corpus) -> DataFrame:
-    return c.table("pages").select(F.col("page_id").alias("paperId"), html_title(None).alias("title"), F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("10.1234/p."), F.col("page_id").cast("string"))).alias("doi"))
+    return c.table("pages").select(F.col("page_id").alias("paperId"), papers.page("html")["title"].alias("title"), F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("10.1234/p."), F.col("page_id").cast("string"))).alias("doi"))
 
 
 def _noted(c: Corpus) -> DataFrame:
@@ -28,3 +29,110 @@ def _noted(c: Corpus) -> DataFrame:
 
 query("T15_join")(lambda c: titles.alike(_noted(c).select(title_key(F.col("title")).alias("title")), _page_titles(c).select(title_key(F.col("title")).alias("title")), 0.85))
 query("J14_join")(lambda c: titles.match(_noted(c), _page_titles(c)))
+
+# --- files ---------------------------------------------------------------------------------------
+
+_XML = """, x AS (SELECT *, coalesce(cast(year AS varchar), '') AS y FROM papers)
+"""
+
+
+def _xml(c: Corpus) -> DataFrame:
+    """A journal article of each paper: editors before authors, a year of history before that of publication, entities, CDATA; some malformed."""
+    k, lit = _number(), F.lit
+    person = "<contrib contrib-type='{}'><name><surname>{}</surname>{}</name></contrib>"
+    people = F.when(k % 5 == 0, person.format("editor", "Itor", "<given-names>Ed</given-names>")).when(k % 5 == 1, "<author><surname>Old</surname><given-names>Way</given-names></author>").otherwise(
+        person.format("editor", "Itor", "") + person.format("author", "Lee", "<given-names>Ann</given-names>") + person.format("author", "Li &amp; S&#246;n", ""))
+    head = F.when(k % 3 == 0, "<?xml version=\"1.0\" encoding=\"UTF-8\"?><article xmlns=\"http://jats.example/ns\">").otherwise("<article>")
+    return c.papers.select("paperId", F.concat(
+        head, lit("<journal-meta><journal-title>"), "venue", lit("</journal-title></journal-meta><article-id pub-id-type='pmid'>1</article-id><article-id pub-id-type=\"doi\"> "), "doi", lit(" </article-id><article-title>"), "title",
+        lit(" <italic>&lt;&#233;&gt;</italic></article-title><contrib-group>"), people, lit("</contrib-group><history><date><year>1700</year></date></history><pub-date><month>1</month><year>"), F.coalesce(F.col("year").cast("string"), lit("")),
+        lit("</year></pub-date><abstract><p>On "), "topic", lit("</p>\n  <p><![CDATA[a < b]]></p></abstract>"), F.when(k % 13 != 0, "</article>").otherwise("</articl")).alias("x"))
+
+
+query("S16", _XML + """SELECT "paperId", CASE WHEN good THEN concat(title, ' <é>') END AS title, CASE WHEN good THEN CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN 'Way Old' ELSE 'Ann Lee|Li & Sön' END ELSE '' END AS authors, CASE WHEN good THEN concat('On ', topic, ' a < b') END AS abstract,
+ CASE WHEN good THEN CASE WHEN y = '' THEN '1700' ELSE y END END AS year, CASE WHEN good THEN nullif(doi, '') END AS doi, CASE WHEN good THEN nullif(venue, '') END AS venue FROM (SELECT *, k % 13 <> 0 AS good FROM x)""")(
+    lambda c: _xml(c).select("paperId", papers.article("x").alias("m")).select("paperId", "m.*").withColumn("authors", F.array_join("authors", "|")))
+
+
+def _tei_files(c: Corpus) -> DataFrame:
+    """A TEI header of each paper with a cited work's author and date after its own; some in no namespace, which say nothing."""
+    k, lit = _number(), F.lit
+    name = lambda a, b: f"<author><persName><forename type=\"first\">{a}</forename><surname>{b}</surname></persName></author>"
+    authors = F.when(k % 4 == 0, name("Ann", "Lee")).when(k % 4 == 1, name("Ann", "Lee") + name("Bo", "Li")).when(k % 4 == 2, name("Ann", "Lee") + "<author>Group X</author>" + name("", "Li")).otherwise("")
+    own = F.when(k % 3 == 0, "<title level=\"m\">Volume</title><title level=\"j\">Journal &amp; Co</title>").when(k % 3 == 1, "<title level=\"m\">Volume</title>").otherwise("")
+    date = F.when(k % 2 == 0, F.concat(lit("<date type=\"published\" when=\""), F.col("year").cast("string"), lit("-05\"/>"))).otherwise(F.concat(lit("<date>May "), F.col("year").cast("string"), lit("</date>")))
+    cited = "<text><listBibl><biblStruct><author><persName><forename>Ci</forename><surname>Ted</surname></persName></author><date when=\"1901\"/></biblStruct></listBibl></text>"
+    return c.papers.select("paperId", F.concat(
+        F.when(k % 7 == 0, "<TEI>").otherwise("<TEI xmlns=\"http://www.tei-c.org/ns/1.0\">"), lit("<teiHeader><fileDesc><titleStmt><title level=\"a\">"), "title", lit("</title></titleStmt><publicationStmt><publisher>House</publisher>"), F.coalesce(date, lit("")),
+        lit("</publicationStmt><sourceDesc><biblStruct><analytic>"), authors, lit("<idno type=\"MD5\">0</idno><idno type=\"DOI\">"), "doi", lit("</idno></analytic><monogr>"), own, lit("</monogr></biblStruct></sourceDesc></fileDesc></teiHeader>"), lit(cited), lit("</TEI>")).alias("x"))
+
+
+query("S20", """SELECT "paperId", CASE WHEN k % 7 <> 0 THEN title END AS title, CASE WHEN k % 7 <> 0 THEN CASE k % 4 WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'Ann Lee and Bo Li' WHEN 2 THEN 'Ann Lee, Group X and Li' END END AS authors,
+ CASE WHEN k % 7 <> 0 THEN coalesce(cast(year AS varchar), '1901') END AS year, CASE WHEN k % 7 <> 0 THEN nullif(doi, '') END AS doi, CASE WHEN k % 7 <> 0 THEN CASE k % 3 WHEN 0 THEN 'Journal & Co' WHEN 1 THEN 'Volume' ELSE 'House' END END AS venue FROM papers""")(
+    lambda c: _tei_files(c).select("paperId", papers.tei("x").alias("m")).select("paperId", "m.title", papers.author_line(F.col("m.authors")).alias("authors"), "m.year", "m.doi", "m.venue"))
+
+
+def _tagged(c: Corpus) -> DataFrame:
+    """The pages, some of them with citation tags (attributes in either order) or a marked abstract, some without their title."""
+    k, html = F.col("page_id"), F.col("html")
+    tags = F.concat(F.lit("<META content='T &amp; &quot;"), k.cast("string"), F.lit("&quot;' name=citation_title><meta name=\"citation_author\" content=\"Lee, Ann\"/><meta content=\" Li &amp; Co \" name=\"citation_author\"><meta name=\"citation_doi\" content=\"10.1/"), k.cast("string"), F.lit("\"><meta name=\"citation_publication_date\" content=\"2001/02\"><meta name='citation_journal_title' content=Nature><meta name=\"citation_title\" content=\"second\">"))
+    told = F.when(k % 3 == 0, F.regexp_replace(html, "<title>", F.concat(tags, F.lit("<title>")))).when(k % 3 == 1, F.regexp_replace(html, "<body>", "<body><section class=\"wide abstract\">no</section><div id=abstract><h2>On</h2> <p>a &lt; b<script>x()</script></p>\n<!-- c --></div>")).otherwise(F.regexp_replace(html, "(?s)<title>.*?</title>", ""))
+    return c.table("pages").select("page_id", F.coalesce(told, F.lit("")).alias("html"))
+
+
+_TITLE = "trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '\"'), '&amp;?', '&', 'g'))"
+_H1 = "trim(regexp_replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&quot;', '\"'), '&amp;?', '&', 'g'))"
+query("S15", f"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('T & "', page_id, '"') WHEN 1 THEN nullif({_TITLE}, '') ELSE nullif({_H1}, '') END AS title, CASE WHEN page_id % 3 = 0 THEN 'Lee, Ann|Li & Co' ELSE '' END AS authors, CASE WHEN page_id % 3 = 1 THEN 'On a < b' END AS abstract,
+ CASE WHEN page_id % 3 = 0 THEN '2001/02' END AS year, CASE WHEN page_id % 3 = 0 THEN concat('10.1/', page_id) END AS doi, CASE WHEN page_id % 3 = 0 THEN 'Nature' END AS venue FROM pages""")(
+    lambda c: _tagged(c).select("page_id", papers.page("html").alias("m")).select("page_id", "m.*").withColumn("authors", F.array_join("authors", "|")))
+
+
+def _packages(c: Corpus) -> DataFrame:
+    """A package of each document: its whole text is the abstract; authors after a word, below one, or in the second line."""
+    k, lit = F.col("doc_id"), F.lit
+    said = F.trim(F.regexp_replace(F.coalesce("text", lit("")), "[\\x00-\\x20\\x7F-\\u00A0]+", " "))
+    who = F.when(k % 3 == 0, F.array(lit("Authors: Ann Lee; Bo Li and Cy Wu"))).when(k % 3 == 1, F.array(lit("AUTHORS"), lit("Ann Lee, Bo Li"))).otherwise(F.array(lit("Ann Lee AND Bo Li")))
+    rest = F.array(lit("Abstract"), said, F.concat(lit("Year: "), (1990 + k % 30).cast("string")), F.concat(lit("see 10.5555/d."), k.cast("string")))
+    return c.table("documents").select(F.concat((k % 7).cast("string"), lit("/"), k.cast("string"), F.when(k % 2 == 0, ".docx").otherwise("")).alias("path"), papers.packed(F.concat(F.array(F.concat(lit(" Doc "), k.cast("string")), lit(" ")), who, rest)).alias("content"))
+
+
+def _written(c: Corpus, files: DataFrame, tag: str) -> DataFrame:
+    path = scratch.new_path(c.spark, tag)
+    folder.write(files, path)
+    return folder.read(c.spark, path, bytes=1 << 20)
+
+
+_SAID = "trim(regexp_replace(coalesce(text, ''), '[\\x00-\\x20\\x7F-\\xA0]+', ' ', 'g'))"
+query("S18", f"""SELECT doc_id, concat('Doc ', doc_id) AS title, CASE doc_id % 3 WHEN 0 THEN 'Ann Lee|Bo Li|Cy Wu' ELSE 'Ann Lee|Bo Li' END AS authors, md5(CASE WHEN {_SAID} = '' THEN concat('Year: ', 1990 + doc_id % 30) ELSE {_SAID} END) AS abstract, cast(1990 + doc_id % 30 AS varchar) AS year, concat('10.5555/d.', doc_id) AS doi FROM documents""")(
+    lambda c: folder.metadata(_written(c, _packages(c), "packages")).where("kind = 'docx'").select(F.regexp_extract("path", "/(\\d+)", 1).cast("bigint").alias("doc_id"), "title", F.array_join("authors", "|").alias("authors"), F.md5("abstract").alias("abstract"), "year", "doi"))
+
+
+def _notes(c: Corpus) -> DataFrame:
+    """path and note of each paper with an abstract."""
+    told = features.author_names(c.papers, c.paper_author, c.authors).where(_number() % 4 != 0)
+    named = {"paper_id": F.col("paperId"), "title": F.col("title"), "doi": F.nullif("doi", F.lit("")), "venue": F.nullif("venue", F.lit("")), "year": F.col("year"), "abstract": F.concat(F.lit("on \"it\": "), "title"), "authors": F.col("authors_display"), "is_seed": F.col("isSeed"), "is_selected": F.col("selected"), "processed": F.col("processed")}
+    body = [F.concat(F.lit("*Authors:* "), F.nullif(F.array_join("authors_display", ", "), F.lit(""))), F.concat(F.lit("*Venue:* "), F.nullif("venue", F.lit(""))), F.lit("## Abstract"), F.concat(F.lit("on \"it\": "), "title"), F.lit("## Notes")]
+    return told.select(F.concat(F.lit("papers/"), "paperId", F.lit(".md")).alias("path"), folder.note_text(named, F.col("title"), body).alias("note"))
+
+
+_NOTE = """, who AS (SELECT "paperId", list(DISTINCT "authorName" ORDER BY "authorName") AS a FROM pa JOIN authors USING ("authorId") GROUP BY 1), noted AS (SELECT papers.*, coalesce(a, []) AS a FROM papers LEFT JOIN who USING ("paperId") WHERE k % 4 <> 0)
+"""
+query("K6", _NOTE + """SELECT concat('papers/', "paperId", '.md') AS path, concat('---', chr(10), 'paper_id: "', "paperId", '"', chr(10), 'title: "', title, '"', chr(10), 'doi: ', coalesce('"' || nullif(doi, '') || '"', 'null'), chr(10), 'venue: ', coalesce('"' || nullif(venue, '') || '"', 'null'), chr(10), 'year: ', coalesce(cast(year AS varchar), 'null'), chr(10),
+ 'abstract: "on \\"it\\": ', title, '"', chr(10), 'authors: [', array_to_string(list_transform(a, lambda x: concat('"', x, '"')), ','), ']', chr(10), 'is_seed: ', "isSeed", chr(10), 'is_selected: ', selected, chr(10), 'processed: ', processed, chr(10), '---', chr(10), chr(10), '# ', title, chr(10), chr(10),
+ CASE WHEN len(a) > 0 THEN concat('*Authors:* ', array_to_string(a, ', '), chr(10), chr(10)) ELSE '' END, CASE WHEN venue <> '' THEN concat('*Venue:* ', venue, chr(10), chr(10)) ELSE '' END, '## Abstract', chr(10), chr(10), 'on "it": ', title, chr(10), chr(10), '## Notes', chr(10)) AS note FROM noted""")(
+    lambda c: _written(c, _notes(c).select("path", F.encode("note", "UTF-8").alias("content")), "notes").select("path", folder.text_of("content").alias("note")))
+
+
+def _library(c: Corpus) -> DataFrame:
+    """Notes as other programs write them (lists over several lines, quotes, long values over two lines, remarks), notes without fields, and other files."""
+    k, lit = _number(), F.lit
+    front = F.when(k % 5 == 0, F.format_string("---\npaper_id: %s\ntitle: '%s''s\n  second line'\nauthors:\n- Ann Lee\n- \"Bo: Li\"\n  the elder\nyear: %d # of print\nnested:\n  a: 1\n---\nbody: no\n", "paperId", "title", "year")).when(k % 5 == 1, F.format_string("---\r\npaper_id: \"%s\"\r\ntitle: %s\r\nauthors: [Ann Lee, 'Bo, Li']\r\nyear: %d\r\n---\r\n", "paperId", "title", "year")).when(k % 5 == 2, F.format_string("# %s\n---\nyear: %d\n---\n", "title", "year")).when(k % 5 == 3, "---\nno end: 1\n")
+    files = c.papers.select(F.concat((k % 3).cast("string"), lit("/"), "paperId", F.when(k % 5 == 4, ".txt").otherwise(".md")).alias("path"), F.encode(F.coalesce(front, lit("---\npaper_id: x\n---\n")), "UTF-8").alias("content"))
+    return folder.library(_written(c, files, "library"))
+
+
+query("S6", """SELECT "paperId", CASE WHEN k % 5 = 0 THEN concat(title, '''s second line') ELSE title END AS title, CASE WHEN k % 5 = 0 THEN 'Ann Lee|"Bo: Li" the elder' ELSE 'Ann Lee|Bo, Li' END AS authors, cast(year AS varchar) AS year FROM papers WHERE k % 5 < 2""")(
+    lambda c: _library(c).select(F.col("fields")["paper_id"].alias("paperId"), F.col("fields")["title"].alias("title"), F.array_join(F.col("lists")["authors"], "|").alias("authors"), F.col("fields")["year"].alias("year")))
+_HEADS = ["%PDF-1.7 ", "\n<!DOCTYPE HTML><html>", "<?xml version='1.0'?><article>", "<?xml version='1.0'?>\n<TEI xmlns='x'>", "% c\n\\documentclass{a}", "---\ntitle: x\n---", "plain", "PK zip"]
+query("S21_bytes", """SELECT "paperId", CASE k % 8 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THEN 'xml' WHEN 3 THEN 'tei' WHEN 4 THEN 'latex' WHEN 5 THEN 'note' ELSE CASE k % 4 WHEN 0 THEN 'latex' WHEN 1 THEN 'docx' WHEN 2 THEN 'xml' ELSE 'unknown' END END AS kind FROM papers""")(
+    lambda c: c.papers.select("paperId", papers.kind_of_bytes(F.encode(F.concat(F.element_at(F.array(*[F.lit(x) for x in _HEADS]), (_number() % 8 + 1).cast("int")), "title"), "UTF-8"), F.concat(F.lit("a/b"), F.element_at(F.array(*[F.lit(x) for x in (".tex", ".DOCX", ".nxml", ".pdf")]), (_number() % 4 + 1).cast("int")))).alias("kind")))

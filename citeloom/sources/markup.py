@@ -1,4 +1,4 @@
-"""Metadata in XML, JSON and Markdown files, read with built-in functions, and sinks that read back."""
+"""Items of a reference manager, kinds of files by extension, and sinks that read back."""
 
 from __future__ import annotations
 
@@ -6,31 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _inner(xml: Column, tag: str, attribute: str = "") -> Column:
-    """The text of the first element with a tag (and an attribute); tags inside it go."""
-    found = F.regexp_extract(xml, f"(?s)<{tag}(?:\\s[^>]*)?{attribute}[^>]*>(.*?)</{tag}>", 1)
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(found, "<[^>]*>", " "), "\\s+", " ")), F.lit(""))
-
-
-def _people(xml: Column, tag: str, first: str, last: str) -> Column:
-    parts = F.regexp_extract_all(xml, F.lit(f"(?s)<{tag}(?:\\s[^>]*)?>.*?</{tag}>"), F.lit(0))
-    return F.filter(F.transform(parts, lambda x: F.concat_ws(" ", _inner(x, first), _inner(x, last))), lambda n: n != "")
-
-
-def article(xml: Column) -> Column:
-    """title, authors, year, doi and venue of a journal article's XML."""
-    return F.struct(_inner(xml, "article-title").alias("title"), _people(xml, "contrib", "given-names", "surname").alias("authors"), _inner(xml, "year").cast("int").alias("year"), _inner(xml, "article-id", "pub-id-type=\"doi\"").alias("doi"), _inner(xml, "journal-title").alias("venue"))
-
-
-def tei(xml: Column) -> Column:
-    """title, authors, year, doi and venue (a journal's title, else a monograph's, else any, else the publisher) of a header in TEI."""
-    head = F.regexp_extract(xml, "(?s)<titleStmt>.*?</titleStmt>", 0)
-    year = F.regexp_extract(xml, "<date[^>]*when=\"(\\d{4})", 1)
-    mono = F.regexp_extract(xml, "(?s)<monogr>.*?</monogr>", 0)
-    venue = F.coalesce(_inner(mono, "title", "level=\"j\""), _inner(mono, "title", "level=\"m\""), _inner(mono, "title"), _inner(xml, "publisher"))
-    return F.struct(_inner(head, "title").alias("title"), _people(xml, "persName", "forename", "surname").alias("authors"), F.nullif(year, F.lit("")).cast("int").alias("year"), _inner(xml, "idno", "type=\"DOI\"").alias("doi"), venue.alias("venue"))
-
-
 def library_item(json: Column) -> Column:
     """title, authors (creators who are authors), year, doi and tags of a reference manager's item."""
     item = F.from_json(json, "title string, DOI string, date string, creators array<struct<creatorType: string, firstName: string, lastName: string, name: string>>, tags array<struct<tag: string>>")
@@ -40,20 +15,6 @@ def library_item(json: Column) -> Column:
     return F.struct(item["title"].alias("title"), names.alias("authors"), year.cast("int").alias("year"), item["DOI"].alias("doi"), F.transform(item["tags"], lambda t: t["tag"]).alias("tags"))
 
 
-def front_matter(text: Column) -> Column:
-    """The scalar fields between the first two lines of three dashes, by name; null where there are none."""
-    block = F.nullif(F.regexp_extract(text, "(?s)\\A---\\r?\\n(.*?)\\r?\\n---", 1), F.lit(""))
-    lines = F.filter(F.split(block, "\\r?\\n"), lambda x: x.rlike("^[A-Za-z_][A-Za-z0-9_]*:\\s*\\S"))
-    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, "^(\\w+):", 1).alias("k"), F.regexp_replace(F.trim(F.regexp_replace(x, "^\\w+:", "")), "^[\"']|[\"']$", "").alias("v")))
-    return F.map_from_entries(F.filter(pairs, lambda p: p["k"] != ""))
-
-
-def markdown_library(spark: SparkSession, path: str) -> DataFrame:
-    """path and fields of the Markdown files in a folder; those without front matter are left out."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md")
-    return files.select(F.col("_metadata.file_name").alias("file"), front_matter(F.col("value")).alias("fields")).where("fields is not null")
-
-
 def kind_of(path: Column) -> Column:
     """Which reader a file is for, by its extension."""
     ext = F.lower(F.regexp_extract(path, "\\.([A-Za-z0-9]+)$", 1))

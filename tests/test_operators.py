@@ -200,12 +200,12 @@ def test_evolution_says_what_is_missing(spark):
 
 
 def test_markdown_files(spark, tmp_path):
-    from citeloom.sources import markup
+    from citeloom.sources import folder
 
     (tmp_path / "a.md").write_text("---\ntitle: 'A b'\nyear: 2020\n---\ntext")
     (tmp_path / "b.md").write_text("no front matter")
     (tmp_path / "c.txt").write_text("---\ntitle: x\n---\n")
-    assert [(r.file, r.fields) for r in markup.markdown_library(spark, str(tmp_path)).collect()] == [("a.md", {"title": "A b", "year": "2020"})]
+    assert [(r.path, r.fields) for r in folder.library(folder.read(spark, str(tmp_path))).collect()] == [("a.md", {"title": "A b", "year": "2020"})]
 
 
 def test_files(spark, tmp_path):

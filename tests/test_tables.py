@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citeloom.operators import titles
 from citeloom.operators.corpus import Corpus
 from citeloom.plans import catalogue, tables
+from citeloom.sources import folder, papers
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,3 +77,95 @@ def test_items_are_matched(spark):
     got = sorted(map(str, [tuple(r) for r in titles.match(items, papers).withColumn("confidence", F.round("confidence", 4)).collect()]))
     assert got == sorted(map(str, [("i1", "W1", round(ratio("deep learnin of graphs", "deep learning of graphs"), 4), "title"), ("i2", "W3", 1.0, "doi"), ("i3", "W1", 1.0, "title"), ("i4", None, None, "none"), ("i5", None, None, "none"), ("i6", None, None, "none"), ("i6", None, None, "none")]))
     assert titles.match(items.where("false"), papers).count() == 0 and titles.match(items, papers.where("false")).where("how <> 'none'").count() == 0
+
+
+# --- files ---------------------------------------------------------------------------------------
+
+
+def read(spark, reader, content, binary=False):
+    df = spark.createDataFrame([(content,)], "x binary" if binary else "x string")
+    return df.select(reader("x").alias("m")).select("m.*").first().asDict()
+
+
+NOTHING = {"title": None, "authors": [], "abstract": None, "year": None, "doi": None, "venue": None}
+
+
+def test_articles(spark):
+    whole = """<?xml version="1.0" encoding="latin-1"?><!DOCTYPE article><a:article xmlns:a="urn:x" xmlns="urn:y"><article-meta><article-title>A &amp; B &#233; <![CDATA[<x>]]></article-title>
+      <contrib contrib-type="editor"><name><surname>Ed</surname></name></contrib><contrib><name><surname>Untyped</surname></name></contrib><contrib contrib-type="author"><name><surname>Li</surname></name></contrib>
+      <contrib contrib-type="author"><name><given-names>Only</given-names></name></contrib><contrib contrib-type="author"/><a:id pub-id-type="doi">10.1/x</a:id><abstract><title>Abstract</title>  <p>one <b>two</b></p></abstract></article-meta></a:article>"""
+    assert read(spark, papers.article, whole) == {"title": "A & B é <x>", "authors": ["Li", "Only"], "abstract": "Abstract one two", "year": None, "doi": "10.1/x", "venue": None}
+    assert read(spark, papers.article, "<article><contrib contrib-type='editor'><surname>Ed</surname></contrib></article>") == NOTHING
+    for bad in ("<article><article-title>x</article>", "", None, "no xml", "<!DOCTYPE a [<!ENTITY b '&c;'>]><a>&b;</a>"):
+        assert read(spark, papers.article, bad) == NOTHING
+    assert read(spark, papers.article, "<article><article-title>ünï</article-title></article>".encode("latin-1"), True) == NOTHING
+    assert read(spark, papers.article, '<?xml version="1.0" encoding="latin-1"?><article><article-title>ünï</article-title></article>'.encode("latin-1"), True)["title"] == "ünï"
+
+
+def test_tei_headers(spark):
+    tei = lambda x: f'<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader>{x}</teiHeader></TEI>'
+    got = read(spark, papers.tei, tei("<fileDesc><titleStmt><title> T </title></titleStmt><sourceDesc><author>Plain Name</author><author><persName>Whole</persName></author><author><persName><surname>Half</surname></persName></author></sourceDesc></fileDesc><date>in 1999 or 2001</date><date when='12'/>"))
+    assert got == NOTHING | {"title": "T", "authors": ["Plain Name", "Whole"], "year": "1999"}
+    assert read(spark, papers.tei, "<TEI><titleStmt><title>T</title></titleStmt></TEI>") == NOTHING and read(spark, papers.tei, "<TEI>") == NOTHING
+    lines = spark.createDataFrame([([],), (["a"],), (["a", "b"],), (["a", "b", "c"],)], "n array<string>").select(papers.author_line(F.col("n"))).collect()
+    assert [r[0] for r in lines] == [None, "a", "a and b", "a, b and c"]
+
+
+def test_pages(spark):
+    got = read(spark, papers.page, "<p>x<meta name=citation_title content=''><h1> A <b>b </b>c</h1><div class='abstract x'>one<div>two</div><style>p{}</style></div>three</p><title></title>")
+    assert got == NOTHING | {"title": "Abc", "abstract": "one two"}
+    assert read(spark, papers.page, "<title>T &lt;x&gt;</title><span id='abstract'>only</span> not <br id=abstract>") == NOTHING | {"title": "T <x>", "abstract": "only"}
+    for bad in ("", None, "<", "<!--", "</p></div>", "<a b='"):
+        assert read(spark, papers.page, bad) == NOTHING
+
+
+def test_manuscripts(spark):
+    lines = lambda *xs: read(spark, papers.docx, papers.pack_docx(list(xs)), True)
+    assert lines("T", "ann lee and bo", "Abstract: short", "2001", "Year: 2002") == NOTHING | {"title": "T", "authors": ["ann lee", "bo"], "abstract": "short", "year": "2002"}
+    assert lines("T", "x", "long text", "author(s) - A; B", "1999") == NOTHING | {"title": "T", "authors": ["A", "B"], "abstract": "long text", "year": "1999"}
+    assert lines("T", "one", "1987") == NOTHING | {"title": "T", "year": "1987"}
+    assert lines() == NOTHING
+    for bad in (b"", None, b"PK\x03\x04 no package", papers.pack_docx(["x"])[:-30]):
+        assert read(spark, papers.docx, bad, True) == NOTHING
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:pPr><w:tabs><w:tab w:val="left"/></w:tabs></w:pPr><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t><w:br/></w:r></w:p><w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:t>end</w:t></w:r></w:p></w:body></w:document>')
+    assert papers.docx_lines(out.getvalue()) == ["a\tb", "end", "cell", "cell"]
+
+
+def test_folder_source(spark, tmp_path):
+    files = {"a/1.html": b"<html><title>Page</title>", "a/2.xml": b"<?xml version='1.0'?><article><article-title>Art</article-title></article>", "3.docx": papers.pack_docx(["Doc", "Ann Lee"]), "4.tex": b"\\title{Tex}\\date{2001}", "bad.xml": b"<?xml version='1.0'?><article>", "no.bin": b"\x00\xff", "n.md": b"---\ntitle: x\n---\n", "empty.docx": b""}
+    folder.write(spark.createDataFrame(list(files.items()), "path string, content binary").repartition(3), f"file://{tmp_path}/f")
+    back = folder.read(spark, f"{tmp_path}/f", bytes=100)
+    assert {r.path: bytes(r.content) for r in back.collect()} == files and back.rdd.getNumPartitions() > 2
+    assert {r.path: (r.kind, r.title) for r in folder.metadata(back).collect()} == {"a/1.html": ("html", "Page"), "a/2.xml": ("xml", "Art"), "3.docx": ("docx", "Doc"), "4.tex": ("latex", "Tex")}
+    folder.write(spark.createDataFrame([("a/1.html", b"new")], "path string, content binary"), f"{tmp_path}/f")
+    assert bytes(folder.read(spark, f"{tmp_path}/f").where("path = 'a/1.html'").first().content) == b"new"
+    assert folder.read(spark, f"{tmp_path}/none").count() == 0 and [r.path for r in folder.read(spark, f"{tmp_path}/f", suffix=".md").collect()] == ["n.md"]
+
+
+@pytest.mark.parametrize("text, scalars, lists", [
+    ("---\na: 1\nb: 'it''s'\nc: \"x\\ny\"\nd:\ne: null\nf: ~\n---\nbody", {"a": "1", "b": "it's", "c": "x\ny"}, {}),
+    ("---\ntags:\n  - one\n  - 'two, three'\n  -\nlist: [a, \"b, c\", 'd']\nempty: []\n---", {}, {"tags": ["one", "two, three"], "list": ["a", "b, c", "d"], "empty": []}),
+    ("---\nlong: first\n  second\n  third\nnext: x # remark\nurl: http://a.b/c#d\n---\n", {"long": "first second third", "next": "x", "url": "http://a.b/c#d"}, {}),
+])
+def test_fields_of_notes(text, scalars, lists):
+    assert folder.front_fields(text) == (scalars, lists)
+
+
+@pytest.mark.parametrize("text", ["", "x", "---\na: 1\n", "---\n---\n", "---\n\n---\n", " ---\na: 1\n---\n", "---\n# only\n---\n"])
+def test_no_fields(text):
+    assert folder.front_fields(text) is None
+
+
+def test_notes_come_back(spark, tmp_path):
+    """Any text in a field of a note is read as it was."""
+    odd = ["plain", "with: colon", "quote \" and 'single'", "- dash", "[a, b]", "# no remark", "back\\slash \\n", "line\nbreak\ttab", "é ☃ 𝒳", "null", " spaces ", "---", "100%"]
+    rows = spark.createDataFrame([(f"{i}.md", t, [t, "x"]) for i, t in enumerate(odd)], "path string, t string, l array<string>")
+    folder.write(rows.select("path", F.encode(folder.note_text({"t": F.col("t"), "l": F.col("l"), "n": F.lit(None).cast("string")}, F.col("t"), [F.lit("body")]), "UTF-8").alias("content")), str(tmp_path / "notes"))
+    got = {r.path: (r.fields, r.lists) for r in folder.library(folder.read(spark, str(tmp_path / "notes"))).collect()}
+    assert got == {f"{i}.md": ({"t": t}, {"l": [t, "x"]}) for i, t in enumerate(odd)}
