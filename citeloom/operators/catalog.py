@@ -15,6 +15,8 @@ class CatalogQuery:
     search: str | None = None
     year_min: int | None = None
     year_max: int | None = None
+    venue: str | None = None
+    doi_search: str | None = None
     doi: str = "all"
     marks: list[str] = field(default_factory=list)
     venues: list[str] = field(default_factory=list)
@@ -29,6 +31,9 @@ class CatalogQuery:
         parts = [P.mark_filter(F.col("mark"), self.marks)]
         if self.search:
             parts.append(P.literal_search([F.col("title"), F.col("paperId")], self.search))
+        for column, pattern in (("venue", self.venue), ("doi", self.doi_search)):
+            if pattern and pattern.strip() and column in df.columns:
+                parts.append(F.lower(F.coalesce(F.col(column).cast("string"), F.lit(""))).rlike(pattern.strip().lower()))
         if self.year_min is not None or self.year_max is not None:
             parts.append(P.year_range(F.col("year"), self.year_min, self.year_max))
         if self.doi != "all":
@@ -38,13 +43,23 @@ class CatalogQuery:
             parts.append(F.trim("venue").isin(self.venues))
         if self.topics:
             parts.append(F.col("topic").isin(self.topics))
-        for column, op, value, to in P.parse_rules(self.rules):
-            if column in df.columns:
-                number = dict(df.dtypes)[column] in ("int", "bigint", "double")
-                parts.append(P.number_rule(F.col(column), op, float(value), None if to is None else float(to)) if number else P.text_rule(F.col(column), op, value))
+        for name, op, value, to in P.parse_rules(self.rules):
+            c = routed(df, name)
+            if c is not None:
+                number = dict(df.select(c.alias("c")).dtypes)["c"] in ("int", "bigint", "double")
+                parts.append(P.number_rule(c, op, float(value), None if to is None else float(to)) if number else P.text_rule(c, op, value))
         return P._all(parts)
 
 
+def routed(df: DataFrame, name: str) -> Column | None:
+    """The column that a rule's name is for: identifiers are DOIs, else URLs; authors are their names in one text; None if there is none."""
+    if name == "identifier":
+        return next((F.col(c) for c in ("doi", "url") if c in df.columns), None)
+    if name == "authors" and "authors_display" in df.columns:
+        return F.array_join("authors_display", " || ")
+    return F.col(name) if name in df.columns else None
+
+
 def with_marks(papers: DataFrame, marks: DataFrame) -> DataFrame:
     return papers.join(marks, "paperId", "left").withColumn("mark", F.coalesce("mark", F.lit("standard")))
 
@@ -84,11 +99,20 @@ def paper_facets(papers: DataFrame) -> DataFrame:
     return facets(papers, {"title": one("title"), "venue": one("venue"), "year": one("year"), "authors": F.col("authors_display"), "identifier": F.array(F.when(F.trim("doi") != "", F.concat(F.lit("doi::"), "doi")))})
 
 
-def facet_options(counts: DataFrame, selected: list[tuple[str, str]], cap: int = 150) -> DataFrame:
-    """The cap commonest of each facet, and those selected though absent with count 0."""
+def staging_facets(rows: DataFrame) -> DataFrame:
+    """As paper_facets of staging rows: authors are one text, identifiers are DOIs and URLs."""
+    one = lambda c: F.array(F.col(c).cast("string"))
+    named = F.array(*[F.when(F.trim(c) != "", F.concat(F.lit(f"{c}::"), F.trim(c))) for c in ("doi", "url")])
+    return facets(rows, {**{c: one(c) for c in ("title", "authors", "venue", "year")}, "identifier": named})
+
+
+def facet_options(counts: DataFrame, selected: list[tuple[str, str]], cap: int | None = 150) -> DataFrame:
+    """The cap commonest of each facet (None: all), and those selected though absent with count 0."""
     from pyspark.sql import Window
 
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))).where(F.col("r") <= cap).drop("r")
+    top = counts
+    if cap is not None:
+        top = counts.withColumn("r", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))).where(F.col("r") <= cap).drop("r")
     chosen = counts.sparkSession.createDataFrame(selected, "facet string, value string")
     return top.unionByName(chosen.join(counts, ["facet", "value"], "left").select("facet", "value", F.coalesce("n", F.lit(0)).alias("n"))).distinct()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: Word that a title may hold, by the column that tells it.
@@ -59,9 +59,41 @@ def year_histogram(papers: DataFrame) -> DataFrame:
     return papers.where("year is not null").groupBy("year").agg(F.count("*").alias("papers")).orderBy("year")
 
 
-def overview(papers: DataFrame, edges: DataFrame, paper_author: DataFrame) -> DataFrame:
-    one = papers.agg(F.count("*").alias("papers"), F.count_if("isSeed").alias("seeds"), F.count_if("selected").alias("selected"), F.count_if("processed").alias("processed"))
-    return one.crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(paper_author.agg(F.countDistinct("authorId").alias("authors")))  # one row each
+def truthy(column: str, kind: str) -> Column:
+    """How many a row counts for in a column of flags of whatever kind: booleans, numbers, or words for yes."""
+    c = F.col(column)
+    if kind == "boolean":
+        return F.coalesce(c.cast("int"), F.lit(0))
+    if kind == "string":
+        return F.coalesce(F.lower(F.trim(c)).isin("true", "1", "yes", "y", "retracted"), F.lit(False)).cast("int")
+    return F.coalesce(c.cast("int"), F.lit(0))
+
+
+def overview(papers: DataFrame, graph: DataFrame, topic: str = "topic_id", flags: tuple[str, ...] = ("retracted", "isRetracted", "is_retracted")) -> DataFrame:
+    """One row: nodes and edges of the graph, its papers and authors, and the papers, topics and retracted papers of a catalog (the
+    first column of flags that is there)."""
+    ends = F.array(F.struct(F.col("src").alias("id"), F.when(F.col("etype") == "cites", "paper").otherwise(F.col("etype")).alias("ntype")), F.struct(F.col("dst").alias("id"), F.lit("paper").alias("ntype")))
+    nodes = graph.select(F.inline(ends)).distinct().agg(F.countDistinct("id").alias("total_nodes"), F.count_if(F.col("ntype") == "paper").alias("paper_nodes"), F.count_if(F.col("ntype") == "author").alias("author_nodes"))
+    flag = next((c for c in flags if c in papers.columns), None)
+    retracted = F.sum(truthy(flag, dict(papers.dtypes)[flag])) if flag else F.lit(0)
+    topics = F.countDistinct(F.when(F.col(topic) >= 0, F.col(topic))) if topic in papers.columns else F.lit(0)
+    own = papers.agg(F.count("*").alias("total_papers"), topics.cast("bigint").alias("total_topics"), F.coalesce(retracted, F.lit(0)).cast("bigint").alias("retracted_papers"))
+    return nodes.crossJoin(graph.agg(F.count("*").alias("total_edges"))).crossJoin(own)  # one row each
+
+
+def progress(papers: DataFrame, fresh: DataFrame, citations: DataFrame, references: DataFrame, path: str) -> DataFrame:
+    """One row of counters of an iteration, observed while its frames are written to path: no frame is read twice for them. fresh
+    are the papers that the iteration found; those that are there already aren't added."""
+    spark = papers.sparkSession
+    new = fresh.join(papers.select("paperId"), "paperId", "left_anti").dropDuplicates(["paperId"])
+    every = papers.withColumn("__new", F.lit(False)).unionByName(new.withColumn("__new", F.lit(True)), allowMissingColumns=True)
+    counts = {"papers": (every, [F.count("*").alias("papers_collected"), F.count_if("isSeed").alias("seed_papers"), F.count_if("__new").alias("papers_added")]), "citations": (citations, [F.count("*").alias("citations_collected")]), "references": (references, [F.count("*").alias("references_collected")])}
+    row = {}
+    for name, (frame, columns) in counts.items():
+        seen = Observation()
+        frame.observe(seen, *columns).drop("__new").write.mode("overwrite").parquet(f"{path}/{name}")
+        row |= seen.get
+    return spark.createDataFrame([row], ", ".join(f"{k} bigint" for k in row))
 
 
 def author_names(papers: DataFrame, paper_author: DataFrame, authors: DataFrame) -> DataFrame:
@@ -70,9 +102,27 @@ def author_names(papers: DataFrame, paper_author: DataFrame, authors: DataFrame)
     return papers.join(named, "paperId", "left").withColumn("authors_display", F.coalesce("authors_display", F.array().cast("array<string>")))
 
 
-def top_authors(papers: DataFrame, edges: DataFrame, paper_author: DataFrame, n: int = 20) -> DataFrame:
-    own = paper_author.join(papers.select("paperId"), "paperId").join(citation_counts(edges), "paperId", "left")
-    return own.groupBy("authorId").agg(F.count("*").alias("papers"), F.sum(F.coalesce("citation_count", F.lit(0))).alias("citations")).orderBy(F.desc("citations"), "authorId").limit(n)
+def top_authors(catalog: DataFrame, edges: DataFrame, paper_author: DataFrame, n: int = 50) -> DataFrame:
+    """The authors with the highest mean centrality (along edges, else against them) of their papers in a catalog, with all their
+    papers counted and the citations of those in the catalog summed; authors without a paper there have no row."""
+    score = next((c for c in ("centrality_in", "centrality_out") if c in catalog.columns), None)
+    own = catalog.select("paperId", (F.col(score) if score else F.lit(0.0)).alias("c")).join(citation_counts(edges), "paperId", "left")
+    rows = paper_author.join(own.withColumn("there", F.lit(True)), "paperId", "left").groupBy("authorId").agg(F.count("*").alias("papers"), F.sum("citation_count").alias("citations"), F.avg("c").alias("centrality"), F.max("there").alias("there"))
+    return rows.where("there").select("authorId", "papers", F.coalesce("citations", F.lit(0)).alias("citations"), F.coalesce("centrality", F.lit(0.0)).alias("centrality")).orderBy(F.desc("centrality"), "authorId").limit(n)
+
+
+def topic_overview(catalog: DataFrame, tops: DataFrame) -> DataFrame:
+    """topic_id, papers and topic_label (its five heaviest terms) of each topic of a catalog; tops has (topic, place, term)."""
+    counted = catalog.where("topic_id >= 0").groupBy("topic_id").agg(F.count("*").alias("papers"))
+    words = tops.where("place <= 5").groupBy(F.col("topic").alias("topic_id")).agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("w"))
+    label = F.array_join(F.transform("w", lambda x: x["term"]), " ")
+    return counted.join(words, "topic_id", "left").select("topic_id", "papers", F.coalesce(label, F.concat(F.lit("Topic "), F.col("topic_id").cast("string"))).alias("topic_label"))
+
+
+def topic_links(catalog: DataFrame, site: str) -> DataFrame:
+    """A row (topic_id, paperId, doi, url) for each paper of each topic; a topic's list may be of any length, so it stays rows."""
+    own = F.nullif(F.col("url"), F.lit("")) if "url" in catalog.columns else F.lit(None).cast("string")
+    return catalog.where("topic_id >= 0").select("topic_id", "paperId", "doi", F.coalesce(own, F.concat(F.lit(site), "paperId")).alias("url"))
 
 
 def top_by_measures(rows: DataFrame, key: str, measures: list[str], each: int = 5, n: int = 20) -> DataFrame:

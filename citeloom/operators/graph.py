@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from citeloom.operators import scratch
+from citeloom.operators.predicates import meaningful_venue
 from citeloom.operators.scratch import cut_lineage
 
 
@@ -153,13 +154,26 @@ def sampling_round(papers: DataFrame, forbidden: DataFrame, centralities: DataFr
     return papers.join(on, "paperId", "left").withColumn("selected", F.col("selected") | F.coalesce("__on", F.lit(False))).drop("__on")
 
 
-def property_graph(papers: DataFrame, references: DataFrame) -> DataFrame:
-    """JSON lines of nodes and relationships; a venue's id is the md5 of its trimmed lower-case name."""
-    venue = F.md5(F.lower(F.trim("venue")))
+def property_graph(papers: DataFrame, references: DataFrame, citations_in: DataFrame, paper_author: DataFrame, authors: DataFrame) -> DataFrame:
+    """JSON lines of nodes (paper, venue, author) and relationships (PUBLISHED_BY, AUTHORED_BY, CITE).
+
+    Relationships have ids without gaps, from 0 in the order of label, start and end: they are sorted over all partitions, whose sizes say
+    where each begins to count. A venue's id is the md5 of its trimmed lower-case name; authors without a name and ends
+    that are no papers of the graph give no relationship; a paper without id or title is none.
+    """
     js = lambda **c: F.to_json(F.struct(*[v.alias(k) for k, v in c.items()]))
-    node = papers.select(js(type=F.lit("node"), id=F.col("paperId"), labels=F.array(F.lit("Paper"))).alias("value"))
-    venues = papers.where("venue <> ''").select(js(type=F.lit("node"), id=venue, labels=F.array(F.lit("Venue"))).alias("value")).distinct()
-    published = papers.where("venue <> ''").select(js(type=F.lit("relationship"), label=F.lit("PUBLISHED_BY"), start=F.col("paperId"), end=venue).alias("value"))
-    known = papers.select("paperId")
-    cites = references.join(known, "paperId", "left_semi").join(known.withColumnRenamed("paperId", "referencePaperId"), "referencePaperId", "left_semi")
-    return node.unionByName(venues).unionByName(published).unionByName(cites.select(js(type=F.lit("relationship"), label=F.lit("CITE"), start=F.col("paperId"), end=F.col("referencePaperId")).alias("value")))
+    node = lambda id_, label, **properties: js(type=F.lit("node"), id=id_, labels=F.array(F.lit(label)), properties=F.struct(*[v.alias(k) for k, v in properties.items()])).alias("value")
+    known = papers.where((F.coalesce("paperId", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != "")).dropDuplicates(["paperId"])
+    place = F.lower(F.trim("venue"))
+    venues = known.where(meaningful_venue(F.col("venue"))).select("paperId", place.alias("venue"), F.md5(place).alias("venue_id"))
+    named = paper_author.join(authors.where("authorName is not null").dropDuplicates(["authorId"]), "authorId").join(known.select("paperId"), "paperId", "left_semi").distinct()
+    nodes = known.select(node(F.col("paperId"), "paper", title=F.array("title"), year=F.col("year"), processed=F.col("processed"))).unionByName(venues.select("venue_id", "venue").distinct().select(node(F.col("venue_id"), "venue", venue=F.col("venue")))).unionByName(named.select("authorId", "authorName").distinct().select(node(F.col("authorId"), "author", name=F.col("authorName"))))
+    ends = known.select("paperId")
+    cites = references.select(F.col("paperId").alias("start"), F.col("referencePaperId").alias("end")).unionByName(citations_in.select(F.col("citingPaperId").alias("start"), F.col("paperId").alias("end")))
+    for c in ("start", "end"):
+        cites = cites.join(ends.select(F.col("paperId").alias(c)), c, "left_semi")
+    edge = lambda df, label, start, end, kind: df.select(F.lit(label).alias("label"), F.col(start).alias("start"), F.col(end).alias("end"), F.lit(kind).alias("kind"))
+    links = edge(venues, "PUBLISHED_BY", "paperId", "venue_id", "venue").unionByName(edge(named, "AUTHORED_BY", "paperId", "authorId", "author")).unionByName(edge(cites, "CITE", "start", "end", "paper"))
+    end = lambda c, kind: F.struct(F.col(c).alias("id"), F.array(kind).alias("labels"))
+    told = scratch.numbered(links, ["label", "start", "end"], "n").select(js(type=F.lit("relationship"), id=F.col("n").cast("string"), label=F.col("label"), start=end("start", F.lit("paper")), end=end("end", F.col("kind"))).alias("value"))
+    return nodes.unionByName(told)

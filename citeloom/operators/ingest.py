@@ -61,7 +61,10 @@ def insert_staging(existing: DataFrame, new: DataFrame, order: str) -> DataFrame
 
 
 def completeness(df: DataFrame, columns: list[str]):
-    return sum((ids.presence(F.col(c).cast("string")).cast("int") for c in columns), F.lit(0)) / len(columns)
+    """The share of columns that say something: text that isn't empty, lists with elements, any number."""
+    kinds = dict(df.dtypes)
+    said = [F.coalesce(F.size(c) > 0, F.lit(False)) if kinds[c].startswith("array") else ids.presence(F.col(c).cast("string")) for c in columns]
+    return sum((x.cast("int") for x in said), F.lit(0)) / len(columns)
 
 
 def retraction_hits(papers: DataFrame, retractions: DataFrame) -> DataFrame:

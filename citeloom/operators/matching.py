@@ -1,4 +1,4 @@
-"""Matching rows to candidates by identifier and title.
+"""Matching rows to candidates by identifier and title.
 
 Candidates come with their item, as a search answers with a few for each, so that no title meets all
 others. Defined results: an item without candidates has no match; empty titles are alike to nothing.
@@ -6,7 +6,7 @@ others. Defined results: an item without candidates has no match; empty titles a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import ids
@@ -56,12 +56,3 @@ def staging_cascade(rows: DataFrame, papers: DataFrame, key: str = "staging_id")
         out = with_key(out, found, by, name)
     how = F.when(F.col("m1").isNotNull(), "id").when(F.col("m2").isNotNull(), "doi").when(F.col("m3").isNotNull(), "title").when(F.coalesce("w", "d", "t").isNull(), "nothing to match by").otherwise("no match")
     return out.select(key, F.coalesce("m1", "m2", "m3").alias("match"), how.alias("how"))
-
-
-def fuzzy_name(name: Column, choices: list[str], least: float = 0.9) -> Column:
-    """The choice that is most alike by edit distance, if alike enough; the choices are a parameter."""
-    if not choices:
-        return F.lit(None).cast("string")
-    ratio = lambda c: 1 - F.levenshtein(name, F.lit(c.lower())) / F.greatest(F.length(name), F.lit(len(c)))
-    best = F.greatest(*[F.struct(ratio(c).alias("r"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(choices)]) if len(choices) > 1 else F.struct(ratio(choices[0]).alias("r"), F.lit(choices[0]).alias("c"))
-    return F.when((name != "") & (best["r"] >= least), best["c"])

@@ -112,6 +112,20 @@ def parse_rules(lines: list[str]) -> list[tuple[str, str, str, str | None]]:
     return [(*f, None)[:4] for f in found if len(f) in (3, 4) and all(f[:3])]
 
 
+def rules_of(line: Column) -> Column:
+    """As parse_rules of a column with one line: name, rule, value and value_to; null for what doesn't parse."""
+    parts = F.transform(F.split(line, "::"), lambda x: F.trim(x))
+    whole = F.size(parts).isin(3, 4) & F.forall(F.slice(parts, 1, 3), lambda x: x != "")
+    return F.when(whole, F.struct(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(("name", "rule", "value", "value_to"))]))
+
+
+def balanced(expression: Column) -> Column:
+    """Whether an expression has text and every bracket its partner."""
+    steps = F.transform(F.split(expression, ""), lambda ch: F.when(ch == "(", 1).when(ch == ")", -1).otherwise(0))
+    walk = F.aggregate(steps, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least")), lambda s, x: F.struct((s["depth"] + x).alias("depth"), F.least(s["least"], s["depth"] + x).alias("least")))
+    return F.coalesce((F.trim(expression) != "") & (walk["depth"] == 0) & (walk["least"] == 0), F.lit(False))
+
+
 def paper_id_valid(c: Column) -> Column:
     return F.coalesce(c.rlike("^W[0-9]+$") | c.rlike("^[0-9a-fA-F]{24,40}$") | c.rlike("^10\\.[0-9]{4,9}/\\S+$"), F.lit(False))
 

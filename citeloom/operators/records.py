@@ -70,10 +70,13 @@ def hierarchy(concepts: Column) -> Column:
 
 
 def paper_of(work: DataFrame) -> DataFrame:
-    """paperId, doi, venue, year, title, authors, abstract and n_topics of works with nested fields."""
-    place = F.coalesce(some(F.col("primary_location.name")), some(F.get(F.transform("locations", lambda x: x["name"]), 0)), F.lit(""))
+    """paperId, doi, venue, venue_id, year, title, authors, abstract and n_topics of works with nested fields. The venue is that of the
+    primary location, else the host, else the first other location with a name; its id is the first two's."""
+    others = F.filter(F.transform("locations", lambda x: some(x["name"])), lambda n: n.isNotNull())
+    place = F.coalesce(some(F.col("primary_location.name")), some(F.col("host_venue.name")), F.get(others, 0), F.lit(""))
+    source = F.upper(F.element_at(F.split(F.trim(F.coalesce(some(F.col("primary_location.id")), some(F.col("host_venue.id")))), "/"), -1))
     names = F.filter(F.transform("authorships", lambda a: a["name"]), lambda n: F.coalesce(F.trim(n) != "", F.lit(False)))
-    return work.select(ids.work_id(F.col("id")).alias("paperId"), F.coalesce(ids.match_doi(F.col("doi")), F.lit("")).alias("doi"), place.alias("venue"), F.col("publication_year").alias("year"), F.coalesce("title", F.lit("")).alias("title"),
+    return work.select(ids.work_id(F.col("id")).alias("paperId"), F.coalesce(ids.match_doi(F.col("doi")), F.lit("")).alias("doi"), place.alias("venue"), source.alias("venue_id"), F.col("publication_year").alias("year"), F.coalesce("title", F.lit("")).alias("title"),
                        names.alias("authors"), ids.from_inverted_index(F.col("abstract_index")).alias("abstract"), F.size(hierarchy(F.col("concepts"))["topics"]).alias("n_topics"))
 
 

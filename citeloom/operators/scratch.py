@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,17 @@ def cut_lineage(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with gapless numbers from 0 in an order of columns: sorted by ranges, whose sizes say where each begins to count."""
+    place = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()), "sorted")
+    part, first, at = F.shiftright("__place", 33), [], 0
+    for p, n in sorted((r.p, r["count"]) for r in place.groupBy(part.alias("p")).count().collect()):  # a row for each partition
+        first.append((p, at))
+        at += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(first, "__part bigint, __first bigint"))
+    return place.join(starts, part == F.col("__part")).withColumn(name, F.col("__first") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))).drop("__place", "__part", "__first")
+
+
 class Tables:
     """Bucketed tables in the shared folder, known to the session by names that nobody else uses. They go when the block ends."""
 

@@ -36,6 +36,12 @@ def custom_periods(spark: SparkSession, periods: list[tuple[int, int]]) -> DataF
     return label(spark.createDataFrame(sorted(periods), "start_year int, end_year int"))
 
 
+def custom_periods_of(rows: DataFrame, start: str = "start_year", end: str = "end_year") -> DataFrame:
+    """As custom_periods of a table's rows: each distinct period that begins before it ends, or with it."""
+    given = rows.select(F.col(start).cast("int").alias("start_year"), F.col(end).cast("int").alias("end_year")).where("start_year <= end_year").distinct()
+    return label(given)
+
+
 def assign(papers: DataFrame, periods: DataFrame) -> DataFrame:
     """papers with the label of the first period that holds their year: years, not papers, meet periods."""
     years = papers.select("year").distinct().join(F.broadcast(periods), F.col("year").between(F.col("start_year"), F.col("end_year")))  # a row per year and period

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeloom.operators.names import nearest
+
 # Patterns in the order in which they apply.
 CLEAN = ["<jats:[^>]+>", "(?U)[^\\w\\s]"]
 VENUE = [
@@ -64,10 +66,8 @@ def clean_venue(c: Column) -> Column:
 
 def normalise_venue(df: DataFrame, venue: str, aliases: DataFrame, names: list[str] = ()) -> DataFrame:
     """df with venue_normal: an alias, else one of the names that is nearly alike, else the cleaned name with capitals, else the name as it is."""
-    from citeloom.operators.matching import fuzzy_name
-
     done = df.withColumn("__c", clean_venue(F.col(venue))).join(aliases.withColumnsRenamed({"alias": "__c"}), "__c", "left")
-    return done.withColumn("venue_normal", F.when(F.col("__c") == "", F.trim(venue)).otherwise(F.coalesce("canonical", fuzzy_name(F.col("__c"), list(names)), F.initcap("__c")))).drop("__c", "canonical")
+    return done.withColumn("venue_normal", F.when(F.col("__c") == "", F.trim(venue)).otherwise(F.coalesce("canonical", nearest(F.col("__c"), list(names)), F.initcap("__c")))).drop("__c", "canonical")
 
 
 def title_key(c: Column) -> Column:

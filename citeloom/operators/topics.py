@@ -1,4 +1,4 @@
-"""Languages, topics and their labels.
+"""Words of texts in a language, topics and their labels.
 
 Defined results: null and empty texts are in no language and have no topic; ties go to the first in
 order (language, topic number, name); tables without rows give none.
@@ -12,76 +12,24 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.operators.graph import cut_lineage
-
-# Common words of each language.
-FUNCTION_WORDS = {"de": "der die das und ist nicht ein von mit den".split(), "en": "the of and is to in that with for on".split(), "es": "el la los de que y en una por con".split(), "fr": "le la les des et est une dans que pour".split()}
-
+from citeloom.operators.languages import stems
 
 def words_of(text: Column) -> Column:
     return F.split(F.lower(text), "\\s+")
 
 
-def language(text: Column) -> Column:
-    """The language with the most common words; '' without any."""
-    words = words_of(text)
-    counted = [F.struct(F.size(F.filter(words, lambda w: w.isin(known))).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, known) in enumerate(sorted(FUNCTION_WORDS.items()))]  # noqa: B023
-    best = F.greatest(*counted)
-    return F.when(best["n"] > 0, best["lang"]).otherwise("")
-
-
-def in_language(docs: DataFrame, wanted: str, text: str = "text") -> DataFrame:
-    """The words of valid rows in a language: docs has valid and lang."""
-    return docs.where(F.col("valid") & (F.col("lang") == wanted)).withColumn("words", F.filter(words_of(F.col(text)), lambda w: w != ""))
-
-
-def _gram(table: DataFrame, k: int, letter: str) -> list[list[float]]:
-    """The k x k sums of products of a factor's columns."""
-    row = table.agg(*[F.coalesce(F.sum(F.col(f"{letter}{a}") * F.col(f"{letter}{b}")), F.lit(0.0)).alias(f"g{a}_{b}") for a in range(k) for b in range(k)]).first()
-    return [[row[f"g{a}_{b}"] for b in range(k)] for a in range(k)]
-
-
-def start(key: Column, j: int) -> Column:
-    """A first entry between 0.1 and 1.1 that depends on the key and the topic alone."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(j)))), 1, 8), 16, 10).cast("double") / float(16**8) + 0.1
-
-
-def nmf(weights: DataFrame, k: int, rounds: int, key: str = "doc", term: str = "term", weight: str = "weight") -> tuple[DataFrame, DataFrame]:
-    """Factors (key, w0..) and (term, h0..) by multiplicative updates: each is one join and one grouped sum; only k x k sums meet."""
-    x = cut_lineage(weights.select(F.col(key).alias("doc"), F.col(term).alias("term"), F.col(weight).alias("x")), "weights")
-    w = x.select("doc").distinct().select("doc", *[start(F.col("doc"), j).alias(f"w{j}") for j in range(k)])
-    h = x.select("term").distinct().select("term", *[start(F.col("term"), j).alias(f"h{j}") for j in range(k)])
-
-    def update(own: DataFrame, other: DataFrame, by: str, at: str, a: str, b: str) -> DataFrame:
-        gram = _gram(other, k, b)
-        top = x.join(other, at).groupBy(by).agg(*[F.sum(F.col("x") * F.col(f"{b}{j}")).alias(f"top{j}") for j in range(k)])
-        low = [sum((F.col(f"{a}{i}") * gram[i][j] for i in range(k)), F.lit(0.0)) for j in range(k)]
-        return cut_lineage(own.join(top, by).select(by, *[(F.col(f"{a}{j}") * F.col(f"top{j}") / (low[j] + 1e-12)).alias(f"{a}{j}") for j in range(k)]), "factor")
-
-    for _ in range(rounds):
-        h = update(h, w, "term", "doc", "h", "w")
-        w = update(w, h, "doc", "term", "w", "h")
-    return w, h
-
-
-def largest(table: DataFrame, key: str, letter: str, k: int) -> DataFrame:
-    """(key, topic): the column with the largest entry."""
-    best = F.greatest(*[F.struct(F.col(f"{letter}{j}").alias("v"), F.lit(-j).alias("j")) for j in range(k)])
-    return table.select(key, (-best["j"]).alias("topic"))
-
-
-def top_terms(h: DataFrame, k: int, n: int) -> DataFrame:
-    """(topic, place, term, weight): the n heaviest terms over 0 of each topic."""
-    long = h.select("term", F.posexplode(F.array(*[f"h{j}" for j in range(k)])).alias("topic", "weight")).where("weight > 0")
-    rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), "term"))  # Spark keeps n rows of each partition before the shuffle
-    return long.withColumn("place", rank).where(F.col("place") <= n).select("topic", "place", "term", "weight")
+def in_language(docs: DataFrame, wanted: str, text: str = "text", stemmed: bool = False) -> DataFrame:
+    """The words of valid rows in a language, or their stems: docs has valid and lang."""
+    words = F.filter(words_of(F.col(text)), lambda w: w != "")
+    return docs.where(F.col("valid") & (F.col("lang") == wanted)).withColumn("words", stems(words) if stemmed else words)
 
 
-def lda(docs: DataFrame, k: int, rounds: int = 10, prior: float = 0.8, key: str = "doc_id", words: str = "words", seed: int = 7, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(key, topic, share) and (topic, place, term, weight) by latent Dirichlet allocation."""
+def lda(docs: DataFrame, k: int, rounds: int = 10, prior: float = 0.8, key: str = "doc_id", words: str = "words", seed: int = 7, least: int = 1, vocabulary: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """(key, topic, share) and (topic, place, term, weight) by latent Dirichlet allocation over the words that stand in
+    least rows at least. The model is kept on the driver, so words beyond the commonest ``vocabulary`` have no part in it."""
     if docs.where(F.size(words) > 0).isEmpty():
         return docs.select(key, F.lit(0).alias("topic"), F.lit(0.0).alias("share")).where("false"), docs.sparkSession.createDataFrame([], "topic int, place int, term string, weight double")
-    counted = CountVectorizer(inputCol=words, outputCol="features", minDF=least).fit(docs)
+    counted = CountVectorizer(inputCol=words, outputCol="features", minDF=least, vocabSize=vocabulary).fit(docs)
     ready = counted.transform(docs.where(F.size(words) > 0)).select(key, "features")
     model = LDA(k=k, maxIter=rounds, docConcentration=[prior] * k, seed=seed, optimizer="online").fit(ready)
     mix = vector_to_array("topicDistribution")

@@ -9,7 +9,7 @@ from citeloom.functions import ids
 from citeloom.operators import catalog, features, graph, ingest, matching, records, scratch, temporal, text, topics
 from citeloom.operators import predicates as P
 from citeloom.operators.corpus import Corpus
-from citeloom.plans.catalogue import _FORBIDDEN, _GRAPH, _PER, P_, PAPER, _frontier, _graph, _number, _paper_query, _weighted, query
+from citeloom.plans.catalogue import _FORBIDDEN, _PER, P_, PAPER, _frontier, _number, _paper_query, _weighted, query
 from citeloom.sources import markup, works
 
 # --- nested records ------------------------------------------------------------------------------
@@ -41,7 +41,8 @@ def _works(c: Corpus) -> DataFrame:
     name = lambda n, level: F.struct(n.alias("name"), F.lit(level).alias("level"))
     author = lambda n, *at: F.struct(n.alias("name"), F.array(*at).alias("institutions"))
     return c.papers.select(F.concat(F.lit("https://works.example/"), F.lower("paperId")).alias("id"), F.when(F.col("doi") != "", F.concat(F.lit("https://doi.org/"), F.upper("doi"))).alias("doi"), F.col("year").alias("publication_year"), "title",
-                           F.struct(F.col("venue").alias("name"), F.when(k % 3 == 0, F.concat(F.lit("u/"), "paperId")).alias("url")).alias("primary_location"), F.array(F.struct(F.col("topic").alias("name"))).alias("locations"),
+                           F.struct(F.col("venue").alias("name"), F.when(k % 3 == 0, F.concat(F.lit("u/"), "paperId")).alias("url"), F.when((F.col("venue") != "") & (k % 2 == 0), F.concat(F.lit("https://works.example/s"), (k % 10).cast("string"))).alias("id")).alias("primary_location"),
+                           F.when(k % 22 == 0, F.struct(F.lit("Host").alias("name"), F.lit("S77").alias("id"))).alias("host_venue"), F.array(F.struct(F.lit(" ").alias("name")), F.struct(F.col("topic").alias("name"))).alias("locations"),
                            F.array(author(F.concat(F.lit("N"), (k % 5).cast("string")), F.concat(F.lit("I"), (k % 3).cast("string")), F.lit("I0")), author(F.lit("B"), F.lit("I2"), F.lit("")), author(F.lit("C"), none), author(F.lit("D"), F.lit("I1"))).alias("authorships"),
                            F.create_map(F.lit("again"), F.array(F.lit(0), F.lit(2)), F.col("paperId"), F.array(F.lit(1))).alias("abstract_index"),
                            F.array(name(F.col("topic"), 0), name(F.col("venue"), 1), name(F.concat(F.lit("s"), (k % 4).cast("string")), 2), name(F.lit("t1"), 3), name(F.lit("t2"), 4), name(none, 0)).alias("concepts"),
@@ -50,7 +51,6 @@ def _works(c: Corpus) -> DataFrame:
 
 query("I12", """SELECT "paperId", topic AS domains, venue AS fields, concat('s', k % 4) AS subfields, 't1|t2' AS topics FROM papers""")(
     lambda c: _works(c).select(ids.work_id(F.col("id")).alias("paperId"), records.hierarchy(F.col("concepts")).alias("h")).select("paperId", *[F.array_join(f"h.{x}", "|").alias(x) for x in ("domains", "fields", "subfields", "topics")]))
-query("I33", """SELECT "paperId", doi, CASE WHEN venue <> '' THEN venue ELSE topic END AS venue, year, title, concat('N', k % 5, '|B|C|D') AS authors, concat('again ', "paperId", ' again') AS abstract, 2 AS n_topics FROM papers""")(lambda c: records.paper_of(_works(c)).withColumn("authors", F.array_join("authors", "|")))
 query("I34", """SELECT "paperId", cast(k % 7 AS int) AS references_count, CASE WHEN k % 2 = 0 THEN k % 11 ELSE 0 END AS cited_by_count, CASE k % 3 WHEN 0 THEN 'I0|I2|I1' WHEN 1 THEN 'I1|I0|I2' ELSE 'I2|I0|I1' END AS institutions,
  CASE WHEN k % 3 = 0 THEN concat('u/', "paperId") WHEN doi <> '' THEN concat('https://doi.org/', doi) ELSE concat('https://works.example/', lower("paperId")) END AS url, concat('N', k % 5, ', B, C et al.') AS authors FROM papers""")(lambda c: records.detail_of(_works(c)).withColumn("institutions", F.array_join("institutions", "|")))
 query("T21", """SELECT "paperId", CASE k % 3 WHEN 0 THEN 'I0|I2|I1' WHEN 1 THEN 'I1|I0|I2' ELSE 'I2|I0|I1' END AS institutions FROM papers""")(lambda c: _works(c).select(ids.work_id(F.col("id")).alias("paperId"), F.array_join(records.institutions(F.col("authorships")), "|").alias("institutions")))
@@ -102,19 +102,6 @@ _paper_query("P10", '"isSeed" OR selected', lambda df: records.flagged(df, ["isS
 query("P11", f"""SELECT {P_} FROM papers WHERE k % 4 = 1 OR k % 3 = 2""")(lambda c: (df := c.papers.withColumns({"nmf_topic": _number() % 4, "lda_topic": _number() % 3})).where(records.topic_filter(df, ["1"], ["nmf", "gone"]) | records.topic_filter(df, ["2"], ["nmf", "lda"], "lda")).select(*PAPER))
 query("P13", f"""SELECT {P_} FROM papers WHERE trim(venue) IN ('Brand#11', 'Brand#23', 'Brand#32', 'Brand#45') AND year IN (SELECT DISTINCT year FROM papers WHERE year < 1996) AND "paperId" IN (SELECT "paperId" FROM pa JOIN authors USING ("authorId") WHERE "authorName" IN (SELECT s_name FROM supplier WHERE s_suppkey < 60)) AND (doi <> '' OR venue <> '')""")(
     lambda c: (df := features.author_names(c.papers, c.paper_author, c.authors)).where(records.column_values(df, venues=["Brand#11", "Brand#23", "Brand#32", "Brand#45"], years=list(range(1985, 1996)), authors=[f"Supplier#{i:09}" for i in range(60)])).select(*PAPER))
-query("P5", "SELECT * FROM (VALUES ('a AND b', true), ('(a OR b', false), ('  ', false), ('NOT (a)', true), ('a))', false)) t(expression, valid)")(
-    lambda c: c.spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(e).alias("expression"), F.lit(_parses(e)).alias("valid")) for e in ("a AND b", "(a OR b", "  ", "NOT (a)", "a))")]))))
-query("P17", "SELECT * FROM (VALUES ('title', 'contains', 'x', NULL), ('year', 'between', '1', '2')) t(name, rule, value, value_to)")(
-    lambda c: c.spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("name", "rule", "value", "value_to"), r)]) for r in P.parse_rules(["title::contains::x", "year :: between :: 1 :: 2", "bad", "a::b", "::x::y"])]))))
-
-
-def _parses(expression: str) -> bool:
-    try:
-        return bool(P.Expression(expression).validate() or True)
-    except ValueError:
-        return False
-
-
 # --- matching ------------------------------------------------------------------------------------
 
 _MORE = " with words that others lack"
@@ -165,9 +152,6 @@ _aliases = lambda c: c.papers.where(_number() % 10 == 0).select(text.clean_venue
 _ALIAS = """, al AS (SELECT DISTINCT trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS c FROM papers WHERE k % 10 = 0)
 """
 query("T12", _VENUE + _ALIAS + """SELECT "paperId" FROM v SEMI JOIN al USING (c)""")(lambda c: text.normalise_venue(_venues(c), "venue", _aliases(c)).where("venue_normal = 'TESTCONF'").select("paperId"))
-_FUZZY = "CASE WHEN c <> '' AND 1 - levenshtein(c, 'first brand') / greatest(length(c), 11) >= 0.9 THEN 'First Brand' WHEN c <> '' AND 1 - levenshtein(c, 'second brandt') / greatest(length(c), 13) >= 0.9 THEN 'Second Brandt' END"
-query("T13", f""", v AS (SELECT "paperId", CASE k % 4 WHEN 0 THEN 'first brnd' WHEN 1 THEN 'second brand' WHEN 2 THEN 'frist brand' ELSE '' END AS c FROM papers) SELECT "paperId", {_FUZZY} AS name FROM v""")(
-    lambda c: c.papers.select("paperId", matching.fuzzy_name(F.when(_number() % 4 == 0, "first brnd").when(_number() % 4 == 1, "second brand").when(_number() % 4 == 2, "frist brand").otherwise(""), ["First Brand", "Second Brandt"]).alias("name")))
 query("T14", _VENUE + _ALIAS + """SELECT "paperId", CASE WHEN c IN (SELECT c FROM al) THEN 'TESTCONF' ELSE array_to_string(list_transform(string_split(c, ' '), lambda x: concat(upper(x[1]), x[2:])), ' ') END AS venue_normal FROM v""")(lambda c: text.normalise_venue(_venues(c), "venue", _aliases(c), ["First Brand", "Second Brandt"]).select("paperId", "venue_normal"))
 
 # --- languages and topics ------------------------------------------------------------------------
@@ -176,62 +160,11 @@ _docs = lambda c: c.table("documents").select("doc_id", "text")
 _CLEAN = "regexp_replace(regexp_replace(text, '<jats:[^>]+>', '', 'g'), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}\\s]', '', 'g')"
 _VALID = f"coalesce(NOT contains(lower(text), 'none') AND length({_CLEAN}) >= 120, false)"
 _WORDS = "regexp_split_to_array(lower(text), '\\s+')"
-_LANGS = sorted(topics.FUNCTION_WORDS.items())
-_LANGUAGE = f""", ln AS (SELECT doc_id, text, {_VALID} AS valid, {', '.join(f"len(list_filter({_WORDS}, lambda w: w IN ({', '.join(chr(39) + w + chr(39) for w in ws)}))) AS n_{lang}" for lang, ws in _LANGS)} FROM documents),
-lg AS (SELECT doc_id, text, valid, CASE WHEN text IS NULL OR greatest({', '.join(f'n_{x}' for x, _ in _LANGS)}) = 0 THEN '' {' '.join(f"WHEN n_{x} = greatest({', '.join(f'n_{y}' for y, _ in _LANGS)}) THEN '{x}'" for x, _ in _LANGS)} END AS lang FROM ln)
-"""
-_judged = lambda c: _docs(c).select("doc_id", "text", text.valid(F.col("text")).alias("valid"), topics.language(F.col("text")).alias("lang"))
 query("T2", f"SELECT doc_id, {_VALID} AS valid FROM documents")(lambda c: _docs(c).select("doc_id", text.valid(F.col("text")).alias("valid")))
-query("T3", _LANGUAGE + "SELECT doc_id, lang FROM lg WHERE valid")(lambda c: _judged(c).where("valid").select("doc_id", "lang"))
-query("T4", _LANGUAGE + f"SELECT doc_id, len(list_filter({_WORDS}, lambda w: w <> ''))::int AS n, md5(array_to_string(list_filter({_WORDS}, lambda w: w <> ''), ' ')) AS words FROM lg WHERE valid AND lang = 'en'")(lambda c: topics.in_language(_judged(c), "en").select("doc_id", F.size("words").alias("n"), F.md5(F.array_join("words", " ")).alias("words")))
-
-
-def _nmf_sql(rounds: int) -> str:
-    first = lambda key, j: f"CAST(concat('0x', substr(md5(concat({key}, '|{j}')), 1, 8)) AS bigint) / 4294967296.0::double + 0.1"
-    sql = f""", x AS (SELECT doc, term, count(*)::double AS x FROM (SELECT "paperId" AS doc, unnest(regexp_extract_all(lower(title), '\\b\\w\\w+\\b')) AS term FROM papers WHERE selected) GROUP BY 1, 2),
-w_0 AS (SELECT DISTINCT doc, {first('doc', 0)} AS w0, {first('doc', 1)} AS w1 FROM x), h_0 AS (SELECT DISTINCT term, {first('term', 0)} AS h0, {first('term', 1)} AS h1 FROM x)"""
-    step = lambda new, own, other, key, at, a, b: f""", g{new} AS (SELECT sum({b}0 * {b}0) AS g00, sum({b}0 * {b}1) AS g01, sum({b}1 * {b}1) AS g11 FROM {other}), t{new} AS (SELECT {key}, sum(x * {b}0) AS t0, sum(x * {b}1) AS t1 FROM x JOIN {other} USING ({at}) GROUP BY 1),
-{new} AS (SELECT {key}, {a}0 * t0 / ({a}0 * g00 + {a}1 * g01 + 1e-12) AS {a}0, {a}1 * t1 / ({a}0 * g01 + {a}1 * g11 + 1e-12) AS {a}1 FROM {own} JOIN t{new} USING ({key}), g{new})"""
-    for r in range(rounds):
-        sql += step(f"h_{r + 1}", f"h_{r}", f"w_{r}", "term", "doc", "h", "w") + step(f"w_{r + 1}", f"w_{r}", f"h_{r + 1}", "doc", "term", "w", "h")
-    return sql
-
-
-_title_terms = lambda c: text.terms(c.papers.where("selected"), "title", "paperId").select(F.col("paperId").alias("doc"), "term", F.col("n").cast("double").alias("weight"))
-query("T6", _nmf_sql(3) + " SELECT doc, CASE WHEN w0 >= w1 THEN 0 ELSE 1 END AS topic, round(w0, 5) AS w0, round(w1, 5) AS w1 FROM w_3")(
-    lambda c: (w := topics.nmf(_title_terms(c), 2, 3)[0]).join(topics.largest(w, "doc", "w", 2), "doc").select("doc", "topic", F.round("w0", 5).alias("w0"), F.round("w1", 5).alias("w1")))
-query("T24", _nmf_sql(2) + """ SELECT topic, cast(place AS int) AS place, term, round(weight, 6) AS weight FROM (SELECT topic, term, weight, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS place FROM (SELECT 0 AS topic, term, h0 AS weight FROM h_2 UNION ALL SELECT 1, term, h1 FROM h_2) WHERE weight > 0) WHERE place <= 8""")(
-    lambda c: topics.top_terms(topics.nmf(_title_terms(c), 2, 2)[1], 2, 8).withColumn("weight", F.round("weight", 6)))
-query("T7")(lambda c: topics.lda(topics.in_language(_judged(c), "en"), 4)[0])
-_assigned = lambda c: c.papers.where("selected").select("paperId", (_number() % 3).cast("int").alias("topic"))
-query("T8", """SELECT "paperId", cast(CASE WHEN selected THEN k % 3 ELSE -1 END AS int) AS topic_id FROM papers""")(lambda c: topics.topic_column(c.papers, _assigned(c)).select("paperId", "topic_id"))
-query("T10", """SELECT cast(CASE WHEN selected THEN k % 3 ELSE -1 END AS int) AS topic_id, count(*) AS papers, min("paperId") AS first_paper FROM papers GROUP BY 1""")(lambda c: topics.grouped(topics.topic_column(c.papers, _assigned(c))))
 _CONCEPTS = """, cn0 AS (SELECT topic AS grp, unnest([venue, concat('s', k % 3)]) AS name FROM papers), top2 AS (SELECT * FROM (SELECT grp, name, count(*) AS n, cast(row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, name) AS int) AS place FROM cn0 WHERE name <> '' GROUP BY 1, 2) WHERE place <= 2)
 """
 _named = lambda c: c.papers.select(F.col("topic").alias("grp"), F.array(F.struct(F.col("venue").alias("name"), F.lit(2).alias("level")), F.struct(F.lit("wide").alias("name"), F.lit(1).alias("level")), F.struct(F.concat(F.lit("s"), (_number() % 3).cast("string")).alias("name"), F.lit(3).alias("level"))).alias("concepts"))
 query("A19", _CONCEPTS + "SELECT grp, name, n, place FROM top2")(lambda c: topics.concepts(_named(c), "grp").select("grp", "name", "n", "place"))
-query("T9", _CONCEPTS + """SELECT grp, CASE WHEN grp < 'M' THEN (SELECT string_agg(name, ' & ' ORDER BY place) FROM top2 t WHERE t.grp = g.grp) WHEN grp < 'P' THEN 'word' ELSE concat('Cluster_', grp) END AS label FROM (SELECT DISTINCT topic AS grp FROM papers) g""")(
-    lambda c: topics.labels(_named(c), "grp", [topics.concepts(_named(c).where("grp < 'M'"), "grp"), _named(c).where("grp < 'P'").select("grp").distinct().select("grp", F.lit(1).alias("place"), F.lit("word").alias("name"))]))
-_PAPERS_IN = """, ct AS (SELECT "paperId", k, year, cast(CASE WHEN selected THEN k % 3 ELSE -1 END AS int) AS topic_id, k / 1000.0::double AS centrality_in, (k % 7) / 10.0::double AS centrality_out FROM papers WHERE k % 2 = 0)
-"""
-_central = lambda c: c.papers.where(_number() % 2 == 0).select(F.col("paperId").alias("id"), (_number() / 1000).alias("centrality_in"), (_number() % 7 / 10).alias("centrality_out"))
-_catalog = lambda c: topics.catalog(c.papers, _assigned(c), _central(c))
-query("J3", _PAPERS_IN + """SELECT "paperId", year, topic_id, centrality_in, centrality_out FROM ct""")(lambda c: _catalog(c).select("paperId", "year", "topic_id", "centrality_in", "centrality_out"))
-query("A22", _PAPERS_IN + """SELECT 'centrality_in' AS "column", count(*) AS n, round(avg(centrality_in), 6) AS mean, round(stddev_samp(centrality_in), 6) AS std, min(centrality_in) AS low, median(centrality_in) AS middle, max(centrality_in) AS high FROM ct UNION ALL SELECT 'centrality_out', count(*), round(avg(centrality_out), 6), round(stddev_samp(centrality_out), 6), min(centrality_out), median(centrality_out), max(centrality_out) FROM ct""")(
-    lambda c: topics.described(_catalog(c), ["centrality_in", "centrality_out"]).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)}))
-query("O2", _PAPERS_IN + """SELECT "paperId" FROM ct ORDER BY centrality_out DESC, "paperId" LIMIT 20""")(lambda c: (df := _catalog(c)).orderBy(F.desc(topics.default_sort(df.columns)), "paperId").limit(20).select("paperId"))
-query("K1", _PAPERS_IN + """SELECT "paperId", topic_id, coalesce(CASE WHEN k % 4 = 0 THEN NULL ELSE k % 3 = 0 END, false) AS retracted FROM ct""")(lambda c: markup.write_catalog(_catalog(c).select("paperId", "topic_id", F.when(_number() % 4 != 0, _number() % 3 == 0).alias("retracted")), scratch.new_path(c.spark, "catalog"), ["retracted"]))
-query("S1", _PAPERS_IN + 'SELECT "paperId", topic_id FROM ct')(lambda c: (p := scratch.new_path(c.spark, "catalog"), markup.write_catalog(_catalog(c).select("paperId", "topic_id"), p, []), works.frame(c.spark, p, _catalog(c).select("paperId", "topic_id").schema))[2])
-_DEGREES = _GRAPH + ", dg AS (SELECT id, cast(sum(i) AS double) AS centrality_in, cast(sum(o) AS double) AS centrality_out FROM (SELECT dst AS id, 1 AS i, 0 AS o FROM g UNION ALL SELECT src, 0, 1 FROM g) GROUP BY 1)\n"
-
-
-def _degrees(c: Corpus) -> DataFrame:
-    g = _graph(c)
-    ends = g.select(F.explode(F.array(F.struct(F.col("dst").alias("id"), F.lit(1.0).alias("i"), F.lit(0.0).alias("o")), F.struct(F.col("src").alias("id"), F.lit(0.0).alias("i"), F.lit(1.0).alias("o")))).alias("x")).select("x.*")
-    return ends.groupBy("id").agg(F.sum("i").alias("centrality_in"), F.sum("o").alias("centrality_out"))
-
-
-query("G5", _DEGREES + """SELECT id, centrality_in, centrality_out FROM dg WHERE id IN (SELECT "authorId" FROM authors)""")(lambda c: topics.of_type(_degrees(c), c.authors.select(F.col("authorId").alias("id"), F.lit("author").alias("ntype")), "author"))
 _AUTHORS = """, af AS (SELECT "authorId", count(*) AS num_papers, cast(sum(coalesce(n, 0)) AS bigint) AS num_citations, max(coalesce(n, 0)) AS max_citations FROM pa LEFT JOIN cc USING ("paperId") GROUP BY 1)
 """
 query("O8", _AUTHORS + " , t AS (" + " UNION ALL ".join(f'SELECT * FROM (SELECT "authorId", {i} AS place, {m} AS v FROM af ORDER BY v DESC, "authorId" LIMIT 5)' for i, m in enumerate(("num_papers", "num_citations", "max_citations"))) + """) SELECT "authorId", cast(min(place) AS int) AS place FROM t GROUP BY 1""")(
@@ -246,10 +179,6 @@ query("X5", _FORBIDDEN + _W + f"""SELECT "paperId" FROM w ORDER BY -ln({_unit(7)
 _SPLIT = _FORBIDDEN + f""", th AS (SELECT *, exp(-0.01 * (row_number() OVER (ORDER BY "paperId") - 1)) AS threshold FROM fr), sp AS (SELECT * FROM th WHERE {_unit(5)} < threshold OR contains(lower(title), 'survey'))
 """
 query("X3", _SPLIT + 'SELECT "paperId" FROM sp')(lambda c: graph.split(graph.bypass_threshold(_frontier(c), 0.01), P.keywords(F.col("title"), ["survey"]), 5).select("paperId"))
-query("X6", _SPLIT + f""", ok AS (SELECT * FROM sp WHERE venue <> '' AND venue <> 'Brand#11'), w AS (SELECT ok."paperId", exp(-0.1 * (2000 - year)) * greatest(coalesce(n / 1000.0, 1e-5 / ((SELECT count(*) FROM ok) + 1)), 0.001) AS w FROM ok LEFT JOIN cc USING ("paperId")),
-dr AS (SELECT "paperId" FROM w ORDER BY -ln({_unit(5)}) / (w / (SELECT sum(w) FROM w)), "paperId" LIMIT 20) SELECT "paperId", selected OR "paperId" IN (SELECT "paperId" FROM dr) AS selected FROM papers""")(
-    lambda c: graph.sampling_round(c.papers, ingest.forbidden(ingest.retraction_hits(c.papers, c.retractions), True, True), features.citation_counts(c.edges).select("paperId", (F.col("citation_count") / 1000).alias("c_in"), F.lit(0.001).alias("c_out")),
-                                   P.keywords(F.col("title"), ["survey"]), P.venue_allowed(F.col("venue"), ["Brand#11"]), decay=0.01, age_decay=0.1, as_of_year=2000, k=20, seed=5).select("paperId", "selected"))
 
 # --- topics over time ----------------------------------------------------------------------------
 
@@ -264,14 +193,7 @@ query("D6", _COUNTED + "SELECT tp AS topic FROM ends WHERE f > 0 AND (f - l) / f
 
 # --- files and sinks -----------------------------------------------------------------------------
 
-query("S3", """SELECT 'missing' AS frame, 0::bigint AS n""")(lambda c: works.frame(c.spark, scratch.new_path(c.spark, "none"), c.papers.schema).agg(F.lit("missing").alias("frame"), F.count("*").alias("n")))
-query("S14", """SELECT "paperId", title, 'Ann Lee|Group' AS authors, year, doi, topic AS tags FROM papers""")(
-    lambda c: c.papers.select("paperId", F.to_json(F.struct("title", F.col("doi").alias("DOI"), F.concat(F.lit("May 3, "), F.col("year").cast("string")).alias("date"), F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("creatorType", "firstName", "lastName", "name"), r)]) for r in (("author", "Ann", "Lee", ""), ("editor", "Ed", "Itor", ""), ("author", "", "", "Group"))]).alias("creators"), F.array(F.struct(F.col("topic").alias("tag"))).alias("tags"))).alias("j")).select("paperId", markup.library_item(F.col("j")).alias("m")).select("paperId", "m.title", F.array_join("m.authors", "|").alias("authors"), "m.year", "m.doi", F.array_join("m.tags", "|").alias("tags")))
 query("S21", """SELECT "paperId", CASE k % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THEN 'xml' WHEN 3 THEN 'latex' WHEN 4 THEN 'docx' ELSE 'unknown' END AS kind FROM papers""")(lambda c: c.papers.select("paperId", markup.kind_of(F.concat(F.lit("/a.b/"), "title", F.element_at(F.array(*[F.lit(x) for x in (".PDF", ".htm", ".nxml", ".tex", ".docx", ".zip")]), (_number() % 6 + 1).cast("int")))).alias("kind")))
 query("S23", """SELECT "paperId" FROM papers WHERE k % 3 = 0""")(lambda c: (p := scratch.new_path(c.spark, "seeds"), c.papers.where(_number() % 3 == 0).select(F.explode(F.array("paperId", F.concat(F.lit("  "), "paperId"), F.lit(" "))).alias("value")).write.text(p), works.seed_file(c.spark, p))[2])
 query("K2", """SELECT 'papers' AS frame, count(*) AS rows FROM papers UNION ALL SELECT 'references', count(*) FROM refs""")(lambda c: markup.write_checkpoint({"papers": c.papers, "references": c.references}, scratch.new_path(c.spark, "checkpoint")))
 query("K3", """SELECT concat('{"paperId":"', "paperId", '","year":', year, '}') AS value FROM papers""")(lambda c: markup.write_lines(c.papers.select("paperId", "year"), scratch.new_path(c.spark, "lines")))
-_LINES = """SELECT concat('{"type":"node","id":"', "paperId", '","labels":["Paper"]}') AS value FROM papers UNION ALL SELECT DISTINCT concat('{"type":"node","id":"', md5(lower(trim(venue))), '","labels":["Venue"]}') FROM papers WHERE venue <> ''
- UNION ALL SELECT concat('{"type":"relationship","label":"PUBLISHED_BY","start":"', "paperId", '","end":"', md5(lower(trim(venue))), '"}') FROM papers WHERE venue <> '' UNION ALL SELECT concat('{"type":"relationship","label":"CITE","start":"', "paperId", '","end":"', "referencePaperId", '"}') FROM refs WHERE "paperId" IN (SELECT "paperId" FROM papers) AND "referencePaperId" IN (SELECT "paperId" FROM papers)"""
-query("G6", _LINES)(lambda c: graph.property_graph(c.papers, c.references))
-query("K4", _LINES)(lambda c: (p := scratch.new_path(c.spark, "graph"), graph.property_graph(c.papers, c.references).write.text(p), c.spark.read.text(p))[2])

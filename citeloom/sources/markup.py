@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 
 def library_item(json: Column) -> Column:
-    """title, authors (creators who are authors), year, doi and tags of a reference manager's item."""
-    item = F.from_json(json, "title string, DOI string, date string, creators array<struct<creatorType: string, firstName: string, lastName: string, name: string>>, tags array<struct<tag: string>>")
-    who = F.filter(item["creators"], lambda c: c["creatorType"] == "author")
-    names = F.transform(who, lambda c: F.coalesce(F.nullif(F.trim(F.concat_ws(" ", c["firstName"], c["lastName"])), F.lit("")), c["name"]))
+    """title, authors (creators who are authors and have a last name), year, doi, tags, publication, url, abstract and kind of a
+    reference manager's item."""
+    item = F.from_json(json, "title string, DOI string, date string, publicationTitle string, url string, abstractNote string, itemType string, creators array<struct<creatorType: string, firstName: string, lastName: string>>, tags array<struct<tag: string>>")
+    part = lambda x: F.nullif(F.trim(x), F.lit(""))
+    who = F.filter(item["creators"], lambda c: (c["creatorType"] == "author") & part(c["lastName"]).isNotNull())
+    names = F.coalesce(F.transform(who, lambda c: F.concat_ws(" ", part(c["firstName"]), part(c["lastName"]))), F.array().cast("array<string>"))
+    told = lambda c: F.coalesce(item[c], F.lit(""))
     year = F.nullif(F.regexp_extract(item["date"], "\\b(?:19|20)\\d{2}\\b", 0), F.lit(""))
-    return F.struct(item["title"].alias("title"), names.alias("authors"), year.cast("int").alias("year"), item["DOI"].alias("doi"), F.transform(item["tags"], lambda t: t["tag"]).alias("tags"))
+    tags = F.coalesce(F.transform(item["tags"], lambda t: t["tag"]), F.array().cast("array<string>"))
+    return F.struct(F.coalesce(item["title"], F.lit("Untitled")).alias("title"), names.alias("authors"), year.cast("int").alias("year"), told("DOI").alias("doi"), tags.alias("tags"), told("publicationTitle").alias("publication"), told("url").alias("url"), told("abstractNote").alias("abstract"), told("itemType").alias("kind"))
 
 
 def kind_of(path: Column) -> Column:
