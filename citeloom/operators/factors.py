@@ -5,8 +5,7 @@ shuffles partial sums only; entries of docs or terms with very many of them are
 A factor has one row of k numbers for each doc or term. The start comes from the largest singular vectors
 (found by subspace iteration; only small square matrices reach the driver), split into
 their positive and negative parts. Every round then takes each row of one factor through coordinate descent against
-the other, and ends when the projected gradients have shrunk to ``tol`` of their first sum. Products of a
-factor with itself and sums of gradients are observed while the factor is written.
+the other, and ends when the projected gradients have shrunk to ``tol`` of their first sum.
 
 Defined results: a doc or term without weights has no row; an empty table gives empty factors; k larger than
 the table's rank leaves the rest of the components near the mean they are filled with.
@@ -27,7 +26,9 @@ from citeloom.operators.scratch import cut_lineage
 #: Docs or terms with a larger share of all entries than one in so many are joined by broadcast.
 HUBS = 1000
 #: Subspace iterations, and vectors beyond k that these carry along.
-POWERS, MORE = 8, 10
+POWERS, MORE = 5, 10
+#: Widths of factors whose products are observed.
+OBSERVED = 8
 
 
 class Sparse:
@@ -80,24 +81,31 @@ def _turned(df: DataFrame, matrix: np.ndarray, column: str) -> DataFrame:
     return df.select("id", column).mapInArrow(run, f"id {_id(df)}, v array<double>")
 
 
-def _products(width: int) -> list[Column]:
-    """The sums of products of each two of a factor's numbers."""
-    return [F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"g{i}_{j}") for i in range(width) for j in range(i, width)]
-
-
-def _square(found: dict, width: int) -> np.ndarray:
-    g = np.zeros((width, width))
-    for i in range(width):
-        for j in range(i, width):
-            g[i, j] = g[j, i] = found[f"g{i}_{j}"] or 0.0
-    return g
+def _kept(tables: scratch.Tables, factor: DataFrame, width: int) -> tuple[DataFrame, np.ndarray, float]:
+    """The factor as a table, the products of its columns, and the sum of what its rows moved. A few products are observed while it is written;
+    many would make a wide plan, so they are made in a pass of their own, and width x width numbers of each task are added up."""
+    moves = "moved" in factor.columns
+    if width <= OBSERVED:
+        seen = Observation()
+        sums = [F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"g{i}_{j}") for i in range(width) for j in range(i, width)]
+        out = tables.bucketed(factor.observe(seen, *sums, (F.sum("moved") if moves else F.lit(0.0)).alias("moved")), "id")
+        gram = np.array([[seen.get[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(width)] for i in range(width)])
+        return out.select("id", "v"), gram, float(seen.get["moved"] or 0.0)
+    out = tables.bucketed(factor, "id")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, moved = np.zeros((width, width)), 0.0
+        for batch in batches:
+            if batch.num_rows:
+                v = _rows(batch.column("v"), batch.num_rows)
+                total += v.T @ v
+                moved += np.sum(batch.column("moved").to_numpy()) if moves else 0.0
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width + 1)), pa.array(np.append(total.ravel(), moved))], names=["at", "x"])
 
-def _kept(tables: scratch.Tables, factor: DataFrame, width: int, *more: Column) -> tuple[DataFrame, np.ndarray, dict]:
-    """The factor as a table, the products of its columns, and what else is observed while it is written."""
-    seen = Observation()
-    out = tables.bucketed(factor.observe(seen, *_products(width), *more).drop("moved"), "id")
-    return out, _square(seen.get, width), seen.get
+    found = np.zeros(width * width + 1)
+    for r in out.mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+        found[r["at"]] = r.x
+    return out.select("id", "v"), found[:-1].reshape(width, width), float(found[-1])
 
 
 def _whitened(gram: np.ndarray) -> np.ndarray:
@@ -117,11 +125,10 @@ def singular(x: Sparse, k: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
     width = k + MORE
     q, gram, _ = _kept(x.tables, x.ids("term").select("id", _noise(F.col("id"), width).alias("v")), width)
     for _ in range(POWERS):
-        # Scaled, not turned, by what is known of the columns before: the next product takes it up.
-        docs, _, _ = _kept(x.tables, _turned(x.times(_turned(q, _whitened(gram), "v"), "term", width), np.eye(width), "top"), width)
-        q, gram, _ = _kept(x.tables, _turned(x.times(docs, "doc", width), np.eye(width), "top"), width)
+        docs = x.tables.bucketed(x.times(_turned(q, _whitened(gram), "v"), "term", width).withColumnRenamed("top", "v"), "id")
+        q, gram, _ = _kept(x.tables, x.times(docs, "doc", width).withColumnRenamed("top", "v"), width)
     right = x.tables.bucketed(_turned(q, _whitened(gram), "v"), "id")
-    left, own, _ = _kept(x.tables, _turned(x.times(right, "term", width), np.eye(width), "top"), width)
+    left, own, _ = _kept(x.tables, x.times(right, "term", width).withColumnRenamed("top", "v"), width)
     values, axes = np.linalg.eigh(own)
     values, axes = np.maximum(values[::-1][:k], 0), axes[:, ::-1][:, :k]
     sizes = np.sqrt(values)
@@ -188,10 +195,9 @@ def nmf(weights: DataFrame, k: int, *, rounds: int = 1000, tol: float = 1e-4, st
         w, (h, gram, _) = tables.bucketed(w, "id"), _kept(tables, h, k)
         first, done, settled = None, 0, False
         for done in range(1, rounds + 1):
-            w, gram_w, seen = _kept(tables, _descended(x, w, h, gram, "doc", k), k, F.sum("moved").alias("moved"))
-            moved = seen["moved"] or 0.0
-            h, gram, seen = _kept(tables, _descended(x, h, w, gram_w, "term", k), k, F.sum("moved").alias("moved"))
-            moved += seen["moved"] or 0.0
+            w, gram_w, one = _kept(tables, _descended(x, w, h, gram, "doc", k), k)
+            h, gram, two = _kept(tables, _descended(x, h, w, gram_w, "term", k), k)
+            moved = one + two
             first = moved if first is None else first
             if first == 0 or moved / first <= tol:
                 settled = True

@@ -251,11 +251,11 @@ query("T5", """, w AS (SELECT "paperId" AS p, list_filter(regexp_extract_all(low
 
 
 def _abstract_topics(c: Corpus) -> DataFrame:
-    """Twenty topics of the stems of all valid English documents."""
+    """Twenty topics of the stems of all valid English documents, after a few rounds from the singular vectors."""
     words = topics.in_language(_judged(c), "en", stemmed=True).select("doc_id", F.array_join("words", " ").alias("stems"))
     counts = scratch.cut_lineage(text.terms(words, "stems", "doc_id"), "terms")
     n = counts.agg(F.countDistinct("doc_id")).first()[0]
-    w, _, _ = factors.nmf(text.tf_idf(counts, "doc_id", n), 20, rounds=30, tol=1e-3, key="doc_id")
+    w, _, _ = factors.nmf(text.tf_idf(counts, "doc_id", n), 20, rounds=8, tol=1e-2, key="doc_id")
     return w.join(factors.largest(w), "doc").select(F.col("doc").alias("doc_id"), "topic", F.round(F.array_max("w"), 6).alias("weight"))
 
 

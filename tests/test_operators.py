@@ -159,17 +159,17 @@ def test_positions_over_many_partitions(spark):
 
 def test_topic_models(spark):
     """Both models part two groups of documents without a word in common."""
-    from citeloom.operators import topics
+    from citeloom.operators import factors, topics
 
     a, b = "red green blue red blue".split(), "cat dog bird cat bird".split()
     docs = spark.createDataFrame([(i, (a if i % 2 else b) + ((a if i % 2 else b)[i % 5 :])) for i in range(40)], "doc_id int, words array<string>")
     found = {r.doc_id: r.topic for r in topics.lda(docs, 2, rounds=30)[0].collect()}
     counts = docs.select(F.col("doc_id").alias("doc"), F.explode("words").alias("term")).groupBy("doc", "term").agg(F.count("*").cast("double").alias("weight"))
-    w, h = topics.nmf(counts, 2, 15)
-    other = {r.doc: r.topic for r in topics.largest(w, "doc", "w", 2).collect()}
+    w, h, _ = factors.nmf(counts, 2, rounds=15)
+    other = {r.doc: r.topic for r in factors.largest(w).collect()}
     for topic in (found, other):
         assert len(topic) == 40 and len({topic[i] for i in range(0, 40, 2)}) == 1 and len(set(topic.values())) == 2
-    tops = topics.top_terms(h, 2, 3).collect()
+    tops = factors.top_terms(h, 3).collect()
     assert {frozenset(r.term for r in tops if r.topic == t) for t in (0, 1)} == {frozenset(a), frozenset(b)}
     assert topics.lda(docs.where("false"), 2)[0].count() == 0
 

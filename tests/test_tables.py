@@ -2,12 +2,15 @@
 
 import difflib
 import itertools
+import json
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.operators import titles
+from citeloom.operators import factors, graph, languages, names, titles
 from citeloom.operators.corpus import Corpus
 from citeloom.plans import catalogue, tables
 from citeloom.sources import folder, papers
@@ -169,3 +172,148 @@ def test_notes_come_back(spark, tmp_path):
     folder.write(rows.select("path", F.encode(folder.note_text({"t": F.col("t"), "l": F.col("l"), "n": F.lit(None).cast("string")}, F.col("t"), [F.lit("body")]), "UTF-8").alias("content")), str(tmp_path / "notes"))
     got = {r.path: (r.fields, r.lists) for r in folder.library(folder.read(spark, str(tmp_path / "notes"))).collect()}
     assert got == {f"{i}.md": ({"t": t}, {"l": [t, "x"]}) for i, t in enumerate(odd)}
+
+
+# --- graph ---------------------------------------------------------------------------------------
+
+
+def plain_centrality(edges, back, max_iter=1000, tol=1e-6):
+    ids = sorted({x for e in edges for x in e})
+    x = {v: 1 / len(ids) for v in ids}
+    for _ in range(max_iter):
+        y = dict(x)
+        for a, b in set(edges):
+            y[a if back else b] += x[b if back else a]
+        norm = sum(v * v for v in y.values()) ** 0.5
+        y = {k: v / norm for k, v in y.items()}
+        if sum(abs(y[k] - x[k]) for k in y) < len(ids) * tol:
+            return y
+        x = y
+    return dict.fromkeys(ids)
+
+
+def test_centralities(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [("hub", f"n{i}") for i in range(40)] + [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(150)] + [("n1", "hub"), ("n2", "hub"), ("n2", "hub"), ("n3", "n3")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    for hubs in (1000, 6):  # with and without nodes that are joined by broadcast
+        monkeypatch.setattr(graph, "HUBS", hubs)
+        got = {r.id: (r.centrality_in, r.centrality_out) for r in graph.centralities(df).collect()}
+        for j, back in enumerate((False, True)):
+            want = plain_centrality(edges, back)
+            assert got.keys() == want.keys() and max(abs(got[k][j] - want[k]) for k in want) < 1e-6
+    short = graph.centralities(df, max_iter=2).collect()
+    assert len(short) == 41 and all(r.centrality_in is None and r.centrality_out is None for r in short)
+    one_way = graph.centralities(df, max_iter=12, tol=1e-4).collect()
+    assert [r.centrality_in is None for r in one_way] == [plain_centrality(edges, False, 12, 1e-4)["hub"] is None] * 41
+    assert graph.centralities(df.where("false")).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("citeloom_")]
+
+
+def test_numbers_of_the_property_graph_have_no_gaps(spark, corpus):
+    lines = [json.loads(r.value) for r in graph.property_graph(corpus.papers.repartition(7), corpus.references, corpus.citations_in, corpus.paper_author, corpus.authors.unionByName(spark.createDataFrame([("A999", None)], "authorId string, authorName string"))).collect()]
+    links = [x for x in lines if x["type"] == "relationship"]
+    assert sorted(int(x["id"]) for x in links) == list(range(len(links))) and {x["label"] for x in links} == {"PUBLISHED_BY", "AUTHORED_BY", "CITE"}
+    nodes = {x["id"] for x in lines if x["type"] == "node"}
+    assert len(nodes) == len(lines) - len(links) and all({x["start"]["id"], x["end"]["id"]} <= nodes for x in links)
+
+
+# --- factors -------------------------------------------------------------------------------------
+
+
+def plain_factors(x, k, rounds=1000, tol=1e-4):
+    u, s, v = np.linalg.svd(x, full_matrices=False)
+    w, h = np.zeros((len(x), k)), np.zeros((k, x.shape[1]))
+    for j in range(k):
+        parts = [(np.maximum(sign * u[:, j], 0), np.maximum(sign * v[j], 0)) for sign in (1, -1)]
+        weight = [np.linalg.norm(a) * np.linalg.norm(b) for a, b in parts]
+        a, b = parts[int(weight[1] > weight[0])]
+        w[:, j], h[j] = np.sqrt(s[j] * max(weight)) * a / np.linalg.norm(a), np.sqrt(s[j] * max(weight)) * b / np.linalg.norm(b)
+    w[w < 1e-6], h[h < 1e-6], h = x.mean(), x.mean(), h.T
+    first = None
+    for r in range(1, rounds + 1):
+        moved = 0.0
+        for own, other, m in ((w, h, x), (h, w, x.T)):
+            gram, top = other.T @ other, m @ other
+            for t in range(k):
+                slope = own @ gram[t] - top[:, t]
+                moved += np.abs(np.where(own[:, t] == 0, np.minimum(slope, 0), slope)).sum()
+                own[:, t] = np.maximum(own[:, t] - slope / gram[t, t], 0)
+        first = first or moved
+        if moved / first <= tol:
+            break
+    return r, np.linalg.norm(x - w @ h.T)
+
+
+@pytest.mark.parametrize("k, hubs, observed", [(3, 1000, 8), (4, 30, 2)])
+def test_factors(spark, monkeypatch, k, hubs, observed):
+    monkeypatch.setattr(factors, "HUBS", hubs)
+    monkeypatch.setattr(factors, "OBSERVED", observed)
+    rng = np.random.default_rng(k)
+    x = np.maximum(0, rng.normal(size=(60, k))) @ np.maximum(0, rng.normal(size=(k, 40))) * (rng.random((60, 40)) < 0.4)
+    df = spark.createDataFrame([(f"d{i}", f"t{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x))], "doc string, term string, weight double")
+    w, h, known = factors.nmf(df, k, tol=3e-2)
+    rounds, error = plain_factors(x, k, tol=3e-2)
+    assert known["settled"] and abs(known["error"] - error) < 0.01 * error and abs(known["rounds"] - rounds) <= 2
+    at, to = {r.doc: np.array(r.w) for r in w.collect()}, {r.term: np.array(r.h) for r in h.collect()}
+    left = sum((x[i, j] - (at[f"d{i}"] @ to[f"t{j}"] if f"d{i}" in at and f"t{j}" in to else 0)) ** 2 for i in range(60) for j in range(40)) ** 0.5
+    assert abs(left - known["error"]) < 1e-6 and all((v >= 0).all() for v in at.values())
+    none = factors.nmf(df.where("false"), k, rounds=2)
+    assert none[0].count() == none[1].count() == 0
+
+
+# --- languages, stems, names ---------------------------------------------------------------------
+
+
+def test_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    known = languages.fit(docs.where("doc_id % 2 = 0"))
+    told = docs.where("doc_id % 2 = 1 and length(text) >= 120").select("lang", languages.detect(F.col("text"), known, docs).alias("found")).collect()
+    assert sum(r.lang == r.found for r in told) > 0.97 * len(told)
+    odd = spark.createDataFrame([(t,) for t in (None, "", "12 !?", "これは日本語の文章です。今日は天気がいい。", "Det är en kall vinterdag i Stockholm och barnen leker i snön utanför skolan.", "wxyz qqq zzz kkk jjj xxx")], "t string")
+    assert [r[0] for r in odd.select(languages.detect(F.col("t"), known, odd)).collect()] == [""] * 6
+    nothing = languages.fit(docs.where("false"))
+    assert [r[0] for r in odd.select(languages.detect(F.col("t"), nothing, odd)).collect()] == [""] * 6
+
+
+#: Words and stems as published with the algorithm and its usual additions.
+STEMS = """caresses caress ponies poni ties tie caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky
+relational relat conditional condit rational ration valenci valenc hesitanci hesit digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl
+triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler
+probate probat rate rate cease ceas controll control roll roll flies fli dies die mules mule denied deni died die owned own humbled humbl meeting meet stating state siezing siez itemization item sensational sensat traditional tradit reference refer colonizer colon plotted plot dying die news news enjoy enjoy as as""".split()
+
+
+def test_stems(spark):
+    assert [languages.stem(w) for w in STEMS[::2]] == STEMS[1::2]
+    df = spark.createDataFrame([(["cats", None, "cats"],), (None,), ([],)], "w array<string>")
+    assert [r[0] for r in df.select(languages.stems("w")).collect()] == [["cat", None, "cat"], None, []]
+
+
+@pytest.mark.parametrize("a, b, want", [("this is a test", "this is a test!", 96.55), ("this is a test", "this is a new test!!!", 85.5), ("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear", 95.0), ("fuzzy was a bear", "fuzzy fuzzy was a bear", 95.0), ("yankees", "new york yankees", 90.0), ("abcd", "abce", 75.0), ("", "x", 0.0), ("same", "same", 100.0)])
+def test_weighted_ratios(a, b, want):
+    assert round(names.weighted(a, b), 2) == want == round(names.weighted(b, a), 2)
+
+
+def test_common_subsequences():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0] + [0] * len(b) if not b else (lambda old: (new := [0], [new.append(old[j] + 1 if x == y else max(old[j + 1], new[j])) for j, y in enumerate(b)], new)[-1])(row)
+        assert names.common(a, b) == row[-1]
+
+
+def test_nothing_possible_is_skipped():
+    rng = random.Random(5)
+    words = ["journal", "of", "steel", "steal", "review", "things", "a", "nature", "natura"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(120)]
+    for a, b in itertools.product(texts[:60], texts[60:]):
+        if names.weighted(a, b) >= 90:
+            assert names.possible(a, b, (Counter(a), Counter(b)), 90)
+
+
+def test_nearest_names(spark):
+    df = spark.createDataFrame([("nature physics",), ("physics nature",), ("natur physics",), ("",), (None,), ("zoology",)], "n string")
+    assert [r[0] for r in df.select(names.nearest(F.col("n"), ["Nature", "Nature Physics"])).collect()] == ["Nature Physics"] * 3 + [None] * 3
+    assert df.where(names.nearest(F.col("n"), []).isNotNull()).count() == 0
