@@ -1,13 +1,13 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
 Examples are a bounded sample of labelled texts, each with all of its words; document frequencies for
-IDF are counted over all texts. A word's entry is (1 + ln tf) * idf * (1 + sqrt(chi)), chi being the
-corrected chi-squared of its presence and the label over the sample: no word is left out, and those
-that say more about the label weigh more. The examples lie in an inverted index in blocks; a block whose
-largest possible cosine is under the k-th best so far is not opened, so the k nearest are exact. Words that many
+IDF are counted over all texts. A word's entry is (1 + ln tf) * idf, and rows have unit length: labels have no part in
+cosines. Some examples are near to everything, so nearness is the cosine in standard deviations
+above the example's mean cosine with all other examples. The examples lie in an inverted index in blocks; a block whose
+largest possible nearness is under the k-th best so far is not opened, so the k nearest are exact. Words that many
 examples hold are multiplied as one dense matrix for a batch of texts before the blocks' bounds are taken. Votes
-weighted by cosine are calibrated by isotonic regression over the examples themselves, each left
-out of its own vote; this runs as a Spark job.
+weighted by nearness are calibrated by isotonic regression over the examples themselves, each left
+out of its own vote. Means and votes of examples are Spark jobs.
 
 Defined results: a null or empty text, or one without a word of any example, gets the calibrated
 share of toxic examples without such words; ties between examples go to the smaller position; with
@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from citeloom.llm import common
 
 #: Examples of each label, about; nearest examples; texts in a block of the index; blocks opened first.
-SAMPLE, NEAREST, BLOCK, FIRST = 3000, 25, 128, 2
+SAMPLE, NEAREST, BLOCK, FIRST = 3000, 100, 128, 4
 #: A word is common if this share of the examples holds it; texts whose common words are multiplied at once.
 COMMON, TOGETHER = 1 / 32, 128
 #: Weight of the prior in a vote.
@@ -57,6 +57,9 @@ class Index:
     block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     most: np.ndarray = field(default_factory=lambda: np.zeros(0))
     start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    #: Each example's mean cosine with the others and its deviation; entries are divided by the latter.
+    mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    deviation: np.ndarray = field(default_factory=lambda: np.zeros(0))
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
 
     def build(self) -> Index:
@@ -70,6 +73,25 @@ class Index:
         self.start = np.append(fresh, len(word)).astype(np.int32)
         self.block, self.most = block[fresh].astype(np.int16), np.maximum.reduceat(self.entry, fresh) if len(fresh) else np.zeros(0)
         self.first = np.searchsorted(word[fresh], np.arange(len(self.words) + 1)).astype(np.int32)
+        self.mean, self.deviation = np.zeros(len(size)), np.ones(len(size))
+        return self
+
+    def cosines(self, at: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Of a text and all examples, before these are standardised."""
+        a = self.start[self.first[at]].astype(np.int64)
+        n = self.start[self.first[at + 1]] - a
+        e = _ranges(a, n)
+        return np.bincount(self.example[e], self.entry[e] * np.repeat(v, n), len(self.label))
+
+    def around(self, i: int, at: np.ndarray, v: np.ndarray) -> tuple[float, float]:
+        """The mean and deviation of example i's cosines with the others."""
+        others = np.delete(self.cosines(at, v), i)
+        return (float(others.mean()), float(others.std())) if len(others) else (0.0, 1.0)
+
+    def standardise(self, mean: np.ndarray, deviation: np.ndarray) -> Index:
+        self.mean, self.deviation = mean, np.where(deviation > 1e-9, deviation, 1.0)
+        self.entry = self.entry / self.deviation[self.example]
+        self.most = np.maximum.reduceat(self.entry, self.start[:-1]) if len(self.entry) else self.most
         return self
 
     def dense(self) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +111,7 @@ class Index:
         return {k: v for k, v in self.__dict__.items() if k != "_dense"}
 
     def partly(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the common words give to the cosine of each text and example."""
+        """What the common words give to the nearness of each text and example."""
         row, d = self.dense()
         q = np.zeros((len(vectors), len(d)))
         for i, (at, v) in enumerate(vectors):
@@ -111,8 +133,8 @@ class Index:
         return at, v / norm if norm else v
 
     def nearest(self, at: np.ndarray, v: np.ndarray, k: int, part: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """The k examples with the largest cosines over 0, exactly: (cosine, example). part: what partly gives for the text."""
-        cos = (self.partly([(at, v)])[0] if part is None else part).copy()
+        """The k nearest examples, of those nearer than their mean, exactly: (nearness, example). part: what partly gives for the text."""
+        cos = (self.partly([(at, v)])[0] if part is None else part) - self.mean / self.deviation
         rare = self.dense()[0][at] < 0
         at, v = at[rare], v[rare]
         n = self.first[at + 1] - self.first[at]
@@ -164,18 +186,7 @@ class Index:
         near = self.nearest(at, v, NEAREST, part) if len(at) else []
         raw = self.vote(near) if len(at) else -1.0
         k = max(0, int(np.searchsorted(self.steps[0], raw, "right")) - 1)
-        return float(self.steps[1][k]), [i for _, i in near[:3]], [round(c, 6) for c, _ in near[:3]]
-
-
-def relevance(presence: list[np.ndarray], y: np.ndarray, words: int) -> np.ndarray:
-    """1 + sqrt(chi-squared with Yates' correction) of each word's presence and the label."""
-    flat = np.concatenate([*presence, np.zeros(0, np.int64)])
-    a, n = np.bincount(flat, np.repeat(y, [len(x) for x in presence]), words), np.bincount(flat, minlength=words)
-    pos, total = y.sum(), len(y)
-    b, c, d = n - a, pos - a, total - pos - (n - a)
-    with np.errstate(all="ignore"):
-        chi = total * np.maximum(np.abs(a * d - b * c) - total / 2, 0) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
-    return 1 + np.sqrt(np.nan_to_num(chi))
+        return float(self.steps[1][k]), [i for _, i in near[:3]], [round(c * self.deviation[i] + self.mean[i], 6) for c, i in near[:3]]
 
 
 def _hashes(column: pa.Array) -> list[np.ndarray]:
@@ -189,6 +200,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.list_(pa.int64()))], names=["key", "y", "h", "n"])
 
 
+def _of_examples(examples: DataFrame, index: Index, place: dict, of) -> list[tuple[int, float, float]]:
+    """What a function of the index and an example's place and entries gives for each example: its place and two numbers."""
+    spark = examples.sparkSession
+    shared = spark.sparkContext.broadcast((replace(index, rows=[]), place))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, places = shared.value
+        for batch in batches:
+            at = [places[k] for k in batch.column("key").to_pylist()]
+            found = [of(own, i, *own.vector(h.values.to_numpy().view(np.uint64), n.values.to_numpy())) for i, h, n in zip(at, batch.column("h"), batch.column("n"))]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *[pa.array([f[j] for f in found], pa.float64()) for j in range(2)]], names=["id", "one", "two"])
+
+    out = [tuple(r) for r in examples.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "id bigint, one double, two double").collect()]
+    shared.destroy()
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[Index, list]:
     """The index over about sample examples per label, among labelled texts that train holds for, and their keys."""
     spark = docs.sparkSession
@@ -232,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, key: str = "doc_id
     idf = np.log((1 + n[at < 0].sum()) / (1 + seen))
     keys = sorted(sets)
     places = {k: np.searchsorted(words, sets[k][0]) for k in keys}
-    scale = idf * relevance([places[k] for k in keys], np.array([y_of[k] for k in keys]), len(words))
+    scale = idf
     # Examples with the same heaviest word lie side by side, which makes a block's bounds tight.
     heaviest = {k: int(places[k][np.argmax((1 + np.log(sets[k][1])) * scale[places[k]])]) if len(places[k]) else -1 for k in keys}
     keys.sort(key=lambda k: (heaviest[k], k))
@@ -241,19 +269,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, key: str = "doc_id
     index.rows = [index.vector(*sets[k]) for k in keys]
     index.build()
     if keys:
-        shared = spark.sparkContext.broadcast((replace(index, rows=[]), {k: i for i, k in enumerate(keys)}))
-
-        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, place = shared.value
-            for batch in batches:
-                at = [place[k] for k in batch.column("key").to_pylist()]
-                vectors = (own.vector(h.values.to_numpy().view(np.uint64), n.values.to_numpy()) for h, n in zip(batch.column("h"), batch.column("n")))
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([own.own_vote(i, *v) for i, v in zip(at, vectors)], pa.float64())], names=["id", "vote"])
-
+        place = {k: i for i, k in enumerate(keys)}
+        for i, mean, deviation in _of_examples(examples, index, place, lambda own, i, at, v: own.around(i, at, v)):
+            index.mean[i], index.deviation[i] = mean, deviation
+        index.standardise(index.mean, index.deviation)
         raw = np.zeros(len(keys))
-        for r in examples.repartition(spark.sparkContext.defaultParallelism).mapInArrow(votes, "id bigint, vote double").collect():
-            raw[r["id"]] = r["vote"]
-        shared.destroy()
+        for i, vote, _ in _of_examples(examples, index, place, lambda own, i, at, v: (own.own_vote(i, at, v), 0.0)):
+            raw[i] = vote
         index.calibrate(raw)
         index.rows = []
     return index, keys
