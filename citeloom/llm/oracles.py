@@ -18,20 +18,22 @@ def license_sql() -> str:
         words = phrase.split()
         named[label] = " AND ".join(f"w[i{f' + {k}' if k else ''}] = {_quoted(x)}" for k, x in enumerate(words))
         base.append(f"SELECT r, i - 1 AS pos, '{label}' AS label FROM spots WHERE {named[label]}")
-    parts = [(k, label, set(licenses._split(t)), set(licenses._split(naming)), licenses.stride(len(licenses._split(t)))) for k, (label, naming, t) in enumerate(licenses.TEMPLATES)]
-    values = ", ".join(f"({k}, '{label}', {_quoted(w)}, {len(ws)}, {w in naming}, {len(naming)}, {step})" for k, label, ws, naming, step in parts for w in sorted(ws))
-    assert all(naming <= ws for _, _, ws, naming, _ in parts)
+    parts = [(k, label, set(licenses._split(t)), [licenses._split(p) for p in naming], licenses.stride(len(licenses._split(t)))) for k, (label, naming, t) in enumerate(licenses.TEMPLATES)]
+    values = ", ".join(f"({k}, '{label}', {_quoted(w)}, {len(ws)}, {len(naming)}, {step})" for k, label, ws, naming, step in parts for w in sorted(ws))
+    told = " UNION ALL ".join("SELECT r, {k} AS k, {j} AS j, {n} AS n, {step} AS step, i - 1 AS pos FROM spots WHERE ".format(k=k, j=j, n=len(p), step=step) + " AND ".join(f"w[i{f' + {x}' if x else ''}] = {_quoted(word)}" for x, word in enumerate(p)) for k, _, _, naming, step in parts for j, p in enumerate(naming))
     strides = ", ".join(f"({x})" for x in sorted({p[-1] for p in parts}))
     return f"""WITH texts AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
-template(k, label, word, n, names, named, step) AS (VALUES {values}),
+template(k, label, word, n, named, step) AS (VALUES {values}),
 spots AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM texts),
 base AS ({" UNION ALL ".join(base)}),
 places AS (SELECT r, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos, list_sort(list(DISTINCT label)) AS labels FROM base GROUP BY r),
 held AS (SELECT r, i - 1 AS pos, w[i] AS word FROM spots WHERE w[i] IN (SELECT word FROM template)),
 strides(step) AS (VALUES {strides}),
 blocks AS (SELECT r, word, step, pos // step AS b FROM held, strides UNION SELECT r, word, step, pos // step - 1 AS b FROM held, strides WHERE pos >= step),
-met AS (SELECT r, b, k, label, n, count(*) AS m, count(*) FILTER (names) AS said, named FROM blocks JOIN template USING (word, step) GROUP BY r, b, k, label, n, named),
-best AS (SELECT r, list(DISTINCT label) AS labels, max(m / n) AS score FROM met WHERE said = named AND m >= greatest(1, ceil({licenses.THRESHOLD} * n - 1e-9)) GROUP BY r)
+told AS ({told}), inside AS (SELECT r, k, j, step, pos // step AS b FROM told WHERE pos + n <= (pos // step + 2) * step UNION SELECT r, k, j, step, pos // step - 1 FROM told WHERE pos >= step AND pos + n <= (pos // step + 1) * step),
+said AS (SELECT r, k, b, count(DISTINCT j) AS said FROM inside GROUP BY 1, 2, 3),
+met AS (SELECT r, b, k, label, n, count(*) AS m, named FROM blocks JOIN template USING (word, step) GROUP BY r, b, k, label, n, named),
+best AS (SELECT r, list(DISTINCT label) AS labels, max(m / n) AS score FROM met JOIN said USING (r, b, k) WHERE said = named AND m >= greatest(1, ceil({licenses.THRESHOLD} * n - 1e-9)) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS bigint) AS n_words, CAST(coalesce(p.n, 0) AS bigint) AS n_base, CAST(p.first_pos AS bigint) AS first_word, CAST(p.last_pos AS bigint) AS last_word,
   coalesce(array_to_string(p.labels, ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(p.labels, []), coalesce(b.labels, [])))), ','), '') AS labels,
   CASE WHEN p.n > 0 THEN 1.0 ELSE coalesce(b.score, 0.0) END::double AS score

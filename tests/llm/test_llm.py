@@ -200,12 +200,12 @@ def plain_licenses(t):
     named, best = {k for k, x in base.items() if x}, 0.0
     labels = set(named)
     for label, naming, t in licenses.TEMPLATES:
-        own, need = set(licenses._split(t)), set(licenses._split(naming))
+        own = set(licenses._split(t))
         stride = licenses.stride(len(licenses._split(t)))
         for a in range(0, len(ws), stride):
-            block = set(ws[a : a + 2 * stride])
-            share = len(own & block) / len(own)
-            if need <= block and share * len(own) >= math.ceil(licenses.THRESHOLD * len(own) - 1e-9):
+            block = ws[a : a + 2 * stride]
+            share = len(own & set(block)) / len(own)
+            if all(f" {' '.join(licenses._split(p))} " in f" {' '.join(block)} " for p in naming) and share * len(own) >= math.ceil(licenses.THRESHOLD * len(own) - 1e-9):
                 labels.add(label)
                 best = max(best, share)
     return len(ws), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(named)), ",".join(sorted(labels)), 1.0 if named else best
@@ -223,6 +223,30 @@ def test_licenses_are_told_by_their_names(spark):
         assert label in got[100 + i].split(",")
 
 
+#: Texts and the labels that a reader gives them.
+READ = [
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "agpl-3"),
+    ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "lgpl-3"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "gpl-3"),
+    ("The film was released by MIT under the terms of the treaty", ""),
+    ("The Apache tribe licensed under the Crown the 2 mills, version 0 of the plan", ""),
+    ("shared CC 4 0 by NC State under nothing", ""),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("Code released under the terms of the MIT License, text under CC BY-NC", "cc-by-nc,mit"),
+    ("GNU Affero General Public License and the GNU General Public License are two licenses.", ""),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", ""),
+]
+
+
+def test_licenses_as_a_reader_names_them(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(READ)] + [(100 + i, f"{'word ' * 70}{t} {'more ' * 70}") for i, (t, _) in enumerate(READ)]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (_, want) in enumerate(READ):
+        assert (got[i], got[100 + i]) == (want, want)
+
+
 def test_licenses_against_all_blocks(spark, docs, odd):
     extra = [" ".join(["word"] * 50) + " " + t + " tail" for *_, t in licenses.TEMPLATES] + ["CC by-NC, under the MIT license. " * 3, "Permission granted, free charge to any person obtaining copy of this software and associated documentation"]
     rows = docs.select("doc_id", "text").union(odd.select("doc_id", "text")).union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
