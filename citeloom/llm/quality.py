@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import materialise
@@ -94,9 +94,9 @@ def _factor(sums: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _sums() -> list[Column]:
-    """n, s0.. and q00.. of a group's vectors."""
-    names = list(ENTRIES)
-    return [F.count("*").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q{i}{j}") for i in range(len(names)) for j in range(i + 1)]]
+    """n, s0.. and q00.. of a group's vectors, each of which stands ``times`` times."""
+    names, n = list(ENTRIES), F.col("times")
+    return [F.sum(n).alias("n"), *[F.sum(n * F.col(v)).alias(f"s{i}") for i, v in enumerate(names)], *[F.sum(n * F.col(names[i]) * F.col(names[j])).alias(f"q{i}{j}") for i in range(len(names)) for j in range(i + 1)]]
 
 
 def _distance(p: int) -> Column:
@@ -117,7 +117,7 @@ def _concentrate(rows: DataFrame, model: DataFrame, keys: list[str], groups: int
 
     Sums are made for each step of distance before anything of a group meets, so a group of any size
     sends some thousand rows at most from each task."""
-    far = rows.join(_few(model.select(*keys, *CELLS), groups), keys[0]).select(*keys, *ENTRIES, F.round(BINS * F.log1p(_distance(len(ENTRIES)))).cast("bigint").alias("bin"))
+    far = rows.join(_few(model.select(*keys, *CELLS), groups), keys[0]).select(*keys, *ENTRIES, "times", F.round(BINS * F.log1p(_distance(len(ENTRIES)))).cast("bigint").alias("bin"))
     parts = far.groupBy(*keys, "bin").agg(*_sums())
     by = Window.partitionBy(*keys)
     # The edge is the step that holds the HALF quantile; ties with it stay in.
@@ -133,8 +133,9 @@ def estimate(rows: DataFrame, group: str) -> DataFrame:
     start with the smaller determinant goes on, until its determinant falls no more."""
     names, p = list(ENTRIES), len(ENTRIES)
     floor = list(ENTRIES.values())
-    rows = materialise(rows, "vectors")
-    every = materialise(rows.groupBy(group).agg(*[F.percentile(v, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"p{i}") for i, v in enumerate(names)], *_sums()), "moments")
+    # Vectors are whole numbers, and many texts have the same: each distinct one is a row with how often it stands.
+    rows = materialise(rows.groupBy(group, *names).agg(F.count("*").alias("times")), "vectors")
+    every = materialise(rows.groupBy(group).agg(*[F.percentile(v, F.array(*map(F.lit, (0.25, 0.5, 0.75))), F.col("times")).alias(f"p{i}") for i, v in enumerate(names)], *_sums()), "moments")
     groups = every.count()
     spread = lambda i: F.greatest((F.get(f"p{i}", 2) - F.get(f"p{i}", 0)) / 1.349, F.lit(float(floor[i])))
     middle = every.select(group, F.lit(0).alias("start"), *[F.get(f"p{i}", 1).alias(f"m{i}") for i in range(p)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)])
@@ -149,8 +150,9 @@ def estimate(rows: DataFrame, group: str) -> DataFrame:
         after = after.select(group, F.struct(*CELLS, "size").alias("a"))
         falls = F.coalesce(F.col("a.size") < F.col("size") - FALL, F.lit(False))
         model = model.join(_few(after, groups), group, "left").select(group, *[F.when(falls, F.col(f"a.{c}")).otherwise(F.col(c)).alias(c) for c in (*CELLS, "size")], falls.alias("moved"))
-        model = materialise(model, "scatter")
-        if model.where("moved").isEmpty():
+        seen = Observation()
+        model = materialise(model.observe(seen, F.count_if("moved").alias("moved")), "scatter")
+        if not seen.get["moved"]:
             break
     return model.select(group, *CELLS)
 
