@@ -117,6 +117,26 @@ def _softmax(w: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndar
     return z
 
 
+def _leaves(model):
+    """Packs the leaves of each few texts and how many each text has: texts are tokenised and looked up once for all
+    passes over them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.small_batches(batches):
+            h, ending, ptr = _stream(batch.column(0))
+            leaf = model.value.look(h, ending)[1]
+            yield pa.RecordBatch.from_pydict({"leaf": pa.array([leaf.astype(np.uint8).tobytes()], pa.binary()), "n": pa.array([np.diff(ptr).astype(np.uint32).tobytes()], pa.binary())})
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(leaves, where each text begins) of what _leaves has packed."""
+    for batch in batches:
+        for leaf, n in zip(batch.column(0), batch.column(1)):
+            yield np.frombuffer(leaf.as_py(), np.uint8).astype(np.int64), np.concatenate([[0], np.cumsum(np.frombuffer(n.as_py(), np.uint32).astype(np.int64))[:-1]])
+
+
 def _train(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -144,10 +164,8 @@ def _train(model):
                 acc[lo : lo + ROWS] += total * total
                 w[lo : lo + ROWS] -= STEP * total / np.sqrt(acc[lo : lo + ROWS])
 
-        for batch in common.small_batches(batches):
-            h, ending, ptr = _stream(batch.column(0))
-            _, leaf = m.look(h, ending)
-            held.append([*_history(leaf, ptr[:-1]), leaf])
+        for leaf, first in _unpacked(batches):
+            held.append([*_history(leaf, first), leaf])
             while sum(len(x[0]) for x in held) >= BATCH:
                 joined = [np.concatenate([x[i] for x in held]) for i in range(4)]
                 update([x[:BATCH] for x in joined])
@@ -232,18 +250,16 @@ def fit(docs: DataFrame, train: Column, *, text: str = "text") -> tuple[Model, D
     order = np.argsort(h)
     model = Model(int(total), int(distinct), h[order], top["c"].to_numpy(np.int64)[order], single[order], mass, unseen, np.arange(LEAVES))
 
-    early = spark.sparkContext.broadcast(model)
+    leaves = materialise(rows.mapInArrow(_leaves(spark.sparkContext.broadcast(model)), "leaf binary, n binary"), "leaves")
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((LEAVES + 1) * LEAVES, np.int64)
-        for batch in common.small_batches(batches):
-            h, ending, ptr = _stream(batch.column(0))
-            _, leaf = early.value.look(h, ending)
-            n += np.bincount(_history(leaf, ptr[:-1])[0] * LEAVES + leaf, minlength=len(n))
+        for leaf, first in _unpacked(batches):
+            n += np.bincount(_history(leaf, first)[0] * LEAVES + leaf, minlength=len(n))
         on = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(on, pa.int32()), "n": pa.array(n[on], pa.int64())})
 
-    cells = rows.mapInArrow(neighbours, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most (LEAVES + 1) * LEAVES rows
+    cells = leaves.mapInArrow(neighbours, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most (LEAVES + 1) * LEAVES rows
     pairs = np.zeros((LEAVES + 1) * LEAVES)
     pairs[cells["cell"].to_numpy(np.int64)] = cells["n"]
     pairs = pairs.reshape(LEAVES + 1, LEAVES)
@@ -254,7 +270,7 @@ def fit(docs: DataFrame, train: Column, *, text: str = "text") -> tuple[Model, D
     model.bias = np.log(by_class.sum(1) / by_class.sum()).astype(np.float32), np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32)
     for _ in range(ROUNDS):
         run, add = _train(spark.sparkContext.broadcast(model))
-        got = rows.mapInArrow(run, "chunk int, w binary, n binary").groupBy("chunk").applyInArrow(add, "chunk int, w binary").collect()  # 2 * ROWS / CHUNK rows
+        got = leaves.mapInArrow(run, "chunk int, w binary, n binary").groupBy("chunk").applyInArrow(add, "chunk int, w binary").collect()  # 2 * ROWS / CHUNK rows
         weights = np.zeros((2 * ROWS, CLASSES), np.float32)
         for r in got:
             weights[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["w"], np.float32).reshape(CHUNK, CLASSES)
