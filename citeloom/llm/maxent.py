@@ -107,13 +107,15 @@ def _member_rows(features: list[np.ndarray], cls: np.ndarray) -> list[np.ndarray
 
 
 def _softmax(w: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-    z = w[rows[0]]
+    """Probabilities, a column for each token; bias: one column for all or one for each."""
+    z = w.take(rows[0], 0)
     for r in rows[1:]:
-        z += w[r]
-    z += bias
-    z -= z.max(1, keepdims=True)
+        z += w.take(r, 0)
+    z = np.ascontiguousarray(z.T)  # sums and maxima along the long side
+    z += bias.reshape(len(z), -1)
+    z -= z.max(0)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= z.sum(0)
     return z
 
 
@@ -150,11 +152,11 @@ def _train(model):
             place = m.place[leaf]
             cls, member = place // EACH, place % EACH
             features = _features(h1, h2, h3)
-            for rows, bias, target in ((features, b1, cls), (_member_rows(features, cls), b2[cls], member)):
-                g = _softmax(w, rows, bias)
-                g[np.arange(len(g)), target] -= 1
+            for rows, bias, target in ((features, b1, cls), (_member_rows(features, cls), b2.T.take(cls, 1), member)):
+                by_class = _softmax(w, rows, bias).astype(np.float64)
+                by_class[target, np.arange(len(target))] -= 1
                 lo = int(rows[0].min()) // ROWS * ROWS
-                by_class, sums = np.ascontiguousarray(g.T, np.float64), np.zeros((CLASSES, ROWS))
+                sums = np.zeros((CLASSES, ROWS))
                 for r in rows:
                     r = r - lo
                     seen[lo : lo + ROWS] += np.bincount(r, minlength=ROWS)
@@ -433,7 +435,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, *, train: Column | No
                 cls, member = place // EACH, place % EACH
                 features = _features(h1[cut], h2[cut], h3[cut])
                 row = np.arange(len(place))
-                own[cut] = np.log10(_softmax(m.weights, features, b1)[row, cls].astype(float) + 1e-30) + np.log10(_softmax(m.weights, _member_rows(features, cls), b2[cls])[row, member].astype(float) + 1e-30)
+                own[cut] = np.log10(_softmax(m.weights, features, b1)[cls, row].astype(float) + 1e-30) + np.log10(_softmax(m.weights, _member_rows(features, cls), b2.T.take(cls, 1))[member, row].astype(float) + 1e-30)
             base = np.where(at >= 0, log_c[at] if len(log_c) else 0.0, 0.0)
             shares = leaf >= SINGLES
             own[shares] += base[shares] - log_mass[leaf[shares] - SINGLES]

@@ -146,7 +146,7 @@ def test_maxent_against_a_plain_model(spark, docs):
             place = model.place[x]
             cls, member = np.array([place // maxent.EACH]), place % maxent.EACH
             f = maxent._features(*[np.array([b], np.int64) for b in back])
-            total += math.log10(maxent._softmax(model.weights, f, model.bias[0])[0, cls[0]]) + math.log10(maxent._softmax(model.weights, maxent._member_rows(f, cls), model.bias[1][cls])[0, member])
+            total += math.log10(maxent._softmax(model.weights, f, model.bias[0])[cls[0], 0]) + math.log10(maxent._softmax(model.weights, maxent._member_rows(f, cls), model.bias[1][cls])[member, 0])
             if x >= maxent.SINGLES:
                 own, z = fitted.get((h[i - 1], x), ({}, 1.0)) if i and leaf[i - 1] >= maxent.SINGLES else ({}, 1.0)
                 share = math.log10((count[w] + 1 if w in count else model.unseen[x - maxent.SINGLES]) / model.mass[x - maxent.SINGLES])
@@ -171,9 +171,9 @@ def test_maxent_is_a_distribution(docs):
     single = model.leaf >= 0
     h = [np.full(1, x) for x in (3, maxent.START, 7)]
     features = maxent._features(*h)
-    p = maxent._softmax(model.weights, features, model.bias[0])[0]
+    p = maxent._softmax(model.weights, features, model.bias[0])[:, 0]
     for c in range(maxent.CLASSES):
-        q = maxent._softmax(model.weights, maxent._member_rows(features, np.array([c])), model.bias[1][[c]])[0]
+        q = maxent._softmax(model.weights, maxent._member_rows(features, np.array([c])), model.bias[1][[c]])[:, 0]
         by_leaf[np.isin(np.arange(maxent.LEAVES), np.flatnonzero(model.place // maxent.EACH == c))] = [p[c] * q[model.place[i] % maxent.EACH] for i in np.flatnonzero(model.place // maxent.EACH == c)]
     assert math.isclose(by_leaf.sum(), 1, rel_tol=1e-5)
     assert single.sum() <= maxent.SINGLES and counts.count() == model.distinct
