@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from citeloom.llm import common
@@ -124,20 +124,31 @@ def _whole_sets(docs: DataFrame, bitmap, *, key: str, text: str, n: int) -> Data
     return docs.select(F.xxhash64(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, "node bigint, set array<bigint>")
 
 
+#: Labels that more than one in so many nodes have are joined by broadcast; there are fewer than that.
+HOT = 1000
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the smallest node reachable) of the nodes of edges (a, b): labels spread along
-    edges and jump to their label's label until nothing changes."""
+    """node, comp (the smallest node reachable) of the nodes of edges (a, b): labels spread along edges and jump to their
+    label's label until no edge moves one. A label that very many nodes have meets none of them in one task: how
+    many have it is counted first, and the few that are so common are broadcast."""
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    nodes = labels.count()
     while True:
+        seen = Observation()
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", "comp", F.least("comp", "near").alias("next"))
-        up = step.select(F.col("node").alias("up"), F.col("next").alias("top"))
-        step = materialise(step.join(up, step.next == up.up, "left").select("node", "comp", F.coalesce("top", "next").alias("next")), "labels")
-        moved = step.where("comp <> next").limit(1).count()
-        labels = step.select("node", F.col("next").alias("comp"))
-        if not moved:
+        step = labels.join(near, labels.node == near.a).select("node", F.least("comp", "near").alias("next"), (F.col("near") < F.col("comp")).alias("moved"))
+        step = materialise(step.observe(seen, F.count_if("moved").alias("moved")).drop("moved"), "steps")
+        if not seen.get["moved"]:
+            common.discard(both)
             return labels
+        held = step.groupBy("next").agg(F.count("*").alias("held"))
+        jump = held.join(step.select(F.col("node").alias("next"), F.col("next").alias("comp")), "next")
+        after = materialise(common.join_by_share(step, jump, ["next"], "held", nodes, HOT).select("node", "comp"), "labels")
+        common.discard(labels)
+        common.discard(step)
+        labels = after
 
 
 def _fits(n: str, pos: str, m: str, at: str, percent: int):
