@@ -113,6 +113,7 @@ def fit(docs: DataFrame, train: Column, *, text: str = "text", lang: str = "lang
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1
     counts = rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(sample) / F.col("count")).alias("share"))
     chosen = rows.join(F.broadcast(counts), "lang").where(common.rate_filter(F.struct("key", "text"), F.col("share"))).drop("share")
+    chosen = chosen.dropDuplicates(["lang", "key", "text"])  # a row that repeats is drawn with all of its copies; one of them is enough
     got = chosen.groupBy("lang").applyInArrow(_cluster(idf, clusters), "lang string, vector array<float>, floor double").collect()
     got.sort(key=lambda r: r["lang"])
     return Model(idf, [r["lang"] for r in got], np.array([r["vector"] for r in got], np.float32).reshape(len(got), DIMS), np.array([r["floor"] for r in got]))
