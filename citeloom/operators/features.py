@@ -24,6 +24,8 @@ def paper_features(papers: DataFrame, edges: DataFrame, paper_author: DataFrame)
 
 
 def author_features(papers: DataFrame, edges: DataFrame, paper_author: DataFrame) -> DataFrame:
+    """Papers, citations, years and co-authors of each author. Distinct co-authors take a row for each pair of authors of a paper, so
+    papers with very many authors cost the square of that; Spark splits such papers' partitions."""
     own = paper_author.join(citation_counts(edges), "paperId", "left").join(papers.select("paperId", "year"), "paperId", "left")
     n = F.coalesce("citation_count", F.lit(0))
     mates = paper_author.join(paper_author.withColumnsRenamed({"authorId": "mate"}), "paperId").where("authorId <> mate").groupBy("authorId").agg(F.countDistinct("mate").alias("mates"))

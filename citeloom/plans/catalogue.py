@@ -180,6 +180,9 @@ sh AS (SELECT sz.period, sz.start_year, t.topic, coalesce(n, 0) / size AS share
 _shares = lambda c: temporal.shares(c.papers, temporal.fixed_periods(c.papers, 2))
 query("D1", _PER + "SELECT * FROM per")(lambda c: temporal.fixed_periods(c.papers, 2))
 query("D2")(lambda c: temporal.adaptive_periods(c.papers, 1, 50))
+SQL["D2"] = VIEWS.replace("WITH first_year", "WITH RECURSIVE first_year") + """, yn AS (SELECT year AS y, count(*) AS n FROM papers WHERE year IS NOT NULL GROUP BY 1), sp AS (SELECT min(y) AS a, max(y) AS b FROM yn), ss AS (SELECT unnest(generate_series(a, b)) AS s, b FROM sp),
+ en AS (SELECT s, any_value(b) AS b, coalesce(min(e) FILTER (held >= 50), any_value(b)) AS e, max(held) >= 50 AS enough FROM (SELECT s, b, e, (SELECT sum(n) FROM yn WHERE y BETWEEN s AND e) AS held FROM (SELECT s, b, unnest(generate_series(s, b)) AS e FROM ss)) GROUP BY s),
+ ch AS (SELECT a AS s FROM sp UNION ALL SELECT e + 1 FROM ch JOIN en USING (s) WHERE e + 1 <= b) SELECT s::int AS start_year, e::int AS end_year, CASE WHEN s = e THEN cast(s AS varchar) ELSE concat(s, '-', e) END AS label FROM ch JOIN en USING (s) WHERE enough"""
 query("J12", _PER + """SELECT "paperId", label AS period FROM papers JOIN per ON year BETWEEN start_year AND end_year""")(lambda c: temporal.assign(c.papers, temporal.fixed_periods(c.papers, 2)).select("paperId", "period"))
 query("A17", _PER + "SELECT period, topic, round(share, 6)::double AS share FROM sh")(lambda c: _shares(c).select("period", "topic", F.round("share", 6).alias("share")))
 query("D5", _PER + """, tr AS (SELECT topic, arg_min(share, start_year) AS f, arg_max(share, start_year) AS l, count(*) AS n FROM sh GROUP BY 1) SELECT topic, n >= 2 AND CASE WHEN f > 0 THEN (l - f) / f >= 0.5 ELSE l > 0.1 END AS emerging, n >= 2 AND coalesce((f - l) / nullif(f, 0) >= 0.5, false) AS declining FROM tr""")(lambda c: temporal.trends(_shares(c)).select("topic", "emerging", "declining"))
