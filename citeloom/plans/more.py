@@ -183,7 +183,6 @@ query("X3", _SPLIT + 'SELECT "paperId" FROM sp')(lambda c: graph.split(graph.byp
 # --- topics over time ----------------------------------------------------------------------------
 
 _two = lambda c: temporal.fixed_periods(c.papers, 2)
-query("D4", _PER + "SELECT period, topic, round(share, 6)::double AS share FROM sh")(lambda c: temporal.evolution(c.papers, _two(c)).select("period", "topic", F.round("share", 6).alias("share")))
 query("D7", _PER + "SELECT period, round(share, 6)::double AS share FROM sh WHERE topic = (SELECT min(topic) FROM papers)")(
     lambda c: temporal.evolution(c.papers, _two(c)).join(F.broadcast(c.papers.agg(F.min("topic").alias("topic"))), "topic").select("period", F.round("share", 6).alias("share")))
 _COUNTED = """, yt AS (SELECT *, concat('t', k % 5) AS tp, 1990 + CASE WHEN k % 5 < 2 AND k % 3 = 0 THEN 2 WHEN k % 5 < 2 THEN 0 WHEN k % 3 = 0 THEN 0 ELSE 2 END AS yr FROM papers), ys AS (SELECT tp, yr, count(*) / sum(count(*)) OVER (PARTITION BY yr) AS share FROM yt GROUP BY 1, 2), ends AS (SELECT tp, arg_min(share, yr) AS f, arg_max(share, yr) AS l FROM ys GROUP BY 1)

@@ -294,6 +294,17 @@ query("S1", _CAT + f'SELECT "paperId", topic_id, {_BOTH} FROM ct')(lambda c: (p
 query("A9", _NMF + """SELECT topic_id, count(*) AS papers, (SELECT string_agg(term, ' ' ORDER BY place) FROM tops WHERE topic = topic_id AND place <= 5) AS topic_label FROM topical WHERE topic_id >= 0 GROUP BY 1""")(
     lambda c: (m := _title_model(c), features.topic_overview(topics.topic_column(c.papers, _assigned(m[0])), factors.top_terms(m[1], 8)))[1])
 query("A9_links", _NMF + """SELECT topic_id, "paperId", doi, concat('https://works.example/', "paperId") AS url FROM topical WHERE topic_id >= 0""")(lambda c: features.topic_links(topics.topic_column(c.papers, _assigned(_title_model(c)[0])), "https://works.example/"))
+query("D4", _NMF + """, en AS (SELECT year, topic_id, n FROM (SELECT year, topic_id, count(*) AS n FROM topical WHERE topic_id >= 0 AND year IS NOT NULL GROUP BY 1, 2)), ps AS (SELECT year, count(*) AS size, count(*) FILTER (topic_id >= 0) AS labelled FROM topical WHERE year IS NOT NULL GROUP BY 1 HAVING count(*) >= 2)
+ SELECT cast(ps.year AS varchar) AS period, cast(t.topic_id AS varchar) AS topic, round(coalesce(n, 0) / labelled, 6)::double AS share FROM ps CROSS JOIN (SELECT DISTINCT topic_id FROM topical WHERE topic_id >= 0) t LEFT JOIN en ON en.year = ps.year AND en.topic_id = t.topic_id""")(lambda c: _evolution(c))
+
+
+def _evolution(c: Corpus) -> DataFrame:
+    """The model's topics by year; papers without one count for the size of a period, but have no share."""
+    rows = topics.topic_column(c.papers, _assigned(_title_model(c)[0])).withColumn("topic", F.when(F.col("topic_id") >= 0, F.col("topic_id").cast("string")))
+    rows = scratch.cut_lineage(rows.select("paperId", "year", "topic"), "topical")
+    return temporal.evolution(rows, temporal.fixed_periods(rows, 1)).select("period", "topic", F.round("share", 6).alias("share"))
+
+
 query("A7", _GRAPH + _NMF + """SELECT (SELECT count(*) FROM (SELECT src FROM g UNION SELECT dst FROM g)) AS total_nodes, (SELECT count(*) FROM (SELECT dst FROM g UNION SELECT src FROM g WHERE etype = 'cites')) AS paper_nodes, (SELECT count(DISTINCT src) FROM g WHERE etype = 'author') AS author_nodes, (SELECT count(*) FROM g) AS total_edges,
  count(*) AS total_papers, count(DISTINCT topic_id) FILTER (topic_id >= 0) AS total_topics, count(*) FILTER (k % 6 < 2) AS retracted_papers FROM topical""")(
     lambda c: features.overview(topics.topic_column(c.papers, _assigned(_title_model(c)[0])).withColumn("isRetracted", F.when(_number() % 6 == 0, " Yes").when(_number() % 6 == 1, "TRUE").when(_number() % 6 == 2, "no")), _graph(c)))
