@@ -8,7 +8,8 @@ word has its smoothed share of the counts; words never seen have as much as thos
 
 Within a leaf that words share, features of whole words follow: each pair of neighbouring words of shared leaves that
 stands in the training texts twice or more has a weight of its own, in a softmax over the leaf's known pairs and
-one branch for the rest, where a word has its share. Their number grows with the corpus; they are
+one branch for the rest, in which every word of the leaf has its share. A word of a known pair gets what both give it, so that
+the probabilities of all words, and of those never seen, add up to one after any history. Their number grows with the corpus; they are
 kept and updated in the tasks that their hashes are dealt to, and never meet in one place.
 
 Training: each task runs minibatch gradient updates (AdaGrad) over all of its texts, and the
@@ -17,7 +18,7 @@ average. Counts cover all training texts. The commonest words' counts travel wit
 the others' are joined.
 
 Defined results: a null text counts as empty: it has the end token alone; with nothing to train on,
-all words are unknown. A word of a known pair is counted by the pair's branch alone, so that probabilities add up to one at the most. Repeated rows are scored each; texts of any length are scored whole.
+all words are unknown. Repeated rows are scored each; texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -348,8 +349,9 @@ def _weigh(model):
     """Learns a part's pair weights from its training tokens and gives, for each text, what they add to its score; h: the words
     whose shares they replace, as far as their counts don't travel with the model."""
 
-    def learn(key: np.ndarray, w: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(what each token adds to its text's score, the tokens whose words' shares are replaced by joined counts)"""
+    def learn(key: np.ndarray, w: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What each token adds to its text's score; and the tokens of known pairs whose words' counts are joined later, with
+        the pair's own probability and what the rest gives to the word for each of its count and one more."""
         m = model.value
         order = np.lexsort((w, key))
         key, w, train = key[order], w[order], train[order]
@@ -365,14 +367,17 @@ def _weigh(model):
         at = at[pair]
         add = -np.log10(z)[group]
         has = np.flatnonzero(at >= 0)
-        leaf = key[has] % ENDINGS
-        add[has] += theta[at[has]] / np.log(10) + np.log10(m.mass)[leaf]
+        mass = m.mass[key[has] % ENDINGS]
+        pair_share, rest_share = np.exp(theta[at[has]]) / z[group[has]], 1 / (z[group[has]] * mass)
         place = np.minimum(np.searchsorted(m.known, w[has]), max(len(m.known) - 1, 0))
         travels = m.known[place] == w[has] if len(m.known) else np.zeros(len(has), bool)
-        add[has[travels]] -= np.log10(m.count[place[travels]] + 1.0)
+        c = m.count[place] + 1.0 if len(m.known) else np.ones(len(has))
+        # In place of the word's share of its leaf: the pair's probability and the rest's times that share.
+        add[has] = np.log10(mass) + np.where(travels, np.log10(pair_share + rest_share * c) - np.log10(c), 0.0)
         out = np.empty(len(add))
         out[order] = add
-        return out, order[has[~travels]]
+        later = ~travels
+        return out, order[has[later]], pair_share[later], rest_share[later]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, cols, docs = [], [], 0
@@ -386,27 +391,27 @@ def _weigh(model):
                 docs += len(d1)
         doc, prev, w, e, train = (np.concatenate(x) for x in zip(*cols))
         cols.clear()
-        sums, other_doc, other = np.zeros(docs), [], []
+        sums, others = np.zeros(docs), []
         # Groups don't depend on each other, so a part is worked through in slices of them that need little memory.
         slices = -(-len(w) // SLICE)
         turn = (common._mix(prev.astype(np.uint64) * np.uint64(ENDINGS) + e + np.uint64(1)) % np.uint64(slices)).astype(np.uint16)
         for k in range(slices):
             on = np.flatnonzero(turn == k)
             if len(on):
-                add, words = learn(prev[on].astype(np.int64) * ENDINGS + e[on], w[on], train[on])
+                add, words, pair_share, rest_share = learn(prev[on].astype(np.int64) * ENDINGS + e[on], w[on], train[on])
                 sums += np.bincount(doc[on], add, docs)
-                other_doc.append(doc[on[words]])
-                other.append(w[on[words]])
-        other_doc, other = np.concatenate(other_doc), np.concatenate(other)
-        other = other[np.argsort(other_doc, kind="stable")]
+                others.append((doc[on[words]], w[on[words]].view(np.int64), pair_share, rest_share))
+        other_doc, *other = (np.concatenate(x) for x in zip(*others))
+        order = np.argsort(other_doc, kind="stable")
+        other = [x[order] for x in other]
         cut = np.concatenate([[0], np.cumsum(np.bincount(other_doc, minlength=docs))])
         lo, hi, some = 0, 0, []
         for x in [*ids, None]:  # rows go out in batches, as a part may hold millions of texts
             if x is not None:
                 hi, some = hi + len(x[0]), [*some, x]
             if some and (x is None or hi - lo >= 50_000):
-                lists = pa.ListArray.from_arrays(pa.array(cut[lo : hi + 1] - cut[lo], pa.int32()), pa.array(other[cut[lo] : cut[hi]].view(np.int64)))
-                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([y[0] for y in some])), pa.array(np.concatenate([y[1] for y in some])), pa.array(sums[lo:hi]), lists], names=["d1", "d2", "add", "h"])
+                lists = [pa.ListArray.from_arrays(pa.array(cut[lo : hi + 1] - cut[lo], pa.int32()), pa.array(x[cut[lo] : cut[hi]])) for x in other]
+                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([y[0] for y in some])), pa.array(np.concatenate([y[1] for y in some])), pa.array(sums[lo:hi]), *lists], names=["d1", "d2", "add", "h", "a", "b"])
                 yield out.filter(pa.array((sums[lo:hi] != 0) | (np.diff(cut[lo : hi + 1]) > 0)))
                 lo, some = hi, []
 
@@ -452,16 +457,17 @@ def score(docs: DataFrame, model: Model, words: DataFrame, *, train: Column | No
     schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)] + ["d1 bigint, d2 bigint, n_tokens bigint, n_known bigint, base double, own double, h array<bigint>, e array<smallint>"])
     rows = materialise(source.drop("train").mapInArrow(run, schema), "scored")
     zero = F.lit(0.0)
-    rare = rows.select("d1", "d2", F.explode(F.arrays_zip("h", "e")).alias("x")).select("d1", "d2", "x.h", "x.e", F.lit(1).alias("sign"))
+    rare = rows.select("d1", "d2", F.explode(F.arrays_zip("h", "e")).alias("x")).select("d1", "d2", "x.h", "x.e", F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
     if train is not None:
         parts = max(8, -(-model.total // PART))
         pairs = source.select("__text", "d1", "d2", "train").mapInArrow(_hand_out(shared, parts), _PAIR_FIELDS)
-        pairs = materialise(pairs.groupBy("part").applyInArrow(_weigh(shared), "d1 bigint, d2 bigint, add double, h array<bigint>"), "pairs")
-        rare = rare.unionByName(pairs.select("d1", "d2", F.explode("h").alias("h"), F.lit(0).cast("smallint").alias("e"), F.lit(-1).alias("sign")))
+        pairs = materialise(pairs.groupBy("part").applyInArrow(_weigh(shared), "d1 bigint, d2 bigint, add double, h array<bigint>, a array<double>, b array<double>"), "pairs")
+        rare = rare.unionByName(pairs.select("d1", "d2", F.explode(F.arrays_zip("h", "a", "b")).alias("x")).select("d1", "d2", "x.h", F.lit(0).cast("smallint").alias("e"), "x.a", "x.b"))
     unseen = F.lit([float(x) for x in np.log10(model.unseen)])
-    own = F.col("sign") > 0
+    # A token's own count; where it follows a word in a known pair, the pair's and the rest's probabilities instead of that.
+    own, one_more = F.col("a").isNull(), F.col("c") + 1.0
     more = rare.join(words, "h", "left").select("d1", "d2", F.when(own & F.col("c").isNotNull(), 1).otherwise(0).alias("n"), F.when(own, F.coalesce(F.log10(F.col("c") + 1.0), zero)).otherwise(zero).alias("base_more"),
-                                               (F.col("sign") * F.coalesce(F.log10(F.col("c") + 1.0), F.get(unseen, F.col("e").cast("int")))).alias("own_more"), F.lit(0).alias("copies"))
+                                               F.when(own, F.coalesce(F.log10(one_more), F.get(unseen, F.col("e").cast("int")))).otherwise(F.log10(F.col("a") + F.col("b") * one_more) - F.log10(one_more)).alias("own_more"), F.lit(0).alias("copies"))
     more = more.unionByName(rows.select("d1", "d2", F.lit(0).alias("n"), zero.alias("base_more"), zero.alias("own_more"), F.lit(1).alias("copies")))
     if train is not None:
         more = more.unionByName(pairs.select("d1", "d2", F.lit(0).alias("n"), zero.alias("base_more"), F.col("add").alias("own_more"), F.lit(0).alias("copies")))

@@ -150,7 +150,7 @@ def test_maxent_against_a_plain_model(spark, docs):
             if x >= maxent.SINGLES:
                 own, z = fitted.get((h[i - 1], x), ({}, 1.0)) if i and leaf[i - 1] >= maxent.SINGLES else ({}, 1.0)
                 share = math.log10((count[w] + 1 if w in count else model.unseen[x - maxent.SINGLES]) / model.mass[x - maxent.SINGLES])
-                total += (own[w] / math.log(10) if w in own else share) - math.log10(z)
+                total += math.log10((math.exp(own[w]) if w in own else 0.0) + 10**share) - math.log10(z)
             back = [x, *back[:2]]
         assert math.isclose(got[k].score, total, rel_tol=1e-4, abs_tol=1e-3)
     # Texts that the training texts hold twice are told from others by the pairs.
@@ -180,6 +180,17 @@ def test_maxent_is_a_distribution(docs):
     assert (model.mass >= model.unseen).all()
 
 
+def test_maxent_pairs_and_rest_are_a_distribution(docs):
+    """After any word the known pairs of a leaf and the rest, in which each word has its share, sum to the leaf's one."""
+    model, counts = maxent.fit(docs, F.lit(True))
+    alone = {int(h) for h, leaf in zip(model.known.view(np.int64), model.leaf) if leaf >= 0}
+    assert math.isclose(sum(r.c + 1 for r in counts.collect() if r.h not in alone), (model.mass - model.unseen).sum())
+    theta, z = maxent.pair_weights(np.array([0, 0, 0, 1]), np.array([9.0, 2, 2, 5]), np.array([30.0, 6]))
+    for g in (0, 1):
+        known = np.exp(theta[np.array([0, 0, 0, 1]) == g]) / z[g]
+        assert math.isclose(known.sum() + 1 / z[g], 1)
+
+
 def test_maxent_odd(odd, none):
     model, counts = maxent.fit(odd, F.lit(True))
     rows = maxent.score(odd, model, counts).collect()
