@@ -5,7 +5,6 @@ import re
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from citeloom.llm import common, registry, sentencepieces
