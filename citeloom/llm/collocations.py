@@ -106,8 +106,8 @@ def _put(sketch: np.ndarray, cells: np.ndarray) -> None:
     sketch[on] = np.minimum(sketch[on] + n, np.iinfo(sketch.dtype).max).astype(sketch.dtype)
 
 
-def sketch(texts: DataFrame, most: int, least: int) -> np.ndarray:
-    """The merged sketch of n-grams of 1 to most words of texts (lang, text)."""
+def sketch(texts: DataFrame, most: int, least: int) -> dict[int, bytes]:
+    """The merged sketch of n-grams of 1 to most words of texts (lang, text): its chunks, packed."""
     import zstandard
 
     kind = _sums(least)
@@ -135,9 +135,17 @@ def sketch(texts: DataFrame, most: int, least: int) -> np.ndarray:
         data = zstandard.ZstdCompressor(level=1).compress(np.minimum(total, np.iinfo(kind).max).astype(kind).tobytes())
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "data": pa.array([data], pa.binary())})
 
+    made = texts.mapInArrow(count, "chunk int, data binary").groupBy("chunk").applyInArrow(add, "chunk int, data binary")
+    return {r["chunk"]: bytes(r["data"]) for r in made.toLocalIterator()}  # a fixed number of chunks
+
+
+def _opened(packed: dict[int, bytes], kind: np.dtype) -> np.ndarray:
+    """The counters of a packed sketch."""
+    import zstandard
+
     out, unpack = np.zeros((ROWS * WIDTH // CHUNK, CHUNK), kind), zstandard.ZstdDecompressor()
-    for r in texts.mapInArrow(count, "chunk int, data binary").groupBy("chunk").applyInArrow(add, "chunk int, data binary").toLocalIterator():  # a fixed number of chunks
-        out[r["chunk"]] = np.frombuffer(unpack.decompress(bytes(r["data"])), kind)
+    for k, data in packed.items():
+        out[k] = np.frombuffer(unpack.decompress(data), kind)
     return out.ravel()
 
 
@@ -148,6 +156,7 @@ def frequent(texts: DataFrame, most: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
+        counters = _opened(sent.value, _sums(least))
 
         def hand_over() -> Iterator[pa.RecordBatch]:
             whole = pa.concat_tables(held).group_by(names[:2]).aggregate([("f", "sum")]).rename_columns(names)
@@ -162,7 +171,7 @@ def frequent(texts: DataFrame, most: int, least: int) -> DataFrame:
             for k, (begins, g) in enumerate(sizes):
                 keep = passed[begins] & (passed[begins + 1] if k else True)  # both of its parts of one word less
                 for x in _cells(g):
-                    keep[keep] = sent.value[x[keep]] >= least
+                    keep[keep] = counters[x[keep]] >= least
                 passed = np.zeros(len(at) + 1, bool)
                 begins = begins[keep]
                 passed[begins] = True
