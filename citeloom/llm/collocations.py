@@ -8,7 +8,7 @@ those below ``least`` go. A phrase's parts are at least as frequent as the phras
 the survivors. Scores compare the phrase with the parts of its weakest cut; a phrase that a longer
 candidate mostly accounts for is dropped.
 
-The sketch has a fixed size, which the driver gathers and sends out. Where a corpus overfills it,
+The sketch has a fixed size; which of its counters reach ``least`` is gathered by the driver and sent out, a bit for each. Where a corpus overfills it,
 more n-grams pass to the exact count, which stays right and gets more rows to shuffle.
 
 Defined results: null and empty texts have no words; a null language is ``und``; repeated rows count
@@ -106,8 +106,8 @@ def _put(sketch: np.ndarray, cells: np.ndarray) -> None:
     sketch[on] = np.minimum(sketch[on] + n, np.iinfo(sketch.dtype).max).astype(sketch.dtype)
 
 
-def sketch(texts: DataFrame, most: int, least: int) -> dict[int, bytes]:
-    """The merged sketch of n-grams of 1 to most words of texts (lang, text): its chunks, packed."""
+def sketch(texts: DataFrame, most: int, least: int) -> np.ndarray:
+    """Of the merged sketch of n-grams of 1 to most words of texts (lang, text), which counters reach least: a bit for each."""
     import zstandard
 
     kind = _sums(least)
@@ -132,20 +132,11 @@ def sketch(texts: DataFrame, most: int, least: int) -> dict[int, bytes]:
             for x in part.column("data"):
                 total += np.frombuffer(unpack.decompress(x.as_py()), kind)
             chunk = part.column("chunk")[0].as_py()
-        data = zstandard.ZstdCompressor(level=1).compress(np.minimum(total, np.iinfo(kind).max).astype(kind).tobytes())
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "data": pa.array([data], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "data": pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())})
 
-    made = texts.mapInArrow(count, "chunk int, data binary").groupBy("chunk").applyInArrow(add, "chunk int, data binary")
-    return {r["chunk"]: bytes(r["data"]) for r in made.toLocalIterator()}  # a fixed number of chunks
-
-
-def _opened(packed: dict[int, bytes], kind: np.dtype) -> np.ndarray:
-    """The counters of a packed sketch."""
-    import zstandard
-
-    out, unpack = np.zeros((ROWS * WIDTH // CHUNK, CHUNK), kind), zstandard.ZstdDecompressor()
-    for k, data in packed.items():
-        out[k] = np.frombuffer(unpack.decompress(data), kind)
+    out = np.zeros((ROWS * WIDTH // CHUNK, CHUNK // 8), np.uint8)
+    for r in texts.mapInArrow(count, "chunk int, data binary").groupBy("chunk").applyInArrow(add, "chunk int, data binary").toLocalIterator():  # a fixed number of chunks
+        out[r["chunk"]] = np.frombuffer(bytes(r["data"]), np.uint8)
     return out.ravel()
 
 
@@ -156,7 +147,7 @@ def frequent(texts: DataFrame, most: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        counters = _opened(sent.value, _sums(least))
+        reached = sent.value
 
         def hand_over() -> Iterator[pa.RecordBatch]:
             whole = pa.concat_tables(held).group_by(names[:2]).aggregate([("f", "sum")]).rename_columns(names)
@@ -171,7 +162,8 @@ def frequent(texts: DataFrame, most: int, least: int) -> DataFrame:
             for k, (begins, g) in enumerate(sizes):
                 keep = passed[begins] & (passed[begins + 1] if k else True)  # both of its parts of one word less
                 for x in _cells(g):
-                    keep[keep] = counters[x[keep]] >= least
+                    on = x[keep]
+                    keep[keep] = (reached[on >> 3] >> (on & 7).astype(np.uint8)) & 1 > 0
                 passed = np.zeros(len(at) + 1, bool)
                 begins = begins[keep]
                 passed[begins] = True
