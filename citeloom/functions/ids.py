@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,10 +41,47 @@ def safe_name(c: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9_\\s-]", ""), "[\\s-]+", "_"), 1, 50)
 
 
+#: Maps that are put in order at once.
+BATCH = 100
+
+
+def _ordered(gaps: bool):
+    @F.arrow_udf("string")
+    def run(maps: pa.Array) -> pa.Array:
+        out = [_joined(maps.slice(a, BATCH), gaps) for a in range(0, len(maps), BATCH)]
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+    return run
+
+
+def _joined(maps: pa.Array, gaps: bool) -> pa.Array:
+    """The words of each map by position, then by name; with gaps, each has as many spaces before it as there are places since the one before, else one."""
+    n = np.diff(maps.offsets.to_numpy())
+    lists, words = maps.items.slice(maps.offsets[0].as_py(), int(n.sum())), maps.keys.slice(maps.offsets[0].as_py(), int(n.sum()))
+    many = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.repeat(np.arange(len(maps)), n), many)
+    word, at = np.repeat(np.arange(len(words)), many), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((at, doc))
+    if (np.diff(at[order]) == 0)[np.diff(doc[order]) == 0].any():
+        rank = pc.rank(words, tiebreaker="dense").to_numpy()
+        order = np.lexsort((rank[word], at, doc))
+    doc, at = doc[order], at[order]
+    first = np.append(True, np.diff(doc) != 0) if len(doc) else np.zeros(0, bool)
+    gap = np.where(first, at, np.maximum(np.diff(at, prepend=0), 1)) if gaps else np.where(first, 0, 1)
+    told = pc.binary_join_element_wise(pc.binary_repeat(" ", pa.array(gap)), words.take(pa.array(word[order])), "")
+    size = np.bincount(doc, minlength=len(maps))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), told), "")
+    return pc.if_else(pa.array(size > 0), joined, pa.scalar(None, pa.string()))
+
+
+def gapped_text(index: Column) -> Column:
+    """The words of a map from word to positions, in order; a position without a word is an empty string. Null for no words."""
+    return _ordered(True)(index)
+
+
 def from_inverted_index(m: Column) -> Column:
-    """Words of a word-to-positions map in the order of their positions."""
-    pairs = F.flatten(F.transform(F.map_entries(m), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("pos"), e["key"].alias("w")))))
-    return F.nullif(F.trim(F.array_join(F.transform(F.array_sort(pairs), lambda s: s["w"]), " ")), F.lit(""))
+    """Words of a word-to-positions map in the order of their positions, with one space between."""
+    return F.nullif(F.trim(_ordered(False)(m)), F.lit(""))
 
 
 def presence(c: Column) -> Column:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from citeloom.functions import ids
+from citeloom.operators.batches import small
 
 
 def seed_file(spark: SparkSession, path: str) -> DataFrame:
@@ -70,9 +76,25 @@ def latex(text: str = "text"):
     return F.struct(inner("title").alias("title"), F.filter(names, lambda x: x != "").alias("authors"), F.nullif(F.trim(F.regexp_extract(c, "(?s)\\\\begin\\{abstract\\}(.*?)\\\\end\\{abstract\\}", 1)), F.lit("")).alias("abstract"), F.nullif(year, F.lit("")).cast("int").alias("year"))
 
 
-def gapped_text(index):
-    """The words of a map from word to positions, in order; a position without a word is an empty string."""
-    places = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    last = F.array_max(F.transform(places, lambda x: x["p"]))
-    at = F.map_from_entries(places)
-    return F.when(F.size(places) > 0, F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at(at, i), F.lit(""))), " "))
+def inverted_index(docs: DataFrame, key: str, text: str, gaps: bool) -> DataFrame:
+    """key and index (a map from word to positions) of each text that isn't null, row by row; gaps: empty words, between two spaces, have no entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, text):
+            lists = pc.split_pattern(batch.column(text), " ")
+            n = pc.list_value_length(lists).to_numpy()
+            of, at = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            words = pc.dictionary_encode(lists.flatten())
+            code = words.indices.to_numpy()
+            if gaps:
+                full = pc.not_equal(lists.flatten(), "").to_numpy(zero_copy_only=False)
+                of, at, code = of[full], at[full], code[full]
+            by = of * len(words.dictionary) + code
+            order = np.argsort(by, kind="stable")
+            new = np.flatnonzero(np.diff(by[order], prepend=-1))
+            places = pa.ListArray.from_arrays(pa.array(np.append(new, len(by)), pa.int32()), pa.array(at[order], pa.int32()))
+            held = np.append(0, np.cumsum(np.bincount(of[order][new], minlength=len(n))))
+            index = pa.MapArray.from_arrays(pa.array(held, pa.int32()), words.dictionary.take(pa.array(code[order][new])), places)
+            yield pa.RecordBatch.from_arrays([batch.column(key), index], names=[key, "index"])
+
+    return docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, index map<string, array<int>>")

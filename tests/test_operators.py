@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -14,6 +15,7 @@ from citeloom.functions import ids
 from citeloom.operators import catalog, graph, ingest, temporal, text
 from citeloom.operators import predicates as P
 from citeloom.plans import catalogue, more, tables  # noqa: F401  the others add their queries to catalogue's
+from citeloom.sources import works
 
 SF = "/root/testdata/sf0.001"
 
@@ -117,6 +119,21 @@ def test_staging_takes_the_first_of_a_doi(spark):
     assert {r["id"] for r in ingest.insert_staging(new.limit(0), new, "id").collect()} == {1, 3}
 
 
+def test_index_of_a_long_text_in_linear_time(spark):
+    """A text of very many words comes back from its index within seconds, with and without the spaces between words; odd texts, too."""
+    long = " ".join(f"w{i % 30011}" + " " * (i % 3) for i in range(120_000))
+    rows = [(1, long), (2, None), (3, ""), (4, "  a  b a "), (5, "   "), (6, "é\t é")]
+    docs = spark.createDataFrame(rows, "k int, t string")
+    for gaps in (True, False):
+        index = works.inverted_index(docs, "k", "t", gaps)
+        began = time.time()
+        got = dict(index.select("k", ids.gapped_text(F.col("index")).alias("t")).collect())
+        assert time.time() - began < 60
+        assert got == {k: (t.rstrip(" ") or None if gaps else t) for k, t in rows if t is not None}
+    assert dict(works.inverted_index(docs, "k", "t", True).select("k", ids.from_inverted_index(F.col("index"))).collect())[4] == "a b a"
+    assert index.where("k = 4").first()["index"] == {"": [0, 1, 3, 6], "a": [2, 5], "b": [4]}
+
+
 def test_dois_and_identifiers(spark):
     df = spark.createDataFrame([("https://doi.org/10.1/AB",), ("doi:doi:10.1/x",), (" ",), (None,)], "d string")
     assert [r[0] for r in df.select(ids.match_doi(F.col("d"))).collect()] == ["10.1/ab", "doi:10.1/x", None, None]
