@@ -17,10 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeloom.operators.batches import cuts, small
 from citeloom.operators.scratch import cut_lineage
 
 #: Trigrams of a profile; standard deviations below the mean that are still the language.
@@ -72,23 +74,39 @@ class Profiles:
         return total / np.maximum(n, 1)[:, None], n
 
 
+#: Counts of trigrams that a task keeps before it adds up those of the same trigram, and before it hands them on.
+HELD = 1 << 20
+
+
 def _counts(labelled: DataFrame) -> DataFrame:
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+        return grams, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pd.Series | None = None
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
 
-        def rows(s: pd.Series) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(s.index.get_level_values(0), pa.string()), pa.array(s.index.get_level_values(1), pa.int64()), pa.array(s.to_numpy(), pa.int64())], names=["lang", "gram", "n"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                grams, n = merged(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(n)], names=["lang", "gram", "n"])
 
-        for batch in batches:
+        for batch in small(batches, "letters"):
             g, of = _trigrams(batch.column("letters"))
-            lang = np.array(batch.column("lang").to_pylist(), object)[of]
-            own = pd.Series(1, index=pd.MultiIndex.from_arrays([lang, g])).groupby(level=[0, 1]).sum() if len(g) else None
-            held = own if held is None else held if own is None else held.add(own, fill_value=0)
-            if held is not None and len(held) > 1 << 20:
-                yield rows(held)
-                held = None
-        if held is not None:
-            yield rows(held)
+            langs = pc.dictionary_encode(batch.column("lang"))
+            code = langs.indices.to_numpy()[of]
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                grams, n = np.unique(g[code == k], return_counts=True)
+                held.setdefault(lang, []).append((grams, n))
+                size += len(grams)
+            if size > HELD:
+                held = {lang: [merged(parts)] for lang, parts in held.items()}
+                size = sum(len(p[0][0]) for p in held.values())
+                if size > HELD // 2:
+                    yield from rows()
+                    held, size = {}, 0
+        yield from rows()
 
     return labelled.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -123,7 +141,7 @@ def _scored(told: DataFrame, profiles: Profiles) -> DataFrame:
     sent = told.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, "letters"):
             if batch.num_rows:
                 means, n = sent.value.means(batch.column("letters"))
                 where = np.array([at[x] for x in batch.column("lang").to_pylist()])
@@ -136,15 +154,18 @@ def detect(text: Column, profiles: Profiles, docs: DataFrame) -> Column:
     """The language of a column of docs; '' for none."""
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
 
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        known = sent.value
-        if not known.langs or not len(texts):
-            return pd.Series([""] * len(texts), dtype=object)
-        means, n = known.means(pa.array(texts, pa.string()))
-        best = means.argmax(1)
-        sure = (n > 0) & (means[np.arange(len(n)), best] >= known.floor[best])
-        return pd.Series(np.where(sure, np.array(known.langs, object)[best], ""))
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        known, out = sent.value, []
+        for a, b in cuts(texts):  # what trigrams take follows the letters of a piece, not those of a batch
+            if not known.langs:
+                out += [""] * (b - a)
+                continue
+            means, n = known.means(texts.slice(a, b - a))
+            best = means.argmax(1)
+            sure = (n > 0) & (means[np.arange(len(n)), best] >= known.floor[best])
+            out += np.where(sure, np.array(known.langs, object)[best], "").tolist()
+        return pa.array(out, pa.string())
 
     return run(letters(text))
 
@@ -233,15 +254,27 @@ def _replaced(word: str, endings: list[tuple[str, str]]) -> str:
     return word
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
+#: Distinct words whose stems a task keeps.
+STEMS = 1 << 17
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stems(words: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The stem of each word; a task works out each distinct word once, of those it has met lately."""
-    known: dict[str, str] = {}
-    for batch in words:
-        if len(known) > 1 << 20:
-            known.clear()
-        for ws in batch:
-            for w in ws if ws is not None else ():
-                if w is not None and w not in known:
+    known: dict[str | None, str | None] = {None: None}
+    for lists in words:
+        pieces = []
+        for a, b in cuts(lists):
+            piece = lists.slice(a, b - a)
+            coded = pc.dictionary_encode(piece.flatten())
+            if len(known) > STEMS:
+                known = {None: None}
+            own = []
+            for w in coded.dictionary.to_pylist():
+                if w not in known:
                     known[w] = stem(w)
-        yield pd.Series([[known.get(w) for w in ws] if ws is not None else None for ws in batch])
+                own.append(known[w])
+            n = pc.list_value_length(piece)
+            ends = pa.array(np.append(0, np.cumsum(pc.fill_null(n, 0).to_numpy())), pa.int32())
+            pieces.append(pa.ListArray.from_arrays(ends, pa.array(own, pa.string()).take(coded.indices), mask=n.is_null()))
+        yield pa.concat_arrays(pieces) if pieces else lists

@@ -276,6 +276,35 @@ def test_languages(spark):
     assert [r[0] for r in odd.select(languages.detect(F.col("t"), nothing, odd)).collect()] == [""] * 6
 
 
+def test_memory_of_languages_and_stems_follows_pieces(spark, monkeypatch):
+    """However many texts a batch has, trigrams and words are held for a piece of it at a time."""
+    import pyarrow as pa
+
+    from citeloom.operators import batches
+
+    texts = pa.array(["a long text " * 40_000, None, "", *["short text"] * 1000] * 9)
+    lists = pa.array([["word"] * 60_000, None, [], ["a", None]] * 3, pa.list_(pa.string()))
+    for values in (texts, lists, texts.slice(5), lists.slice(1)):
+        found = list(batches.cuts(values, 1 << 17))
+        assert [a for a, _ in found] == [0, *[b for _, b in found[:-1]]] and found[-1][1] == len(values)
+        assert len(found) > 3
+    sizes = []
+    plain = languages._trigrams
+    monkeypatch.setattr(languages, "_trigrams", lambda t: (sizes.append(sum(len(x or "") for x in t.to_pylist())), plain(t))[1])
+    filled = pa.array([x or "" for x in texts.to_pylist()])
+    known = languages.Profiles(["xx"], np.zeros(0, np.int64), np.zeros((1, 1)), np.full(1, -np.inf))
+
+    class Sent:
+        value = known
+
+    docs = spark.createDataFrame([("x",)], "t string")
+    made = []
+    monkeypatch.setattr(languages.F, "arrow_udf", lambda kind: lambda f: (made.append(f), lambda c: c)[1])
+    languages.detect(F.col("t"), known, docs)
+    assert len(made[0](filled)) == len(filled)
+    assert len(sizes) > 3 and max(sizes) <= batches.BYTES
+
+
 #: Words and stems as published with the algorithm and its usual additions.
 STEMS = """caresses caress ponies poni ties tie caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky
 relational relat conditional condit rational ration valenci valenc hesitanci hesit digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl
