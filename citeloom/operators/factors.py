@@ -42,7 +42,7 @@ class Sparse:
         self.ways = {}
         for here in ("doc", "term"):
             hubs = cut_lineage(self.x.groupBy(here).count().where(F.col("count") * HUBS > self.entries).select(here), "hubs")
-            cold = tables.bucketed(self.x.join(F.broadcast(hubs), here, "left_anti"), here)
+            cold = tables.bucketed(self.x.join(F.broadcast(hubs), here, "left_anti"), here, dealt=False)
             self.ways[here] = cold, cut_lineage(self.x.join(F.broadcast(hubs), here), "hub-entries"), hubs
 
     def ids(self, side: str) -> DataFrame:
@@ -53,7 +53,7 @@ class Sparse:
         there = "term" if side == "doc" else "doc"
         cold, hot, hubs = self.ways[side]
         own = factor.select(F.col("id").alias(side), "v")
-        met = cold.join(own, side).unionByName(hot.join(F.broadcast(own.join(F.broadcast(hubs), side, "left_semi")), side))
+        met = cold.join(own.hint("shuffle_hash"), side).unionByName(hot.join(F.broadcast(own.join(F.broadcast(hubs), side, "left_semi")), side))
         part = met.select(F.col(there).alias("id"), *[(F.col("x") * F.col("v")[j]).alias(f"p{j}") for j in range(width)])
         return part.groupBy("id").agg(*[F.sum(f"p{j}").alias(f"s{j}") for j in range(width)]).select("id", F.array(*[f"s{j}" for j in range(width)]).alias("top"))
 

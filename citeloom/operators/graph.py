@@ -58,10 +58,9 @@ HUBS = 1000
 
 
 def _directed(edges: DataFrame) -> DataFrame:
-    """Distinct edges in both directions: what ``here`` has goes ``there``, along edges (back = false) or against them."""
-    e = edges.select("src", "dst").distinct()
+    """Edges in both directions: what ``here`` has goes ``there``, along edges (back = false) or against them."""
     ways = F.array(F.struct(F.col("src").alias("here"), F.col("dst").alias("there"), F.lit(False).alias("back")), F.struct(F.col("dst").alias("here"), F.col("src").alias("there"), F.lit(True).alias("back")))
-    return e.select(F.inline(ways))
+    return edges.select(F.inline(ways))
 
 
 def centralities(edges: DataFrame, max_iter: int = 1000, tol: float = 1e-6) -> DataFrame:
@@ -70,20 +69,24 @@ def centralities(edges: DataFrame, max_iter: int = 1000, tol: float = 1e-6) -> D
     Both vectors are of unit length and come from one power iteration, x + A'x from equal entries; a direction has
     settled when its entries moved by less than tol for each node, all told. It is null for all if it hasn't after max_iter rounds.
     Edges are laid out once, bucketed by the node they start from, and the vectors likewise, so that a round shuffles one
-    partial sum for each node and task only; the few nodes with very many edges are joined by broadcast. Norms and movements are
+    partial sum for each node and task only, and looks entries up in a bucket of the vectors, which are few beside its edges and don't make them be sorted; the few nodes with very many edges are joined by broadcast. Norms and movements are
     observed while a round is written, so that no job is run for them.
     """
     spark = edges.sparkSession
     with scratch.Tables(spark) as tables:
-        both = cut_lineage(_directed(edges), "edges")
+        plain = cut_lineage(edges.select("src", "dst").distinct(), "plain-edges")
+        # Rounds compare, hash and shuffle numbers, whatever the ids are.
+        named = cut_lineage(plain.select(F.explode(F.array("src", "dst")).alias("name")).distinct().withColumn("id", F.monotonically_increasing_id()), "nodes")
+        ends = [named.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id")) for c in ("src", "dst")]
+        both = cut_lineage(_directed(plain.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))), "edges")
         degree = both.groupBy("here").agg(F.count("*").alias("n"))
         hubs = cut_lineage(degree.join(degree.agg(F.sum("n").alias("all")), F.col("n") * HUBS > F.col("all")).select("here"), "hubs")  # one row on the right
-        cold = tables.bucketed(both.join(F.broadcast(hubs), "here", "left_anti"), "here")
+        cold = tables.bucketed(both.join(F.broadcast(hubs), "here", "left_anti"), "here", dealt=False)
         hot = cut_lineage(both.join(F.broadcast(hubs), "here"), "hub-edges")
-        nodes = both.select(F.col("here").alias("id")).distinct()
+        nodes = named.select("id")
         n = nodes.count()
         if not n:
-            return nodes.select("id", F.lit(None).cast("double").alias("centrality_in"), F.lit(None).cast("double").alias("centrality_out"))
+            return named.select(F.col("name").alias("id"), F.lit(None).cast("double").alias("centrality_in"), F.lit(None).cast("double").alias("centrality_out"))
         none = F.lit(None).cast("double")
         state = tables.bucketed(nodes.select("id", F.lit(1.0 / n).alias("i"), F.lit(1.0 / n).alias("o"), none.alias("was_i"), none.alias("was_o")), "id")
         norm, settled = {"i": 1.0, "o": 1.0}, {}
@@ -92,9 +95,9 @@ def centralities(edges: DataFrame, max_iter: int = 1000, tol: float = 1e-6) -> D
             x = state.select("id", *[(F.col(c) / norm[c]).alias(c) for c in "io"], "was_i", "was_o")
             seen = x.observe(moved, *[F.sum(F.abs(F.col(c) - F.col(f"was_{c}"))).alias(c) for c in "io"])
             sent = x.select(F.col("id").alias("here"), "i", "o")
-            gains = [links.select(F.col("there").alias("id"), F.when(~F.col("back"), F.col("i")).alias("i"), F.when(F.col("back"), F.col("o")).alias("o"), none.alias("was_i"), none.alias("was_o")) for links in (cold.join(sent, "here"), hot.join(F.broadcast(sent.join(F.broadcast(hubs), "here", "left_semi")), "here"))]
-            own = seen.select("id", "i", "o", F.col("i").alias("was_i"), F.col("o").alias("was_o"))
-            added = own.unionByName(gains[0]).unionByName(gains[1]).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("i", "o")], *[F.max(c).alias(c) for c in ("was_i", "was_o")])
+            gains = [links.select(F.col("there").alias("id"), F.when(~F.col("back"), F.col("i")).alias("gain_i"), F.when(F.col("back"), F.col("o")).alias("gain_o")) for links in (cold.join(sent.hint("shuffle_hash"), "here"), hot.join(F.broadcast(sent.join(F.broadcast(hubs), "here", "left_semi")), "here"))]
+            gained = gains[0].unionByName(gains[1]).groupBy("id").agg(*[F.sum(f"gain_{c}").alias(f"gain_{c}") for c in "io"])
+            added = seen.join(gained.hint("shuffle_hash"), "id", "left").select("id", *[(F.col(c) + F.coalesce(f"gain_{c}", F.lit(0.0))).alias(c) for c in "io"], *[F.col(c).alias(f"was_{c}") for c in "io"])
             after = tables.bucketed(added.observe(size, *[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(c) for c in "io"]), "id")
             for c in "io":
                 if c not in settled and k and moved.get[c] < n * tol:
@@ -102,10 +105,9 @@ def centralities(edges: DataFrame, max_iter: int = 1000, tol: float = 1e-6) -> D
             norm, state = {c: size.get[c] or 1.0 for c in "io"}, after
             if len(settled) == 2:
                 break
-        ids = cut_lineage(nodes, "ids")
     for c, name in (("i", "centrality_in"), ("o", "centrality_out")):
-        ids = ids.join(settled[c].withColumnRenamed(c, name), "id") if c in settled else ids.withColumn(name, F.lit(None).cast("double"))
-    return ids
+        named = named.join(settled[c].withColumnRenamed(c, name), "id") if c in settled else named.withColumn(name, F.lit(None).cast("double"))
+    return named.drop("id").withColumnRenamed("name", "id")
 
 
 def frontier(papers: DataFrame, forbidden: DataFrame) -> DataFrame:

@@ -262,6 +262,15 @@ def test_factors(spark, monkeypatch, k, hubs, observed):
     assert none[0].count() == none[1].count() == 0
 
 
+def test_bucketed_tables_have_a_file_for_each_bucket(spark):
+    """However many tasks write one: else a round opens tasks times buckets files, and the rounds look numbers up without sorting edges."""
+    from citeloom.operators import scratch
+
+    with scratch.Tables(spark) as made:
+        table = made.bucketed(spark.range(0, 1000, 1, 7).withColumn("here", F.col("id") % 50), "here", dealt=False)
+        assert len(table.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions")) and table.count() == 1000
+
+
 # --- languages, stems, names ---------------------------------------------------------------------
 
 
