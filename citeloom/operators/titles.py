@@ -10,7 +10,7 @@ A ratio of t or more bounds everything that is cheap to look at:
 Pairs of characters (single characters where the ratio is too low for that last bound) are the
 elements of a title. In one order of all elements, rare ones first, two titles that are alike share an
 element among the first few of each; there they meet, if lengths and places allow it. What is
-left is held against both bounds before the ratio itself is computed.
+left is held against both bounds, first by signatures of fixed size where they meet, before the ratio itself is computed.
 
 Each side's titles are joined once, however many rows have them. Titles meet by element and band of
 lengths, so one frequent element doesn't gather all rows; Spark splits what is still skewed.
@@ -25,7 +25,7 @@ import difflib
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +91,19 @@ def _hash(x: str) -> int:
     return zlib.crc32(x.encode()) & (COUNTERS - 1)
 
 
+#: Longs of a signature of a title's elements, and of its characters.
+LONGS = 4
+
+
+def _signature(elements: Iterable[str]) -> list[int]:
+    """A bit for each element. Bits that one title has and another lacks are no more than the elements that it has and the other lacks."""
+    bits = [0] * LONGS
+    for x in elements:
+        h = zlib.crc32(x.encode()) % (64 * LONGS)
+        bits[h >> 6] |= 1 << (h & 63)
+    return [b - (1 << 64) if b >> 63 else b for b in bits]
+
+
 def _frequencies(titles: DataFrame, q: int) -> np.ndarray:
     """How many titles have an element that falls to each counter."""
 
@@ -110,7 +123,8 @@ def _frequencies(titles: DataFrame, q: int) -> np.ndarray:
 
 
 def _prefixes(titles: DataFrame, order, t: float, q: int, bands: tuple[int, ...]) -> DataFrame:
-    """id, length, number of elements, and the first elements of each title with their places, in its band and those beside it that are asked for."""
+    """id, length, number of elements, and the first elements of each title with their places, in its band and those beside it that are asked for; signatures."""
+    signs = [f"s{k}" for k in range(2 * LONGS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, int] = {}
@@ -125,11 +139,12 @@ def _prefixes(titles: DataFrame, order, t: float, q: int, bands: tuple[int, ...]
                     continue  # too short to be alike to any but its equal
                 xs.sort(key=lambda x: (order.value[_hash(x)], x))
                 first = len(xs) - need + 1
-                rows += [(i, len(title), len(xs), p, x, band(len(title), t) + d) for p, x in enumerate(xs[:first]) for d in bands]
+                signed = (*_signature(xs), *_signature(_elements(title, 1)))
+                rows += [(i, len(title), len(xs), p, x, band(len(title), t) + d, *signed) for p, x in enumerate(xs[:first]) for d in bands]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["id", "len", "n", "pos", "element", "band"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["id", "len", "n", "pos", "element", "band", *signs])
 
-    return titles.mapInArrow(run, "id bigint, len bigint, n bigint, pos bigint, element string, band bigint")
+    return titles.mapInArrow(run, "id bigint, len bigint, n bigint, pos bigint, element string, band bigint, " + ", ".join(f"{c} bigint" for c in signs))
 
 
 def _verified(pairs: DataFrame, t: float, q: int) -> DataFrame:
@@ -162,11 +177,13 @@ def alike(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
         return equal
     order = spark.sparkContext.broadcast(_frequencies(one, q) + _frequencies(two, q))
     x = _prefixes(one, order, least, q, (0,))
-    y = _prefixes(two, order, least, q, (-1, 0, 1)).toDF("right", "m", "o", "at", "element", "band")
+    y = _prefixes(two, order, least, q, (-1, 0, 1)).toDF("right", "m", "o", "at", "element", "band", *[f"z{k}" for k in range(2 * LONGS)])
     both = F.col("len") + F.col("m")
     m = F.ceil(least * both / 2 - 1e-9)
     need = m if q == 1 else 3 * m - both - 1
     fits = (m <= F.least("len", "m")) & (1 + F.least(F.col("n") - F.col("pos") - 1, F.col("o") - F.col("at") - 1) >= need)
+    lacks = lambda a, b, first: sum((F.bit_count(F.col(f"{a}{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}{k}")))) for k in range(first, first + LONGS)), F.lit(0))
+    fits &= (lacks("s", "z", LONGS) <= F.col("len") - m) & (lacks("z", "s", LONGS) <= F.col("m") - m) & (lacks("s", "z", 0) <= F.col("n") - need) & (lacks("z", "s", 0) <= F.col("o") - need)
     met = x.join(y, ["element", "band"]).where(fits).select(F.col("id").alias("left"), "right").distinct()
     pairs = met.join(one.select(F.col("id").alias("left"), F.col("title").alias("a")), "left").join(two.select(F.col("id").alias("right"), F.col("title").alias("b")), "right").where("a <> b")
     found = _verified(pairs, least, q)

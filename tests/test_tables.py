@@ -271,6 +271,28 @@ def test_bucketed_tables_have_a_file_for_each_bucket(spark):
         assert len(table.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions")) and table.count() == 1000
 
 
+def test_few_titles_are_compared_that_are_not_alike(spark, monkeypatch):
+    """Titles of the same syllables share many pairs of letters; signatures, which never hide a pair that is alike, keep most of them apart."""
+    rng = random.Random(3)
+    syllables = ["th", "er", "on", "an", "re", "ing", "ed", "ha", "st", "en", "wh", "ou", "ti", "ea"]
+    made = [" ".join("".join(rng.choices(syllables, k=3)) for _ in range(8))[:60] for _ in range(300)]
+    a, b = made[:150], [*made[150:], *(t[:20] + t[21:] for t in made[:20])]
+    for x, y in itertools.product(made[:40], repeat=2):
+        for q in (1, 2):
+            one, two = titles._elements(x, q), titles._elements(y, q)
+            lacking = sum((s & ~z & (1 << 64) - 1).bit_count() for s, z in zip(titles._signature(one), titles._signature(two)))
+            assert lacking <= len(set(one) - set(two))
+    seen = []
+    plain = titles._verified
+    monkeypatch.setattr(titles, "_verified", lambda pairs, t, q: (seen.append(pairs.count()), plain(pairs, t, q))[1])
+    df = lambda ts: spark.createDataFrame([(t,) for t in ts], "title string")
+    found = lambda: sorted((r.a, r.b) for r in titles.alike(df(a), df(b)).collect())
+    signed = found()
+    monkeypatch.setattr(titles, "_signature", lambda xs: [0] * titles.LONGS)
+    assert found() == signed and {x for x, _ in signed} >= set(made[:20])
+    assert 2 * seen[0] < seen[1]
+
+
 # --- languages, stems, names ---------------------------------------------------------------------
 
 
