@@ -35,9 +35,9 @@ def lda(docs: DataFrame, k: int, rounds: int = 10, prior: float = 0.8, key: str
     mix = vector_to_array("topicDistribution")
     best = F.array_max(F.transform(mix, lambda v, i: F.struct(v.alias("v"), (-i).alias("i"))))
     found = model.transform(ready).select(key, (-best["i"]).alias("topic"), best["v"].alias("share"))
-    named = F.transform("termIndices", lambda i: F.get(F.lit(counted.vocabulary), i))  # the vocabulary has a fixed limit
-    tops = model.describeTopics(8).select("topic", F.posexplode(F.arrays_zip(named.alias("term"), F.col("termWeights").alias("weight"))).alias("place", "t"))
-    return found, tops.select("topic", (F.col("place") + 1).alias("place"), "t.term", "t.weight")
+    # Of the vocabulary only the few words that describe a topic go into a plan.
+    tops = [(r.topic, place, counted.vocabulary[i], w) for r in model.describeTopics(8).collect() for place, (i, w) in enumerate(zip(r.termIndices, r.termWeights), 1)]
+    return found, docs.sparkSession.createDataFrame(tops, "topic int, place int, term string, weight double")
 
 
 def topic_column(papers: DataFrame, assigned: DataFrame, key: str = "paperId") -> DataFrame:
