@@ -377,3 +377,9 @@ def test_nearest_names(spark):
     df = spark.createDataFrame([("nature physics",), ("physics nature",), ("natur physics",), ("",), (None,), ("zoology",)], "n string")
     assert [r[0] for r in df.select(names.nearest(F.col("n"), ["Nature", "Nature Physics"])).collect()] == ["Nature Physics"] * 3 + [None] * 3
     assert df.where(names.nearest(F.col("n"), []).isNotNull()).count() == 0
+
+
+def test_misspelt_venues_are_in_the_query_of_names(spark):
+    """T13 has the misspelt names of its first form beside the reordered and longer ones."""
+    got = {r.name: r.n for r in catalogue.QUERIES["T13"](spark, "/root/testdata/sf0.001").groupBy("name").agg(F.count("*").alias("n")).collect()}
+    assert set(got) == {"First Brand", "Steel Things Review", "Second Brandt", None}
