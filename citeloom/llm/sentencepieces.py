@@ -85,7 +85,7 @@ def _encoder(model: str, keep: list[str], spec: dict[str, str]) -> Callable:
         table = ChunkTable(model)
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         kinds = {"array<int>": pa.list_(pa.int32()), "bigint": pa.int64(), "string": pa.string()}
-        for batch in small_batches(batches, "__text"):
+        for batch in small_batches(batches, "__text", 1 << 20):
             out: dict[str, list] = {k: [] for k in spec}
             for ids, joined in table.encode([x or "" for x in batch.column("__text").to_pylist()]):
                 if "ids" in out:
