@@ -265,6 +265,17 @@ def test_licenses_against_all_blocks(spark, docs, odd):
     assert got == sorted(str((r.doc_id, *plain_licenses(r.text)[:6], round(plain_licenses(r.text)[6], 9))) for r in rows.collect())
 
 
+@pytest.mark.parametrize("size", [5, 149, 158])
+@pytest.mark.parametrize("naming", [[], ["w000"]])
+def test_licenses_that_just_reach_the_share(spark, size, naming):
+    """By the least number of words that reach it, of one word fewer, and by templates without naming phrases."""
+    words = [f"w{i:03d}" for i in range(size)]
+    need = math.ceil(licenses.THRESHOLD * size - 1e-9)
+    rows = spark.createDataFrame([(1, " ".join(words[:need])), (2, " ".join(words[: need - 1]))], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(rows, templates=[("own", naming, " ".join(words))]).collect()}
+    assert got == {1: ("own", need / size), 2: ("", 0.0)}
+
+
 def test_licenses_empty(none):
     assert licenses.scan(none).count() == 0
 
