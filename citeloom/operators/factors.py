@@ -1,7 +1,8 @@
 """Non-negative matrix factors of a sparse table of weights, by distributed products.
 
-The table (doc, term, x) is laid out twice, bucketed by doc and by term, so that a product with a factor
-shuffles partial sums only; entries of docs or terms with very many of them are joined by broadcast.
+The table (doc, term, x) is bucketed by doc. The factor of the commonest ``HELD`` terms is broadcast, so that docs get their
+sums without any shuffle; entries of rarer terms, which are few, are bucketed by term and shuffle a partial sum each. A product the other way
+shuffles a partial sum for each term and task. Entries of docs with very many of them lie apart and are joined by broadcast.
 A factor has one row of k numbers for each doc or term. The start comes from the largest singular vectors
 (found by subspace iteration; only small square matrices reach the driver), split into
 their positive and negative parts. Every round then takes each row of one factor through coordinate descent against
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from citeloom.operators import scratch
 from citeloom.operators.scratch import cut_lineage
 
-#: Docs or terms with a larger share of all entries than one in so many are joined by broadcast.
+#: Docs with a larger share of all entries than one in so many are joined by broadcast.
 HUBS = 1000
+#: Terms whose rows of a factor are broadcast, the commonest: some 20 MB at 30 numbers each.
+HELD = 1 << 16
 #: Subspace iterations, and vectors beyond k that these carry along.
 POWERS, MORE = 5, 10
 #: Widths of factors whose products are observed.
@@ -35,27 +38,50 @@ class Sparse:
     """A long table of entries that is multiplied by factors from either side."""
 
     def __init__(self, tables: scratch.Tables, x: DataFrame):
-        self.tables = tables
-        self.x = cut_lineage(x.groupBy("doc", "term").agg(F.sum("x").alias("x")).where("x <> 0"), "entries")
-        every = self.x.agg(F.count("*").alias("n"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("sum"), F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0)).alias("squares")).first()
-        self.entries, self.sum, self.squares = every.n, every["sum"], every.squares
-        self.ways = {}
-        for here in ("doc", "term"):
-            hubs = cut_lineage(self.x.groupBy(here).count().where(F.col("count") * HUBS > self.entries).select(here), "hubs")
-            cold = tables.bucketed(self.x.join(F.broadcast(hubs), here, "left_anti"), here, dealt=False)
-            self.ways[here] = cold, cut_lineage(self.x.join(F.broadcast(hubs), here), "hub-entries"), hubs
+        self.tables, spark = tables, x.sparkSession
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # Dealt by doc before entries are added up, so that they move once, or not at all where they lie so already.
+        every = tables.bucketed(x.repartition(buckets, "doc").groupBy("doc", "term").agg(F.sum("x").alias("x")).where("x <> 0"), "doc")
+        told = every.agg(F.count("*").alias("n"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("sum"), F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0)).alias("squares")).first()
+        self.entries, self.sum, self.squares = told.n, told["sum"], told.squares
+        self.tasks = min(buckets, 2 * spark.sparkContext.defaultParallelism)
+        self.hubs = cut_lineage(every.groupBy("doc").count().where(F.col("count") * HUBS > self.entries).select("doc"), "hubs")
+        self.hot = None if self.hubs.isEmpty() else cut_lineage(every.join(F.broadcast(self.hubs), "doc"), "hub-entries")
+        self.x = every if self.hot is None else tables.bucketed(every.join(F.broadcast(self.hubs), "doc", "left_anti"), "doc")
+        self.terms = cut_lineage(every.groupBy("term").count(), "terms")
+        self.common = self.rare = None
+        if self.terms.count() > HELD:
+            self.common = cut_lineage(self.terms.orderBy(F.desc("count"), "term").limit(HELD).select("term"), "common")
+            self.rare = tables.bucketed(every.join(F.broadcast(self.common), "term", "left_anti"), "term", dealt=False)
 
     def ids(self, side: str) -> DataFrame:
-        return self.x.select(F.col(side).alias("id")).distinct()
+        if side == "term":
+            return self.terms.select(F.col("term").alias("id"))
+        own = self.x.select(F.col("doc").alias("id"))
+        return (own if self.hot is None else own.unionByName(self.hot.select(F.col("doc").alias("id")))).distinct()
 
     def times(self, factor: DataFrame, side: str, width: int) -> DataFrame:
         """id of the other side and top: the sums of entries by the factor (id of side, v)."""
         there = "term" if side == "doc" else "doc"
-        cold, hot, hubs = self.ways[side]
         own = factor.select(F.col("id").alias(side), "v")
-        met = cold.join(own.hint("shuffle_hash"), side).unionByName(hot.join(F.broadcast(own.join(F.broadcast(hubs), side, "left_semi")), side))
-        part = met.select(F.col(there).alias("id"), *[(F.col("x") * F.col("v")[j]).alias(f"p{j}") for j in range(width)])
-        return part.groupBy("id").agg(*[F.sum(f"p{j}").alias(f"s{j}") for j in range(width)]).select("id", F.array(*[f"s{j}" for j in range(width)]).alias("top"))
+        parts = lambda met: met.select(F.col(there).alias("id"), *[(F.col("x") * F.col("v")[j]).alias(f"p{j}") for j in range(width)])
+        added = lambda part: part.groupBy("id").agg(*[F.sum(f"p{j}").alias(f"s{j}") for j in range(width)])
+        if side == "doc":
+            # A task sends a row for each term, so few tasks take all docs.
+            part = parts(self.x.join(own.hint("shuffle_hash"), "doc")).coalesce(self.tasks)
+            if self.hot is not None:
+                part = part.unionByName(parts(self.hot.join(F.broadcast(own.join(F.broadcast(self.hubs), "doc", "left_semi")), "doc")))
+            out = added(part)
+        else:
+            sent = F.broadcast(own if self.common is None else own.join(F.broadcast(self.common), "term", "left_semi"))
+            out = added(parts(self.x.join(sent, "term")))
+            rest = [parts(self.hot.join(sent, "term"))] if self.hot is not None else []
+            rest += [parts(self.rare.join(own.hint("shuffle_hash"), "term"))] if self.rare is not None else []
+            if rest:
+                more = added(rest[0] if len(rest) == 1 else rest[0].unionByName(rest[1]))
+                both = out.join(more.withColumnsRenamed({f"s{j}": f"m{j}" for j in range(width)}).hint("shuffle_hash"), "id", "full")
+                out = both.select("id", *[(F.coalesce(f"s{j}", F.lit(0.0)) + F.coalesce(f"m{j}", F.lit(0.0))).alias(f"s{j}") for j in range(width)])
+        return out.select("id", F.array(*[f"s{j}" for j in range(width)]).alias("top"))
 
 
 def _rows(column: pa.Array, n: int) -> np.ndarray:

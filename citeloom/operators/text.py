@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.operators.names import nearest
+from citeloom.operators.scratch import cut_lineage
 
 # Patterns in the order in which they apply.
 CLEAN = ["<jats:[^>]+>", "(?U)[^\\w\\s]"]
@@ -49,10 +50,14 @@ def terms(df: DataFrame, text: str, key: str, stop: list[str] = (), ngrams: int
     return df.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
+#: Terms up to so many have their frequencies broadcast.
+HELD = 1 << 16
+
+
 def tf_idf(counts: DataFrame, key: str, documents: int) -> DataFrame:
     """Smoothed IDF (ln((1+n)/(1+df))+1), rows of unit length."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    w = counts.join(df, "term").withColumn("w", F.col("n") * (F.log((1.0 + documents) / (1 + F.col("df"))) + 1))
+    df = cut_lineage(counts.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    w = counts.join(F.broadcast(df) if df.count() <= HELD else df, "term").withColumn("w", F.col("n") * (F.log((1.0 + documents) / (1 + F.col("df"))) + 1))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 

@@ -262,6 +262,39 @@ def test_factors(spark, monkeypatch, k, hubs, observed):
     assert none[0].count() == none[1].count() == 0
 
 
+def test_products_of_factors_for_docs_shuffle_nothing(spark, monkeypatch):
+    """Partial sums for each doc and bucket of terms would be nearly as many as the entries."""
+    from citeloom.operators import scratch
+
+    monkeypatch.setattr(factors, "HUBS", 1)
+    df = spark.createDataFrame([(f"d{i}", f"t{i * j % 17}", float(i + j)) for i in range(1, 30) for j in range(1, 9)], "doc string, term string, x double")
+    with scratch.Tables(spark) as made:
+        x = factors.Sparse(made, df)
+        plan = x.times(x.ids("term").select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v")), "term", 2)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "Broadcast" in plan
+
+
+@pytest.mark.parametrize("hubs, held", [(1, 100), (1, 5), (60, 5), (60, 100), (1000, 5)])
+def test_products_of_factors(spark, monkeypatch, hubs, held):
+    """Both ways, with docs of very many entries and terms too rare to be broadcast, and with keys that come twice."""
+    from citeloom.operators import scratch
+
+    monkeypatch.setattr(factors, "HUBS", hubs)
+    monkeypatch.setattr(factors, "HELD", held, raising=False)
+    rows = [(f"d{i}", f"t{i * j % 17}", float(i + j)) for i in range(1, 30) for j in range(1, 3 + i)] + [("alone", "t18", 2.0), ("alone", "t19", 3.0), ("none", "t1", 1.0), ("none", "t1", -1.0)]
+    with scratch.Tables(spark) as made:
+        x = factors.Sparse(made, spark.createDataFrame(rows, "doc string, term string, x double"))
+        for side, own, there in (("term", 1, 0), ("doc", 0, 1)):
+            factor = x.ids(side).select("id", F.array(F.length("id").cast("double"), F.ascii(F.reverse("id")).cast("double")).alias("v"))
+            want = {}
+            for r in rows:
+                v = np.array([len(r[own]), ord(r[own][-1])], float) * r[2]
+                want[r[there]] = want.get(r[there], 0) + v
+            want = {k: v for k, v in want.items() if k != "none"}
+            got = {r.id: np.array(r.top) for r in x.times(factor, side, 2).collect()}
+            assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
 def test_bucketed_tables_have_a_file_for_each_bucket(spark):
     """However many tasks write one: else a round opens tasks times buckets files, and the rounds look numbers up without sorting edges."""
     from citeloom.operators import scratch
