@@ -2,7 +2,7 @@
 
 ``register(spark)`` adds the format ``papers_folder``. Reading gives one row for each file: its path
 below the folder and its bytes; files that can't be read are left out. Tasks get files
-until these have ``bytes`` together. Writing takes rows (path, content): every file is written
+until these have ``bytes`` together, or are ``files`` (4,096) in number. Writing takes rows (path, content): every file is written
 under another name and renamed when it is whole, so a task that is run again leaves no halves.
 
 Notes are Markdown files with fields in front, between lines of three dashes, in the part of YAML that such
@@ -40,7 +40,7 @@ class Part(InputPartition):
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder, self.suffix, self.bytes = options["path"], options.get("suffix", ""), int(options.get("bytes", 64 << 20))
+        self.folder, self.suffix, self.bytes, self.files = options["path"], options.get("suffix", ""), int(options.get("bytes", 64 << 20)), int(options.get("files", 4096))
 
     def partitions(self) -> list[Part]:
         from pyarrow import fs
@@ -49,7 +49,7 @@ class Reader(DataSourceReader):
         found = files.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         parts, size = [Part([])], 0
         for f in sorted((f for f in found if f.is_file and f.base_name[0] not in "._" and f.path.endswith(self.suffix)), key=lambda f: f.path):
-            if size and size + f.size > self.bytes:
+            if size and size + f.size > self.bytes or len(parts[-1].names) == self.files:
                 parts.append(Part([]))
                 size = 0
             parts[-1].names.append(f.path)
@@ -73,10 +73,13 @@ class Writer(DataSourceWriter):
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         files, root = _filesystem(self.folder)
+        made = set()
         for path, content in rows:
             target = f"{root}/{path}"
             parent, _, name = target.rpartition("/")
-            files.create_dir(parent, recursive=True)
+            if parent not in made:
+                files.create_dir(parent, recursive=True)
+                made = {parent, *(made if len(made) < 1000 else ())}
             fresh = f"{parent}/.{name}.{uuid.uuid4().hex}"
             with files.open_output_stream(fresh) as f:
                 f.write(bytes(content))
@@ -109,9 +112,11 @@ def read(spark: SparkSession, folder: str, **options) -> DataFrame:
     return spark.read.format("papers_folder").options(**options).load(folder)
 
 
-def write(files: DataFrame, folder: str) -> None:
-    """Rows (path, content) as files; those that are there already are replaced."""
+def write(files: DataFrame, folder: str, dealt: bool = True) -> None:
+    """Rows (path, content) as files; those that are there already are replaced. A file costs much the same however small it is, so
+    rows are dealt to as many tasks as shuffles have partitions, which by their bytes may be one; dealt: they lie so already."""
     register(files.sparkSession)
+    files = files if dealt else files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     files.select("path", F.col("content").cast("binary")).write.format("papers_folder").mode("append").save(folder)
 
 

@@ -262,6 +262,20 @@ def test_factors(spark, monkeypatch, k, hubs, observed):
     assert none[0].count() == none[1].count() == 0
 
 
+def test_small_files_are_dealt_to_many_tasks(spark, tmp_path):
+    """Rows that lie in one partition are written by several tasks, and many small files are read by several."""
+    rows = spark.range(0, 400, 1, 1).select(F.concat((F.col("id") % 3).cast("string"), F.lit("/n"), F.col("id").cast("string")).alias("path"), F.col("id").cast("string").cast("binary").alias("content"))
+    told = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("files", "files")
+    folder.write(rows, str(tmp_path), dealt=False)
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("files") for s in told.getJobInfo(j).stageIds]
+    spark.sparkContext.setJobGroup("", "")
+    assert any(s and s.numTasks == int(spark.conf.get("spark.sql.shuffle.partitions")) for s in stages)
+    back = folder.read(spark, str(tmp_path), files=100)
+    assert back.rdd.getNumPartitions() == 4
+    assert {r.path: bytes(r.content) for r in back.collect()} == {f"{i % 3}/n{i}": str(i).encode() for i in range(400)}
+
+
 def test_products_of_factors_for_docs_shuffle_nothing(spark, monkeypatch):
     """Partial sums for each doc and bucket of terms would be nearly as many as the entries."""
     from citeloom.operators import scratch
