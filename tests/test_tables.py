@@ -7,10 +7,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.operators import factors, graph, languages, names, titles
+from citeloom.operators import batches, factors, graph, languages, names, titles
 from citeloom.operators.corpus import Corpus
 from citeloom.plans import catalogue, tables
 from citeloom.sources import folder, papers
@@ -262,6 +263,16 @@ def test_factors(spark, monkeypatch, k, hubs, observed):
     assert none[0].count() == none[1].count() == 0
 
 
+def test_packages_are_made_in_pieces(monkeypatch):
+    """A batch's strings are not all objects of Python at once; rows, null ones too, keep their packages."""
+    rows = [["a", None, "b" * 5000], None, [], ["c" * 3000], ["d"], ["e"]]
+    seen = []
+    monkeypatch.setattr(papers, "cuts", lambda values: (seen.append(x) or x for x in batches.cuts(values, 2000)), raising=False)
+    got = papers.packed.func(pa.array(rows, pa.list_(pa.string()))).to_pylist()
+    assert got == [papers.pack_docx([y or "" for y in x]) if x is not None else None for x in rows]
+    assert len(seen) > 2 and papers.packed.func(pa.array([], pa.list_(pa.string()))).to_pylist() == []
+
+
 def test_small_files_are_dealt_to_many_tasks(spark, tmp_path):
     """Rows that lie in one partition are written by several tasks, and many small files are read by several."""
     rows = spark.range(0, 400, 1, 1).select(F.concat((F.col("id") % 3).cast("string"), F.lit("/n"), F.col("id").cast("string")).alias("path"), F.col("id").cast("string").cast("binary").alias("content"))
