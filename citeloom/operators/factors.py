@@ -107,31 +107,31 @@ def _turned(df: DataFrame, matrix: np.ndarray, column: str) -> DataFrame:
     return df.select("id", column).mapInArrow(run, f"id {_id(df)}, v array<double>")
 
 
-def _kept(tables: scratch.Tables, factor: DataFrame, width: int) -> tuple[DataFrame, np.ndarray, float]:
-    """The factor as a table, the products of its columns, and the sum of what its rows moved. A few products are observed while it is written;
+def _kept(tables: scratch.Tables, factor: DataFrame, width: int) -> tuple[DataFrame, np.ndarray, dict[str, float]]:
+    """The factor as a table, the products of its columns, and the sums of what else its rows have. A few products are observed while it is written;
     many would make a wide plan, so they are made in a pass of their own, and width x width numbers of each task are added up."""
-    moves = "moved" in factor.columns
+    more = [c for c in factor.columns if c not in ("id", "v")]
     if width <= OBSERVED:
         seen = Observation()
         sums = [F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"g{i}_{j}") for i in range(width) for j in range(i, width)]
-        out = tables.bucketed(factor.observe(seen, *sums, (F.sum("moved") if moves else F.lit(0.0)).alias("moved")), "id")
+        out = tables.bucketed(factor.observe(seen, *sums, *[F.sum(c).alias(c) for c in more]), "id")
         gram = np.array([[seen.get[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(width)] for i in range(width)])
-        return out.select("id", "v"), gram, float(seen.get["moved"] or 0.0)
+        return out.select("id", "v"), gram, {c: float(seen.get[c] or 0.0) for c in more}
     out = tables.bucketed(factor, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, moved = np.zeros((width, width)), 0.0
+        total, sums = np.zeros((width, width)), np.zeros(len(more))
         for batch in batches:
             if batch.num_rows:
                 v = _rows(batch.column("v"), batch.num_rows)
                 total += v.T @ v
-                moved += np.sum(batch.column("moved").to_numpy()) if moves else 0.0
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width + 1)), pa.array(np.append(total.ravel(), moved))], names=["at", "x"])
+                sums += [np.sum(batch.column(c).to_numpy()) for c in more]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width + len(more))), pa.array(np.append(total.ravel(), sums))], names=["at", "x"])
 
-    found = np.zeros(width * width + 1)
+    found = np.zeros(width * width + len(more))
     for r in out.mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
         found[r["at"]] = r.x
-    return out.select("id", "v"), found[:-1].reshape(width, width), float(found[-1])
+    return out.select("id", "v"), found[: width * width].reshape(width, width), dict(zip(more, found[width * width :].tolist()))
 
 
 def _whitened(gram: np.ndarray) -> np.ndarray:
@@ -192,7 +192,7 @@ def _hashed_start(x: Sparse, k: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _descended(x: Sparse, own: DataFrame, other: DataFrame, gram: np.ndarray, side: str, k: int) -> DataFrame:
-    """id, v and moved: each row of a factor after one turn of coordinate descent, and the sum of its projected gradients."""
+    """id, v, moved and met: each row of a factor after one turn of coordinate descent, the sum of its projected gradients, and its product with the sums of entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,10 +205,11 @@ def _descended(x: Sparse, own: DataFrame, other: DataFrame, gram: np.ndarray, si
                 moved += np.abs(np.where(w[:, t] == 0, np.minimum(slope, 0), slope))
                 if gram[t, t] != 0:
                     w[:, t] = np.maximum(w[:, t] - slope / gram[t, t], 0)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(w), pa.array(moved)], names=["id", "v", "moved"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(w), pa.array(moved), pa.array((w * top).sum(1))], names=["id", "v", "moved", "met"])
 
-    met = own.join(x.times(other, "term" if side == "doc" else "doc", k), "id").select("id", "v", "top")
-    return met.mapInArrow(run, f"id {_id(own)}, v array<double>, moved double")
+    # Both sides lie by id already; ids look small enough to be broadcast when they aren't.
+    rows = own.hint("merge").join(x.times(other, "term" if side == "doc" else "doc", k), "id").select("id", "v", "top")
+    return rows.mapInArrow(run, f"id {_id(own)}, v array<double>, moved double, met double")
 
 
 def nmf(weights: DataFrame, k: int, *, rounds: int = 1000, tol: float = 1e-4, start: str = "svd", key: str = "doc", term: str = "term", weight: str = "weight") -> tuple[DataFrame, DataFrame, dict]:
@@ -218,19 +219,19 @@ def nmf(weights: DataFrame, k: int, *, rounds: int = 1000, tol: float = 1e-4, st
     with scratch.Tables(spark) as tables:
         x = Sparse(tables, entries)
         w, h = _split_start(x, k) if start == "svd" else _hashed_start(x, k)
-        w, (h, gram, _) = tables.bucketed(w, "id"), _kept(tables, h, k)
+        h, gram, _ = _kept(tables, h, k)  # w's start is read once, by the first turn
         first, done, settled = None, 0, False
         for done in range(1, rounds + 1):
             w, gram_w, one = _kept(tables, _descended(x, w, h, gram, "doc", k), k)
             h, gram, two = _kept(tables, _descended(x, h, w, gram_w, "term", k), k)
-            moved = one + two
+            moved = one["moved"] + two["moved"]
             first = moved if first is None else first
             if first == 0 or moved / first <= tol:
                 settled = True
                 break
-        top = x.times(w, "doc", k).join(h, "id").agg(F.sum(F.aggregate(F.zip_with("top", "v", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)).alias("s")).first().s or 0.0
-        error = float(np.sqrt(max(0.0, x.squares - 2 * top + float((gram_w * gram).sum())))) if x.entries else 0.0
-        w, h = cut_lineage(w.select(F.col("id").alias("doc"), F.col("v").alias("w")), "docs"), cut_lineage(h.select(F.col("id").alias("term"), F.col("v").alias("h")), "terms")
+        # The last turn of h met the sums of entries by the last w.
+        error = float(np.sqrt(max(0.0, x.squares - 2 * two["met"] + float((gram_w * gram).sum())))) if x.entries else 0.0
+        w, h = (tables.kept(f).select(F.col("id").alias(a), F.col("v").alias(b)) for f, a, b in ((w, "doc", "w"), (h, "term", "h")))
     return w, h, {"rounds": done, "error": error, "settled": settled}
 
 

@@ -74,13 +74,16 @@ def truthy(column: str, kind: str) -> Column:
 def overview(papers: DataFrame, graph: DataFrame, topic: str = "topic_id", flags: tuple[str, ...] = ("retracted", "isRetracted", "is_retracted")) -> DataFrame:
     """One row: nodes and edges of the graph, its papers and authors, and the papers, topics and retracted papers of a catalog (the
     first column of flags that is there)."""
-    ends = F.array(F.struct(F.col("src").alias("id"), F.when(F.col("etype") == "cites", "paper").otherwise(F.col("etype")).alias("ntype")), F.struct(F.col("dst").alias("id"), F.lit("paper").alias("ntype")))
-    nodes = graph.select(F.inline(ends)).distinct().agg(F.countDistinct("id").alias("total_nodes"), F.count_if(F.col("ntype") == "paper").alias("paper_nodes"), F.count_if(F.col("ntype") == "author").alias("author_nodes"))
+    kind = lambda k: F.coalesce(F.col("etype") == k, F.lit(False))
+    ends = F.array(F.struct(F.col("src").alias("id"), kind("cites").alias("paper"), kind("author").alias("author"), F.lit(1).alias("edges")), F.struct(F.col("dst").alias("id"), F.lit(True).alias("paper"), F.lit(False).alias("author"), F.lit(0).alias("edges")))
+    # One pass over the graph: an edge is counted at its start.
+    nodes = graph.select(F.inline(ends)).groupBy("id").agg(F.bool_or("paper").alias("paper"), F.bool_or("author").alias("author"), F.sum("edges").alias("edges"))
+    counts = nodes.agg(F.count("id").alias("total_nodes"), F.count_if("paper").alias("paper_nodes"), F.count_if("author").alias("author_nodes"), F.coalesce(F.sum("edges"), F.lit(0)).cast("bigint").alias("total_edges"))
     flag = next((c for c in flags if c in papers.columns), None)
     retracted = F.sum(truthy(flag, dict(papers.dtypes)[flag])) if flag else F.lit(0)
     topics = F.countDistinct(F.when(F.col(topic) >= 0, F.col(topic))) if topic in papers.columns else F.lit(0)
     own = papers.agg(F.count("*").alias("total_papers"), topics.cast("bigint").alias("total_topics"), F.coalesce(retracted, F.lit(0)).cast("bigint").alias("retracted_papers"))
-    return nodes.crossJoin(graph.agg(F.count("*").alias("total_edges"))).crossJoin(own)  # one row each
+    return counts.crossJoin(own)  # one row each
 
 
 def progress(papers: DataFrame, fresh: DataFrame, citations: DataFrame, references: DataFrame, path: str) -> DataFrame:

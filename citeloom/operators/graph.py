@@ -10,17 +10,24 @@ from citeloom.operators.predicates import meaningful_venue
 from citeloom.operators.scratch import cut_lineage
 
 
-def build(papers: DataFrame, references: DataFrame, citations_in: DataFrame, paper_author: DataFrame, ignored_venues: list[str] | None = None) -> DataFrame:
-    """Distinct edges (src, dst, etype): author to paper, venue to paper, cited to citing."""
+#: Kinds of edges; an edge of several kinds is of the first.
+KINDS = ("author", "cites", "venue")
+
+
+def build(papers: DataFrame, references: DataFrame, citations_in: DataFrame | None, paper_author: DataFrame, ignored_venues: list[str] | None = None) -> DataFrame:
+    """Distinct edges (src, dst, etype): author to paper, venue to paper, cited to citing. Rows may repeat; references may hold reversed citations, too."""
     def edge(df: DataFrame, a: str, b: str, kind: str) -> DataFrame:
-        return df.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(kind).alias("etype"))
+        return df.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(KINDS.index(kind)).alias("kind"))
 
     venues = papers.where(F.coalesce(F.col("venue") != "", F.lit(False)) & ~F.col("venue").isin(ignored_venues or [""]))
-    parts = [edge(paper_author, "authorId", "paperId", "author"), edge(venues, "venue", "paperId", "venue"), edge(citations_in, "paperId", "citingPaperId", "cites"), edge(references, "referencePaperId", "paperId", "cites")]
+    parts = [edge(paper_author, "authorId", "paperId", "author"), edge(venues, "venue", "paperId", "venue"), edge(references, "referencePaperId", "paperId", "cites")]
+    if citations_in is not None:
+        parts.append(edge(citations_in, "paperId", "citingPaperId", "cites"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("src", "dst").agg(F.min("etype").alias("etype"))
+    # The least number, as the least word would make edges be sorted.
+    return out.groupBy("src", "dst").agg(F.min("kind").alias("kind")).select("src", "dst", F.array(*[F.lit(k) for k in KINDS])[F.col("kind")].alias("etype"))
 
 
 def size(edges: DataFrame) -> DataFrame:

@@ -41,7 +41,9 @@ def valid(c: Column, least: int = 120, word: str = "none") -> Column:
 
 def terms(df: DataFrame, text: str, key: str, stop: list[str] = (), ngrams: int = 1) -> DataFrame:
     """(key, term, n): counts of words of two characters or more, and of pairs of them."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("(?U)\\b\\w\\w+\\b"), F.lit(0)), lambda w: ~w.isin(list(stop)) if stop else F.lit(True))
+    words = F.regexp_extract_all(F.lower(text), F.lit("(?U)\\b\\w\\w+\\b"), F.lit(0))
+    if stop:
+        words = F.filter(words, lambda w: ~w.isin(list(stop)))
     df = df.select(key, words.alias("w"))
     grams = F.col("w")
     if ngrams > 1:
@@ -58,7 +60,8 @@ def tf_idf(counts: DataFrame, key: str, documents: int) -> DataFrame:
     """Smoothed IDF (ln((1+n)/(1+df))+1), rows of unit length."""
     df = cut_lineage(counts.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
     w = counts.join(F.broadcast(df) if df.count() <= HELD else df, "term").withColumn("w", F.col("n") * (F.log((1.0 + documents) / (1 + F.col("df"))) + 1))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    # One number for each row of terms: looked up, so that terms aren't sorted.
+    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).hint("shuffle_hash")
     return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 

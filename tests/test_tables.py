@@ -3,6 +3,7 @@
 import difflib
 import itertools
 import json
+import os
 import random
 from collections import Counter
 
@@ -320,6 +321,68 @@ def test_products_of_factors(spark, monkeypatch, hubs, held):
             assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
 
 
+def test_a_turn_broadcasts_no_docs(spark, monkeypatch):
+    """A factor has a row for each doc: it is neither broadcast nor shuffled, from its start on."""
+    from citeloom.operators import scratch
+
+    monkeypatch.setattr(factors, "HUBS", 1)
+    df = spark.createDataFrame([(f"d{i}", f"t{i * j % 17}", float(i + j)) for i in range(1, 30) for j in range(1, 9)], "doc string, term string, x double")
+    with scratch.Tables(spark) as made:
+        x = factors.Sparse(made, df)
+        w, h = factors._hashed_start(x, 2)
+        plan = factors._descended(x, w, h, np.eye(2), "doc", 2)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" in plan and "Exchange hashpartitioning(doc" not in plan
+
+
+def test_kept_tables_stay(spark):
+    from citeloom.operators import scratch
+
+    rows = spark.range(100).withColumn("v", F.col("id") * 2)
+    with scratch.Tables(spark) as made:
+        kept, gone = made.kept(made.bucketed(rows, "id").select("v")), made.bucketed(rows, "id")
+        folder_, name = gone.inputFiles()[0].rpartition("/")[0], made.made[0][0]
+        assert len(made.made) == 1 and made.kept(rows.where("false")).count() == 0
+    assert sorted(r.v for r in kept.collect()) == list(range(0, 200, 2))
+    assert not os.path.exists(folder_.removeprefix("file:")) and not spark.catalog.tableExists(name)
+
+
+# --- the graph and its overview ------------------------------------------------------------------
+
+
+def test_graph_is_hashed_and_joins_lines_once(spark, corpus, tmp_path):
+    """Edges are made distinct once, by hashes; neighbouring lines are joined once for both directions."""
+    made = catalogue._graph(corpus)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("l_linenumber:") == 2 and plan.count("HashAggregate") == 2
+    # Lines that come twice, orders of negative and null numbers, a line without a part.
+    lines = [(1, 1, 1), (1, 2, 2), (1, 2, 2), (1, 3, 1), (2, 1, 2), (2, 2, 2), (2, 3, 3), (-3, 1, 1), (-3, 2, 3), (-4, 1, 3), (-4, 2, 1), (None, 1, 1), (None, 2, 2), (5, 1, None), (5, 2, 1), (5, 4, 2)]
+    spark.createDataFrame([(o, n, p, 4 + (p or 0) % 2 * 3) for o, n, p in lines], "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint").withColumn("l_shipdate", F.lit("1995-01-01").cast("date")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    corpus.table("part").where("p_partkey < 4").write.parquet(str(tmp_path / "part.parquet"))
+    for c in (corpus, Corpus(spark, str(tmp_path))):
+        now, old = catalogue._graph(c), graph.build(c.papers, c.references, c.citations_in, c.paper_author)
+        assert now.count() and now.exceptAll(old).isEmpty() and old.exceptAll(now).isEmpty()
+    papers_ = spark.createDataFrame([("p", "a"), ("q", None), ("r", "")], "paperId string, venue string")
+    cited = spark.createDataFrame([("p", "q"), ("p", "q"), ("p", "a")], "paperId string, referencePaperId string")
+    by = spark.createDataFrame([("p", "a"), ("p", "a"), ("q", None)], "paperId string, authorId string")
+    assert sorted(map(tuple, graph.build(papers_, cited, None, by).collect()), key=str) == sorted([("a", "p", "author"), ("q", "p", "cites"), (None, "q", "author")], key=str)
+
+
+def test_overview_reads_the_graph_once(spark, tmp_path):
+    from citeloom.operators import features
+
+    rows = [("a1", "p1", "author"), ("v", "p1", "venue"), ("p1", "p2", "cites"), ("a1", "p2", "author"), ("p2", "p2", "cites"), ("x", "p1", "other"), ("y", "p1", None), (None, "p3", "author"), ("p4", None, "cites"), ("p1", "a1", "cites")]
+    spark.createDataFrame(rows, "src string, dst string, etype string").write.parquet(str(tmp_path / "g"))
+    papers_ = spark.createDataFrame([("p1", 0, " Yes"), ("p2", -1, "no"), ("p3", 1, None)], "paperId string, topic_id int, retracted string")
+    told = features.overview(papers_, spark.read.parquet(str(tmp_path / "g")))
+    kinds = {(s, "paper" if e == "cites" else e) for s, _, e in rows} | {(d, "paper") for _, d, _ in rows}
+    assert told.first().asDict() == {"total_nodes": len({i for i, _ in kinds} - {None}), "paper_nodes": sum(k == "paper" for _, k in kinds), "author_nodes": sum(k == "author" for _, k in kinds), "total_edges": len(rows), "total_papers": 3, "total_topics": 2, "retracted_papers": 1}
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "SortAggregate" not in plan
+    assert dict(told.dtypes) == dict.fromkeys(told.columns, "bigint")
+    none = features.overview(papers_, spark.createDataFrame([], "src string, dst string, etype string")).first()
+    assert (none.total_nodes, none.paper_nodes, none.author_nodes, none.total_edges) == (0, 0, 0, 0)
+
+
 def test_bucketed_tables_have_a_file_for_each_bucket(spark):
     """However many tasks write one: else a round opens tasks times buckets files, and the rounds look numbers up without sorting edges."""
     from citeloom.operators import scratch
