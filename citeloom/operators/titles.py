@@ -7,13 +7,14 @@ A ratio of t or more bounds everything that is cheap to look at:
 - u = a + b - 2 M characters don't match, so there are at most u + 1 blocks, and at least M - u - 1 pairs of
   neighbouring characters are shared, copies counted.
 
-Pairs of characters (single characters where the ratio is too low for that last bound) are the
-elements of a title. In one order of all elements, rare ones first, two titles that are alike share an
-element among the first few of each; there they meet, if lengths and places allow it. What is
-left is held against both bounds, first by signatures of fixed size where they meet, before the ratio itself is computed.
+No pair of characters is rare enough in titles to lead from one to those that are alike: as much as 0.85 leaves every third pair
+open, so titles that meet by their rarest ones do so several times each. All pairs in the same or a neighbouring band of lengths are
+held against both bounds instead, by signatures of fixed size and many at a time in numpy. What is left is held against the
+longest common subsequence (M characters in matching blocks are one), with a bit for each character; only then is the ratio itself computed.
+This work grows with the square of the distinct titles, but at some tens of nanoseconds a pair; nothing caps it.
 
-Each side's titles are joined once, however many rows have them. Titles meet by element and band of
-lengths, so one frequent element doesn't gather all rows; Spark splits what is still skewed.
+Each side's titles are joined once, however many rows have them. The titles of a band are dealt to chunks of bounded size by their
+hashes; a group is a chunk of each side, so memory is bounded and no frequent element or length gathers rows in one task.
 
 Defined results: titles are compared as title_key leaves them; empty and null ones are alike to nothing;
 equal titles have ratio 1; an empty table gives no rows.
@@ -29,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,10 @@ from citeloom.functions import ids
 from citeloom.operators.scratch import cut_lineage
 from citeloom.operators.text import title_key
 
-#: Counters that rank the elements by frequency.
-COUNTERS = 1 << 16
+#: Titles of a chunk at the least (where there are so many) and at the most, and its characters.
+FEWEST, MOST, CHARACTERS = 1 << 10, 1 << 14, 1 << 20
+#: Titles of one side that are held against all of a chunk at once, and pairs whose subsequences are measured at once.
+ROWS, PAIRS = 32, 1 << 12
 
 
 def element_size(t: float) -> int:
@@ -87,12 +91,8 @@ def band(length: int, t: float) -> int:
     return int(math.log(max(length, 1)) / math.log((2 - t) / t) + 1e-9) if t < 1 else length
 
 
-def _hash(x: str) -> int:
-    return zlib.crc32(x.encode()) & (COUNTERS - 1)
-
-
 #: Longs of a signature of a title's elements, and of its characters.
-LONGS = 4
+LONGS = 16
 
 
 def _signature(elements: Iterable[str]) -> list[int]:
@@ -104,65 +104,132 @@ def _signature(elements: Iterable[str]) -> list[int]:
     return [b - (1 << 64) if b >> 63 else b for b in bits]
 
 
-def _frequencies(titles: DataFrame, q: int) -> np.ndarray:
-    """How many titles have an element that falls to each counter."""
+def _signed(titles: DataFrame, t: float, q: int) -> DataFrame:
+    """title, its length and band, and the signatures of its elements and of its characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                for k in {_hash(x) for x in _elements(t, q)}:
-                    count[k] += 1
-        on = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(count[on])], names=["k", "n"])
-
-    out = np.zeros(COUNTERS, np.int64)
-    for r in titles.select("title").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most COUNTERS rows
-        out[r.k] = r.n
-    return out
-
-
-def _prefixes(titles: DataFrame, order, t: float, q: int, bands: tuple[int, ...]) -> DataFrame:
-    """id, length, number of elements, and the first elements of each title with their places, in its band and those beside it that are asked for; signatures."""
-    signs = [f"s{k}" for k in range(2 * LONGS)]
+            xs = batch.column(0).to_pylist()
+            signs = [np.array([*_signature(_elements(x, q)), *_signature(_elements(x, 1))], "<i8").tobytes() for x in xs]
+            columns = [pa.array(xs, pa.string()), pa.array([len(x) for x in xs], pa.int64()), pa.array([band(len(x), t) for x in xs], pa.int64()), pa.array(signs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["title", "len", "band", "sign"])
+
+    return titles.select("title").mapInArrow(run, "title string, len bigint, band bigint, sign binary")
+
+
+class _Chunk:
+    """Titles in order of length: lengths, and signatures of elements in short, of elements and of characters, with the number of bits in each."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.titles = rows.column("title")
+        self.order = np.argsort(rows.column("len").to_numpy(), kind="stable")
+        self.len = rows.column("len").to_numpy()[self.order]
+        signs = np.frombuffer(b"".join(rows.column("sign").to_pylist()), "<u8").reshape(-1, 2 * LONGS)[self.order]
+        half = LONGS // 2
+        self.signs = [signs[:, :half] | signs[:, half:LONGS], signs[:, :LONGS], signs[:, LONGS:]]
+        self.bits = [np.bitwise_count(x).sum(1, dtype=np.int32) for x in self.signs]
+
+
+def _survivors(a: _Chunk, b: _Chunk, t: float, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of two chunks that can be alike by their lengths and signatures."""
+    for n in np.unique(a.len).tolist():
+        m = np.ceil(t * (n + b.len) / 2 - 1e-9).astype(np.int32)
+        on = np.flatnonzero(m <= np.minimum(n, b.len))
+        m, length = m[on], b.len[on].astype(np.int32)
+        need = m if q == 1 else 3 * m - n - length - 1
+        # What a title has and the other lacks is no more than all of its elements without those that must be shared.
+        shared_of = [(need - (n - q + 1), need - (length - q + 1))] * 2 + [(m - n, m - length)]
+        columns = np.ascontiguousarray(b.signs[0][on].T)
+        first, last = np.searchsorted(a.len, [n, n + 1])
+        for i in range(first, last if len(on) else first, ROWS):
+            rows = slice(i, min(i + ROWS, last))
+            same = np.zeros((rows.stop - i, len(on)), np.int32)
+            for mine, column in zip(a.signs[0][rows].T, columns):
+                same += np.bitwise_count(mine[:, None] & column)
+            own, at = np.nonzero((same >= a.bits[0][rows][:, None] + shared_of[0][0]) & (same >= b.bits[0][on] + shared_of[0][1]))
+            for k in (1, 2):
+                x, y = own + i, on[at]
+                same = np.bitwise_count(a.signs[k][x] & b.signs[k][y]).sum(1, dtype=np.int32)
+                kept = (same >= a.bits[k][x] + shared_of[k][0][at]) & (same >= b.bits[k][y] + shared_of[k][1][at])
+                own, at = own[kept], at[kept]
+            yield a.order[own + i], b.order[on[at]]
+
+
+def _pairs(group: DataFrame, t: float, q: int) -> DataFrame:
+    """a and b: the titles of two chunks that can be alike, and are not equal. A group has both chunks; its pairs go on a few at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, int] = {}
-        for batch in batches:
-            rows: list[tuple] = []
-            for i, title in zip(batch.column("id").to_pylist(), batch.column("title").to_pylist()):
-                xs = _elements(title, q)
-                if len(title) not in known:
-                    known[len(title)] = least_shared(len(title), t, q)
-                need = known[len(title)]
-                if need is None:
-                    continue  # too short to be alike to any but its equal
-                xs.sort(key=lambda x: (order.value[_hash(x)], x))
-                first = len(xs) - need + 1
-                signed = (*_signature(xs), *_signature(_elements(title, 1)))
-                rows += [(i, len(title), len(xs), p, x, band(len(title), t) + d, *signed) for p, x in enumerate(xs[:first]) for d in bands]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["id", "len", "n", "pos", "element", "band", *signs])
-
-    return titles.mapInArrow(run, "id bigint, len bigint, n bigint, pos bigint, element string, band bigint, " + ", ".join(f"{c} bigint" for c in signs))
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        left, right = (rows.filter(pc.equal(rows["right"], side)).combine_chunks() for side in (False, True))
+        if left.num_rows and right.num_rows:
+            a, b = _Chunk(left), _Chunk(right)
+            for x, y in _survivors(a, b, t, q):
+                if len(x):
+                    met = pa.table({"a": a.titles.take(pa.array(x)), "b": b.titles.take(pa.array(y))})
+                    yield from met.filter(pc.not_equal(met["a"], met["b"])).combine_chunks().to_batches()
+
+    return group.applyInArrow(run, "a string, b string")
+
+
+def _codes(titles: list[str], known: np.ndarray) -> np.ndarray:
+    """The characters of titles, one in each row, by their numbers from 1; 0 for others and behind a title."""
+    width = max(map(len, titles))
+    wide = np.frombuffer("".join(x.ljust(width, "\0") for x in titles).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(titles), width)
+    at = np.minimum(np.searchsorted(known, wide), len(known) - 1)
+    inside = np.arange(width) < np.array([len(x) for x in titles])[:, None]
+    return np.where((known[at] == wide) & inside, at + 1, 0)
+
+
+def common(a: list[str], b: list[str]) -> np.ndarray:
+    """The length of the longest common subsequence of each pair of titles, with a bit for each character of the first."""
+    once = list(dict.fromkeys(a))
+    place = {x: i for i, x in enumerate(once)}
+    known = np.unique(np.frombuffer("".join(once).encode("utf-32-le", "surrogatepass"), "<u4"))
+    codes, words = _codes(once, known), -(-max(map(len, once)) // 64)
+    masks = np.zeros((words, len(once), len(known) + 1), np.uint64)
+    for p, column in enumerate(codes.T):
+        masks[p >> 6, np.arange(len(once)), column] |= np.uint64(1 << (p & 63))
+    masks[:, :, 0] = 0
+    masks = masks.reshape(words, -1)
+    own = np.array([place[x] for x in a]) * (len(known) + 1)
+    state = np.full((words, len(a)), ~np.uint64(0))
+    for column in np.ascontiguousarray(_codes(b, known).T):
+        here, carry = own + column, np.uint64(0)
+        for w in range(words):
+            s = state[w]
+            u = s & masks[w][here]
+            added = s + u
+            more = added + carry
+            carry = ((added < u) | (more < carry)).astype(np.uint64) if w + 1 < words else carry
+            state[w] = more | (s ^ u)
+    return 64 * words - np.bitwise_count(state).sum(0, dtype=np.int64)
 
 
 def _verified(pairs: DataFrame, t: float, q: int) -> DataFrame:
-    """left, right and ratio of the pairs (with both titles) that are alike."""
+    """a, b and ratio of the pairs that are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for i, j, a, b in zip(*(batch.column(c).to_pylist() for c in ("left", "right", "a", "b"))):
-                if (Counter(a) & Counter(b)).total() < matching(len(a), len(b), t) or q > 1 and len(set(_elements(a, q)) & set(_elements(b, q))) < shared(len(a), len(b), t, q):
-                    continue
-                r = difflib.SequenceMatcher(None, a, b).ratio()
-                if r >= t:
-                    found.append((i, j, r))
+            left, right, found = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
+            step = max(1, PAIRS // -(-max(map(len, [*left, *right, " "])) // 64))
+            for i in range(0, len(left), step):
+                one, two = left[i : i + step], right[i : i + step]
+                for a, b, n in zip(one, two, common(one, two).tolist()):
+                    if n >= matching(len(a), len(b), t) and (r := difflib.SequenceMatcher(None, a, b).ratio()) >= t:
+                        found.append((a, b, r))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["left", "right", "ratio"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["a", "b", "ratio"])
+
+    return pairs.mapInArrow(run, "a string, b string, ratio double")
 
-    return pairs.mapInArrow(run, "left bigint, right bigint, ratio double")
+
+def _meetings(one: DataFrame, two: DataFrame, t: float, parts: int) -> list[tuple[int, int, int, int]]:
+    """Bands of both sides whose titles can be alike, and the numbers of chunks of these."""
+    n, m = ({r.band: (r.n, r.c) for r in side.groupBy("band").agg(F.count("*").alias("n"), F.sum("len").alias("c")).collect()} for side in (one, two))
+    total = math.sqrt(sum(x for x, _ in n.values()) * sum(x for x, _ in m.values()))
+    size = min(MOST, max(FEWEST, math.ceil(total / math.sqrt(8 * parts))))
+    chunks = lambda x, c: max(-(-x // size), -(-c // CHARACTERS))
+    return [(i, j, chunks(*n[i]), chunks(*m[j])) for i in n for j in (i - 1, i, i + 1) if j in m]
 
 
 def alike(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
@@ -170,25 +237,23 @@ def alike(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
     if not 0 < least <= 1:
         raise ValueError("least must be over 0 and at most 1")
     q, spark = element_size(least), left.sparkSession
-    number = lambda df, tag: cut_lineage(df.select("title").where("title <> ''").distinct().withColumn("id", F.monotonically_increasing_id()), tag)
-    one, two = number(left, "titles"), number(right, "titles")
+    distinct = lambda df: df.select("title").where("title <> ''").distinct()
+    if least == 1:
+        one, two = distinct(left), distinct(right)
+    else:
+        one, two = cut_lineage(_signed(distinct(left), least, q), "titles"), cut_lineage(_signed(distinct(right), least, q), "titles")
     equal = one.select(F.col("title").alias("a")).join(two.select(F.col("title").alias("b")), F.col("a") == F.col("b")).withColumn("ratio", F.lit(1.0))
     if least == 1:
         return equal
-    order = spark.sparkContext.broadcast(_frequencies(one, q) + _frequencies(two, q))
-    x = _prefixes(one, order, least, q, (0,))
-    y = _prefixes(two, order, least, q, (-1, 0, 1)).toDF("right", "m", "o", "at", "element", "band", *[f"z{k}" for k in range(2 * LONGS)])
-    both = F.col("len") + F.col("m")
-    m = F.ceil(least * both / 2 - 1e-9)
-    need = m if q == 1 else 3 * m - both - 1
-    fits = (m <= F.least("len", "m")) & (1 + F.least(F.col("n") - F.col("pos") - 1, F.col("o") - F.col("at") - 1) >= need)
-    lacks = lambda a, b, first: sum((F.bit_count(F.col(f"{a}{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}{k}")))) for k in range(first, first + LONGS)), F.lit(0))
-    fits &= (lacks("s", "z", LONGS) <= F.col("len") - m) & (lacks("z", "s", LONGS) <= F.col("m") - m) & (lacks("s", "z", 0) <= F.col("n") - need) & (lacks("z", "s", 0) <= F.col("o") - need)
-    met = x.join(y, ["element", "band"]).where(fits).select(F.col("id").alias("left"), "right").distinct()
-    pairs = met.join(one.select(F.col("id").alias("left"), F.col("title").alias("a")), "left").join(two.select(F.col("id").alias("right"), F.col("title").alias("b")), "right").where("a <> b")
-    found = _verified(pairs, least, q)
-    named = found.join(one.select(F.col("id").alias("left"), F.col("title").alias("a")), "left").join(two.select(F.col("id").alias("right"), F.col("title").alias("b")), "right")
-    return named.select("a", "b", "ratio").unionByName(equal)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    meetings = F.broadcast(spark.createDataFrame(_meetings(one, two, least, parts), "b bigint, c bigint, n bigint, m bigint"))
+    group = ["b", "c", "i", "j"]
+    chunk = lambda of: F.pmod(F.xxhash64("title"), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(of) - 1))
+    x = one.join(meetings, F.col("band") == F.col("b")).select("b", "c", chunk("n").alias("i"), every("m").alias("j"), F.lit(False).alias("right"), "title", "len", "sign")
+    y = two.join(meetings, F.col("band") == F.col("c")).select("b", "c", every("n").alias("i"), chunk("m").alias("j"), F.lit(True).alias("right"), "title", "len", "sign")
+    met = _pairs(x.unionByName(y).repartition(parts, *group).groupBy(*group), least, q)
+    return _verified(met, least, q).unionByName(equal)
 
 
 def match(items: DataFrame, papers: DataFrame, least: float = 0.85, key: str = "item", paper: str = "paperId") -> DataFrame:

@@ -414,6 +414,44 @@ def test_few_titles_are_compared_that_are_not_alike(spark, monkeypatch):
     assert 2 * seen[0] < seen[1]
 
 
+def test_subsequences_are_as_long_as_a_table_says():
+    rng = random.Random(11)
+    texts = ["".join(rng.choices(abc, k=n)) for n in (1, 2, 30, 63, 64, 65, 127, 128, 129, 200) for abc in ("ab", "abcdefgh ", "é😀\0ab")]
+    pairs = [(x, rng.choice(texts)) for x in texts for _ in range(6)] + [(x, x) for x in texts]
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    assert titles.common(*map(list, zip(*pairs))).tolist() == [plain(a, b) for a, b in pairs]
+
+
+def test_titles_of_several_chunks_meet_once_and_few_are_compared(spark, monkeypatch):
+    """However the titles of a side are dealt, all pairs that are alike are found. Of all pairs, of the same syllables, less than one in twenty is compared."""
+    rng = random.Random(5)
+    syllables = ["th", "er", "on", "an", "re", "ing", "ed", "ha", "st", "en", "wh", "ou", "ti", "ea", "é", "😀"]
+    made = [" ".join("".join(rng.choices(syllables, k=3)) for _ in range(40))[: rng.choice([20, 58, 59, 60, 61, 140, 260])].strip() for _ in range(200)]
+    a, b = made[:100], [*made[100:], *(t[:9] + t[11:] for t in made[:60])]
+    met, seen, plain, sizes = [], [], titles._verified, titles._meetings
+    monkeypatch.setattr(titles, "_verified", lambda pairs, t, q: (seen.append(pairs.collect()), plain(pairs, t, q))[1])
+    monkeypatch.setattr(titles, "_meetings", lambda *x: (met.append(sizes(*x)), met[-1])[1])
+    want = plain_pairs(a, b, 0.85)
+    assert found_pairs(spark, a, b, 0.85) == want and len(want) > 50
+    monkeypatch.setattr(titles, "FEWEST", 5)
+    monkeypatch.setattr(titles, "MOST", 12)
+    assert found_pairs(spark, a, b, 0.85) == want
+    monkeypatch.setattr(titles, "MOST", 1000)
+    monkeypatch.setattr(titles, "CHARACTERS", 700)
+    assert found_pairs(spark, a, b, 0.85) == want
+    assert {n * m for *_, n, m in met[0]} == {1} and all(max(n * m for *_, n, m in x) > 9 for x in met[1:])
+    assert all(len(x) == len(set(x)) and 20 * len(x) < len(a) * len(b) for x in seen)
+
+
 # --- languages, stems, names ---------------------------------------------------------------------
 
 
