@@ -259,8 +259,9 @@ def alike(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
 def match(items: DataFrame, papers: DataFrame, least: float = 0.85, key: str = "item", paper: str = "paperId") -> DataFrame:
     """key, match, confidence and how ('doi', 'title' or 'none') of each item: the paper with its DOI, else that
     with the most similar title, if alike enough; the smallest paper id decides between equals. Both tables have title and doi."""
-    own = items.select(F.col(key).alias("k"), title_key(F.coalesce("title", F.lit(""))).alias("t"), ids.match_doi(F.col("doi")).alias("d"))
-    known = papers.select(F.col(paper).alias("p"), title_key(F.coalesce("title", F.lit(""))).alias("u"), ids.match_doi(F.col("doi")).alias("e"))
+    # Both are read several times; what they come from (parsed pages, say) is made once.
+    own = cut_lineage(items.select(F.col(key).alias("k"), title_key(F.coalesce("title", F.lit(""))).alias("t"), ids.match_doi(F.col("doi")).alias("d")), "items")
+    known = cut_lineage(papers.select(F.col(paper).alias("p"), title_key(F.coalesce("title", F.lit(""))).alias("u"), ids.match_doi(F.col("doi")).alias("e")), "papers")
     by_doi = known.where("e is not null").groupBy("e").agg(F.min("p").alias("match"))
     # Rows without a DOI have no key to be joined by; they stay out of the join.
     with_doi = own.where("d is not null").join(by_doi, F.col("d") == F.col("e"), "left").drop("e")

@@ -414,6 +414,20 @@ def test_few_titles_are_compared_that_are_not_alike(spark, monkeypatch):
     assert 2 * seen[0] < seen[1]
 
 
+def test_items_and_papers_are_made_once(spark):
+    """Titles that are parsed from files, say, cost a pass over these each time that they are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def parsed(x):
+        made.add(1)
+        return x
+
+    rows = spark.createDataFrame([(f"k{i}", f"title of the number {i}", None) for i in range(7)], "k string, title string, doi string").withColumn("title", parsed("title"))
+    got = titles.match(rows.withColumnRenamed("k", "item"), rows.withColumnRenamed("k", "paperId")).collect()
+    assert len(got) == 7 and all(r.item == r.match for r in got) and made.value == 14
+
+
 def test_subsequences_are_as_long_as_a_table_says():
     rng = random.Random(11)
     texts = ["".join(rng.choices(abc, k=n)) for n in (1, 2, 30, 63, 64, 65, 127, 128, 129, 200) for abc in ("ab", "abcdefgh ", "é😀\0ab")]
