@@ -1,8 +1,8 @@
 """A folder of papers' files as a Spark data source, read and written file by file.
 
 ``register(spark)`` adds the format ``papers_folder``. Reading gives one row for each file: its path
-below the folder and its bytes; files that can't be read are left out. Tasks get files
-until these have ``bytes`` together, or are ``files`` (4,096) in number. Writing takes rows (path, content): every file is written
+below the folder and its bytes; files that can't be read are left out. ``read`` lets tasks list the folders, and
+deals files to tasks so that these get ``bytes`` each, or ``files`` (4,096), on average. Writing takes rows (path, content): every file is written
 under another name and renamed when it is whole, so a task that is run again leaves no halves.
 
 Notes are Markdown files with fields in front, between lines of three dashes, in the part of YAML that such
@@ -11,20 +11,27 @@ notes use: scalars, plain or quoted, over one line or several, lists in brackets
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
+import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from citeloom.operators.scratch import cut_lineage
 from citeloom.sources import papers, works
 
 _ROW = "path string, content binary"
+#: Bytes of files that a task hands on at once (a larger file alone).
+_HELD = 1 << 20
 
 
 def _filesystem(path: str):
@@ -33,38 +40,69 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path if re.match(r"[a-z][a-z0-9+.-]*:", path) else f"file://{path}")
 
 
+def _level(folder: str, below: str, suffix: str) -> Iterator[tuple[str, int, bool]]:
+    """Path below the folder and bytes of each file that stands in a folder below it, and its folders. Names of a local folder come one by one."""
+    from pyarrow import fs
+
+    files, root = _filesystem(folder)
+    at = f"{root}/{below}".rstrip("/") or "/"
+    if isinstance(files, fs.LocalFileSystem):
+        try:
+            entries = os.scandir(at)
+        except (FileNotFoundError, NotADirectoryError):
+            return
+        with entries:
+            for e in entries:
+                try:
+                    if e.is_dir():
+                        yield f"{below}{e.name}/", 0, True
+                    elif e.is_file() and e.name[0] not in "._" and e.name.endswith(suffix):
+                        yield f"{below}{e.name}", e.stat().st_size, False
+                except OSError:
+                    continue
+        return
+    for f in files.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+        if f.type == fs.FileType.Directory:
+            yield f"{below}{f.base_name}/", 0, True
+        elif f.is_file and f.base_name[0] not in "._" and f.base_name.endswith(suffix):
+            yield f"{below}{f.base_name}", f.size, False
+
+
+def _walk(folder: str, below: str, suffix: str, deep: bool = True) -> Iterator[str]:
+    for path, _, is_folder in _level(folder, below, suffix):
+        if not is_folder:
+            yield path
+        elif deep:
+            yield from _walk(folder, path, suffix)
+
+
+def _contents(folder: str, paths: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+    files, root = _filesystem(folder)
+    for path in paths:
+        try:
+            with files.open_input_stream(f"{root}/{path}") as f:
+                content = f.read()
+        except OSError:
+            continue
+        yield path, content
+
+
 class Part(InputPartition):
-    def __init__(self, names: list[str]):
-        self.names = names
+    def __init__(self, below: str):
+        self.below = below
 
 
 class Reader(DataSourceReader):
+    """A task for each folder in the given one. read() deals files evenly."""
+
     def __init__(self, options: dict):
-        self.folder, self.suffix, self.bytes, self.files = options["path"], options.get("suffix", ""), int(options.get("bytes", 64 << 20)), int(options.get("files", 4096))
+        self.folder, self.suffix = options["path"], options.get("suffix", "")
 
     def partitions(self) -> list[Part]:
-        from pyarrow import fs
-
-        files, root = _filesystem(self.folder)
-        found = files.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
-        parts, size = [Part([])], 0
-        for f in sorted((f for f in found if f.is_file and f.base_name[0] not in "._" and f.path.endswith(self.suffix)), key=lambda f: f.path):
-            if size and size + f.size > self.bytes or len(parts[-1].names) == self.files:
-                parts.append(Part([]))
-                size = 0
-            parts[-1].names.append(f.path)
-            size += f.size
-        return parts
+        return [Part(""), *(Part(path) for path, _, is_folder in _level(self.folder, "", self.suffix) if is_folder)]
 
     def read(self, part: Part) -> Iterator[tuple]:
-        files, root = _filesystem(self.folder)
-        for name in part.names:
-            try:
-                with files.open_input_stream(name) as f:
-                    content = f.read()
-            except OSError:
-                continue
-            yield name.removeprefix(root).lstrip("/"), content
+        yield from _contents(self.folder, _walk(self.folder, part.below, self.suffix, deep=part.below != ""))
 
 
 class Writer(DataSourceWriter):
@@ -106,10 +144,41 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PapersFolder)
 
 
-def read(spark: SparkSession, folder: str, **options) -> DataFrame:
+def _listing(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """path and size of each file. Tasks list the folders of one level at a time; the driver gets no names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (e for batch in batches for below in batch.column(0).to_pylist() for e in _level(folder, below, suffix))
+        while rows := list(itertools.islice(found, 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.bool_()))], names=["path", "size", "folder"])
+
+    level, folders, listed = spark.range(1).select(F.lit("").alias("path")), 1, []
+    while folders:
+        dealt = level.repartition(min(folders, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path")
+        here = cut_lineage(dealt.mapInArrow(run, "path string, size bigint, folder boolean"), "listing")
+        listed.append(here.where("not folder").select("path", "size"))
+        level = here.where("folder").select("path")
+        folders = level.count()
+    return functools.reduce(DataFrame.unionByName, listed)
+
+
+def read(spark: SparkSession, folder: str, suffix: str = "", bytes: int = 64 << 20, files: int = 4096) -> DataFrame:
     """path and content of each file in a folder and those below it."""
-    register(spark)
-    return spark.read.format("papers_folder").options(**options).load(folder)
+    listed = _listing(spark, folder, suffix)
+    n, size = listed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for path, content in _contents(folder, (p for batch in batches for p in batch.column(0).to_pylist())):
+            rows.append((path, content))
+            held += len(content)
+            if held >= _HELD or len(rows) == 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["path", "content"])
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["path", "content"])
+
+    return listed.select("path").repartition(max(1, -(-n // files), -(-size // bytes)), "path").mapInArrow(run, _ROW)
 
 
 def write(files: DataFrame, folder: str, dealt: bool = True) -> None:

@@ -288,6 +288,24 @@ def test_small_files_are_dealt_to_many_tasks(spark, tmp_path):
     assert {r.path: bytes(r.content) for r in back.collect()} == {f"{i % 3}/n{i}": str(i).encode() for i in range(400)}
 
 
+def test_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver never sees the names of a folder's files; what the format reads is the same."""
+    files = {f"{'a/b/' * (i % 3)}c{i % 5}/n{i}.md": str(i).encode() for i in range(60)} | {"top.md": b"t", "a/.hidden": b"h", "a/_mark": b"m", "x.txt": b"x"}
+    for path, content in files.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(content)
+    want = {p: c for p, c in files.items() if p.endswith(".md")}
+    folder.register(spark)
+    plain = spark.read.format("papers_folder").option("suffix", ".md").load(str(tmp_path))
+    assert {r.path: bytes(r.content) for r in plain.collect()} == want and plain.count() == len(want)
+    parts = folder.Reader({"path": str(tmp_path)}).partitions()
+    assert all(".md" not in str(vars(p)) for p in parts) and len(parts) == 7
+    monkeypatch.setattr(folder.Reader, "partitions", None)
+    back = folder.read(spark, f"file://{tmp_path}", suffix=".md", files=10)
+    rows = back.collect()
+    assert {r.path: bytes(r.content) for r in rows} == want and len(rows) == len(want) and back.rdd.getNumPartitions() == 7
+
+
 def test_products_of_factors_for_docs_shuffle_nothing(spark, monkeypatch):
     """Partial sums for each doc and bucket of terms would be nearly as many as the entries."""
     from citeloom.operators import scratch
