@@ -124,6 +124,21 @@ def test_pages(spark):
         assert read(spark, papers.page, bad) == NOTHING
 
 
+def test_titles_that_end_within_a_reference(spark, tmp_path):
+    """Titles are cut after so many characters, maybe before a reference's semicolon."""
+    import duckdb
+
+    cut = ["a &quot", "a &quo", "a &amp", "a &am", "a &", "&quot; b &amp; c", "a &quot b", "&amp;quot", "&ampquot;", "a &lt", "&#39", "&copy", "&"]
+    rows = [(i, "", f"<html><head><title>{t}</title></head><body><h1>{t}</h1></body></html>") for i, t in enumerate(x for x in cut for _ in range(3))]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalogue.QUERIES["S15"](spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({catalogue.SQL['S15']}) ORDER BY page_id").fetchall()
+    assert [tuple(r) for r in got.orderBy("page_id").collect()] == want
+    assert read(spark, papers.page, "<title>a &quot</title>")["title"] == 'a "'
+
+
 def test_manuscripts(spark):
     lines = lambda *xs: read(spark, papers.docx, papers.pack_docx(list(xs)), True)
     assert lines("T", "ann lee and bo", "Abstract: short", "2001", "Year: 2002") == NOTHING | {"title": "T", "authors": ["ann lee", "bo"], "abstract": "short", "year": "2002"}
