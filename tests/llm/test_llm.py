@@ -276,6 +276,30 @@ def test_licenses_that_just_reach_the_share(spark, size, naming):
     assert got == {1: ("own", need / size), 2: ("", 0.0)}
 
 
+def test_licenses_found_without_their_names(spark):
+    """All templates that reach the share in some block are found, as plain sets say; only those that are named there give labels."""
+    notices = [t for *_, t in licenses.TEMPLATES] + [t for t, _ in READ] + [re.sub("(?i)license|version|neither|fee", "x", t) for *_, t in licenses.TEMPLATES]
+    texts = [*notices, *(f"{'word ' * 45}{t} {'more ' * 70}{u}" for t, u in zip(notices, notices[5:]))]
+    got = {r.doc_id: {(x.label, x.template, x.start, round(x.share, 9), x.named) for x in r.found or []} for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    unnamed = 0
+    for i, text in enumerate(texts):
+        ws, want = licenses._split(text), set()
+        for k, (label, naming, t) in enumerate(licenses.TEMPLATES):
+            own, step, blocks = set(licenses._split(t)), licenses.stride(len(licenses._split(t))), []
+            for a in range(0, len(ws), step):
+                block = ws[a : a + 2 * step]
+                if len(own & set(block)) >= math.ceil(licenses.THRESHOLD * len(own) - 1e-9):
+                    blocks.append((all(f" {p} " in f" {' '.join(block)} " for p in naming), len(own & set(block)) / len(own), -a))
+            if blocks:
+                named, share, back = max(blocks)
+                want.add((label, k, -back, round(share, 9), named))
+                unnamed += not named
+        assert got[i] == want
+    assert unnamed > 20
+    rows = spark.createDataFrame([(1, "ÉCOLE É")], "doc_id long, text string")
+    assert licenses.scan(rows, templates=[("own", [], "école É")]).first().labels == "" and licenses.scan(rows, templates=[("own", [], "ÉCOLE É")]).first().labels == "own"
+
+
 def test_licenses_empty(none):
     assert licenses.scan(none).count() == 0
 
