@@ -461,6 +461,19 @@ def test_items_and_papers_are_made_once(spark):
     assert len(got) == 7 and all(r.item == r.match for r in got) and made.value == 14
 
 
+@pytest.mark.parametrize("name", ["T15_join", "J14_join"])
+def test_pages_are_parsed_once(spark, corpus, monkeypatch, name):
+    made, plain = spark.sparkContext.accumulator(0), tables._page_titles
+
+    @F.udf("string")
+    def parsed(x):
+        made.add(1)
+        return x
+
+    monkeypatch.setattr(tables, "_page_titles", lambda c: plain(c).withColumn("title", parsed("title")))
+    assert catalogue.QUERIES[name](spark, SF).count() > 0 and made.value == corpus.table("pages").count()
+
+
 def test_subsequences_are_as_long_as_a_table_says():
     rng = random.Random(11)
     texts = ["".join(rng.choices(abc, k=n)) for n in (1, 2, 30, 63, 64, 65, 127, 128, 129, 200) for abc in ("ab", "abcdefgh ", "é😀\0ab")]
