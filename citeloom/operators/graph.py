@@ -75,46 +75,57 @@ def centralities(edges: DataFrame, max_iter: int = 1000, tol: float = 1e-6) -> D
 
     Both vectors are of unit length and come from one power iteration, x + A'x from equal entries; a direction has
     settled when its entries moved by less than tol for each node, all told. It is null for all if it hasn't after max_iter rounds.
-    Edges are laid out once, bucketed by the node they start from, and the vectors likewise, so that a round shuffles one
-    partial sum for each node and task only, and looks entries up in a bucket of the vectors, which are few beside its edges and don't make them be sorted; the few nodes with very many edges are joined by broadcast. Norms and movements are
-    observed while a round is written, so that no job is run for them.
+    Edges are laid out once, apart by direction and bucketed by the node they start from, and the vectors likewise, so that a round shuffles one
+    partial sum for each node and task only, and looks entries up in a bucket of the vectors, which are few beside its edges and don't make them be sorted; the few nodes with very many edges are joined by broadcast. A direction that has
+    settled is carried along as it is, and its edges aren't read any more. Norms are observed while a round is written, and so is
+    the least that entries can have moved: only where that is little are they read once more.
     """
     spark = edges.sparkSession
     with scratch.Tables(spark) as tables:
         plain = cut_lineage(edges.select("src", "dst").distinct(), "plain-edges")
-        # Rounds compare, hash and shuffle numbers, whatever the ids are.
-        named = cut_lineage(plain.select(F.explode(F.array("src", "dst")).alias("name")).distinct().withColumn("id", F.monotonically_increasing_id()), "nodes")
-        ends = [named.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id")) for c in ("src", "dst")]
-        both = cut_lineage(_directed(plain.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))), "edges")
-        degree = both.groupBy("here").agg(F.count("*").alias("n"))
-        hubs = cut_lineage(degree.join(degree.agg(F.sum("n").alias("all")), F.col("n") * HUBS > F.col("all")).select("here"), "hubs")  # one row on the right
-        cold = tables.bucketed(both.join(F.broadcast(hubs), "here", "left_anti"), "here", dealt=False)
-        hot = cut_lineage(both.join(F.broadcast(hubs), "here"), "hub-edges")
-        nodes = named.select("id")
-        n = nodes.count()
+        # Rounds compare, hash and shuffle numbers, whatever the ids are. An edge counts at its ends if it has both.
+        whole = F.col("src").isNotNull() & F.col("dst").isNotNull()
+        ends = plain.select(F.inline(F.array(*[F.struct(F.col(name).alias("name"), (whole & (c == "i")).alias("i"), (whole & (c == "o")).alias("o")) for name, c in (("dst", F.lit("i")), ("src", F.lit("o")))])))
+        counted, told = ends.groupBy("name").agg(*[F.count_if(c).alias(c) for c in "io"]).withColumn("id", F.monotonically_increasing_id()), Observation()
+        degree = F.col("i") + F.col("o")
+        named = cut_lineage(counted.observe(told, F.count("*").alias("nodes"), F.sum(degree).alias("ends"), F.max(degree).alias("most")), "nodes")
+        n, ends = told.get["nodes"], told.get["ends"]
         if not n:
             return named.select(F.col("name").alias("id"), F.lit(None).cast("double").alias("centrality_in"), F.lit(None).cast("double").alias("centrality_out"))
-        none = F.lit(None).cast("double")
-        state = tables.bucketed(nodes.select("id", F.lit(1.0 / n).alias("i"), F.lit(1.0 / n).alias("o"), none.alias("was_i"), none.alias("was_o")), "id")
-        norm, settled = {"i": 1.0, "o": 1.0}, {}
-        for k in range(max_iter + 1):
-            moved, size = Observation(), Observation()
-            x = state.select("id", *[(F.col(c) / norm[c]).alias(c) for c in "io"], "was_i", "was_o")
-            seen = x.observe(moved, *[F.sum(F.abs(F.col(c) - F.col(f"was_{c}"))).alias(c) for c in "io"])
-            sent = x.select(F.col("id").alias("here"), "i", "o")
-            gains = [links.select(F.col("there").alias("id"), F.when(~F.col("back"), F.col("i")).alias("gain_i"), F.when(F.col("back"), F.col("o")).alias("gain_o")) for links in (cold.join(sent.hint("shuffle_hash"), "here"), hot.join(F.broadcast(sent.join(F.broadcast(hubs), "here", "left_semi")), "here"))]
-            gained = gains[0].unionByName(gains[1]).groupBy("id").agg(*[F.sum(f"gain_{c}").alias(f"gain_{c}") for c in "io"])
-            added = seen.join(gained.hint("shuffle_hash"), "id", "left").select("id", *[(F.col(c) + F.coalesce(f"gain_{c}", F.lit(0.0))).alias(c) for c in "io"], *[F.col(c).alias(f"was_{c}") for c in "io"])
-            after = tables.bucketed(added.observe(size, *[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(c) for c in "io"]), "id")
-            for c in "io":
-                if c not in settled and k and moved.get[c] < n * tol:
-                    settled[c] = cut_lineage(state.select("id", (F.col(c) / norm[c]).alias(c)), "settled")
-            norm, state = {c: size.get[c] or 1.0 for c in "io"}, after
-            if len(settled) == 2:
+        number = [named.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id")) for c in ("src", "dst")]
+        both = _directed(plain.join(number[0], "src").join(number[1], "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
+        hubs = hot = None
+        if told.get["most"] * HUBS > ends:
+            hubs = F.broadcast(cut_lineage(named.where(degree * HUBS > ends).select(F.col("id").alias("here")), "hubs"))
+            both = cut_lineage(both, "edges")
+            hot = cut_lineage(both.join(hubs, "here"), "hub-edges")
+            both = both.join(hubs, "here", "left_anti")
+        cold = tables.bucketed(both, "here", dealt=False, apart=["back"])
+        # In the first round, from equal entries, an edge brings 1 / n wherever it comes from.
+        state = added = named.select("id", *[((1.0 + F.col(c)) / n).alias(c) for c in "io"], *[F.lit(1.0 / n).alias(f"was_{c}") for c in "io"])
+        left, norm = ["i", "o"], {"i": 1.0, "o": 1.0}
+        way, moved = {"i": ~F.col("back"), "o": F.col("back")}, lambda c, by: F.sum(F.abs(F.col(c) / by[c] - F.col(f"was_{c}")))
+        for _ in range(max_iter):
+            size, before = Observation(), norm
+            seen = [y for c in left for y in (F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"norm_{c}"), F.sum(c).alias(f"sum_{c}"), moved(c, before).alias(f"moved_{c}"))]
+            state = tables.bucketed(added.observe(size, *seen), "id")
+            norm = {c: size.get[f"norm_{c}"] or 1.0 if c in left else 1.0 for c in "io"}
+            # A round's norm is known when it is written; by the norm before, the movement is wrong by what the sum of entries allows at the most.
+            near = [c for c in left if size.get[f"moved_{c}"] - size.get[f"sum_{c}"] * abs(1 / norm[c] - 1 / before[c]) < n * tol]
+            if near:
+                exact = state.agg(*[moved(c, norm).alias(c) for c in near]).first()
+                left = [c for c in left if c not in near or not exact[c] < n * tol]
+            if not left:
                 break
-    for c, name in (("i", "centrality_in"), ("o", "centrality_out")):
-        named = named.join(settled[c].withColumnRenamed(c, name), "id") if c in settled else named.withColumn(name, F.lit(None).cast("double"))
-    return named.drop("id").withColumnRenamed("name", "id")
+            x = state.select("id", *[(F.col(c) / norm[c]).alias(c) for c in "io"])
+            sent = x.select(F.col("id").alias("here"), *left)
+            met = [(cold, sent.hint("shuffle_hash"))] + ([(hot, F.broadcast(sent.join(hubs, "here", "left_semi")))] if hubs is not None else [])
+            gains = [(links if len(left) == 2 else links.where(way[left[0]])).join(values, "here").select(F.col("there").alias("id"), *[F.when(way[c], F.col(c)).alias(f"gain_{c}") for c in left]) for links, values in met]
+            gained = (gains[0] if hubs is None else gains[0].unionByName(gains[1])).groupBy("id").agg(*[F.sum(f"gain_{c}").alias(f"gain_{c}") for c in left])
+            added = x.join(gained.hint("shuffle_hash"), "id", "left").select("id", *[(F.col(c) + F.coalesce(f"gain_{c}", F.lit(0.0)) if c in left else F.col(c)).alias(c) for c in "io"], *[F.col(c).alias(f"was_{c}") for c in left])
+        done = tables.kept(state)
+    found = [(F.lit(None).cast("double") if c in left else F.col(c) / norm[c]).alias(name) for c, name in (("i", "centrality_in"), ("o", "centrality_out"))]
+    return named.select("id", "name").join(done.select("id", *found), "id").select(F.col("name").alias("id"), "centrality_in", "centrality_out")
 
 
 def frontier(papers: DataFrame, forbidden: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import itertools
 import json
 import os
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -227,6 +228,51 @@ def test_centralities(spark, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("citeloom_")]
 
 
+def test_settled_directions_read_no_edges(spark, monkeypatch):
+    """Edges are bucketed as they are joined, a round is written only if a direction needs it, and reads the edges of these directions only."""
+    from citeloom.operators import scratch
+
+    rng = random.Random(5)
+    edges = [(f"n{int(60 * rng.random() ** 3)}", f"n{rng.randrange(60)}") for _ in range(400)]
+    rounds = [next(k for k in range(1, 100) if plain_centrality(edges, back, k)["n0"] is not None) for back in (False, True)]
+    assert rounds[0] != rounds[1]
+    monkeypatch.setattr(graph, "HUBS", 1)
+    plans, tags, bucketed, cut = [], [], scratch.Tables.bucketed, graph.cut_lineage
+    monkeypatch.setattr(scratch.Tables, "bucketed", lambda self, df, *a, **b: (plans.append(df._jdf.queryExecution().executedPlan().toString()), bucketed(self, df, *a, **b))[1])
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, tag: (tags.append(tag), cut(df, tag))[1])
+    got = {r.id: (r.centrality_in, r.centrality_out) for r in graph.centralities(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    for j, back in enumerate((False, True)):
+        want = plain_centrality(edges, back)
+        assert got.keys() == want.keys() and max(abs(got[k][j] - want[k]) for k in want) < 1e-6
+    assert tags == ["plain-edges", "nodes"] and len(plans) == 1 + max(rounds)
+    assert "there" not in plans[1]  # the first round's gains are counts of edges
+    alone = [bool(re.search(r"PartitionFilters: \[[^\]]*back", x)) for x in plans[2:]]
+    assert alone == [k > min(rounds) for k in range(2, max(rounds) + 1)]
+
+
+@pytest.mark.parametrize("hubs", [1, 6])
+def test_centralities_of_odd_edges(spark, monkeypatch, hubs):
+    """Edges that come twice or lack an end, loops, an empty name, and edges none of which has both ends."""
+    monkeypatch.setattr(graph, "HUBS", hubs)
+    whole = [("a", "b"), ("a", "b"), ("b", "b"), ("", "b"), ("c", ""), ("b", "d"), ("d", "a")]
+    for some in (whole, []):
+        edges = spark.createDataFrame([*some, (None, "b"), ("x", None), (None, None)], "src string, dst string")
+        got = {r.id: (r.centrality_in, r.centrality_out) for r in graph.centralities(edges).collect()}
+        assert got.keys() == {x for e in some for x in e} | {None, "b", "x"}
+        ids = sorted(got, key=str)
+        loops = [(str(a), str(b)) for a, b in some]
+        for j, back in enumerate((False, True)):
+            x, settled = dict.fromkeys(map(str, ids), 1 / len(ids)), False
+            while not settled:
+                y = dict(x)
+                for a, b in set(loops):
+                    y[a if back else b] += x[b if back else a]
+                norm = sum(v * v for v in y.values()) ** 0.5
+                y = {k: v / norm for k, v in y.items()}
+                x, settled = y, sum(abs(y[k] - x[k]) for k in y) < len(ids) * 1e-6
+            assert max(abs(got[k][j] - x[str(k)]) for k in got) < 1e-6
+
+
 def test_numbers_of_the_property_graph_have_no_gaps(spark, corpus):
     lines = [json.loads(r.value) for r in graph.property_graph(corpus.papers.repartition(7), corpus.references, corpus.citations_in, corpus.paper_author, corpus.authors.unionByName(spark.createDataFrame([("A999", None)], "authorId string, authorName string"))).collect()]
     links = [x for x in lines if x["type"] == "relationship"]
