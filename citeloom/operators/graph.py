@@ -143,12 +143,14 @@ def bypass_threshold(rows: DataFrame, decay: float, order: str = "paperId") -> D
 
 
 def weights(rows: DataFrame, decay: float, as_of_year: int) -> DataFrame:
-    """exp(-decay * age) * the larger centrality, made to sum to 1."""
-    n = rows.agg(F.count("*").alias("n"))
-    c = F.greatest(F.coalesce("c_in", F.lit(1e-5) / (F.col("n") + 1)), F.coalesce("c_out", F.lit(1e-5) / (F.col("n") + 1)))
+    """exp(-decay * age) * the larger centrality, made to sum to 1. rows are made once and written, as they are counted, summed and weighed."""
+    told = Observation()
+    rows = cut_lineage(rows.observe(told, F.count("*").alias("n")), "weighed")
+    low = F.lit(1e-5 / (told.get["n"] + 1))
+    c = F.greatest(F.coalesce("c_in", low), F.coalesce("c_out", low))
     raw = F.exp(-decay * (as_of_year - F.col("year"))) * c
-    w = rows.crossJoin(n).withColumn("w", F.when(raw > 0, raw).otherwise(F.lit(1e-50)))  # one row
-    return w.crossJoin(w.agg(F.sum("w").alias("total"))).withColumn("weight", F.col("w") / F.col("total")).drop("w", "total", "n")
+    w = rows.withColumn("w", F.when(raw > 0, raw).otherwise(F.lit(1e-50)))
+    return w.crossJoin(w.agg(F.sum("w").alias("total"))).withColumn("weight", F.col("w") / F.col("total")).drop("w", "total")  # one row on the right
 
 
 def sample(rows: DataFrame, k: int, seed: int, key: str = "paperId", weight: str = "weight") -> DataFrame:
@@ -169,7 +171,8 @@ def split(rows: DataFrame, passes: Column, seed: int, key: str = "paperId") -> D
 def sampling_round(papers: DataFrame, forbidden: DataFrame, centralities: DataFrame, passes: Column, venue_ok: Column, *, decay: float, age_decay: float, as_of_year: int, k: int, seed: int) -> DataFrame:
     """papers with selected set for those that this round draws: frontier, threshold and split, venue, weights, sample."""
     rows = split(bypass_threshold(frontier(papers, forbidden), decay), passes, seed).where(venue_ok)
-    drawn = sample(weights(rows.join(centralities, "paperId", "left"), age_decay, as_of_year), k, seed)
+    known = rows.join(centralities, "paperId", "left").select("paperId", "year", "c_in", "c_out")
+    drawn = sample(weights(known, age_decay, as_of_year), k, seed)
     on = drawn.select("paperId", F.lit(True).alias("__on"))
     return papers.join(on, "paperId", "left").withColumn("selected", F.col("selected") | F.coalesce("__on", F.lit(False))).drop("__on")
 

@@ -250,6 +250,28 @@ def test_settled_directions_read_no_edges(spark, monkeypatch):
     assert alone == [k > min(rounds) for k in range(2, max(rounds) + 1)]
 
 
+def test_rows_that_are_weighed_are_made_once(spark):
+    """Counting, summing and weighing rows made them four times."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def named(x):
+        made.add(1)
+        return x
+
+    rows = [("a", 2000, 0.5, None), ("b", 1990, None, 0.25), ("b", 1990, None, 0.25), ("c", None, None, None), ("d", 2010, None, None), (None, 2000, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "paperId string, year int, c_in double, c_out double").withColumn("paperId", named("paperId"))
+    got = graph.weights(df, 0.1, 2000)
+    assert got.columns == [*df.columns, "weight"]
+    low, own = 1e-5 / 7, []
+    for _, year, *c in rows:
+        raw = 0 if year is None else np.exp(-0.1 * (2000 - year)) * max(low if x is None else x for x in c)
+        own.append(raw if raw > 0 else 1e-50)
+    want = sorted(((str(r[0]), w / sum(own)) for r, w in zip(rows, own)))
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) <= 1e-12 * b[1] for a, b in zip(sorted((str(r.paperId), r.weight) for r in got.collect()), want, strict=True)) and made.value == 6
+    assert graph.weights(df.where("year > 3000"), 0.1, 2000).count() == 0
+
+
 @pytest.mark.parametrize("hubs", [1, 6])
 def test_centralities_of_odd_edges(spark, monkeypatch, hubs):
     """Edges that come twice or lack an end, loops, an empty name, and edges none of which has both ends."""
