@@ -40,17 +40,21 @@ class Sparse:
     def __init__(self, tables: scratch.Tables, x: DataFrame):
         self.tables, spark = tables, x.sparkSession
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # Dealt by doc before entries are added up, so that they move once, or not at all where they lie so already.
-        every = tables.bucketed(x.repartition(buckets, "doc").groupBy("doc", "term").agg(F.sum("x").alias("x")).where("x <> 0"), "doc")
-        told = every.agg(F.count("*").alias("n"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("sum"), F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0)).alias("squares")).first()
-        self.entries, self.sum, self.squares = told.n, told["sum"], told.squares
+        # Dealt by doc before entries are added up, so that they move once, or not at all where they lie so already. Counts and sums are observed while tables are written.
+        told, docs, terms = Observation(), Observation(), Observation()
+        added = x.repartition(buckets, "doc").groupBy("doc", "term").agg(F.sum("x").alias("x")).where("x <> 0")
+        every = tables.bucketed(added.observe(told, F.count("*").alias("n"), F.sum("x").alias("sum"), F.sum(F.col("x") * F.col("x")).alias("squares")), "doc")
+        self.entries, self.sum, self.squares = told.get["n"], told.get["sum"] or 0.0, told.get["squares"] or 0.0
         self.tasks = min(buckets, 2 * spark.sparkContext.defaultParallelism)
-        self.hubs = cut_lineage(every.groupBy("doc").count().where(F.col("count") * HUBS > self.entries).select("doc"), "hubs")
-        self.hot = None if self.hubs.isEmpty() else cut_lineage(every.join(F.broadcast(self.hubs), "doc"), "hub-entries")
+        many = F.col("count") * HUBS > self.entries
+        self.hubs = cut_lineage(every.groupBy("doc").count().observe(docs, F.count("*").alias("n"), F.count_if(many).alias("hubs")).where(many).select("doc"), "hubs")
+        self.hot = cut_lineage(every.join(F.broadcast(self.hubs), "doc"), "hub-entries") if docs.get["hubs"] else None
         self.x = every if self.hot is None else tables.bucketed(every.join(F.broadcast(self.hubs), "doc", "left_anti"), "doc")
-        self.terms = cut_lineage(every.groupBy("term").count(), "terms")
+        self.terms = cut_lineage(every.groupBy("term").count().observe(terms, F.count("*").alias("n")), "terms")
+        #: How many ids each side has.
+        self.size = {"doc": docs.get["n"], "term": terms.get["n"]}
         self.common = self.rare = None
-        if self.terms.count() > HELD:
+        if self.size["term"] > HELD:
             self.common = cut_lineage(self.terms.orderBy(F.desc("count"), "term").limit(HELD).select("term"), "common")
             self.rare = tables.bucketed(every.join(F.broadcast(self.common), "term", "left_anti"), "term", dealt=False)
 
@@ -173,8 +177,7 @@ def _split_start(x: Sparse, k: int) -> tuple[DataFrame, DataFrame]:
     weight = parts[0] * parts[1]
     sign = np.where(weight[0] >= weight[1], 1.0, -1.0)
     which = (sign < 0).astype(int)
-    docs, terms = x.ids("doc").count(), x.ids("term").count()
-    mean = x.sum / max(docs * terms, 1)
+    mean = x.sum / max(x.size["doc"] * x.size["term"], 1)
     out = []
     for side, factor in enumerate((left, right)):
         own = parts[side][which, np.arange(k)]
@@ -186,7 +189,7 @@ def _split_start(x: Sparse, k: int) -> tuple[DataFrame, DataFrame]:
 
 def _hashed_start(x: Sparse, k: int) -> tuple[DataFrame, DataFrame]:
     """Entries that depend on the key and the topic, between 0.1 and 1.1 times what gives products as large as the table's mean."""
-    scale = float(np.sqrt(x.sum / max(x.ids("doc").count() * x.ids("term").count(), 1) / k))
+    scale = float(np.sqrt(x.sum / max(x.size["doc"] * x.size["term"], 1) / k))
     entry = lambda j: F.conv(F.substring(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(j)))), 1, 8), 16, 10).cast("double") / float(16**8) * scale + 0.1 * scale
     return tuple(x.ids(side).select("id", F.array(*[entry(j) for j in range(k)]).alias("v")) for side in ("doc", "term"))
 

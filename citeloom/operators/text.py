@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,8 +58,9 @@ HELD = 1 << 16
 
 def tf_idf(counts: DataFrame, key: str, documents: int) -> DataFrame:
     """Smoothed IDF (ln((1+n)/(1+df))+1), rows of unit length."""
-    df = cut_lineage(counts.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
-    w = counts.join(F.broadcast(df) if df.count() <= HELD else df, "term").withColumn("w", F.col("n") * (F.log((1.0 + documents) / (1 + F.col("df"))) + 1))
+    told = Observation()
+    df = cut_lineage(counts.groupBy("term").agg(F.count("*").alias("df")).observe(told, F.count("*").alias("n")), "frequencies")
+    w = counts.join(F.broadcast(df) if told.get["n"] <= HELD else df, "term").withColumn("w", F.col("n") * (F.log((1.0 + documents) / (1 + F.col("df"))) + 1))
     # One number for each row of terms: looked up, so that terms aren't sorted.
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).hint("shuffle_hash")
     return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))

@@ -422,6 +422,25 @@ def test_products_of_factors(spark, monkeypatch, hubs, held):
             assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
 
 
+@pytest.mark.parametrize("hubs", [1, 1000])
+def test_sizes_of_factors_are_observed(spark, monkeypatch, hubs):
+    """Numbers of entries, docs and terms come from the writes that make these, not from further passes."""
+    from citeloom.operators import scratch
+
+    asked, frame = [], type(spark.range(1))
+    for name in ("count", "first", "isEmpty"):
+        monkeypatch.setattr(frame, name, lambda self, name=name, plain=getattr(frame, name): (asked.append(name), plain(self))[1])
+    monkeypatch.setattr(factors, "HUBS", hubs)
+    rows = [("a", "t", 1.0), ("a", "t", 2.0), ("b", "t", 1.0), ("b", "u", -1.0), ("c", "u", 1.0), ("c", "u", -1.0), (None, "u", 2.0)]
+    df = spark.createDataFrame(rows, "doc string, term string, x double")
+    with scratch.Tables(spark) as made:
+        x, none = factors.Sparse(made, df), factors.Sparse(made, df.where("x > 5"))
+        factors._hashed_start(x, 2)
+        assert not asked and (x.entries, x.sum, x.squares, x.size) == (4, 5.0, 15.0, {"doc": 3, "term": 2})
+        assert (none.entries, none.sum, none.squares, none.size, none.hot) == (0, 0.0, 0.0, {"doc": 0, "term": 0}, None)
+        assert (x.hot is not None) == (hubs > 1)
+
+
 def test_a_turn_broadcasts_no_docs(spark, monkeypatch):
     """A factor has a row for each doc: it is neither broadcast nor shuffled, from its start on."""
     from citeloom.operators import scratch
